@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts
+from . import packing, repeats, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,5 +28,20 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op5_packing": op5_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op5_packing": op5_packing, "op10_repeats": op10_repeats}
+
+OP10_SQL = """
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws from documents),
+ win as (select doc_id, pos, md5(array_to_string(ws[pos:pos + 49], ' ')) k from (select doc_id, ws, unnest(range(1, len(ws) - 48)) pos from w)),
+ low as (select k, min(doc_id) low from win group by k),
+ cut as (select distinct doc_id, unnest(range(pos, pos + 50)) p from win join low using (k) where doc_id > low),
+ cuts as (select doc_id, list(p) ps from cut group by doc_id),
+ kept as (select w.doc_id, len(ws) n, case when ps is null then ws else list_transform(list_filter(range(1, len(ws) + 1), lambda i: not list_contains(ps, i)), lambda i: ws[i]) end k from w left join cuts using (doc_id))
+select doc_id, cast(n as bigint) n_words, cast(n - len(k) as bigint) n_removed, sha256(array_to_string(k, ' ')) kept_sha256 from kept
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_repeats": OP10_SQL}
