@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, repeats, token_counts
+from . import near_duplicates, packing, repeats, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), keep=["doc_id"])
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -32,7 +36,19 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op5_packing": op5_packing, "op10_repeats": op10_repeats}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_ngram_jaccard": op2_ngram_jaccard, "op5_packing": op5_packing, "op10_repeats": op10_repeats}
+
+OP2_SQL = """
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws from documents),
+ s as (select distinct doc_id, md5(array_to_string(ws[i:i + 4], ' ')) g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, case when len(ws) > 0 then 2 else 1 end))) i from w)),
+ n as (select doc_id, count(*) n from s group by 1),
+ p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+ e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+ u as (select a, b from e union all select b, a from e),
+ r(node, root) as (select doc_id, doc_id from documents union select u.b, r.root from r join u on u.a = r.node where r.root < u.b)
+select d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, m.m) component_id from documents d left join n using (doc_id)
+ left join (select node, min(root) m from r group by 1) m on m.node = d.doc_id
+"""
 
 OP10_SQL = """
 with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws from documents),
@@ -44,4 +60,4 @@ with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
 select doc_id, cast(n as bigint) n_words, cast(n - len(k) as bigint) n_removed, sha256(array_to_string(k, ' ')) kept_sha256 from kept
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_repeats": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": OP2_SQL, "op10_repeats": OP10_SQL}

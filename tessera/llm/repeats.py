@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, only
+from ..plans.shared import Scratch, only
 from .texts import mixed, raw, row_groups, seeded, windows, word_hashes
 
 _A = seeded(8, 3)
