@@ -10,6 +10,9 @@ PIECE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but digits and letters.
+_MARKS = np.zeros(256, bool)
+_MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
@@ -81,8 +84,8 @@ def row_groups(offsets: np.ndarray, piece: int = PIECE):
         low = high
 
 
-def _word_spans(data: np.ndarray, offsets: np.ndarray):
-    gap = _SPACE[data]
+def _word_spans(data: np.ndarray, offsets: np.ndarray, marks: bool):
+    gap = (_MARKS if marks else _SPACE)[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     begin = ~gap
@@ -93,8 +96,9 @@ def _word_spans(data: np.ndarray, offsets: np.ndarray):
     return starts, np.flatnonzero(over) + 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool):
-    """(hash of each word, words of each text): words are ``[^\\x20\\x09-\\x0D]+``, with A-Z in lower case if ``lower``.
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool, marks: bool = False):
+    """(hash of each word, words of each text): words are ``[^\\x20\\x09-\\x0D]+``, with A-Z in lower case if ``lower``;
+    with ``marks``, ASCII punctuation separates words too.
 
     Long inputs are hashed in cuts at spaces, so the arrays stay small beside a very long text.
     """
@@ -118,17 +122,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool):
             if high > low:
                 a = int(np.searchsorted(offsets, low, "right")) - 1
                 b = int(np.searchsorted(offsets, high, "left"))
-                part, n = _hash_spans(data[low:high], np.clip(offsets[a : b + 1], low, high) - low, lower)
+                part, n = _hash_spans(data[low:high], np.clip(offsets[a : b + 1], low, high) - low, lower, marks)
                 found.append(part)
                 counts[a:b] += n
         return np.concatenate(found), counts
-    return _hash_spans(data, offsets, lower)
+    return _hash_spans(data, offsets, lower, marks)
 
 
-def _hash_spans(data, offsets, lower):
+def _hash_spans(data, offsets, lower, marks):
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    starts, ends = _word_spans(data, offsets)
+    starts, ends = _word_spans(data, offsets, marks)
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[data] if lower else data] * up[: len(data)], out=total[1:])
