@@ -23,6 +23,7 @@ give one match.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -196,13 +197,13 @@ _made: dict = {}
 def _matcher(known, recall: float, doc_type, item_type):
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kinds = to_arrow_type(doc_type), to_arrow_type(item_type)
+    kinds, name = (to_arrow_type(doc_type), to_arrow_type(item_type)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if known.id not in _made:
+        if name not in _made:
             _made.clear()
-            _made[known.id] = Items(*known.value, recall)
-        items = _made[known.id]
+            _made[name] = Items(*known.value, recall)
+        items = _made[name]
         for batch in batches:
             data, offsets = raw(batch.column(1))
             names = batch.column(0).to_pylist()

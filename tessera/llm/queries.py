@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_duplicates, packing, repeats, token_counts
+from . import chat, decontamination, licenses, near_duplicates, packing, repeats, secret_scan, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,11 +40,36 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_ngram_jaccard": op2_ngram_jaccard, "op4_decontamination": op4_decontamination, "op5_packing": op5_packing, "op10_repeats": op10_repeats}
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_chat_perspectives": op3_chat_perspectives,
+    "op4_decontamination": op4_decontamination,
+    "op5_packing": op5_packing,
+    "op6_license_scan": op6_license_scan,
+    "op8_secret_scan": op8_secret_scan,
+    "op10_repeats": op10_repeats,
+}
+
+OP3_SQL = """
+with r as (select conv_id d, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'unknown'), coalesce(text, '')) i, coalesce(role, 'unknown') s, coalesce(text, '') x from conversations where conv_id is not null),
+ w as (select distinct d, s p from r where s <> 'system'),
+ v as (select r.d, p, i, s = p own, case when s = 'system' then '<|im_start|>system' || chr(10) when s = p then '<|im_start|>assistant' || chr(10) else '<|im_start|>user name=' || replace(s, '<|', '< |') || chr(10) end head, replace(x, '<|', '< |') || '<|im_end|>' body from r join w using (d)),
+ q as (select *, coalesce(sum(length(head) + length(body) + 1) over (partition by d, p order by i rows between unbounded preceding and 1 preceding), 0) + length(head) b from v)
+select d conv_id, p perspective, count(*) n_turns, count(*) filter (where own) n_masked, coalesce(string_agg(case when own then b || ':' || (b + length(body)) end, ',' order by i), '') mask, string_agg(head || body || chr(10), '' order by i) rendered from q group by d, p
+"""
 
 OP2_SQL = """
 with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws from documents),
@@ -64,4 +93,4 @@ with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
 select doc_id, cast(n as bigint) n_words, cast(n - len(k) as bigint) n_removed, sha256(array_to_string(k, ' ')) kept_sha256 from kept
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": OP2_SQL, "op10_repeats": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": OP2_SQL, "op3_chat_perspectives": OP3_SQL, "op10_repeats": OP10_SQL}
