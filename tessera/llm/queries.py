@@ -6,8 +6,9 @@ import os
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, near_duplicates, packing, repeats, secret_scan, token_counts
+from . import chat, decontamination, licenses, near_duplicates, packing, repeats, secret_scan, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,16 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns, p_low_quality, p_toxic and rejected (p_toxic of a half or more) of every row of ``docs``."""
+    chain = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
+    return chain.predict(docs, keep=keep).withColumn("rejected", F.col("p_toxic") >= 0.5)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(spark, table(spark, sf_dir, "documents"), sf_dir, ["doc_id"])
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
@@ -59,6 +70,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op6_license_scan": op6_license_scan,
+    "op7_toxicity": op7_toxicity,
     "op8_secret_scan": op8_secret_scan,
     "op10_repeats": op10_repeats,
 }
