@@ -1,4 +1,6 @@
 """All registered queries and their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import queries as _queries
+
+QUERIES = dict(_queries.QUERIES)
+ORACLE_SQL = dict(_queries.ORACLE_SQL)
