@@ -69,7 +69,7 @@ def beta_binomial_nll(counts: DataFrame, a: float, b: float, by: list[str]) -> D
     """sum(lnB(k + a, n - k + b)) - m lnB(a, b), the log likelihood up to a constant, by group."""
     const = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
     each = log_beta(F.col("k") + a, F.col("n") - F.col("k") + b)
-    return counts.groupBy(*by).agg((F.sum(each) - F.count("*") * const).alias("log_likelihood"))
+    return counts.withColumn("__each", each).groupBy(*by).agg((F.sum("__each") - F.count("*") * const).alias("log_likelihood"))
 
 
 def _lgamma(x):

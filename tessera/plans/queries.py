@@ -576,22 +576,22 @@ def coded(s, d) -> DataFrame:
     return similarity.encoded(repertoire(s, d).where("length(cdr3_aa) <= 12 and cast(substring(repertoire_id, 2) as int) <= 40"), sequences.ATCHLEY)
 
 
-@query(CODES + " select cdr3_aa, len, round(list_sum(list_transform(code, lambda x: x * x)), 4) norm from code")
+@query(CODES + " select cdr3_aa, len, round(list_sum(list_transform(code, lambda x: x * x)), 6) norm from code")
 def isometric_codes(s, d):
-    return coded(s, d).select("cdr3_aa", "len", F.round(sequences.squared_distance(F.col("code"), F.array_repeat(F.lit(0.0), 30)), 4).alias("norm"))
+    return coded(s, d).select("cdr3_aa", "len", F.round(sequences.squared_distance(F.col("code"), F.array_repeat(F.lit(0.0), 30)), 6).alias("norm"))
 
 
-@query(CODES + ", p as (select a.cdr3_aa a, b.cdr3_aa b, a.len, list_sum(list_transform(range(1, 31), lambda i: (a.code[i] - b.code[i]) * (a.code[i] - b.code[i]))) dist from code a join code b on a.len = b.len and a.cdr3_aa <> b.cdr3_aa) select a, b, len, round(dist, 4) distance from p where dist <= 40 - 0.5 * (15 - len)")
+@query(CODES + ", p as (select a.cdr3_aa a, b.cdr3_aa b, a.len, list_sum(list_transform(range(1, 31), lambda i: (a.code[i] - b.code[i]) * (a.code[i] - b.code[i]))) dist from code a join code b on a.len = b.len and a.cdr3_aa <> b.cdr3_aa) select a, b, len, round(dist, 6) distance from p where dist <= 40 - 0.5 * (15 - len)")
 def isometric_pairs(s, d):
     own = coded(s, d)
-    return similarity.isometric_pairs(own, own, 30, 40.0).select("a", "b", "len", F.round("distance", 4).alias("distance"))
+    return similarity.isometric_pairs(own, own, 30, 40.0).select("a", "b", "len", F.round("distance", 6).alias("distance"))
 
 
-@query(CODES + ", p as (select a.cdr3_aa a, b.cdr3_aa b, round(list_sum(list_transform(range(1, 31), lambda i: (a.code[i] - b.code[i]) * (a.code[i] - b.code[i]))), 9) dist, a.len from code a join code b on a.len = b.len and a.cdr3_aa <> b.cdr3_aa) select a, min(struct_pack(d := dist, b := b)).b b, round(min(dist), 4) distance from p where dist <= 40 - 0.5 * (15 - len) group by 1")
+@query(CODES + ", p as (select a.cdr3_aa a, b.cdr3_aa b, round(list_sum(list_transform(range(1, 31), lambda i: (a.code[i] - b.code[i]) * (a.code[i] - b.code[i]))), 9) dist, a.len from code a join code b on a.len = b.len and a.cdr3_aa <> b.cdr3_aa) select a, min(struct_pack(d := dist, b := b)).b b, round(min(dist), 6) distance from p where dist <= 40 - 0.5 * (15 - len) group by 1")
 def isometric_nearest(s, d):
     own = coded(s, d)
     pairs = similarity.isometric_pairs(own, own, 30, 40.0).withColumn("distance", F.round("distance", 9))
-    return similarity.nearest(pairs).select("a", "b", F.round("distance", 4).alias("distance"))
+    return similarity.nearest(pairs).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 @query(", e as (select distinct v_call a, j_call b from repertoire where duplicate_count = 50 and row_idx < 60), n as (select a x, b y from e union select b, a from e), r(node, root) as (select x, x from n union select n.y, r.root from r join n on n.x = r.node where r.root < n.y) select node, min(root) component from r group by 1".replace("select node, min(root) component from r group by 1", "select node, least(node, min(root)) component from r group by 1"))
@@ -623,7 +623,7 @@ def shares(s, d) -> DataFrame:
     return n.select("repertoire_id", "cluster", (F.col("n") / F.sum("n").over(Window.partitionBy("repertoire_id"))).alias("share"))
 
 
-@query(SHARES + ", ids as (select distinct repertoire_id i from sh), cl as (select distinct cluster from sh), g as (select a.i a, b.i b, cluster, coalesce(x.share, 0) + 1e-9 p, coalesce(y.share, 0) + 1e-9 q from ids a join ids b on a.i < b.i, cl left join sh x on x.repertoire_id = a and x.cluster = cl.cluster left join sh y on y.repertoire_id = b and y.cluster = cl.cluster) select a, b, round(sqrt(sum((p - q) * (p - q))), 6) euclidean, round(sum((p - q) * ln(p / q)), 6) symmetric_kl, round(sqrt(greatest(0, sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2)), 6) jensen_shannon from g group by 1, 2".replace("from ids a join ids b on a.i < b.i, cl left join sh x", "from ids a join ids b on a.i < b.i cross join cl left join sh x").replace("x.repertoire_id = a and", "x.repertoire_id = a.i and").replace("y.repertoire_id = b and", "y.repertoire_id = b.i and"))
+@query(SHARES + ", ids as (select distinct repertoire_id i from sh), cl as (select distinct cluster from sh), g as (select a.i a, b.i b, cl.cluster, coalesce(x.share, 0) + 1e-9 p, coalesce(y.share, 0) + 1e-9 q from ids a join ids b on a.i < b.i, cl left join sh x on x.repertoire_id = a and x.cluster = cl.cluster left join sh y on y.repertoire_id = b and y.cluster = cl.cluster) select a, b, round(sqrt(sum((p - q) * (p - q))), 6) euclidean, round(sum((p - q) * ln(p / q)), 6) symmetric_kl, round(sqrt(greatest(0, sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2)), 6) jensen_shannon from g group by 1, 2".replace("from ids a join ids b on a.i < b.i, cl left join sh x", "from ids a join ids b on a.i < b.i cross join cl left join sh x").replace("x.repertoire_id = a and", "x.repertoire_id = a.i and").replace("y.repertoire_id = b and", "y.repertoire_id = b.i and"))
 def repertoire_distance(s, d):
     return similarity.repertoire_distances(shares(s, d)).select("a", "b", r6("euclidean", "euclidean"), r6("symmetric_kl", "symmetric_kl"), r6("jensen_shannon", "jensen_shannon"))
 
