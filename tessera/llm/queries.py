@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, near_duplicates, packing, repeats, secret_scan, token_counts, toxicity
+from . import chat, decontamination, licenses, near_duplicates, neighbours, packing, repeats, secret_scan, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scan": op8_secret_scan,
+    "op9_neighbours": op9_neighbours,
     "op10_repeats": op10_repeats,
 }
 
