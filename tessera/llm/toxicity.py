@@ -31,7 +31,6 @@ from .texts import raw, row_groups, word_hashes
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights and, last, the intercept of an L2-penalised logistic regression, by Newton steps."""
     n, k = x.shape
-    a = np.hstack([x, np.ones((n, 1), x.dtype)])
     w = np.zeros(k + 1)
     share = min(max(y.mean() if n else 0.0, 1e-6), 1 - 1e-6)
     w[-1] = np.log(share / (1 - share))
@@ -40,8 +39,13 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     penalty = np.full(k + 1, ridge)
     penalty[-1] = 1e-6
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (p - y) + penalty * w)
+        slope, curve = penalty * w, np.diag(penalty)
+        for at in range(0, n, 1000):  # blocks, so that no second matrix of all rows is made
+            a = np.hstack([x[at : at + 1000].astype(float), np.ones((min(1000, n - at), 1))])
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            slope += a.T @ (p - y[at : at + 1000])
+            curve += (a * (p * (1 - p))[:, None]).T @ a
+        step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -130,7 +134,7 @@ class Chain:
         return picked.mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_rows: int = 20_000, terms: int = 256, doc_id: str = "doc_id", text: str = "text") -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_rows: int = 20_000, terms: int = 128, doc_id: str = "doc_id", text: str = "text") -> Chain:
     """``categories``: name -> condition on ``labels``' columns, in the chain's order."""
     scratch, names = Scratch(docs.sparkSession), list(categories)
     known = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("row")).agg(*(F.max(c.cast("int")).alias(f"y{k}") for k, c in enumerate(categories.values())))
@@ -152,11 +156,13 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_
         chi = gap * gap / (F.col("df") * (n - F.col("df") + 1).cast("double") * max(s, 1) * max(n - s, 1))
         chosen |= {r[0] for r in counts.orderBy(F.desc(chi), "word").limit(terms).select("word").collect()}
     vocabulary = np.array(sorted(chosen), np.int64)
-    found = words.where(F.col("word").isin(vocabulary.tolist())).groupBy("row", "word").agg(F.max("n").alias("n")).toPandas()
+    found = words.where(F.col("word").isin(vocabulary.tolist())).groupBy("row", "word").agg(F.max("n").alias("n"))
     marked = known.join(words.select("row").distinct(), "row", "left_semi").orderBy(F.xxhash64("row"), "row").toPandas()
     place = {r: i for i, r in enumerate(marked["row"])}
     x = np.zeros((len(marked), len(vocabulary)), np.float32)
-    if len(found):
-        x[[place[r] for r in found["row"]], np.searchsorted(vocabulary, found["word"].to_numpy())] = np.log2(1 + found["n"].to_numpy())
+    cells = found.groupBy("row").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns")).toArrow()
+    for batch in cells.to_batches():
+        for row, held, n in zip(*(batch.column(i) for i in range(3)), strict=True):
+            x[place[row.as_py()], np.searchsorted(vocabulary, held.values.to_numpy())] = np.log2(1 + n.values.to_numpy())
     y = marked[[f"y{k}" for k in range(len(names))]].to_numpy() if len(marked) else np.zeros((0, len(names)))
     return Chain(vocabulary, fit_chain(x, y), names)
