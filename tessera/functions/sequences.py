@@ -68,7 +68,8 @@ def translate_nt(s: Column) -> Column:
     """Codon by codon; an unknown or cut codon is X."""
     code = _map(CODONS)
     starts = F.when(F.length(s) > 0, F.sequence(F.lit(1), F.length(s), F.lit(3))).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(starts, lambda i: F.coalesce(F.try_element_at(code, s.substr(i, F.lit(3))), F.lit("X"))), "")
+    out = F.array_join(F.transform(starts, lambda i: F.coalesce(F.try_element_at(code, s.substr(i, F.lit(3))), F.lit("X"))), "")
+    return F.when(s.isNotNull(), out)
 
 
 def similarity(a: Column, b: Column) -> Column:

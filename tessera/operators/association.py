@@ -77,39 +77,35 @@ def _lgamma(x):
 
 
 def _fit_pair(k: np.ndarray, n: np.ndarray, start=(1.0, 1000.0), least: float = 1e-5) -> tuple[float, float]:
-    """Maximum likelihood (a, b) by damped Newton steps on the logarithms, derivatives by differences."""
+    """Maximum likelihood (a, b): Newton steps on (log a/b, log(a + b)), where share and spread hardly interact."""
+    pairs, m = np.unique(np.stack([k, n], axis=1), axis=0, return_counts=True)
+    k, n = pairs[:, 0], pairs[:, 1]
+
+    def ab(t):
+        total = np.exp(np.clip(t[1], -20, 30))
+        share = 1 / (1 + np.exp(-np.clip(t[0], -40, 40)))
+        return max(total * share, least), max(total * (1 - share), least)
 
     def value(t):
-        a, b = np.exp(t)
-        return float(np.sum(_lgamma(k + a) + _lgamma(n - k + b) - _lgamma(n + a + b)) - len(k) * (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)))
+        a, b = ab(t)
+        return float(m @ (_lgamma(k + a) + _lgamma(n - k + b) - _lgamma(n + a + b))) - float(m.sum()) * (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
 
-    t, h = np.log(np.array(start)), 1e-4
-    low = math.log(least)
+    t, h, e = np.array([math.log(start[0] / start[1]), math.log(start[0] + start[1])]), 1e-3, np.eye(2) * 1e-3
     best = value(t)
     for _ in range(200):
-        e = np.eye(2) * h
         g = np.array([(value(t + e[i]) - value(t - e[i])) / (2 * h) for i in range(2)])
         H = np.array([[(value(t + e[i] + e[j]) - value(t + e[i] - e[j]) - value(t - e[i] + e[j]) + value(t - e[i] - e[j])) / (4 * h * h) for j in range(2)] for i in range(2)])
-        try:
-            step = np.linalg.solve(H - 1e-9 * np.eye(2), -g)
-        except np.linalg.LinAlgError:
-            step = g
-        if g @ step < 0:
-            step = g
-        step = np.clip(step, -2, 2)
+        w, v = np.linalg.eigh((H + H.T) / 2)
+        step = np.clip(v @ ((v.T @ g) / np.maximum(np.abs(w), 1e-3)), -2, 2)  # uphill whatever the curvature's sign
         scale = 1.0
-        while scale > 1e-6:
-            new = np.clip(t + scale * step, low, 25)
-            if (v := value(new)) > best + 1e-10:
-                break
+        while scale > 1e-8 and not (new := value(t + scale * step)) > best:
             scale /= 2
-        else:
+        if scale <= 1e-8:
             break
-        done = abs(v - best) < 1e-9
-        t, best = new, v
-        if done:
+        gain, t, best = new - best, t + scale * step, new
+        if gain < 1e-10:
             break
-    a, b = np.exp(t)
+    a, b = ab(t)
     return float(a), float(b)
 
 
