@@ -8,23 +8,23 @@ from pyspark.sql import functions as F
 
 def _by_score(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Counts by group and score: afterwards a group has as many rows as distinct scores."""
-    return df.groupBy(*by, F.col(score).alias("s")).agg(F.count("*").alias("c"), F.sum(label).alias("p"))
+    return df.groupBy(*by, F.col(score).alias("__s")).agg(F.count("*").alias("__c"), F.sum(label).alias("__p"))
 
 
 def auroc(df: DataFrame, by: list[str], score: str = "model_score", label: str = "disease_label") -> DataFrame:
     """Area under the ROC curve with ties counted half; null where a class is missing."""
-    w = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    r = _by_score(df, by, score, label).withColumn("rank", F.coalesce(F.sum("c").over(w), F.lit(0)) + (F.col("c") + 1) / 2)
-    s = r.groupBy(*by).agg(F.sum(F.col("p") * F.col("rank")).alias("R"), F.sum("p").alias("n1"), F.sum(F.col("c") - F.col("p")).alias("n0"))
+    w = Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    r = _by_score(df, by, score, label).withColumn("__rank", F.coalesce(F.sum("__c").over(w), F.lit(0)) + (F.col("__c") + 1) / 2)
+    s = r.groupBy(*by).agg(F.sum(F.col("__p") * F.col("__rank")).alias("R"), F.sum("__p").alias("n1"), F.sum(F.col("__c") - F.col("__p")).alias("n0"))
     return s.select(*by, F.when((F.col("n1") > 0) & (F.col("n0") > 0), (F.col("R") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0"))).alias("auroc"))
 
 
 def average_precision(df: DataFrame, by: list[str], score: str = "model_score", label: str = "disease_label") -> DataFrame:
     """Sum of recall steps times precision, over distinct scores from the highest; null without positives."""
-    w = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("p").over(Window.partitionBy(*by))
-    r = _by_score(df, by, score, label).select(*by, F.col("p"), (F.sum("p").over(w) / F.sum("c").over(w)).alias("precision"), total.alias("positives"))
-    return r.groupBy(*by).agg(F.when(F.max("positives") > 0, F.sum(F.col("p") * F.col("precision")) / F.max("positives")).alias("average_precision"))
+    w = Window.partitionBy(*by).orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("__p").over(Window.partitionBy(*by))
+    r = _by_score(df, by, score, label).select(*by, F.col("__p"), (F.sum("__p").over(w) / F.sum("__c").over(w)).alias("precision"), total.alias("positives"))
+    return r.groupBy(*by).agg(F.when(F.max("positives") > 0, F.sum(F.col("__p") * F.col("precision")) / F.max("positives")).alias("average_precision"))
 
 
 def confusion(df: DataFrame, by: list[str], score: str = "model_score", label: str = "disease_label", cut: float = 0.5) -> DataFrame:

@@ -1,6 +1,8 @@
 """All registered queries and their SQL equivalents."""
 
-from .plans import queries as _queries
+from .plans import model_queries, queries
 
-QUERIES = dict(_queries.QUERIES)
-ORACLE_SQL = dict(_queries.ORACLE_SQL)
+assert model_queries  # registers its queries
+
+QUERIES = dict(queries.QUERIES)
+ORACLE_SQL = dict(queries.ORACLE_SQL)
