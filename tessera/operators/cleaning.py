@@ -136,3 +136,23 @@ def audit(df: DataFrame) -> DataFrame:
         F.count_if(~F.col("v_call").rlike(r"^TRBV[0-9A-Z/-]+\*\d\d$")).alias("bad_v_allele"),
         F.count_if(~F.col("j_call").rlike(r"^TRBJ[0-9-]+\*\d\d$")).alias("bad_j_allele"),
     )
+
+
+def fill_reads(df: DataFrame, name: str = "num_reads", sources: tuple[str, ...] = ("templates", "seq_reads")) -> DataFrame:
+    """Read counts from the first source that has one; a row without any stops the job."""
+    have = [F.col(c) for c in sources if c in df.columns]
+    if not have:
+        raise ValueError(f"none of {list(sources)} is present")
+    n = F.coalesce(*have)
+    return df.withColumn(name, F.when(n.isNull(), F.raise_error(F.lit("a row has no read count")).cast("bigint")).otherwise(n))
+
+
+def standard_columns(df: DataFrame, nucleotide: str = "rearrangement", participant: str | None = None) -> DataFrame:
+    """sequence from the nucleotides and num_reads from the templates, with ids, in the standard layout."""
+    out = df.withColumns({"sequence": F.col(nucleotide) if nucleotide in df.columns else F.lit(None).cast("string"), "participant_label": F.lit(participant) if participant else F.col("repertoire_id")})
+    return fill_reads(out, "num_reads", ("num_reads", "templates", "seq_reads")).select(*STANDARD_COLUMNS)
+
+
+def in_alphabet(c: Column, residues: str = sequences.RESIDUES, case_sensitive: bool = False) -> Column:
+    """Whether the trimmed text holds letters of the alphabet alone."""
+    return F.coalesce(F.trim(c if case_sensitive else F.upper(c)).rlike(f"^[{residues}]+$"), F.lit(False))

@@ -210,3 +210,30 @@ def transfer_set(train: DataFrame, score: DataFrame) -> DataFrame:
 def attach_scores(meta: DataFrame, scores: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     j = meta.join(scores, key, "left")
     return j.where("model_score is not null"), j.where("model_score is null").drop("model_score")
+
+
+def tag_fields(tags: Column) -> dict[str, Column]:
+    """sex, status and age of a sample's tag text; what is absent or unknown is null."""
+    sex = F.regexp_extract(tags, r"(?i)\b(male|female)\b", 1)
+    status = F.regexp_extract(tags, r"(?i)cytomegalovirus ([+-])", 1)
+    age = F.regexp_extract(tags, r"(?i)(\d+) years", 1)
+    return {"sex": F.when(F.lower(sex) == "male", "M").when(F.lower(sex) == "female", "F"), "status": F.nullif(status, F.lit("")), "age": F.nullif(age, F.lit("")).cast("double")}
+
+
+def cohort_lists(meta: DataFrame, diseases: list[str], seeds: list[int] = BASELINE_SEEDS, width: int = 10) -> DataFrame:  # noqa: B006
+    """(disease, cohort, specimen_label): one age-matched and one random cohort a seed for every disease."""
+    out = None
+    for disease in diseases:
+        task = binary_task(meta, disease)
+        matched = age_match(task, width).select(F.lit("age_matched").alias("cohort"), "specimen_label")
+        drawn = random_controls(task, width, seeds).select(F.concat(F.lit("random_"), F.col("random_baseline_seed").cast("string")).alias("cohort"), "specimen_label")
+        one = matched.unionByName(drawn).select(F.lit(disease).alias("disease"), "cohort", "specimen_label")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def supertypes(df: DataFrame, key: str, alleles: str, table: DataFrame, keep_unmapped: bool = False) -> DataFrame:
+    """Allele lists mapped by a table (allele, supertype); unmapped ones are dropped or kept."""
+    long = df.select(key, F.explode(alleles).alias("allele")).join(F.broadcast(table), "allele", "left")
+    found = F.coalesce("supertype", "allele") if keep_unmapped else F.col("supertype")
+    return long.groupBy(key).agg(F.sort_array(F.collect_set(found)).alias("supertypes"))

@@ -132,3 +132,15 @@ def attention_pool(df: DataFrame, score: str, vector: str) -> DataFrame:
     e = df.withColumn("e", F.exp(F.col(score) - top))
     w = e.withColumn("weight", F.col("e") / F.sum("e").over(Window.partitionBy(REP))).drop("e")
     return w.select(REP, F.posexplode(vector).alias("pos", "x"), "weight").groupBy(REP, "pos").agg(F.sum(F.col("x") * F.col("weight")).alias("value"))
+
+
+def top_motifs(df: DataFrame, score: str, k: int, least: float, motif: str = "fourmer") -> DataFrame:
+    """The k motifs of largest score among those that reach ``least`` (ties by motif)."""
+    return df.groupBy(motif).agg(F.max(score).alias(score)).where(F.col(score) >= least).orderBy(F.desc(score), motif).limit(k)
+
+
+def joined_features(long: DataFrame, meta: DataFrame, key: str = "specimen_label") -> DataFrame:
+    """Repertoire features and, with prefix D:, age, sex (M = 1) and one-hot ancestry as further long rows."""
+    cells = F.array(F.struct(F.lit("D:age").alias("feature"), F.col("age").alias("value")), F.struct(F.lit("D:sex_M").alias("feature"), (F.col("sex") == "M").cast("double").alias("value")), F.struct(F.concat(F.lit("D:"), F.col("ancestry")).alias("feature"), F.lit(1.0).alias("value")))
+    own = meta.select(F.col(key).alias(REP), F.explode(cells).alias("x")).select(REP, "x.*").where("feature is not null and value is not null and value <> 0")
+    return long.select(REP, "feature", "value").unionByName(own)

@@ -198,3 +198,33 @@ def nearest_vote(distances: DataFrame, labels: DataFrame, k: int, distance: str)
     top = both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(distance, "b"))).where(F.col("rank") <= k)
     w = 1 / (F.col(distance) + 1e-9)
     return top.join(F.broadcast(labels.select(F.col("repertoire_id").alias("b"), "label")), "b").groupBy("a").agg((F.sum(w * F.col("label")) / F.sum(w)).alias("score"))
+
+
+def merged_into_reference(candidates: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidate clusters renamed to the smallest reference cluster they share a member with; others keep their name.
+
+    Both: (*keys, cluster).  A candidate that bridges reference clusters joins the smallest.
+    """
+    hit = candidates.join(reference.withColumnRenamed("cluster", "known"), keys).groupBy("cluster").agg(F.min("known").alias("known"))
+    return candidates.join(hit, "cluster", "left").select(*keys, F.coalesce("known", F.concat(F.lit("new:"), F.col("cluster"))).alias("cluster"))
+
+
+def nearest_vectors(df: DataFrame, key: str, vector: str, fold: str, k: int) -> DataFrame:
+    """(key, rank, other, distance): each row's k nearest of the other folds by L2, compared in blocks of one fold.
+
+    For tables of repertoires or samples; large vector tables belong to an index.
+    """
+    every = df.groupBy(F.col(fold).alias("__f"), F.pmod(F.xxhash64(key), F.lit(16)).alias("__b")).agg(F.collect_list(F.struct(F.col(key).alias("o"), F.col(vector).alias("v"))).alias("rows"))
+    folds = df.select(F.col(fold).alias("__own")).distinct()
+    pairs = folds.join(every, F.col("__own") != F.col("__f"))
+    met = df.withColumnRenamed(fold, "__own").join(pairs, "__own").select(key, F.explode(F.transform("rows", lambda r: F.struct(sequences.squared_distance(F.col(vector), r["v"]).alias("d"), r["o"].alias("o")))).alias("x"))
+    order = Window.partitionBy(key).orderBy("x.d", "x.o")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "rank", F.col("x.o").alias("other"), F.sqrt("x.d").alias("distance"))
+
+
+def cdr2_cdr3(rep: DataFrame, cdr2: DataFrame, length: int = 28, gap: str = "--------") -> DataFrame:
+    """``rep`` with cdr2 of its gene (gaps when missing) and the joined text cdr2-cdr3, cut at ``length``."""
+    known = cdr2.select(F.col("gene").alias("__g"), "cdr2")
+    j = rep.join(F.broadcast(known), F.substring_index("v_call", "*", 1) == F.col("__g"), "left").drop("__g")
+    own = F.coalesce("cdr2", F.lit(gap))
+    return j.withColumns({"cdr2": own, "model_text": F.concat_ws("-", own, "cdr3_aa").substr(1, length)})
