@@ -50,6 +50,12 @@ def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(keys.select(key)), key, "left_semi")
 
 
+def having(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with a partner in ``keys``: broadcast up to BROADCAST_ROWS keys, shuffled beyond."""
+    small = keys.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(keys) if small else keys, on, "left_semi")
+
+
 def but(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """``rows`` without those of ``keys``: broadcast up to BROADCAST_ROWS keys, shuffled beyond."""
     small = keys.count() <= BROADCAST_ROWS
