@@ -153,13 +153,14 @@ def remove_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text
     copies = scratch.write(whole.select(*row, "sha256").join(first, "sha256").where("doc_id > first_id").select(*row).distinct())
 
     placed = scratch.write(whole.join(copies, row, "left_anti").select(*row, F.explode("anchors").alias("anchor")))
-    common = placed.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    # Written before they are joined: both sides of the join are then plain exchanges, whose hot keys Spark can split.
+    common = scratch.write(placed.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"))
     hits = scratch.write(placed.join(common, "anchor").groupBy(*row).agg(F.collect_set("anchor").alias("anchors")))
     read = only(docs, hits.select("doc_id").distinct(), "doc_id").join(hits, row).select(*row, "text", "anchors")
     found = scratch.write(read.mapInArrow(_windowed(size), "doc_id bigint, key bigint, at int, window bigint"))
-    low = found.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "low")
+    low = scratch.write(found.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "low"))
     cuts = scratch.write(found.join(low, "window").where("doc_id > low").groupBy(*row).agg(F.collect_set("at").alias("starts")))
-    scratch.drop(placed, hits, found)
+    scratch.drop(placed, common, hits, found, low)
 
     read = only(docs, cuts.select("doc_id").distinct(), "doc_id").join(cuts, row).select(*row, "text", "starts")
     kept = read.mapInArrow(_cut(size), "doc_id bigint, key bigint, n_cut bigint, cut_sha256 string").dropDuplicates(row)
