@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..plans.shared import Scratch, but, only
+from ..plans.shared import Scratch, but, having
 from .repeats import _lists
 from .texts import mixed, powers, raw, row_groups, windows, word_hashes
 
@@ -100,7 +100,7 @@ _SET = "doc_id bigint, n bigint, f bigint, tokens array<bigint>"
 def _again(docs: DataFrame, wanted: DataFrame, size: int, part: str) -> DataFrame:
     """(f, n, tokens) of the classes ``wanted`` (doc_id, f), read again from the texts of their first documents."""
     names = wanted.select("doc_id").distinct()
-    read = only(docs, names, "doc_id").join(names, "doc_id").select("doc_id", "text").mapInArrow(_sets(size, part), _SET)
+    read = having(docs, names, ["doc_id"]).select("doc_id", "text").mapInArrow(_sets(size, part), _SET)
     return read.join(wanted.select("doc_id", "f"), ["doc_id", "f"], "left_semi").dropDuplicates(["f"]).select("f", "n", "tokens")
 
 
@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, doc_id:
 
     # 1. The first quarter: which shingles are shared, and which are hot.
     laid = first.select("f", F.posexplode("tokens").alias("pos", "t"))
-    df = laid.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    df = scratch.write(laid.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"))  # written: its join can then split hot keys
     shared = scratch.write(laid.join(df, "t"))
     hot = F.col("df") > HOT
     meta = first.select("f", "doc_id", "n", F.size("tokens").alias("m"), (F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1).alias("p"))
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, doc_id:
     over = meta.where("cold < p")
     rest = scratch.write(_again(docs, over, size, "rest"))
     laid2 = rest.select("f", F.posexplode("tokens").alias("pos", "t"))
-    df2 = laid2.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    df2 = scratch.write(laid2.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"))
     shared2 = scratch.write(laid2.join(df2, "t"))
     ranked2 = shared2.withColumn("hots_before", F.coalesce(F.count_if(hot).over(before), F.lit(0)))
     hots2 = shared2.groupBy("f").agg(F.count_if(hot).alias("hots2"))
