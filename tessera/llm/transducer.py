@@ -42,7 +42,7 @@ class Transducer:
     """``path``: a tokenizers JSON file with a byte-level BPE model.  Symbols are bytes; 256 + byte closes a word where the
     model marks word ends."""
 
-    def __init__(self, path: str, max_states: int = 120_000):
+    def __init__(self, path: str, max_states: int = 60_000):
         from tokenizers.models import BPE
 
         with open(path, encoding="utf-8") as f:
@@ -76,7 +76,7 @@ class Transducer:
                         self.longer[t[:k]] = None
         self.spelled = {i: t for t, i in names.items()}
         self.open: dict[tuple[str, int], tuple] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.max_states = max_states
         self._clear()
 
@@ -92,12 +92,13 @@ class Transducer:
 
     def _adjacent(self, left: int, right: int) -> bool:
         """Whether the two tokens, side by side, are what their joint text encodes to (left -1: the word's start)."""
-        if (ok := self.pairs.get((left, right))) is None:
+        key = (left + 1) << 20 | right
+        if (ok := self.pairs.get(key)) is None:
             text = self.spelled[right] if left < 0 else self.spelled[left] + self.spelled[right]
             ok = [t.id for t in self.bpe.tokenize(text)] == ([right] if left < 0 else [left, right])
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
-            self.pairs[left, right] = ok
+            self.pairs[key] = ok
         return ok
 
     def _left(self, prefix: str, before) -> int | tuple:
@@ -107,7 +108,7 @@ class Transducer:
         if (tokens := self.longer[prefix]) is None:
             return before
         if (left := self.open.get((prefix, before))) is None:
-            if len(self.open) > 500_000:
+            if len(self.open) > 100_000:
                 self.open.clear()
             left = self.open[prefix, before] = tuple(c for c in tokens if self._adjacent(before, c))
         return left
@@ -128,9 +129,10 @@ class Transducer:
             to = self.number[key] = len(self.states)
             self.states.append(key)
             if to >= len(self.next):
-                self.next = np.vstack([self.next, np.full_like(self.next, -1)])
-                self.delta = np.vstack([self.delta, np.zeros_like(self.delta)])
-                self.last = np.concatenate([self.last, np.full_like(self.last, -1)])
+                more = max(1024, len(self.next) // 4)
+                self.next = np.pad(self.next, ((0, more), (0, 0)), constant_values=-1)
+                self.delta = np.pad(self.delta, ((0, more), (0, 0)))
+                self.last = np.pad(self.last, (0, more), constant_values=-1)
             self.last[to] = token
         self.next[state, column], self.delta[state, column] = to, step
 
@@ -139,10 +141,11 @@ class Transducer:
         for s in seen[self.column[seen] < 0]:
             self.column[s] = len(self.symbol_of)
             self.symbol_of.append(int(s))
-        while len(self.symbol_of) > self.width:
-            self.next = np.hstack([self.next, np.full_like(self.next, -1)])
-            self.delta = np.hstack([self.delta, np.zeros_like(self.delta)])
-            self.width *= 2
+        if (more := len(self.symbol_of) - self.width) > 0:
+            more = -(-more // 32) * 32
+            self.next = np.pad(self.next, ((0, 0), (0, more)), constant_values=-1)
+            self.delta = np.pad(self.delta, ((0, 0), (0, more)))
+            self.width += more
         return self.column[symbols]
 
     def _read(self, columns, starts, lengths, entry, last):
