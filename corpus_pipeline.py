@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, near_duplicates, packing, queries, secret_scan
-from tessera.plans.shared import Scratch
+from tessera.plans.shared import Scratch, but, having
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,18 +20,22 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class; its repeated rows become one.  Rows without an id stay."""
-    found = near_duplicates.near_duplicates(docs)
-    gone = Scratch(spark).write(found.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.dropDuplicates()
+    """The document of smallest id of each class; equal rows of one id become one.  Rows without an id stay."""
+    scratch = Scratch(spark)
+    found = scratch.write(near_duplicates.near_duplicates(docs))
+    gone = scratch.write(found.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = but(docs, gone, ["doc_id"]).select(*docs.columns)
+    twice = scratch.write(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return kept
+    return but(kept, twice, ["doc_id"]).unionByName(having(kept, twice, ["doc_id"]).dropDuplicates()).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
     found = decontamination.contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
     gone = Scratch(spark).write(found.select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return but(docs, gone, ["doc_id"]).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
