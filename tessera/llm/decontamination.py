@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import mixed, raw, row_groups, seeded, windows, word_hashes
+from .texts import cache, mixed, raw, row_groups, seeded, windows, word_hashes
 
 SAMPLED, MOST_REPEATS = 4, 24
 
@@ -191,19 +191,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, recall: float = 0.99, sl
     return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "first_word")).alias("best")).select("doc_id", "item_id", F.col("best.first_word").alias("first_word"), F.col("best.edits").alias("edits"))
 
 
-_made: dict = {}
-
-
 def _matcher(known, recall: float, doc_type, item_type):
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds, name = (to_arrow_type(doc_type), to_arrow_type(item_type)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _made:
-            _made.clear()
-            _made[name] = Items(*known.value, recall)
-        items = _made[name]
+        made = cache("items")
+        if name not in made:
+            made.clear()
+            made[name] = Items(*known.value, recall)
+        items = made[name]
         for batch in batches:
             data, offsets = raw(batch.column(1))
             names = batch.column(0).to_pylist()

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..plans.shared import Scratch, but, having
 from .repeats import _lists
-from .texts import mixed, powers, raw, row_groups, windows, word_hashes
+from .texts import cache, mixed, powers, raw, row_groups, windows, word_hashes
 
 #: Documents from which a shingle is hot, prefix extensions to choose from, cost of comparing one shingle of a set against
 #: that of reading one posting, sets in a block.
@@ -77,6 +77,7 @@ def _sets(size: int, part: str):
     """Map of (doc_id, text): the ``first`` quarter, the ``rest`` or ``all`` of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache("sets")
         for batch in batches:
             data, offsets = raw(batch.column(1))
             for a, b in row_groups(offsets):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import Scratch, only
-from .texts import mixed, raw, row_groups, seeded, windows, word_hashes
+from .texts import cache, mixed, raw, row_groups, seeded, windows, word_hashes
 
 _A = seeded(8, 3)
 
@@ -79,6 +79,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 def _surveyed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache("repeats")
         for batch in batches:
             data, offsets = raw(batch.column(1))
             for a, b in row_groups(offsets):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 
@@ -46,6 +50,26 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_P, 4096), _powers(_P_INV, 4096)
 
 
+_caches: dict[str, dict] = {}
+
+
+def cache(owner: str) -> dict:
+    """What one operator keeps in a Python worker between tasks.
+
+    Workers live on from stage to stage, so the first task of another operator drops what earlier ones kept, and freed
+    memory goes back to the system.
+    """
+    global _UP, _DOWN
+    if owner not in _caches:
+        _caches.clear()
+        _UP, _DOWN = _UP[:4096].copy(), _DOWN[:4096].copy()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every system has this call
+            ctypes.CDLL(None).malloc_trim(0)
+    return _caches.setdefault(owner, {})
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _UP, _DOWN
     if n > len(_UP):

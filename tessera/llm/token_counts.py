@@ -19,22 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import CodePoints, raw, row_groups
+from .texts import CodePoints, cache, raw, row_groups
 from .transducer import Transducer
 
-_made: dict[str, tuple] = {}
-
-
 def compiled(path: str):
     """(transducer, code point classes, pattern of the added special tokens), once for each Python worker."""
-    if path not in _made:
+    made = cache("tokens")
+    if path not in made:
         import json
 
         with open(path, encoding="utf-8") as f:
             added = [t["content"] for t in json.load(f)["added_tokens"]]
         pattern = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
-        _made[path] = (Transducer(path), CodePoints(), pattern)
-    return _made[path]
+        made[path] = (Transducer(path), CodePoints(), pattern)
+    return made[path]
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, pattern) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import Scratch
-from .texts import raw, row_groups, word_hashes
+from .texts import cache, raw, row_groups, word_hashes
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -80,6 +80,7 @@ def predict_chain(scores: np.ndarray, models: list[np.ndarray], terms: int) -> n
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, word, n): the distinct words of each text."""
+    cache("toxicity")
     for batch in batches:
         data, offsets = raw(batch.column(1))
         for a, b in row_groups(offsets):
@@ -112,6 +113,7 @@ class Chain:
         picked = docs.select(*keep, F.col(text).cast("string").alias("__text"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cache("toxicity")
             for batch in batches:
                 data, offsets = raw(batch.column(len(keep)))
                 parts = [np.zeros((0, len(models)))]
