@@ -1,12 +1,12 @@
 """License scans over a positional index of rare template words, in Spark SQL expressions alone.
 
 1. Words of the templates are the index: (word, template, position).  It is a literal of fixed size, as the templates are.
-2. The number of documents that hold each licence word is counted over the whole corpus; the fewer, the higher its IDF.
-3. A document looks up its ``rarest`` distinct licence words of highest IDF; every place of such a word minus its position in
-   a template is the place where that template would start.  Postings that agree on the start (relative position) are
-   intersected by counting them.
-4. A start is a hit where ``share`` of the template's looked-up words agree and the template's mandatory phrases stand in
-   the document, word for word.  The score is the largest share of a template's words found at their places.
+2. The number of documents that hold each licence word is counted over all rows of the corpus; the fewer, the higher its IDF.
+3. For each template whose mandatory phrase stands in the document, word for word, the document looks up the template's
+   ``rarest`` distinct words of highest IDF that it holds, or as many more as may be missing from a hit, plus one: a hit then
+   holds one of them at its place.  Every place of such a word minus its position in the template is where it may start.
+4. Postings of all words are intersected at these starts by counting those that agree on the start (relative position).  A
+   start is a hit where ``share`` of the template's words stand at their places; the score is the largest such share.
 
 Documents without a word of a mandatory phrase are never exploded: one regular expression sorts them out.
 
@@ -70,24 +70,25 @@ def scan(docs: DataFrame, rarest: int = 4, share: float = 0.75, doc_id: str = "d
     postings = spark.createDataFrame(index, "word string, template int, place int, size int")
     vocabulary = sorted({w for w, *_ in index})
 
-    # One pass over the texts; words are taken apart only where a phrase stands.
+    # One pass over the texts; places are kept only where a phrase stands.
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("held", F.col("text").rlike(_pattern([*BASE, *(m for _, _, m in TEMPLATES)])))
-    words = F.when(F.col("held"), F.filter(F.split(F.translate("text", UPPER, LOWER), GAP), lambda w: w != ""))
-    rows = rows.select("doc_id", "held", F.regexp_count("text", F.lit(rf"{WORD}+")).cast("bigint").alias("n_words"), words.alias("words"))
-    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(vocabulary))
+    rows = rows.select("doc_id", "held", F.filter(F.split(F.translate("text", UPPER, LOWER), GAP), lambda w: w != "").alias("words"))
+    at = F.when(F.col("held"), F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(vocabulary)))
+    own = F.array_intersect(F.array(*map(F.lit, vocabulary)), "words").alias("own")
     base = [F.when(F.col("held"), _places(F.col("words"), p)).alias(f"base{i}") for i, p in enumerate(BASE)]
     must = [F.when(F.col("held"), F.size(_places(F.col("words"), m)) > 0) for _, _, m in TEMPLATES]
-    read = scratch.write(rows.select(F.when(F.col("held"), F.monotonically_increasing_id()).alias("row"), "doc_id", "n_words", *base, F.array(*must).alias("must"), at.alias("spots")))
+    read = scratch.write(rows.select(F.when(F.col("held"), F.monotonically_increasing_id()).alias("row"), "doc_id", F.size("words").cast("bigint").alias("n_words"), *base, F.array(*must).alias("must"), own, at.alias("spots")))
 
     spots = read.where("row is not null").select("row", F.explode("spots").alias("x")).select("row", "x.word", "x.at")
-    df = spots.groupBy("word").agg(F.count_distinct("row").alias("df"))  # as many rows as the templates have words
-    rank = Window.partitionBy("row").orderBy("df", "word")
-    looked = spots.select("row", "word").distinct().join(F.broadcast(df), "word").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= rarest).select("row", "word")
+    df = read.select(F.explode("own").alias("word")).groupBy("word").agg(F.count("*").alias("df"))  # as many rows as the templates have words
+    asked = read.where("row is not null").select("row", "own", F.posexplode("must").alias("template", "stands")).where("stands").select("row", "template", F.explode("own").alias("word"))
+    rank = Window.partitionBy("row", "template").orderBy("df", "word")
+    ranked = asked.join(F.broadcast(postings.groupBy("word", "template").agg(F.first("size").alias("size"))), ["word", "template"]).join(F.broadcast(df), "word").withColumn("rank", F.row_number().over(rank))
+    # More words than a hit may lack, so that every hit holds one of them.
+    looked = ranked.where(F.col("rank") <= F.greatest(F.lit(rarest), F.floor(F.col("size") * (1 - share) + 1e-9) + 1)).select("row", "template", "word")
     found = spots.join(F.broadcast(postings), "word").withColumn("start", F.col("at") - F.col("place"))
-    asked = looked.join(F.broadcast(postings.select("word", "template").distinct()), "word").groupBy("row", "template").agg(F.count("*").alias("asked"))
-    rare = found.join(looked, ["row", "word"]).groupBy("row", "template", "start").agg(F.count_distinct("word").alias("agree"))
-    starts = rare.join(asked, ["row", "template"]).where(F.col("agree") >= share * F.col("asked")).select("row", "template", "start")
+    starts = found.join(looked, ["row", "template", "word"]).select("row", "template", "start").distinct()
     scored = found.join(starts, ["row", "template", "start"]).groupBy("row", "template", "start", "size").agg(F.count_distinct("place").alias("n"))
     hits = scored.groupBy("row").agg(F.collect_set(F.struct("template", (F.col("n") / F.col("size")).alias("s"))).alias("hits"))
 
@@ -95,7 +96,7 @@ def scan(docs: DataFrame, rarest: int = 4, share: float = 0.75, doc_id: str = "d
     nowhere = F.array().cast("array<int>")
     places = F.concat(*(F.coalesce(f"base{i}", nowhere) for i in range(len(BASE))))
     base_labels = F.array_compact(F.array(*(F.when(F.size(f"base{i}") > 0, F.lit(label)) for i, label in enumerate(BASE.values()))))
-    kept = F.filter(F.coalesce("hits", F.array().cast("array<struct<template:int,s:double>>")), lambda h: F.element_at("must", h["template"] + 1) & (h["s"] >= share))
+    kept = F.filter(F.coalesce("hits", F.array().cast("array<struct<template:int,s:double>>")), lambda h: h["s"] >= share)
     own = F.transform(kept, lambda h: F.element_at(named, h["template"] + 1))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     # Rows without a phrase have no key: they go past the join, which would send them all to one task.
