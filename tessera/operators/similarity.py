@@ -14,7 +14,8 @@ from .graph import components
 def deletion_variants(s: Column, most: int = 2) -> Column:
     """The string and its forms with up to floor((length + 2) / 10) residues deleted (at most ``most``).
 
-    Two strings at 90 % similarity share such a form: they are within distance floor(longer / 10).
+    Two strings at 90 % similarity, the longer of less than 10 (most + 1) residues, share such a form: they are within
+    distance floor(longer / 10).
     """
 
     def less_one(x: Column) -> Column:
@@ -27,12 +28,46 @@ def deletion_variants(s: Column, most: int = 2) -> Column:
     return F.array_distinct(out)
 
 
+#: Strings from this length on may be within 90 % of one of 30 residues or more, where three edits are allowed.
+LONG = 27
+
+
+def _segments(n: Column) -> Column:
+    """Segments that a string of ``n`` residues is cut into: one more than the edits to any string at 90 % similarity."""
+    return F.floor(n / 9).cast("int") + 1
+
+
+def _segment(n: Column, i: Column) -> Column:
+    """First place (from 0) of segment ``i``."""
+    return F.floor(i * n / _segments(n)).cast("int")
+
+
+def _long_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Candidates (a, b) of LONG residues or more: a segment of b stands in a, moved by no more than the edits allowed.
+
+    Edits leave one of b's segments whole (pigeonhole), and what precedes it changes its length by at most their number.
+    """
+    n, i, shift = F.col("n"), F.col("i"), F.col("shift")
+    size = _segment(n, i + 1) - _segment(n, i)
+    own = right.where(F.length("b") >= LONG).withColumn("n", F.length("b")).withColumn("i", F.explode(F.sequence(F.lit(0), _segments(n) - 1)))
+    own = own.select("b", "n", "i", F.col("b").substr(_segment(n, i) + 1, size).alias("piece"))
+    la = F.length("a")
+    partners = F.sequence(F.greatest(F.lit(LONG), (la - F.floor(la / 10)).cast("int")), F.floor(la * 10 / 9).cast("int"))
+    at = left.where(la >= LONG).withColumn("n", F.explode(partners)).withColumn("i", F.explode(F.sequence(F.lit(0), _segments(n) - 1)))
+    at = at.withColumn("shift", F.explode(F.sequence(1 - _segments(n), _segments(n) - 1))).withColumn("from", _segment(n, i) + shift)
+    at = at.where((F.col("from") >= 0) & (F.col("from") + size <= la)).select("a", "n", "i", F.col("a").substr(F.col("from") + 1, size).alias("piece")).distinct()
+    return at.join(own, ["n", "i", "piece"]).select("a", "b")
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, column: str = "cdr3_aa", least: float = 0.90) -> DataFrame:
     """(a, b, similarity) of distinct strings of two tables with 1 - lev / longer >= ``least`` (0.9 or more)."""
     if least < 0.9:
         raise ValueError("variants cover a similarity of 0.9 or more")
-    side = lambda df, n: df.select(F.col(column).alias(n)).where(f"{n} is not null").distinct().withColumn("key", F.explode(deletion_variants(F.col(n))))
-    met = side(left, "a").join(side(right, "b"), "key").select("a", "b").distinct()
+    side = lambda df, n: df.select(F.col(column).alias(n)).where(f"{n} is not null").distinct()
+    a, b = side(left, "a"), side(right, "b")
+    # Pairs whose longer string has less than 30 residues meet in a variant; longer ones meet in a segment.
+    short = lambda df, n: df.where(F.length(n) < 30).withColumn("key", F.explode(deletion_variants(F.col(n))))
+    met = short(a, "a").join(short(b, "b"), "key").select("a", "b").unionByName(_long_pairs(a, b)).distinct()
     longest = F.greatest(F.length("a"), F.length("b"))
     return met.withColumn("similarity", sequences.similarity(F.col("a"), F.col("b"))).where((F.col("similarity") >= least) | (longest == 0))
 

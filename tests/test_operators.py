@@ -92,6 +92,37 @@ def test_similar_pairs_equal_brute_force(spark):
     assert got == want
 
 
+def test_similar_pairs_of_long_strings(spark):
+    rng = random.Random(17)
+    amino = "ACDEFGHIKLMNPQRSTVWY"
+    left, right = set(), set()
+    for n in [*range(25, 64), 30, 30, 30, 39, 40, 90]:
+        s = "".join(rng.choice(amino) for _ in range(n))
+        left.add(s)
+        for most in (n // 10, n // 10, n // 9, n // 9 + 1):
+            spread = sorted(rng.sample(range(n), most), reverse=True)
+            for kinds in ("s", "i", "d", "sid"):
+                t = list(s)
+                for p in spread:
+                    kind = rng.choice(kinds)
+                    t[p : p + (kind != "i")] = [] if kind == "d" else rng.choice(amino)
+                right.add("".join(t))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    want = {(a, b) for a in left for b in right if abs(len(a) - len(b)) <= 10 and 10 * distance(a, b) <= max(len(a), len(b))}
+    assert len(want) > 200
+    frames = [spark.createDataFrame([(x,) for x in sorted(own)], "cdr3_aa string") for own in (left, right)]
+    assert {(r["a"], r["b"]) for r in similarity.similar_pairs(*frames).collect()} == want
+    assert {(r["b"], r["a"]) for r in similarity.similar_pairs(*frames[::-1]).collect()} == want
+
+
 def test_components_of_a_path_and_loops(spark):
     edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x", "x"), ("y", "z"), ("z", "y"), (None, "q")]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "src string, dst string")).collect()}
