@@ -8,9 +8,11 @@ outputs differ in few places.  Symbols are words (lower case, without ASCII punc
    places these imply and up to k words to either side.  An edit destroys three trigrams at most, so a match of an item of n
    words with at most k = n // 5 edits keeps n - 2 - 3 k >= 1 of them, on diagonals that differ by at most k: no match lies
    elsewhere.
-2. Each window is embedded ``repeats`` times with different walks; ``SAMPLED`` outputs of each form a bucket key.  A
-   window meets the items of its size with an equal key in any repetition.  ``repeats`` is calibrated: items with k random
-   edits are embedded, and repetitions are added until the share found, under the collision rate measured, is ``recall``.
+2. Each window is embedded several times with different walks; some outputs of each form a bucket key.  A window meets the
+   items of step 1 with an equal key in any repetition.  Both numbers are calibrated for each size of items: strings with k
+   random edits are embedded by the walks used, and repetitions are added until the share found is ``recall``.  The longer
+   the items, the rarer equal outputs are, so fewer are sampled where ``SOME_REPEATS`` repetitions are not enough; with one
+   output there is no bound on the repetitions.
 3. Every meeting is verified: edit distance (words) between the item and the best substring around the window, at most k.
 
 Items are handed to the executors in slices of at most ``slice_words`` words, so what is sent is bounded; a larger benchmark
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .texts import cache, mixed, raw, row_groups, seeded, windows, word_hashes
 
-SAMPLED, MOST_REPEATS = 4, 24
+SAMPLED, SOME_REPEATS, TRIALS = 4, 24, 400
 
 
 def allowed(n):
@@ -41,14 +43,14 @@ def allowed(n):
     return np.where(n >= 6, n // 5, 0)
 
 
-def embed(words: np.ndarray, starts: np.ndarray, n: int, repeats: int) -> np.ndarray:
-    """Bucket keys (window, repetition) of the windows of ``n`` words at ``starts``."""
-    steps = 3 * n
-    walk = seeded(steps * repeats, 11 + n).reshape(steps, repeats)
+def embed(words: np.ndarray, starts: np.ndarray, n: int, sampled: int, repeats: int) -> np.ndarray:
+    """Bucket keys (window, repetition) of the windows of ``n`` words at ``starts``; a repetition is the same in any number."""
+    steps = 2 * n  # about as many as a walk takes
+    walk = seeded(steps * repeats, 11 + n).reshape(repeats, steps).T
     rng = np.random.default_rng(n)
     picked = np.zeros((steps, repeats), bool)
     for r in range(repeats):
-        picked[rng.choice(steps // 2 + n, SAMPLED, replace=False) % steps, r] = True
+        picked[rng.choice(steps, SAMPLED, replace=False)[:sampled], r] = True
     padded = np.append(words, np.uint64(0))
     at = np.zeros((len(starts), repeats), np.int64)
     key = np.zeros((len(starts), repeats), np.uint64)
@@ -61,6 +63,33 @@ def embed(words: np.ndarray, starts: np.ndarray, n: int, repeats: int) -> np.nda
     return key
 
 
+def calibrated(n: int, recall: float) -> tuple[int, int]:
+    """(outputs sampled, repetitions) that find ``recall`` of the items of ``n`` words with as many random edits as allowed.
+
+    Half of the share that may be lost is kept for the error of the measurement.
+    """
+    if not (k := int(allowed(np.int64(n)))):
+        return SAMPLED, 1  # equal strings have equal keys
+    rng = np.random.default_rng(5)
+    both = []
+    for _ in range(TRIALS):
+        item = rng.integers(1 << 62, size=n).tolist()
+        changed = list(item)
+        for _ in range(k):
+            p = int(rng.integers(len(changed)))
+            kind = rng.integers(3)
+            changed[p : p + int(kind != 1)] = [int(rng.integers(1 << 62))] * int(kind != 2)
+        both += [*item, *[*changed, *rng.integers(1 << 62, size=n).tolist()][:n]]
+    both, starts = np.array(both, np.uint64), np.arange(2 * TRIALS) * n
+    sampled, repeats = SAMPLED, SOME_REPEATS
+    while True:
+        keys = embed(both, starts, n, sampled, repeats)
+        share = np.maximum.accumulate(keys[::2] == keys[1::2], axis=1).mean(axis=0)
+        if len(enough := np.flatnonzero(share >= 1 - (1 - recall) / 2)):
+            return sampled, int(enough[0]) + 1
+        sampled, repeats = (sampled - 1, repeats) if sampled > 1 else (1, 2 * repeats)
+
+
 def edits(item: list, words: list) -> int:
     """Least edit distance between ``item`` and any substring of ``words``."""
     row = [0] * (len(words) + 1)
@@ -71,12 +100,20 @@ def edits(item: list, words: list) -> int:
     return min(row)
 
 
+def item_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all texts as hashes, and their number in each."""
+    data, offsets = raw(pa.array(texts, pa.large_string()))
+    return word_hashes(data, offsets, True, True)
+
+
 class Items:
-    """One slice of a benchmark as arrays: trigrams, and a table of bucket keys for each size."""
+    """One slice of a benchmark as arrays: trigrams, and the bucket keys of each item.
+
+    ``effort``: size -> (outputs sampled, repetitions).
+    """
 
-    def __init__(self, ids: list, texts: list, recall: float):
-        data, offsets = raw(pa.array(texts, pa.large_string()))
-        self.words, counts = word_hashes(data, offsets, True, True)
+    def __init__(self, ids: list, texts: list, effort: dict[int, tuple[int, int]]):
+        self.words, counts = item_words(texts)
         self.ids, self.n = ids, counts
         self.begin = np.cumsum(counts) - counts
         grams, n = windows(self.words, counts, 3)
@@ -86,33 +123,13 @@ class Items:
         self.grams, self.gram_item, self.gram_place = grams[order], owner[order], place[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(grams >> np.uint64(44)).astype(np.int64)] = True
-        self.repeats = self._calibrated(recall)
-        self.buckets: dict[int, dict[int, list[int]]] = {}
+        self.effort = effort
+        self.keys: dict[int, np.ndarray] = {}
+        self.row = np.zeros(len(counts), np.int64)
         for size in np.unique(counts[counts >= 3]).tolist():
             own = np.flatnonzero(counts == size)
-            keys = embed(self.words, self.begin[own], size, self.repeats)
-            table = self.buckets[size] = {}
-            for i, row in zip(own.tolist(), keys, strict=True):
-                for r, k in enumerate(row.tolist()):
-                    table.setdefault((r, k), []).append(i)
-
-    def _calibrated(self, recall: float) -> int:
-        rng = np.random.default_rng(5)
-        found, tried = 0, 0
-        for i in np.flatnonzero(self.n >= 6)[:200].tolist():
-            n = int(self.n[i])
-            item = self.words[self.begin[i] : self.begin[i] + n].tolist()
-            changed = list(item)
-            for _ in range(int(allowed(np.int64(n)))):
-                p = int(rng.integers(len(changed)))
-                kind = rng.integers(3)
-                changed[p : p + int(kind != 1)] = [int(rng.integers(1 << 62))] * int(kind != 2)
-            changed = [*changed, *rng.integers(1 << 62, size=n).tolist()][:n]
-            both = np.array([*item, *changed], np.uint64)
-            keys = embed(both, np.array([0, n]), n, 16)
-            found, tried = found + int((keys[0] == keys[1]).sum()), tried + 16
-        rate = found / tried if tried else 1.0
-        return int(min(MOST_REPEATS, max(4, np.ceil(np.log(1 - recall) / np.log(1 - min(max(rate, 0.05), 0.99))))))
+            self.keys[size] = embed(self.words, self.begin[own], size, *effort[size])
+            self.row[own] = np.arange(len(own))
 
     def matches(self, words: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, first word, edits) of every item found in the texts, once for each text and item."""
@@ -143,22 +160,21 @@ class Items:
         spread = 2 * k + 1
         rows = np.repeat(np.arange(len(item)), spread)
         start = place[rows] - k[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(spread) - spread, spread)
-        text, size = text[rows], size[rows]
+        text, item, size = text[rows], item[rows], size[rows]
         start = np.clip(start, 0, np.maximum(counts[text] - size, 0))
-        todo = np.unique(np.stack([size, text, start]), axis=1)
+        todo = np.unique(np.stack([size, text, start, item]), axis=1)
         todo = todo[:, todo[0] <= counts[todo[1]] + allowed(todo[0])]
         met: dict[tuple[int, int], set[int]] = {}
         padded = np.append(words, np.zeros(int(self.n.max()), np.uint64))
         for s in np.unique(todo[0]).tolist():
-            table = self.buckets[s]
             some = todo[1:, todo[0] == s]
             for a in range(0, some.shape[1], 20_000):
-                texts, starts = some[:, a : a + 20_000]
-                keys = embed(padded, begin[texts] + starts, s, self.repeats)
-                for r in range(self.repeats):
-                    for w, key in enumerate(keys[:, r].tolist()):
-                        for i in table.get((r, key), ()):
-                            met.setdefault((int(texts[w]), i), set()).add(int(starts[w]))
+                texts, starts, items = some[:, a : a + 20_000]
+                places, which = np.unique(begin[texts] + starts, return_inverse=True)
+                keys = embed(padded, places, s, *self.effort[s])
+                equal = (keys[which] == self.keys[s][self.row[items]]).any(axis=1)
+                for t, w, i in zip(texts[equal].tolist(), starts[equal].tolist(), items[equal].tolist(), strict=True):
+                    met.setdefault((t, i), set()).add(w)
         out = []
         for (t, i), starts in sorted(met.items()):
             n_i, k_i = int(self.n[i]), int(allowed(self.n[i]))
@@ -182,16 +198,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, recall: float = 0.99, sl
     found = spark.createDataFrame([], f"{kinds}, first_word bigint, edits int")
     words = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = 1 + int(words) // (4 * slice_words)
+    effort: dict[int, tuple[int, int]] = {}
     for part in range(slices):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == part).distinct().collect()  # at most a slice
         if not rows:
             continue
-        known = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        found = found.unionByName(docs.mapInArrow(_matcher(known, recall, docs.schema[0].dataType, items.schema[0].dataType), f"{kinds}, first_word bigint, edits int"))
+        counts = item_words([r[1] for r in rows])[1]
+        sizes = [n for n in np.unique(counts[counts >= 3]).tolist() if n not in effort]
+        if sizes:  # long items take longest: each is a task of its own
+            effort |= dict(spark.sparkContext.parallelize(sizes[::-1], len(sizes)).map(lambda n: (n, calibrated(n, recall))).collect())
+        known = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows], {n: effort[n] for n in np.unique(counts[counts >= 3]).tolist()}))
+        found = found.unionByName(docs.mapInArrow(_matcher(known, docs.schema[0].dataType, items.schema[0].dataType), f"{kinds}, first_word bigint, edits int"))
     return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "first_word")).alias("best")).select("doc_id", "item_id", F.col("best.first_word").alias("first_word"), F.col("best.edits").alias("edits"))
 
 
-def _matcher(known, recall: float, doc_type, item_type):
+def _matcher(known, doc_type, item_type):
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds, name = (to_arrow_type(doc_type), to_arrow_type(item_type)), uuid.uuid4().hex
@@ -200,7 +221,7 @@ def _matcher(known, recall: float, doc_type, item_type):
         made = cache("items")
         if name not in made:
             made.clear()
-            made[name] = Items(*known.value, recall)
+            made[name] = Items(*known.value)
         items = made[name]
         for batch in batches:
             data, offsets = raw(batch.column(1))

@@ -217,6 +217,28 @@ def test_decontamination(spark):
     assert len(sliced ^ set(pairs)) <= 2
 
 
+def test_decontamination_at_the_bound(spark):
+    """Items of all lengths with as many edits of any kind as are allowed."""
+    rng = random.Random(14)
+    sizes = [15, 30, 58, 120, 200, 400]
+    items = [(i, sentences(rng, n, 10**6)) for i, n in enumerate(sizes)]
+    rows, want = [], defaultdict(set)
+    for d in range(60 * len(sizes)):
+        i, t = items[d % len(sizes)]
+        w = t.split()
+        for _ in range(int(decontamination.allowed(np.int64(len(w))))):
+            p, kind = rng.randrange(len(w)), rng.randrange(3)
+            w[p : p + (kind != 1)] = [f"z{rng.randrange(10**6)}"] * (kind != 2)
+        rows.append((d, sentences(rng, 20) + " " + " ".join(w) + " " + sentences(rng, 20)))
+        want[i].add(d)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = defaultdict(set)
+    for r in decontamination.contaminated(frame(spark, rows), bench).collect():
+        got[r["item_id"]].add(r["doc_id"])
+    shares = {n: len(got[i] & want[i]) / len(want[i]) for i, n in enumerate(sizes)}
+    assert all(got[i] <= want[i] for i in want) and min(shares.values()) >= 0.95 and sum(shares.values()) / len(sizes) >= 0.985, shares
+
+
 LICENSED = [
     None, "", "All rights reserved.", "all  RIGHTS, reserved all rights reserved", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Released under the MIT License.",
     "Licensed under the Apache License, Version 2.0.", "acc by cc byé", "cc\nby", "ccé by", "general public licenses", "The MIT building", "x " * 2000 + "general public license", "é CC by",
