@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import Scratch
+from ..scratch import Scratch
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import genes, sequences
 from ..operators import association, cleaning, cohorts, features, learners, metrics, sampling, similarity
+from ..scratch import Scratch, folder
 from ..streaming.ingest import ingest
 from .fixtures import metadata, raw, repertoire, table
 from .queries import LABELS, STEPS, big, labels, predictions, query, r6, shares
-from .shared import Scratch, folder
 
 
 def _long_and_rows(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
