@@ -1,9 +1,9 @@
 """Token counts by a compiled finite-state tokenizer.
 
 Texts stay where Spark reads them: one map over Arrow batches, no shuffle.  A batch becomes one stream of bytes; the
-pre-tokenizer marks where the transducer starts anew; words are chunks whose state maps (entry state -> exit state,
-tokens) start at the start state, long words are several chunks, and the maps compose by a prefix scan (transducer.py).
-Sums of the chunks' counts between document bounds are the documents' counts.
+pre-tokenizer marks where the transducer starts anew, so the map of a word (entry state -> exit state, tokens) is the same
+for every entry and composing words adds their tokens; long words are several chunks whose state maps are composed by a
+parallel prefix scan (transducer.py).  Sums of the counts between document bounds are the documents' counts.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows, null ids and further columns are kept as
 they are; an added special token written out in a text counts as that one token, as in the library's default.
@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import CodePoints, cache, raw, row_groups
+from .texts import CodePoints, cache, raw, row_groups, small_batches
 from .transducer import Transducer
 
+
 def compiled(path: str):
     """(transducer, code point classes, pattern of the added special tokens), once for each Python worker."""
     made = cache("tokens")
@@ -108,6 +109,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 51
     clash = {"n_bytes", "n_tokens", "over_limit"} & set(keep)
     if clash:
         raise ValueError(f"columns of that name exist: {sorted(clash)}; name those to keep")
+    small_batches(docs.sparkSession)
     picked = docs.select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,9 +14,12 @@ the annotation of the transition (it is negative where a longer token swallows s
 transitions are made when a text first needs them and are kept in flat arrays, so that a batch of words is read by one
 gather per symbol position.  The table is emptied when it passes ``max_states``: memory is bounded whatever the texts hold.
 
-Words longer than ``CHUNK`` symbols are cut into chunks that are read side by side.  The entry state of an inner chunk is
-guessed from the symbols before it; chunk maps (entry state -> exit state, count) are then composed left to right, and a
-chunk whose true entry state differs from the guess is read again from the true one.  The composed result is exact.
+Words longer than ``CHUNK`` symbols are cut into chunks that are read side by side.  A chunk gets a state map: for some entry
+states, its exit state and the tokens that it adds.  The maps of a word's chunks are composed by a parallel prefix scan
+(map composition is associative: log2 of the number of chunks doubling steps, all chunks at once).  The first chunk is
+entered in the start state alone; which states an inner chunk may be entered in is learned from the symbols before it, read
+from two places, and where the scan arrives in a state that a map lacks, the map is extended by it and the scan repeated.
+The composed result is exact whatever the guesses were.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import json
 
 import numpy as np
 
-#: Symbols of a chunk, and symbols read before it to guess its entry state.
+#: Symbols of a chunk, and symbols read before it to learn its entry states.
 CHUNK, WARM = 256, 64
 #: A prefix of more tokens than this keeps the token before it in the state, not the list of tokens that may complete it.
 LISTED = 24
@@ -184,14 +187,35 @@ class Transducer:
         part = np.arange(len(word)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)
         c_start = starts[word] + part * CHUNK
         c_length = np.minimum(ends[word] - c_start, CHUNK)
+        entry, exits, count = self._state_maps(columns, c_start, c_length, part)
+        while True:
+            came, total = _scanned(entry, exits, count, part)
+            lost = np.flatnonzero((came < 0) & (np.append(0, came[:-1]) >= 0))
+            if not len(lost):
+                break
+            states = exits[lost - 1, came[lost - 1]]
+            if (entry[lost] >= 0).all(axis=1).any():
+                entry, exits, count = (np.pad(x, ((0, 0), (0, 1)), constant_values=v) for x, v in ((entry, -1), (exits, -1), (count, 0)))
+            free = (entry[lost] < 0).argmax(axis=1)
+            entry[lost, free] = states
+            exits[lost, free], count[lost, free] = self._read(columns, c_start[lost], c_length[lost], states, None)
+        if want_last:
+            self._read(columns, c_start, c_length, entry[np.arange(len(came)), came], last)
+        return total[np.cumsum(n_chunks) - 1], last
+
+    def _state_maps(self, columns, starts, lengths, part):
+        """(entry states, exit states, tokens) of each chunk, one column for each known entry (-1: none)."""
         inner = np.flatnonzero(part > 0)
-        entry = np.zeros(len(word), np.int64)
-        entry[inner], _ = self._read(columns, c_start[inner] - WARM, np.full(len(inner), WARM), np.zeros(len(inner), np.int64), None)
-        exits, count = self._read(columns, c_start, c_length, entry, last)
-        while len(wrong := inner[exits[inner - 1] != entry[inner]]):
-            entry[wrong] = exits[wrong - 1]
-            exits[wrong], count[wrong] = self._read(columns, c_start[wrong], c_length[wrong], entry[wrong], last)
-        return np.bincount(word, count, len(starts)).astype(np.int64), last
+        entry = np.full((len(starts), 2), -1, np.int64)
+        entry[part == 0, 0] = 0
+        for d, warm in enumerate((WARM, WARM // 2)):
+            entry[inner, d], _ = self._read(columns, starts[inner] - warm, np.full(len(inner), warm), np.zeros(len(inner), np.int64), None)
+        entry[entry[:, 0] == entry[:, 1], 1] = -1
+        exits, count = np.full_like(entry, -1), np.zeros_like(entry)
+        for d in range(2):
+            known = np.flatnonzero(entry[:, d] >= 0)
+            exits[known, d], count[known, d] = self._read(columns, starts[known], lengths[known], entry[known, d], None)
+        return entry, exits, count
 
     def ids(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The token ids of all words in order, and how many each word has."""
@@ -205,3 +229,23 @@ class Transducer:
             at[live] -= self.length[token]
             live = live[at[live] > starts[live]]
         return out, count
+
+
+def _scanned(entry: np.ndarray, exits: np.ndarray, count: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which entry each chunk is entered by, -1 where its map lacks it; tokens of its word up to its end).
+
+    ``part``: a chunk's place in its word.  Maps are held as indices of the next chunk's entries and composed by doubling.
+    """
+    to = np.full_like(entry, -1)
+    for d in range(entry.shape[1]):
+        same = (exits[:-1, d, None] == entry[1:]) & (exits[:-1, d, None] >= 0)
+        to[:-1, d] = np.where(same.any(axis=1), same.argmax(axis=1), -1)
+    count, step = count.copy(), 1
+    while step <= part.max(initial=0):
+        later = np.flatnonzero(part >= step)
+        before, tokens = to[later - step], count[later - step]
+        own = np.take_along_axis(to[later], np.maximum(before, 0), 1), np.take_along_axis(count[later], np.maximum(before, 0), 1)
+        to[later], count[later] = np.where(before >= 0, own[0], -1), tokens + own[1]
+        step *= 2
+    came = np.where(part == 0, 0, np.append(0, to[:-1, 0]))
+    return came, count[:, 0]
