@@ -2,15 +2,17 @@
 
 Within each Spark partition the token ids of its documents, in row order, form one stream.  Windows of the stream become
 sequences: a cut is free at a document's end, costs ``sentence_cost`` at a sentence's end and ``forced_cost`` elsewhere
-(offered only inside sentences longer than ``spare``), and a window of w ids is padded by capacity - w unless w is a power of two.  With S(j) the stream
-position of cut j,
+(offered only inside sentences longer than ``spare``, every ``spare`` ids).  A window of w ids is padded by pad(w) = 0 where w
+is a power of two, else capacity - w.  With S(j) the stream position of cut j,
 
-    cost(j) = penalty(j) + min over i with 0 < S(j) - S(i) <= capacity of cost(i) + capacity - (S(j) - S(i))
+    cost(j) = penalty(j) + min over i with 0 < S(j) - S(i) <= capacity of cost(i) + pad(S(j) - S(i))
 
-so the best i minimises cost(i) - (capacity's constant) + S(i) over a sliding window: a monotone queue gives it in
-amortised constant time (``sequences`` below).  The stream is solved in blocks; the open window at the end of a block goes
-on into the next one, so memory is bounded however long a document or a partition is.  What remains at a partition's end
-is cut at powers of two, which need no padding.
+For the padded windows the best i minimises cost(i) + S(i) over a sliding window: a monotone queue gives it in amortised
+constant time.  The windows of a power of two add one transition for each power, where a cut is offered there.  The chosen
+cuts of a block are optimal for it (``sequences`` below).  The stream is solved in blocks of BLOCK ids; the open window at
+the end of a block goes on into the next one, so memory is bounded however long a document or a partition is.  What is
+greedy: a block is solved without sight of the next one, and the ids left at a partition's end, fewer than two sequences,
+are padded or cut at powers of two, whichever is cheaper.
 
 Nothing is shuffled: documents stay in their partition and sequence ids are (partition number * 2^40 + running number).
 
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import CodePoints, raw, row_groups
+from .texts import CodePoints, raw, row_groups, small_batches
 from .token_counts import compiled, segments, some_at_a_time
 
 #: Ids of a block that is solved at once.
@@ -107,8 +109,18 @@ def sequences(positions: np.ndarray, penalty: np.ndarray, capacity: int, total:
     The final window stays open: the cheapest cut from which ``total`` is within ``capacity`` is the last one.
     """
     n = len(positions)
-    S = [0, *positions.tolist()]
-    pen = [0.0, *penalty.tolist()]
+    at = np.concatenate([[0], positions])
+    # (cut, earlier cut a power of two before it), by cut.
+    pairs = []
+    for b in range(capacity.bit_length()):
+        if 1 << b <= capacity:
+            place = np.minimum(np.searchsorted(at, at - (1 << b)), n)
+            own = np.flatnonzero(at[place] == at - (1 << b))
+            pairs.append(np.stack([own, place[own]]))
+    to, earlier = np.concatenate(pairs, axis=1)
+    order = np.argsort(to, kind="stable")
+    earlier, bounds = earlier[order].tolist(), np.searchsorted(to[order], np.arange(n + 2)).tolist()
+    S, pen = at.tolist(), [0.0, *penalty.tolist()]
     cost, came = [0.0] * (n + 1), [0] * (n + 1)
     key = [0.0] * (n + 1)
     queue, head = [0], 0
@@ -116,8 +128,11 @@ def sequences(positions: np.ndarray, penalty: np.ndarray, capacity: int, total:
         s = S[j]
         while S[queue[head]] < s - capacity:
             head += 1
-        i = queue[head]
-        best, where = key[i] + capacity - s, i
+        where = queue[head]
+        best = key[where] + capacity - s
+        for i in earlier[bounds[j] : bounds[j + 1]]:
+            if cost[i] < best:
+                best, where = cost[i], i
         cost[j], came[j] = best + pen[j], where
         k = key[j] = cost[j] + s
         while len(queue) > head and key[queue[-1]] >= k:
@@ -182,6 +197,8 @@ class Packer:
             self._solve(len(self.ids))
         rest = len(self.ids)
         bits = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+        if rest and (len(bits) - 1) * self.forced_cost >= self.capacity - rest:
+            bits = [rest]
         if bits:
             self._emit(np.array(bits))
 
@@ -225,5 +242,6 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         packer.finish()
         yield from ready()
 
+    small_batches(docs.sparkSession)
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(run, schema)
