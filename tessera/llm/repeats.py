@@ -1,20 +1,26 @@
 """Removal of long passages that repeat across documents, found by recompression.
 
-Words are symbols.  A round names pairs of neighbouring symbols (and, for words, runs of two): a pair is merged where its
-left symbol falls in the one and its right symbol in the other half of all symbols, so the decision rests on the two
-symbols alone and equal substrings get equal interior symbols wherever they stand.  A name is a 64-bit fingerprint of the
-names merged, which every executor computes alike: rounds need no dictionary and no shuffle.
-
-How far a passage's borders can disturb its symbols: the run step 2 words, the first pair step one symbol of at most 2
-words, the second one of at most 4; so the symbols over words 8..41 of 50 equal words are equal.  Of these a window takes
-the longest, ties by name, as its anchor.  Equal windows have equal anchors, and few different windows do:
-
-1. map: anchors and a fingerprint of each document; documents with the same words become one representative.
-2. shuffle (anchor, document): anchors that stand in two documents or more.
-3. map over the documents that hold one: fingerprints of the 50-word windows with such an anchor.
-4. shuffle (window, document): each window's smallest document; windows of larger documents are removed.
+Words are the symbols of level 0.  A round names what it merges into the symbols of the next level, first runs (a word
+repeated any number of times), then ROUNDS times pairs: two neighbours are merged where the left one falls in the one and the
+right one in the other half of all symbols of that level.  Decisions rest on neighbouring symbols alone, and a name is a
+64-bit fingerprint of the names merged, so all executors deal out the same names for the whole corpus without a dictionary
+to shuffle, and equal substrings get equal interior symbols wherever they stand.
+
+Which symbols are interior is tracked: with each symbol goes its context, the words that its making looked at.  A symbol
+whose context lies within a window of 50 words is *safe*: every equal window has it at the same place, however long the runs
+and symbols around are.  From safe symbols come
+
+* a window's anchor: the longest safe symbol (ties by name) of the highest level that has one; equal windows share it;
+* a window's parse: its safe symbols of the highest level, then to both sides what safe symbols of each lower level add,
+  down to words.  Equal windows have equal parses, and a parse spells its window.
 
-Fingerprints have 64 bits: among w windows two unequal ones share one with a probability of about w^2 / 2^65.
+The job:
+
+1. map: anchors of each document; documents with the same words become one representative.
+2. shuffle (anchor, document): the symbols that stand in two documents or more reveal where passages may repeat.
+3. map over the documents that hold one: the windows with such an anchor, keyed by their parse and by their words (64 bits
+   each, so that unequal windows do not meet at any corpus size).
+4. shuffle (window, document): each window's smallest document; windows of larger documents are removed.
 
 Defined results: null or empty texts and texts under 50 words lose nothing; a null id takes no part and loses nothing;
 rows that repeat an id are separate rows, neither removes the other's words; only ids and texts are read.
@@ -30,45 +36,121 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import Scratch, only
-from .texts import cache, mixed, raw, row_groups, seeded, windows, word_hashes
+from ..scratch import Scratch, only
+from .texts import cache, mixed, powers, raw, row_groups, seeded, small_batches, windows, word_hashes
 
+#: Rounds of pairs; after six a symbol has between five and six words on average.
+ROUNDS = 6
 _A = seeded(8, 3)
 
 
-def _merge(names, lengths, text, pick, k):
-    """Symbols with those at ``pick`` merged with their right neighbours."""
+class Level:
+    """Symbols in order: their names, the words [start, end) they spell and the words [left, right) of their context.
+
+    Words are numbered through all texts; a symbol whose making looked past its text's ends has a context beyond them.
+    """
+
+    def __init__(self, names, start, end, left, right, text):
+        self.names, self.start, self.end, self.left, self.right, self.text = names, start, end, left, right, text
+        up, self.down = powers(len(names) + 1)
+        self.sums = np.zeros(len(names) + 1, np.uint64)
+        np.cumsum(names * up[: len(names)], out=self.sums[1:])
+
+    def safe(self, window: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """First safe symbol of each window and the one after its last; contexts are in order."""
+        low = np.searchsorted(self.left, window, "left")
+        return low, np.maximum(np.searchsorted(self.right, window + size, "right"), low)
+
+    def print(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """A fingerprint of the symbols [low, high)."""
+        return (self.sums[high] - self.sums[low]) * self.down[low]
+
+
+def _runs(words: np.ndarray, text: np.ndarray) -> Level:
+    """Level 1: maximal runs of one word."""
+    n = len(words)
+    new = np.ones(n, bool)
+    new[1:] = (words[1:] != words[:-1]) | (text[1:] != text[:-1])
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], n)
+    size = (end - start).astype(np.uint64)
+    names = np.where(size > 1, mixed(words[start] * _A[0] + size * _A[1]), words[start])
+    return Level(names, start, end, start - 1, end + 1, text[start])
+
+
+def _pairs(level: Level, k: int) -> Level:
+    """The next level: pairs of a left and a right symbol merged."""
+    names, text = level.names, level.text
+    right_half = mixed(names ^ _A[6] + np.uint64(k)) >> np.uint64(63) == 1
+    next_to = text[:-1] == text[1:]
+    pick = np.flatnonzero(~right_half[:-1] & right_half[1:] & next_to)
+    made, end, left, right = names.copy(), level.end.copy(), level.left.copy(), level.right.copy()
+    # A left symbol that stays alone looked at its right neighbour, a right one at its left neighbour.
+    alone = np.flatnonzero(~right_half[:-1])
+    right[alone] = np.where(next_to[alone], level.right[alone + 1], level.end[alone] + 1)
+    right[-1:] = level.end[-1:] + 1
+    alone = np.flatnonzero(right_half[1:]) + 1
+    left[alone] = np.where(next_to[alone - 1], level.left[alone - 1], level.start[alone] - 1)
+    left[:1] = level.start[:1] - 1
+    made[pick] = mixed(names[pick] * _A[2] + names[pick + 1] * _A[3] + np.uint64(k))
+    end[pick], right[pick], left[pick] = level.end[pick + 1], level.right[pick + 1], level.left[pick]
     keep = np.ones(len(names), bool)
     keep[pick + 1] = False
-    names, lengths = names.copy(), lengths.copy()
-    names[pick] = mixed(names[pick] * _A[2 * k] + names[pick + 1] * _A[2 * k + 1])
-    lengths[pick] += lengths[pick + 1]
-    return names[keep], lengths[keep], text[keep]
-
-
-def anchors(hashes: np.ndarray, counts: np.ndarray, size: int = 50) -> np.ndarray:
-    """The anchor of every window of ``size`` words (texts in order, ``max(count - size + 1, 0)`` windows each)."""
-    names, lengths, text = hashes, np.ones(len(hashes), np.int64), np.repeat(np.arange(len(counts)), counts)
-    if len(names) > 1:
-        same = (names[1:] == names[:-1]) & (text[1:] == text[:-1])
-        alone = same & ~np.append(False, same[:-1]) & ~np.append(same[1:], False)
-        names, lengths, text = _merge(names, lengths, text, np.flatnonzero(alone), 0)
-    for k in (1, 2):
-        side = mixed(names ^ _A[6] + np.uint64(k)) >> np.uint64(63)
-        pick = np.flatnonzero((side[:-1] == 0) & (side[1:] == 1) & (text[:-1] == text[1:]))
-        names, lengths, text = _merge(names, lengths, text, pick, k)
-    ranked = (np.uint64(8) - lengths.astype(np.uint64)) << np.uint64(61) | names >> np.uint64(3)
-    over = np.repeat(ranked, lengths)
-    span = size - 16
-    reach = 1
-    while 2 * reach <= span:
-        over = np.minimum(over[:-reach], over[reach:]) if len(over) > reach else over[:0]
-        reach *= 2
-    if span > reach:
-        over = np.minimum(over[: len(over) - (span - reach)], over[span - reach :]) if len(over) > span - reach else over[:0]
+    return Level(made[keep], level.start[keep], end[keep], left[keep], right[keep], text[keep])
+
+
+def recompressed(hashes: np.ndarray, counts: np.ndarray) -> list[Level]:
+    """All levels, from words up."""
+    text = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(hashes))
+    out = [Level(hashes, at, at + 1, at, at + 1, text), _runs(hashes, text)]
+    for k in range(ROUNDS):
+        out.append(_pairs(out[-1], k))
+    return out
+
+
+def window_starts(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of every window of ``size`` words, text by text; windows of each text)."""
     n = np.maximum(counts - size + 1, 0)
-    at = np.repeat(np.cumsum(counts) - counts - (np.cumsum(n) - n), n) + np.arange(n.sum()) + 8
-    return over[at].view(np.int64)
+    return np.repeat(np.cumsum(counts) - counts - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
+
+
+def anchors(levels: list[Level], window: np.ndarray, size: int = 50) -> np.ndarray:
+    """The anchor of each window."""
+    out, todo = np.zeros(len(window), np.uint64), np.arange(len(window))
+    for level in reversed(levels):
+        if not len(todo):
+            break
+        low, high = level.safe(window[todo], size)
+        hit = high > low
+        where, low, high = todo[hit], low[hit], high[hit]
+        length = np.minimum(level.end - level.start, 63).astype(np.uint64)
+        table = [(np.uint64(63) - length) << np.uint64(58) | level.names >> np.uint64(6)]  # the longest is the least
+        reach = np.maximum(np.frexp((high - low).astype(float))[1] - 1, 0)
+        for r in range(int(reach.max(initial=0))):
+            table.append(np.minimum(table[-1][: -(1 << r)], table[-1][1 << r :]))
+        for r in np.unique(reach):
+            own = np.flatnonzero(reach == r)
+            out[where[own]] = np.minimum(table[r][low[own]], table[r][high[own] - (1 << int(r))])
+        todo = todo[~hit]
+    return out.view(np.int64)
+
+
+def parses(levels: list[Level], window: np.ndarray, size: int = 50) -> np.ndarray:
+    """A fingerprint of each window's parse."""
+    first, last = window + size, window.copy()  # words spelled so far: none
+    total = np.zeros(len(window), np.uint64)
+    for k, level in reversed(list(enumerate(levels))):
+        low, high = level.safe(window, size)
+        begun, some = first < last, high > low
+        inner_low = np.where(begun, np.searchsorted(level.start, first, "left"), high)
+        inner_high = np.where(begun, np.searchsorted(level.start, last, "left"), high)
+        for a, b in ((low, np.maximum(inner_low, low)), (np.minimum(inner_high, high), high)):
+            total = mixed(total * _A[4] + level.print(a, b) + (b - a).astype(np.uint64) * _A[5] + np.uint64(k))
+        ends = level.end[np.maximum(high - 1, 0)]
+        first = np.where(some, np.minimum(first, level.start[np.minimum(low, len(level.start) - 1)]), first)
+        last = np.where(some, np.maximum(last, ends), last)
+    return total.view(np.int64)
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -85,8 +167,8 @@ def _surveyed(size: int):
             for a, b in row_groups(offsets):
                 part, ends = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 hashes, counts = word_hashes(part, ends, False)
-                found = anchors(hashes, counts, size)
-                n = np.maximum(counts - size + 1, 0)
+                window, n = window_starts(counts, size)
+                found = anchors(recompressed(hashes, counts), window, size) if len(window) else np.zeros(0, np.int64)
                 text = np.repeat(np.arange(b - a), n)
                 new = np.ones(len(found), bool)
                 new[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
@@ -108,15 +190,18 @@ def _windowed(size: int):
             ids, keys, wanted = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             for a, b in row_groups(offsets):
                 hashes, counts = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], False)
-                found = anchors(hashes, counts, size)
-                prints, n = windows(hashes, counts, size)
-                part = wanted.slice(a, b - a)
-                named = np.sort(part.flatten().to_numpy())
+                (window, n), levels = window_starts(counts, size), recompressed(hashes, counts)
+                if not len(window):
+                    continue
+                found = anchors(levels, window, size)
+                prints, _ = windows(hashes, counts, size)
+                named = np.sort(wanted.slice(a, b - a).flatten().to_numpy())
                 text = np.repeat(np.arange(b - a), n)
                 hit = np.flatnonzero(np.searchsorted(named, found, "right") > np.searchsorted(named, found, "left"))
+                parsed = parses(levels, window[hit], size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a:b][text[hit]]), pa.array(keys[a:b][text[hit]]), pa.array((hit - (np.cumsum(n) - n)[text[hit]]).astype(np.int32)), pa.array(prints[hit].view(np.int64))],
-                    names=["doc_id", "key", "at", "window"],
+                    [pa.array(ids[a:b][text[hit]]), pa.array(keys[a:b][text[hit]]), pa.array((hit - (np.cumsum(n) - n)[text[hit]]).astype(np.int32)), pa.array(prints[hit].view(np.int64)), pa.array(parsed)],
+                    names=["doc_id", "key", "at", "window", "parse"],
                 )
 
     return run
@@ -145,6 +230,7 @@ def _cut(size: int):
 def remove_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): each document without the words of windows that a smaller id has too."""
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark)
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     row = ["doc_id", "key"]
@@ -158,9 +244,9 @@ def remove_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text
     common = scratch.write(placed.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"))
     hits = scratch.write(placed.join(common, "anchor").groupBy(*row).agg(F.collect_set("anchor").alias("anchors")))
     read = only(docs, hits.select("doc_id").distinct(), "doc_id").join(hits, row).select(*row, "text", "anchors")
-    found = scratch.write(read.mapInArrow(_windowed(size), "doc_id bigint, key bigint, at int, window bigint"))
-    low = scratch.write(found.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "low"))
-    cuts = scratch.write(found.join(low, "window").where("doc_id > low").groupBy(*row).agg(F.collect_set("at").alias("starts")))
+    found = scratch.write(read.mapInArrow(_windowed(size), "doc_id bigint, key bigint, at int, window bigint, parse bigint"))
+    low = scratch.write(found.groupBy("window", "parse").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "parse", "low"))
+    cuts = scratch.write(found.join(low, ["window", "parse"]).where("doc_id > low").groupBy(*row).agg(F.collect_set("at").alias("starts")))
     scratch.drop(placed, common, hits, found, low)
 
     read = only(docs, cuts.select("doc_id").distinct(), "doc_id").join(cuts, row).select(*row, "text", "starts")
