@@ -1,21 +1,24 @@
 """Approximate nearest neighbours: an NN-descent graph built by Spark joins, searched greedily.
 
-Vectors travel as half-precision bytes; they only choose candidates.  Final scores are inner products of the original vectors
-in double precision.
+Vectors travel as single-precision bytes, each scaled by a power of two of its own, so that neither very large nor very
+small components are lost; these copies choose candidates only.  Final scores are inner products of the original vectors in
+double precision.
 
 1. Equal vectors form a class; the graph holds one of each class (its smallest id), so copies cost nothing.
-2. Start: ``trees`` partitions by random hyperplanes into cells of about ``leaf`` vectors; within a cell all neighbours are
-   exact.  The number of planes follows the number of rows.  Cells that hold more than twice their share are split by hash.
-3. NN-descent rounds: a node's pool is its neighbours and reverse neighbours, joined with their vectors (large pools of
-   hubs are dealt into several); pool members propose each other; each node keeps its best ``k``.  Rounds end when fewer
-   than one in a hundred entries change, or after ``rounds``.
-4. Search: each query starts at its own node's neighbours; in each of ``hops`` rounds the ``expand`` best unexpanded
-   nodes of its list are joined with the graph, their neighbours with the vectors, and scored.
-5. The best ``rescored`` classes of a query are expanded to their members, scored exactly and ranked (ties: smaller id).
+2. Start: ``trees`` partitions by random hyperplanes into cells of about ``leaf`` vectors give every node its first links.
+   They are poor (a few hundred comparisons for each node, however many nodes there are); the descent does the work.
+3. NN-descent: in a round the neighbours and reverse neighbours of every node meet in pools (those of hubs are dealt into
+   several), pool members propose each other, and each node keeps its best ``k``.  Pools without a link that is new since
+   the round before are left out.  Rounds go on until at most ``settled`` of the links change.
+4. Greedy search: a query keeps the ``width`` best nodes seen, at first its own node's neighbours.  In a hop it visits
+   all of them that it has not visited yet and sees their neighbours; hops go on until no query has a node to visit.
+5. The best ``rescored`` classes of a query are scored exactly, expanded to their members and ranked (ties: smaller id).
+
+Proposals to a node that stands in very many pools are merged in parts first, so no group grows with the table.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another
-length than most; of rows that repeat an id the first vector (by its text) counts; queries have fewer rows only where there
-are fewer candidates.
+length than most; of rows that repeat an id the first vector (by its components) counts; queries have fewer rows only where
+there are fewer candidates; columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -29,26 +32,32 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import Scratch
+from ..scratch import Scratch
 from .repeats import _lists
+from .texts import small_batches
+
+#: Pools from which a node's proposals are merged in parts, each of about so many pools.
+PARTED = 2000
 
 
-def _half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, components) -> (id, scale and scaled components as bytes)."""
     for b in batches:
-        values = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        n = b.num_rows
-        x = values.reshape(n, -1) if n else np.zeros((0, 1))
-        x = x.astype(np.float16)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "v"])
+        if not b.num_rows:
+            continue
+        x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+        power = np.minimum(np.frexp(np.abs(x).max(axis=1))[1], 1023)
+        scale, small = np.ldexp(1.0, power), np.ldexp(x, -power[:, None]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() + r.tobytes() for s, r in zip(scale, small, strict=True)], pa.binary())], names=["id", "v"])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Half-precision rows of a binary column as float32."""
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(scaled components, scales) of packed vectors."""
     if not len(column):
-        return np.zeros((0, 1), np.float32)
+        return np.zeros((0, 1), np.float32), np.zeros(0)
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-    return data.view(np.float16).reshape(len(column), -1).astype(np.float32)
+    rows = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)
+    return np.ascontiguousarray(rows[:, 8:]).view(np.float32), np.ascontiguousarray(rows[:, :8]).view(np.float64)[:, 0]
 
 
 def _cells(trees: int, planes: int, dim: int, seed: int):
@@ -56,7 +65,7 @@ def _cells(trees: int, planes: int, dim: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column(1))
+            x, _ = _matrix(b.column(1))
             for t in range(trees):
                 code = ((x @ normals[t] > 0) @ (1 << np.arange(normals.shape[2]))) if planes and len(x) else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code.astype(np.int64)), b.column(0), b.column(1)], names=["tree", "cell", "id", "v"])
@@ -64,118 +73,172 @@ def _cells(trees: int, planes: int, dim: int, seed: int):
     return run
 
 
-def _best(ids: np.ndarray, sims: np.ndarray, own: np.ndarray, k: int):
-    """Each row's k best columns of ``sims`` (its own id left out) as (neighbour lists, similarities)."""
-    sims = np.where(ids[None, :] == own[:, None], -np.inf, sims)
-    k = min(k, len(ids) - 1)
-    if k <= 0:
-        return np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0), np.float32)
-    at = np.argpartition(-sims, k - 1, 1)[:, :k]
-    return ids[at], np.take_along_axis(sims, at, 1)
-
-
-def _within(k: int):
-    def run(cell: pa.Table) -> pa.Table:
-        cell = cell.combine_chunks()
-        ids = cell.column("id").to_numpy()
-        x = _matrix(cell.column("v").chunk(0))
-        lists, sims = [], []
-        for a in range(0, len(x), 512):
-            n, s = _best(ids, x[a : a + 512] @ x.T, ids[a : a + 512], k)
-            lists.append(n)
-            sims.append(s)
-        n, s = np.concatenate(lists), np.concatenate(sims)
-        size = np.full(len(ids), n.shape[1])
-        return pa.table({"id": ids, "ns": _lists(n.ravel(), size), "ss": _lists(s.ravel().astype(np.float32), size)})
+def _proposals(most: int):
+    """Pools (members: id, part, v) -> (id, part, the member's ``most`` best co-members, their similarities)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, held = b.column(0).offsets.to_numpy(), b.column(0).values
+            ids, part = held.field("id").to_numpy(), held.field("part").to_numpy()
+            x, scale = _matrix(held.field("v"))
+            at, lists, sims, sizes = [], [], [], []
+            for a, z in zip((ends - ends[0]).tolist(), (ends[1:] - ends[0]).tolist(), strict=False):
+                if z - a < 2:
+                    continue
+                a, z = a + int(ends[0]), z + int(ends[0])
+                s = (x[a:z] @ x[a:z].T) * scale[a:z]
+                np.fill_diagonal(s, -np.inf)
+                n = min(most, z - a - 1)
+                best = np.argpartition(-s, n - 1, 1)[:, :n]
+                at.append(np.arange(a, z))
+                lists.append(ids[a:z][best].ravel())
+                sims.append(np.take_along_axis(s, best, 1).ravel())
+                sizes.append(np.full(z - a, n))
+            if at:
+                at, size = np.concatenate(at), np.concatenate(sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(part[at]), _lists(np.concatenate(lists), size), _lists(np.concatenate(sims), size)], names=["id", "part", "ns", "ss"])
 
     return run
 
 
+def _ranked(row: np.ndarray, n: np.ndarray, s: np.ndarray, k: int, *more: np.ndarray) -> list[np.ndarray]:
+    """Of entries (row, node, similarity) each row's ``k`` best distinct nodes, best first; of equal ones the first."""
+    order = np.lexsort((n, row))
+    first = np.ones(len(order), bool)
+    first[1:] = (row[order][1:] != row[order][:-1]) | (n[order][1:] != n[order][:-1])
+    kept = order[first]
+    kept = kept[np.lexsort((n[kept], -s[kept], row[kept]))]
+    place = np.arange(len(kept)) - np.searchsorted(row[kept], row[kept])
+    kept = kept[place < k]
+    return [a[kept] for a in (row, n, s, *more)]
+
+
+def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each entry, entries) of a list column; a null list is empty."""
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(column)), sizes), column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+
+
 def _merged(k: int):
     """(id, all proposals) -> (id, best k distinct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, s = b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
-            row = np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(b.column(1)).to_numpy())
-            order = np.lexsort((-s, n, row))
-            row, n, s = row[order], n[order], s[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (n[1:] != n[:-1])
-            row, n, s = row[new], n[new], s[new]
-            order = np.lexsort((n, -s, row))
-            row, n, s = row[order], n[order], s[order]
-            rank = np.arange(len(row)) - np.searchsorted(row, row)
-            row, n, s = row[rank < k], n[rank < k], s[rank < k]
+            row, n = _flat(b.column(1), np.int64)
+            row, n, s = _ranked(row, n, _flat(b.column(2), np.float64)[1], k)
             size = np.bincount(row, minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(n, size), _lists(s, size)], names=["id", "ns", "ss"])
 
     return run
 
 
-def _proposals(most: int):
-    """Pools (members, vectors) -> each member's best co-members."""
+_GRAPH = "id bigint, ns array<bigint>, ss array<double>"
+_FOUND = "id bigint, part int, ns array<bigint>, ss array<double>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ends = b.column(0).offsets.to_numpy()
-            ids, x = b.column(0).values.to_numpy(), _matrix(b.column(1).values)
-            owners, lists, sims, sizes = [], [], [], []
-            for a, z in zip(ends.tolist(), ends[1:].tolist(), strict=False):
-                if z - a > 1:
-                    n, s = _best(ids[a:z], x[a:z] @ x[a:z].T, ids[a:z], most)
-                    owners.append(ids[a:z])
-                    lists.append(n.ravel())
-                    sims.append(s.ravel())
-                    sizes.append(np.full(z - a, n.shape[1]))
-            if owners:
-                size = np.concatenate(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), _lists(np.concatenate(lists), size), _lists(np.concatenate(sims).astype(np.float32), size)], names=["id", "ns", "ss"])
 
-    return run
+def _graph(proposals: DataFrame, k: int) -> DataFrame:
+    """Best k of the proposals (id, part, ns, ss) of each node: by part, then all parts."""
+    every = [F.flatten(F.collect_list(c)).alias(c) for c in ("ns", "ss")]
+    parts = proposals.groupBy("id", "part").agg(*every).drop("part").mapInArrow(_merged(k), _GRAPH)
+    return parts.groupBy("id").agg(*every).mapInArrow(_merged(k), _GRAPH)
 
 
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def start_graph(vectors: DataFrame, scratch: Scratch, rows: int, dim: int, k: int, trees: int, leaf: int, seed: int) -> DataFrame:
+    """(id, ns, ss): the k best neighbours within each node's cells; ``vectors``: (id, v)."""
+    planes = max(0, round(math.log2(max(rows, 1) / leaf)))
+    placed = vectors.mapInArrow(_cells(trees, planes, dim, seed), "tree int, cell bigint, id bigint, v binary")
+    sizes = scratch.write(placed.groupBy("tree", "cell").agg(F.count("*").alias("n")))
+    deal = F.when(F.col("n") > 2 * leaf, F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / leaf))).otherwise(F.lit(0))
+    member = F.struct("id", F.lit(0).alias("part"), "v")
+    pools = placed.join(sizes, ["tree", "cell"]).withColumn("deal", deal).groupBy("tree", "cell", "deal").agg(F.collect_list(member).alias("pool")).select("pool")
+    return scratch.write(_graph(pools.mapInArrow(_proposals(k), _FOUND), k))
+
+
+def descended(graph: DataFrame, vectors: DataFrame, scratch: Scratch, k: int, proposed: int, settled: float) -> DataFrame:
+    """``graph`` after NN-descent; rounds end when at most ``settled`` of the links change."""
+    before = None
+    while True:
+        links = graph.select(F.col("id").alias("a"), F.explode("ns").alias("b"))
+        if before is not None:
+            known = before.select("id", F.col("ns").alias("old"))
+            links = graph.join(known, "id").select(F.col("id").alias("a"), F.explode(F.transform("ns", lambda n: F.struct(n.alias("n"), (~F.array_contains("old", n)).alias("new")))).alias("x")).select("a", F.col("x.n").alias("b"), F.col("x.new").alias("new"))
+        else:
+            links = links.withColumn("new", F.lit(True))
+        edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "new")).groupBy("a", "b").agg(F.max("new").alias("new"))
+        degree = edges.groupBy("a").agg(F.count("*").alias("n"), F.max("new").alias("any_new"))
+        of_pool = degree.where("any_new").select("a", F.ceil(F.col("n") / (3 * k)).alias("deals"))
+        parts = F.ceil(F.col("n") / PARTED).cast("int")
+        member = vectors.join(degree.select(F.col("a").alias("id"), parts.alias("parts")), "id")
+        dealt = edges.join(of_pool, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b", "a"), "deals").alias("deal"))
+        own = F.struct("id", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), "v")
+        pools = dealt.join(member, "id").groupBy("a", "deal").agg(F.collect_list(own).alias("pool")).select("pool")
+        found = scratch.write(_graph(graph.select("id", F.lit(0).alias("part"), "ns", "ss").unionByName(pools.mapInArrow(_proposals(proposed), _FOUND)), k))
+        moved = found.join(graph.select("id", F.col("ns").alias("old")), "id").agg(F.sum(F.size(F.array_except("ns", "old"))) / F.sum(F.size("ns"))).first()[0]
+        if before is not None:
+            scratch.drop(before)
+        before, graph = graph, found
+        if not moved or moved <= settled:
+            scratch.drop(before)
+            return graph
+
+
+def _visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Visits (q, qv, floor, neighbours: n, v) -> (q, neighbours better than floor, their similarities)."""
     for b in batches:
-        s = np.einsum("ij,ij->i", _matrix(b.column(2)), _matrix(b.column(3)))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.astype(np.float32))], names=["q", "node", "s"])
+        held = b.column(3)
+        row = np.repeat(np.arange(b.num_rows), held.value_lengths().to_numpy())
+        flat = held.flatten()
+        x, scale = _matrix(flat.field("v"))
+        asked, _ = _matrix(b.column(1))
+        s = np.einsum("ij,ij->i", asked[row], x) * scale if len(x) else np.zeros(0)
+        good = s >= b.column(2).to_numpy()[row]
+        size = np.bincount(row[good], minlength=b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column(0), _lists(flat.field("n").to_numpy()[good], size), _lists(s[good], size)], names=["q", "ns", "ss"])
 
 
-_GRAPH = "id bigint, ns array<bigint>, ss array<float>"
+def _advanced(width: int):
+    """(q, qv, ns, ss, done, found nodes, found similarities) -> the ``width`` best; nodes held before have been visited."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (row, n), (_, s), (row2, n2), (_, s2) = (_flat(b.column(i), np.float64 if i in (3, 5) else np.int64) for i in (2, 3, 4, 5))
+            other = n2 != b.column(0).to_numpy()[row2]
+            row2, n2, s2 = row2[other], n2[other], s2[other]
+            done = np.concatenate([np.ones(len(n), bool), np.zeros(len(n2), bool)])
+            row, n, s, done = _ranked(np.concatenate([row, row2]), np.concatenate([n, n2]), np.concatenate([s, s2]), width, done)
+            size = np.bincount(row, minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(n, size), _lists(s, size), _lists(done, size)], names=["q", "qv", "ns", "ss", "done"])
 
-def _graph(proposals: DataFrame, k: int) -> DataFrame:
-    every = proposals.groupBy("id").agg(F.flatten(F.collect_list("ns")).alias("ns"), F.flatten(F.collect_list("ss")).alias("ss"))
-    return every.mapInArrow(_merged(k), _GRAPH)
+    return run
 
 
-def descent_graph(vectors: DataFrame, scratch: Scratch, rows: int, dim: int, k: int, trees: int, leaf: int, rounds: int, seed: int) -> DataFrame:
-    """(id, ns, ss): every node's k best neighbours found; ``vectors``: (id, v half-precision bytes)."""
-    planes = max(0, round(math.log2(max(rows, 1) / leaf)))
-    placed = vectors.mapInArrow(_cells(trees, planes, dim, seed), "tree int, cell bigint, id bigint, v binary")
-    sizes = scratch.write(placed.groupBy("tree", "cell").agg(F.count("*").alias("n")))
-    parts = F.ceil(F.col("n") / leaf)
-    split = placed.join(sizes, ["tree", "cell"]).withColumn("part", F.when(F.col("n") > 2 * leaf, F.pmod(F.xxhash64("id", "tree"), parts)).otherwise(F.lit(0)))
-    graph = scratch.write(_graph(split.groupBy("tree", "cell", "part").applyInArrow(_within(k), _GRAPH), k))
-    for _ in range(rounds):
-        forward = graph.select(F.col("id").alias("a"), F.explode("ns").alias("b"))
-        edges = forward.unionByName(forward.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        degree = edges.groupBy("a").agg(F.count("*").alias("n"))
-        dealt = edges.join(degree, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b", "a"), F.ceil(F.col("n") / (3 * k))).alias("part"))
-        pools = dealt.join(vectors, "id").groupBy("a", "part").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs")).select("ids", "vs")
-        found = scratch.write(_graph(graph.unionByName(pools.mapInArrow(_proposals(5), _GRAPH)), k))
-        changed = found.alias("x").join(graph.select("id", F.col("ns").alias("old")), "id").agg(F.avg(F.size(F.array_except("ns", "old")) / F.greatest(F.size("ns"), F.lit(1)))).first()[0]
-        scratch.drop(graph)
-        graph = found
-        if not changed or changed < 0.01:
-            break
-    return graph
+_STATE = "q bigint, qv binary, ns array<bigint>, ss array<double>, done array<boolean>"
+
+
+def searched(graph: DataFrame, vectors: DataFrame, asked: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """(q, ns, ss): the ``width`` best nodes that a greedy search finds for each node of ``asked`` (q, qv)."""
+    links = graph.select("id", F.explode("ns").alias("n")).join(vectors.withColumnRenamed("id", "n"), "n")
+    links = scratch.write(links.groupBy("id").agg(F.collect_list(F.struct("n", "v")).alias("near")))  # at most k for each node
+    own = graph.withColumnRenamed("id", "q").join(asked, "q")
+    state = scratch.write(own.select("q", "qv", "ns", "ss", F.transform("ns", lambda n: F.lit(False)).alias("done")))
+    while True:
+        floor = F.when(F.size("ss") >= width, F.array_min("ss")).otherwise(F.lit(float("-inf")))
+        todo = F.filter(F.arrays_zip("ns", "done"), lambda x: ~x["done"])
+        front = state.select("q", "qv", floor.alias("floor"), F.explode(todo).alias("x")).select("q", "qv", "floor", F.col("x.ns").alias("id"))
+        if front.isEmpty():
+            return state.select("q", "ns", "ss")
+        seen = front.join(links, "id").select("q", "qv", "floor", "near").mapInArrow(_visited, "q bigint, ns array<bigint>, ss array<double>")
+        found = seen.where(F.size("ns") > 0).groupBy("q").agg(F.flatten(F.collect_list("ns")).alias("fn"), F.flatten(F.collect_list("ss")).alias("fs"))  # at most width x k for each query
+        after = scratch.write(state.drop("done").join(found, "q", "left").select("q", "qv", "ns", "ss", "fn", "fs").mapInArrow(_advanced(width), _STATE))
+        scratch.drop(state)
+        state = after
 
 
 def nearest(
-    table: DataFrame, every: int = 20, top: int = 20, k: int = 20, trees: int = 20, leaf: int = 1500, rounds: int = 2, hops: int = 3, expand: int = 20, rescored: int = 60, seed: int = 7, vec_id: str = "vec_id", embedding: str = "embedding"
+    table: DataFrame, every: int = 20, top: int = 20, k: int = 32, trees: int = 4, leaf: int = 100, proposed: int = 5, settled: float = 0.02, width: int = 200, rescored: int = 60, seed: int = 7, descend: bool = True, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score) for queries whose id is divisible by ``every``."""
+    """(query_id, rank, vec_id, score) for queries whose id is divisible by ``every``; without ``descend`` the start graph is searched."""
+    small_batches(table.sparkSession)
     scratch = Scratch(table.sparkSession)
     x = F.transform(embedding, lambda c: c.cast("double"))
     rows = table.select(F.col(vec_id).cast("bigint").alias("id"), x.alias("x")).where("id is not null and size(x) > 0")
@@ -189,32 +252,25 @@ def nearest(
     rows = scratch.write(rows.where(F.size("x") == dim).withColumn("h", F.xxhash64("x")))
     first = rows.groupBy("h").agg(F.min("id").alias("rep"))
     members = scratch.write(rows.select("id", "h").join(first, "h").select("id", "rep"))
-    vectors = scratch.write(rows.join(members.where("id = rep").select("id"), "id").select("id", "x").mapInArrow(_half, "id bigint, v binary"))
-    graph = descent_graph(vectors, scratch, vectors.count(), dim, k, trees, leaf, rounds, seed)
+    vectors = scratch.write(rows.join(members.where("id = rep").select("id"), "id").select("id", "x").mapInArrow(_packed, "id bigint, v binary"))
+    graph = start_graph(vectors, scratch, vectors.count(), dim, k, trees, leaf, seed)
+    if descend:
+        graph = descended(graph, vectors, scratch, k, proposed, settled)
 
     queries = members.where(F.col("id") % every == 0)
-    asked = scratch.write(queries.select(F.col("rep").alias("q")).distinct().join(vectors.withColumnRenamed("id", "q"), "q").withColumnRenamed("v", "qv"))
-    own = F.explode(F.arrays_zip("ns", "ss"))
-    seen = scratch.write(graph.withColumnRenamed("id", "q").join(asked.select("q"), "q", "left_semi").select("q", own.alias("x")).select("q", F.col("x.ns").alias("node"), F.col("x.ss").alias("s"), F.lit(False).alias("done")))
-    for _ in range(hops):
-        order = Window.partitionBy("q").orderBy(F.desc("s"), "node")
-        front = seen.where("not done").withColumn("r", F.row_number().over(order)).where(F.col("r") <= expand).select("q", "node")
-        near = front.join(graph.withColumnRenamed("id", "node"), "node").select("q", F.explode("ns").alias("node")).where("node <> q").distinct()
-        new = near.join(seen.select("q", "node"), ["q", "node"], "left_anti")
-        scored = new.join(vectors.withColumnRenamed("id", "node"), "node").join(asked, "q").select("q", "node", "qv", "v").mapInArrow(_scores, "q bigint, node bigint, s float")
-        kept = seen.join(front.withColumn("hit", F.lit(True)), ["q", "node"], "left").select("q", "node", "s", (F.col("done") | F.coalesce("hit", F.lit(False))).alias("done"))
-        after = scratch.write(kept.unionByName(scored.withColumn("done", F.lit(False))))
-        scratch.drop(seen)
-        seen = after
-
-    best = seen.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "node"))).where(F.col("r") <= rescored).select("q", F.col("node").alias("rep"))
-    best = best.unionByName(asked.select("q", F.col("q").alias("rep")))
-    some = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= top + 1).select("rep", F.col("id").alias("vec_id"))
-    # Members of a class have one vector, so a score is found once for each pair of classes.
+    asked = queries.select(F.col("rep").alias("q")).distinct().join(vectors.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q")
+    seen = searched(graph, vectors, asked, scratch, width)
+    best = seen.select("q", F.explode(F.slice("ns", 1, rescored)).alias("rep")).unionByName(seen.select("q", F.col("q").alias("rep")))
+    alone = asked.join(seen.select("q"), "q", "left_anti").select("q", F.col("q").alias("rep"))  # a table of one class has no links
+    best = best.unionByName(alone)
+    # Members of a class have one vector, so a score is found once for each pair of classes; a class of any size gives its
+    # first top + 1 members (limited before rows are shuffled).
     exact = rows.select("id", "x")
-    pairs = best.join(exact.select(F.col("id").alias("rep"), F.col("x").alias("cx")), "rep").join(exact.select(F.col("id").alias("q"), F.col("x").alias("qx")), "q")
     dot = F.aggregate(F.zip_with("qx", "cx", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    scored = pairs.select("q", "rep", dot.alias("score")).join(some, "rep").select("q", "vec_id", "score")
-    last = queries.select(F.col("id").alias("query_id"), F.col("rep").alias("q")).join(scored, "q").where("vec_id <> query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return last.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    pairs = best.join(exact.select(F.col("id").alias("rep"), F.col("x").alias("cx")), "rep").join(exact.select(F.col("id").alias("q"), F.col("x").alias("qx")), "q").select("q", "rep", dot.alias("score"))
+    some = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= top + 1).select("rep", F.col("id").alias("vec_id"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    ranked = pairs.join(some, "rep").withColumn("r", F.row_number().over(order)).where(F.col("r") <= top + 1)
+    lists = ranked.groupBy(F.col("q").alias("rep")).agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found"))  # top + 1 for each class
+    own = queries.join(lists, "rep").select(F.col("id").alias("query_id"), F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("id")), 1, top).alias("found"))
+    return own.select("query_id", F.posexplode("found").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
