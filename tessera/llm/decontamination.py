@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import cache, mixed, raw, row_groups, seeded, windows, word_hashes
+from .texts import cache, mixed, raw, row_groups, seeded, small_batches, windows, word_hashes
 
 SAMPLED, SOME_REPEATS, TRIALS = 4, 24, 400
 
@@ -192,6 +192,7 @@ class Items:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, recall: float = 0.99, slice_words: int = 500_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Matches (doc_id, item_id, first_word, edits), one row for each document and item."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text")).where("length(text) > 0")
     spark, kinds = docs.sparkSession, f"doc_id {docs.schema[0].dataType.simpleString()}, item_id {items.schema[0].dataType.simpleString()}"

@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..plans.shared import Scratch, but, having
+from ..scratch import Scratch, but, having
 from .repeats import _lists
-from .texts import cache, mixed, powers, raw, row_groups, windows, word_hashes
+from .texts import cache, mixed, powers, raw, row_groups, small_batches, windows, word_hashes
 
 #: Documents from which a shingle is hot, prefix extensions to choose from, cost of comparing one shingle of a set against
 #: that of reading one posting, sets in a block.
@@ -146,6 +146,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, doc_id:
     """(doc_id, n_shingles, component_id) of every row; ``threshold`` in percent (80 or more)."""
     if not 80 <= threshold <= 100:
         raise ValueError("threshold: 80 to 100")
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     seen = scratch.write(docs.mapInArrow(_sets(size, "first"), _SET))

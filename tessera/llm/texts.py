@@ -12,6 +12,17 @@ import pyarrow as pa
 #: Bytes of text that are turned into arrays at a time (one longer text is cut at word boundaries or taken alone).
 PIECE = 1 << 20
 
+#: Bytes of an Arrow batch for a Python worker, where the session keeps Spark's default (64 MB).
+BATCH = 4 << 20
+
+
+def small_batches(spark) -> None:
+    """Arrow batches bounded by bytes: a batch and what a map makes of it stay small beside a worker's share of memory."""
+    if spark.conf.get(_LIMIT, "67108864b") == "67108864b":
+        spark.conf.set(_LIMIT, str(BATCH))
+
+
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Everything in ASCII but digits and letters.

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import Scratch
-from .texts import cache, raw, row_groups, word_hashes
+from ..scratch import Scratch
+from .texts import cache, raw, row_groups, small_batches, word_hashes
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -107,15 +107,21 @@ class Chain:
         """``keep`` columns (all) of ``docs`` and p_<category> for each category."""
         keep = list(docs.columns) if keep is None else keep
         words, models, names = self.words, self.models, self.names
+        if clash := {f"p_{n}" for n in names} & set(keep):
+            raise ValueError(f"columns of that name exist: {sorted(clash)}; name those to keep")
+        small_batches(docs.sparkSession)
         maybe = np.zeros(1 << 16, bool)
         maybe[(words.view(np.uint64) >> np.uint64(48)).astype(np.int64)] = True
         weights = np.stack([w[: len(words)] for w in models], axis=1)
-        picked = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+        # A text that is kept is sent to the workers once.
+        kept_text = text in keep and docs.schema[text].dataType.typeName() == "string"
+        picked = docs.select(*keep) if kept_text else docs.select(*keep, F.col(text).cast("string").alias("__text"))
+        text_at = keep.index(text) if kept_text else len(keep)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache("toxicity")
             for batch in batches:
-                data, offsets = raw(batch.column(len(keep)))
+                data, offsets = raw(batch.column(text_at))
                 parts = [np.zeros((0, len(models)))]
                 for a, b in row_groups(offsets):
                     hashes, counts = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], True, True)
@@ -132,12 +138,13 @@ class Chain:
                 p = np.concatenate(parts)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(p[:, k]) for k in range(len(models)))], names=[*keep, *(f"p_{n}" for n in names)])
 
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), *(f"p_{n} double" for n in names)])
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)]), *(f"p_{n} double" for n in names)])
         return picked.mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_rows: int = 20_000, terms: int = 128, doc_id: str = "doc_id", text: str = "text") -> Chain:
     """``categories``: name -> condition on ``labels``' columns, in the chain's order."""
+    small_batches(docs.sparkSession)
     scratch, names = Scratch(docs.sparkSession), list(categories)
     known = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("row")).agg(*(F.max(c.cast("int")).alias(f"y{k}") for k, c in enumerate(categories.values())))
     known = known.where(" and ".join(f"y{k} is not null" for k in range(len(names))))

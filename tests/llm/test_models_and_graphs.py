@@ -83,7 +83,7 @@ def test_neighbours(spark):
         rows[i] = rows[3]
     bad = [(5001, None), (5002, [0.0] * 16), (5003, [float("nan")] * 16), (5004, [1.0] * 3), (5005, [None] * 16), (None, [1.0] * 16), (7, rows[7].tolist())]
     df = spark.createDataFrame([(i, x.tolist()) for i, x in rows.items()] + bad, "vec_id bigint, embedding array<double>")
-    got = neighbours.nearest(df, leaf=200, trees=8).toPandas()
+    got = neighbours.nearest(df).toPandas()
     want = exact(rows, 20, 20)
     assert set(got["query_id"]) == set(want)
     hit = 0
@@ -100,6 +100,40 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def recall(rows, got, every=20, top=20):
+    want = exact(rows, every, top)
+    found = {q: set(g["vec_id"]) for q, g in got.groupby("query_id")}
+    return sum(len(found[q] & {v for _, v in w}) for q, w in want.items()) / sum(map(len, want.values()))
+
+
+def test_descent_and_search_find_what_the_start_lacks(spark):
+    """Few comparisons for each node: the start graph alone finds little, the descent and the search find nearly all."""
+    rng = np.random.default_rng(3)
+    rows = {i: rng.normal(size=12) for i in range(1200)}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in rows.items()], "vec_id bigint, embedding array<double>")
+    few = {"k": 12, "trees": 2, "leaf": 25}
+    start, graph, searched = (recall(rows, neighbours.nearest(df, **few, width=w, descend=d).toPandas()) for w, d in ((12, False), (12, True), (150, True)))
+    assert start < 0.6 and graph > start + 0.1 and searched > 0.97
+
+
+@pytest.mark.parametrize("scale", [1e6, 1e-9, 1e200])
+def test_neighbours_at_any_scale(spark, scale):
+    rng = np.random.default_rng(4)
+    rows = {i: rng.normal(size=8) * scale * (10.0 ** rng.integers(-3, 1) if i % 7 == 0 else 1.0) for i in range(400)}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in rows.items()], "vec_id bigint, embedding array<double>")
+    if scale == 1e200:  # products overflow, so that the order is known only where they do not
+        rows = {i: x / 1e60 for i, x in rows.items()}
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in rows.items()], "vec_id bigint, embedding array<double>")
+    assert recall(rows, neighbours.nearest(df).toPandas()) >= 0.97
+
+
+def test_neighbours_keep_columns_that_clash_apart(spark):
+    rows = [(i, [float(i), 1.0], "x") for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, id string").withColumns({c: F.lit(1) for c in ("x", "rep", "v", "q", "rank", "score")})
+    got = neighbours.nearest(df)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and got.count() == 40
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     rng = random.Random(6)

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -67,16 +68,16 @@ def test_packing(spark):
 
 
 def test_window_cuts_are_optimal():
+    """Against all cut sets, with padding as the contract counts it: none at a power of two."""
     rng = random.Random(6)
-    for _ in range(30):
-        steps = [rng.randint(1, 9) for _ in range(14)]
+    for _ in range(60):
+        steps = [rng.randint(1, 9) for _ in range(11)]
         at, pen, cap = np.cumsum(steps), np.array([rng.choice([0.0, 2.0, 5.0]) for _ in steps]), 12
-        chosen = packing.sequences(at, pen, cap, int(at[-1]))
-        cost = lambda c: sum(pen[i] for i in c) + sum(cap - (b - a) for a, b in zip([0, *at[c[:-1]]], at[c], strict=True))  # noqa: B023, E731
-        best = {0: 0.0}
-        for j, s in enumerate(at.tolist(), 1):
-            best[j] = min((best[i] + cap - (s - ([0, *at.tolist()][i])) + pen[j - 1] for i in best if 0 < s - [0, *at.tolist()][i] <= cap), default=np.inf)
-        assert cost(chosen) == min(v for j, v in best.items() if j and at[j - 1] >= at[-1] - cap)
+        pad = lambda w: 0 if w & (w - 1) == 0 else cap - w  # noqa: B023, E731
+        cost = lambda c: sum(pen[i] for i in c) + sum(pad(int(b - a)) for a, b in zip([0, *at[c[:-1]]], at[c], strict=True)) if c else 0.0  # noqa: B023, E731
+        every = [[i for i in range(11) if mask >> i & 1] for mask in range(1 << 11)]
+        fits = [c for c in every if at[-1] - (at[c[-1]] if c else 0) <= cap and all(b - a <= cap for a, b in zip([0, *at[c[:-1]]], at[c], strict=True))]
+        assert cost(packing.sequences(at, pen, cap, int(at[-1]))) == min(map(cost, fits))
 
 
 def components_by_brute_force(rows):
@@ -175,22 +176,28 @@ def test_repeats(spark):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
 
 
-def test_anchors_agree():
-    from tessera.llm.texts import word_hashes
+def test_recompression():
+    """Equal windows have equal anchors and parses, different windows different parses; with short and very long runs."""
+    from tessera.llm.texts import raw, word_hashes
 
     rng = random.Random(3)
-    for _ in range(200):
-        letters = rng.choice(["ab", "abc", "abcdefghij"])
-        w = [rng.choice(letters) for _ in range(50)]
-        docs = [" ".join([rng.choice(letters) for _ in range(rng.randint(0, 30))] + w + [rng.choice(letters) for _ in range(rng.randint(0, 30))]) for _ in range(2)]
-        found = []
-        for d in docs:
-            data = np.frombuffer(d.encode(), np.uint8)
-            h, c = word_hashes(data, np.array([0, len(data)]), False)
-            own = d.split()
-            at = next(k for k in range(len(own)) if own[k : k + 50] == w)
-            found.append(repeats.anchors(h, c)[at])
-        assert found[0] == found[1]
+    for trial in range(200):
+        letters = rng.choice([1, 2, 3, 50, 400])
+        make = lambda n: [f"w{rng.randrange(letters)}" for _ in range(n)]  # noqa: B023, E731
+        common = make(rng.randint(50, 200))
+        if trial % 3 == 0:
+            common[20:20] = ["r"] * rng.randint(2, 120)
+        texts = [make(rng.randint(0, 80)) + common + make(rng.randint(0, 80)) for _ in range(3)]
+        hashes, counts = word_hashes(*raw(pa.array([" ".join(t) for t in texts])), False)
+        levels, (window, _) = repeats.recompressed(hashes, counts), repeats.window_starts(counts, 50)
+        for level in levels:
+            assert (np.diff(level.left) >= 0).all() and (np.diff(level.right) >= 0).all()
+            assert (level.left <= level.start).all() and (level.right >= level.end).all()
+        flat = [w for t in texts for w in t]
+        same = defaultdict(set)
+        for w, a, p in zip(window.tolist(), repeats.anchors(levels, window).tolist(), repeats.parses(levels, window).tolist(), strict=True):
+            same[tuple(flat[w : w + 50])].add((a, p))
+        assert all(len(x) == 1 for x in same.values()) and len({p for x in same.values() for _, p in x}) == len(same)
 
 
 def test_decontamination(spark):
@@ -320,11 +327,33 @@ def test_secrets(spark):
             assert r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
             assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s.startswith(k) for s in spans) for k in ("assign", "access", "hex"))
             assert set(spans) <= set(r["spans"].split(",")) | {""} and [s for s in r["spans"].split(",") if s and not s.startswith("random")] == spans
-    by = {r["doc_id"]: r["spans"] for r in got}
-    assert by[11] == "random:4:36" and by[10] == "" and by[12] == "hex:0:28"
     assert secret_scan.secrets(frame(spark, [])).count() == 0
 
 
+def prose(rng, n):
+    """Words of alternating consonants and vowels."""
+    return " ".join("".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+def test_random_strings_in_text(spark):
+    """Random strings of every encoding are found, long words of text are not."""
+    rng = random.Random(19)
+    rows = [(i, prose(rng, 600)) for i in range(400)]
+    long = ["".join(prose(rng, 12).split()) for _ in range(100)]
+    rows += [(1000 + i, f"see {w} here") for i, w in enumerate(long)]
+    planted = {}
+    for i, name in enumerate([*secret_scan.ENCODINGS] * 3):
+        letters = secret_scan.ENCODINGS[name][:64]
+        s = "".join(rng.choice(letters) for _ in range(64))
+        planted[2000 + i] = f"random:3:{3 + len(s)}"
+        rows.append((2000 + i, f"é: {s} ."))
+    got = {r["doc_id"]: set(r["spans"].split(",")) for r in secret_scan.secrets(frame(spark, rows)).collect()}
+    assert sum(planted[i] in got[i] for i in planted) >= 28
+    assert not any("random" in s for i, own in got.items() if i < 2000 for s in own)
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.masked(frame(spark, rows)).collect()}
+    assert all((clean[i] == "é: [SECRET] .") == (planted[i] in got[i] or "hex:3:67" in got[i]) for i in planted) and clean[1000] == rows[400][1]
+
+
 def test_masked(spark):
     rows = list(enumerate(SECRETS))
     got = {r["doc_id"]: r for r in secret_scan.masked(frame(spark, rows)).collect()}
@@ -332,13 +361,63 @@ def test_masked(spark):
     assert got[3]["n_tokens"] == "clash" and got[3]["text"] == SECRETS[3]
 
 
-def test_p_values():
+def battery_by_hand(text):
+    name, letters = next((k, v) for k, v in secret_scan.ENCODINGS.items() if set(text) <= set(v))
+    n, k = len(text), min(len(letters), 64)
+    chi = sum((text.count(c) - n / k) ** 2 / (n / k) for c in set(text)) + (k - len({c if c.isalnum() else "+-" if c in "+-" else "/_" for c in text})) * n / k
+    classes = lambda c: "l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "m"
+    kinds = [classes(c) for c in text] if len({classes(c) for c in letters}) > 1 else [letters.index(c) * 2 // len(letters) for c in text]
+    runs, sizes = 1 + sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)), [kinds.count(c) for c in set(kinds)]
+    two, three = sum(x**2 for x in sizes), sum(x**3 for x in sizes)
+    mean, var = (n * (n + 1) - two) / n, (two * (two + n * (n + 1)) - 2 * n * three - n**3) / (n * n * (n - 1))
+    x = [letters.index(c) if c.isalnum() else 62 + (c in "-_" and "-_".index(c) or c in "+/" and "+/".index(c)) for c in text]
+    m = sum(x) / n
+    serial = sum((a - m) * (b - m) for a, b in zip(x, x[1:], strict=False)) / sum((a - m) ** 2 for a in x)
+    return name, max(0, chi - k + 1) ** 2 / (2 * (k - 1) * (n - 1) / n) + (runs - mean) ** 2 / var + (serial + 1 / n) ** 2 * n
+
+
+def test_battery():
+    """Against plain loops; distances of random strings do not depend on their encoding or length."""
     rng = random.Random(1)
-    alphabets = {"hex": "0123456789abcdef", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
-    for a in alphabets.values():
-        assert np.mean([secret_scan.p_value("".join(rng.choice(a) for _ in range(40))) < 1e-4 for _ in range(100)]) > 0.95
-    vowel = lambda: rng.choice("aeiou")
-    assert np.mean([secret_scan.p_value("".join(rng.choice("bcdfgklmnprstv") + vowel() for _ in range(15))) > 0.05 for _ in range(100)]) > 0.95
+    for name, letters in secret_scan.ENCODINGS.items():
+        for n in (24, 64):
+            strings = ["".join(rng.choice(letters[:62]) for _ in range(n)) for _ in range(400)]
+            code, distance = secret_scan.battery(np.frombuffer("".join(strings).encode(), np.uint8), np.cumsum([n] * 400))
+            for s, c, d in list(zip(strings, code, distance, strict=True))[:40]:
+                want = battery_by_hand(s)
+                assert ([*secret_scan.ENCODINGS][c], round(d, 6)) == (want[0], round(want[1], 6))
+            if name != "base64":
+                assert 1 < np.median(distance) < 3
+    code, distance = secret_scan.battery(np.frombuffer(b"12345678901234567890" + b"ab" * 20, np.uint8), np.array([20, 60]))
+    assert np.isinf(distance).all()
+
+
+def test_p_values_are_calibrated():
+    """Small p-values are as rare on held-out text as they say, and usual on random strings."""
+    rng = random.Random(3)
+    shape = len(secret_scan.LENGTHS) * len(secret_scan.ENCODINGS) * secret_scan.BINS
+    p = secret_scan.p_values(np.bincount(secret_scan.pieces([prose(rng, 2000) for _ in range(400)]), minlength=shape))
+    held = p[secret_scan.pieces([prose(rng, 2000) for _ in range(400)])]
+    for level in (0.01, 0.05, 0.1):
+        assert (held <= level).mean() <= 1.3 * level
+    strings = ["".join(rng.choice(secret_scan.ENCODINGS["base62"]) for _ in range(40)) for _ in range(200)]
+    assert (p[secret_scan.candidates(strings)[1]] < 0.002).mean() > 0.95
+
+
+def test_benjamini_hochberg():
+    """Against the textbook rule, with ties."""
+    rng = np.random.default_rng(5)
+    n = len(secret_scan.ENCODINGS) * secret_scan.BINS
+    for _ in range(50):
+        p = np.round(rng.random(3 * n) ** 4, 3)
+        tested = (rng.random(3 * n) < 0.01) * rng.integers(1, 4, 3 * n)
+        want = []
+        for k in range(3):
+            own = [(p[i], i) for i in range(k * n, k * n + n) for _ in range(tested[i])]
+            own.sort()
+            cut = max((q for r, (q, _) in enumerate(own, 1) if q * len(own) <= 0.05 * r and q < 1), default=-1)
+            want += {i for q, i in own if q <= cut}
+        assert secret_scan.accepted(tested, p, 0.05) == sorted(want)
 
 
 def test_extra_columns_do_not_clash(spark):
