@@ -18,8 +18,8 @@ DROPPED_GENES = ["TRBV25/OR9-2*01"]
 
 def adaptive_to_airr(g: Column) -> Column:
     """TCRBV07-02 -> TRBV7-2; of an ambiguous a/b the first; an orphon's /OR9-2 stays."""
-    first = F.regexp_replace(F.trim(g), r"^(?!.*/OR\d)([^/]*)/.*$", "$1")
-    return F.regexp_replace(F.regexp_replace(first, r"TCRB([VDJ])", "TRB$1"), r"([^0-9])0+([0-9])", "$1$2")
+    first = F.regexp_replace(F.trim(g), r"^(?!(?i:.*/OR\d))([^/]*)/.*$", "$1")
+    return F.regexp_replace(F.regexp_replace(first, r"(?i)^TCRB([VDJ])", "TRB$1"), r"([^0-9])0+([0-9])", "$1$2")
 
 
 def strip_allele(g: Column) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, numbered
+
 CLONE = ["cdr3_aa", "v_call", "j_call"]
 THRESHOLDS = [1e-2, 1e-3, 1e-4, 1e-5, 1e-6]
 
@@ -26,7 +28,7 @@ def incidence(rep: DataFrame, labels: DataFrame, least: int = 2) -> DataFrame:
 
     Rows are made distinct by subject first, so a clone's row count is bounded by the subjects.
     """
-    held = rep.select("repertoire_id", *CLONE).distinct().join(F.broadcast(labels), "repertoire_id")
+    held = rep.select("repertoire_id", *CLONE).distinct().join(labels, "repertoire_id")
     return held.groupBy(*CLONE).agg(F.sum("label").alias("n_pos"), F.sum(1 - F.col("label")).alias("n_neg")).where(F.col("n_pos") + F.col("n_neg") >= least)
 
 
@@ -62,7 +64,7 @@ def subject_counts(rep: DataFrame, diagnostic: DataFrame, subjects: DataFrame) -
 
 def presence(rep: DataFrame, diagnostic: DataFrame) -> DataFrame:
     """Long 0/1 presence of diagnostic clones: the pairs that are 1."""
-    return rep.select("repertoire_id", *CLONE).distinct().join(F.broadcast(diagnostic.select(*CLONE)), CLONE)
+    return rep.select("repertoire_id", *CLONE).distinct().join(diagnostic.select(*CLONE), CLONE)
 
 
 def beta_binomial_nll(counts: DataFrame, a: float, b: float, by: list[str]) -> DataFrame:
@@ -129,13 +131,34 @@ def posterior(counts: DataFrame, params: DataFrame, by: list[str]) -> DataFrame:
     return j.withColumn("score", 1 / (1 + F.exp(-(prior + ll(1) - ll(0))))).drop("a0", "b0", "m0", "a1", "b1", "m1")
 
 
+def tuned_posterior(counts: DataFrame, subjects: DataFrame) -> tuple[float | None, DataFrame]:
+    """(threshold, scores): beta-binomial models fitted on the training rows at every threshold, the one of best AUROC on
+    the validation rows (the first of equals), and its posterior of all subjects.
+
+    ``counts``: (repertoire_id, threshold, n, k) of ``subjects`` (repertoire_id, label, role: train, validation, test).
+    Where no clone passes any threshold, or none can be judged, the threshold is None and all scores are 0.5.
+    """
+    from . import metrics
+
+    rows = counts.join(subjects, "repertoire_id")
+    params = fit_beta_binomial(rows.where("role = 'train'"), ["threshold", "label"])
+    scored = Scratch(counts.sparkSession).write(posterior(rows, params, ["threshold"]))
+    by = metrics.auroc(scored.where("role = 'validation'"), ["threshold"], "score", "label")
+    best = by.where("auroc is not null").orderBy(F.desc("auroc"), F.desc("threshold")).first()
+    if best is None:
+        return None, subjects.withColumn("score", F.lit(0.5))
+    own = scored.where(F.col("threshold") == best["threshold"]).select("repertoire_id", "score")
+    return best["threshold"], subjects.join(own, "repertoire_id", "left").withColumn("score", F.coalesce("score", F.lit(0.5)))
+
+
 def driver_p_scores(rep: DataFrame, clones: DataFrame) -> DataFrame:
     """Least p-value of each repertoire's CDR3s (1.0 for clones that were not tested)."""
     return rep.select("repertoire_id", *CLONE).distinct().join(clones.select(*CLONE, "p_value"), CLONE, "left").groupBy("repertoire_id", "cdr3_aa").agg(F.min(F.coalesce("p_value", F.lit(1.0))).alias("p_value"))
 
 
 def mann_whitney(df: DataFrame, feature: str, value: str, label: str) -> DataFrame:
-    """Per feature: U of the positives, its normal approximation with tie correction (z), means of both classes.
+    """Per feature: U of the positives, its normal approximation with tie correction (z) and two-sided p-value (1 where
+    there is no spread), means of both classes.
 
     Ranks come from counts by distinct value and their running sums, so no partition holds more than a feature's values.
     """
@@ -148,15 +171,26 @@ def mann_whitney(df: DataFrame, feature: str, value: str, label: str) -> DataFra
     )
     u = F.col("R") - F.col("n1") * (F.col("n1") + 1) / 2
     var = F.col("n1") * F.col("n0") / 12 * ((F.col("n") + 1) - F.col("ties") / (F.col("n") * (F.col("n") - 1)))
-    return sums.select(feature, u.alias("u"), F.when(var > 0, (u - F.col("n1") * F.col("n0") / 2) / F.sqrt(var)).otherwise(F.lit(0.0)).alias("z"), "mean1", "mean0")
+    z = F.when(var > 0, (u - F.col("n1") * F.col("n0") / 2) / F.sqrt(var)).otherwise(F.lit(0.0))
+    return sums.select(feature, u.alias("u"), z.alias("z"), two_sided(z).alias("p_value"), "mean1", "mean0")
+
+
+def two_sided(z: Column) -> Column:
+    """P(|Z| >= |z|) of a normal Z."""
+    erfc = F.java_method(F.lit("org.apache.commons.math3.special.Erf"), F.lit("erfc"), (F.abs(z) / math.sqrt(2)).cast("double"))
+    return erfc.cast("double")
+
+
+def enriched(tests: DataFrame, cut: float = 0.001) -> DataFrame:
+    """Features of p < ``cut``, largest difference of the means first."""
+    return tests.where(F.col("p_value") < cut).withColumn("difference", F.col("mean1") - F.col("mean0")).orderBy(F.desc("difference"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks, over a table of predictions (one row for each sample)."""
 
     def ranks(c: str) -> DataFrame:
-        counts = df.groupBy(c).agg(F.count("*").alias("c"))
-        before = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(c, (F.coalesce(F.sum("c").over(before), F.lit(0)) + (F.col("c") + 1) / 2).alias(f"rank_{c}"))
+        placed = numbered(df.select(c).where(F.col(c).isNotNull()), [c], "n")
+        return placed.groupBy(c).agg((F.avg("n") + 1).alias(f"rank_{c}"))
 
     return df.join(ranks(x), x).join(ranks(y), y).agg(F.corr(f"rank_{x}", f"rank_{y}").alias("spearman"))

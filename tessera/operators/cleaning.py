@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genes, sequences
 
-#: Export spelling -> common name.
+# Spellings of the export formats, and the standard layout.
 ADAPTIVE_NAMES = {
     "aminoAcid": "amino_acid", "vGeneName": "v_gene", "jGeneName": "j_gene", "sequenceStatus": "frame_type", "nucleotide": "rearrangement", "count (templates/reads)": "templates",
 }
@@ -36,7 +36,7 @@ def adaptive_steps(raw: DataFrame) -> DataFrame:
     df = raw.withColumns({"v_call": genes.v_gene(F.col("v_gene")), "j_call": genes.j_gene(F.col("j_gene")), "cdr3_aa": cdr3})
     present = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
     steps = {
-        "productive": F.col("frame_type") == "In",
+        "productive": F.col("frame_type") == "In" if "frame_type" in raw.columns else F.lit(True),  # older exports lack it
         "resolved": ~(genes.is_unresolved(F.col("v_gene")) | genes.is_unresolved(F.col("j_gene")) | genes.is_unresolved(F.col("amino_acid"))),
         "present": present(F.col("cdr3_aa")) & present(F.col("v_call")) & present(F.col("j_call")),
         "standard": sequences.is_standard(F.upper("cdr3_aa")),
@@ -81,6 +81,21 @@ def igblast_steps(df: DataFrame) -> DataFrame:
     return df.withColumns({"removed_by": first_failed(steps), "sequence_id": F.concat_ws("|", "run_label", F.col("trimmed_read_id").cast("string"))})
 
 
+def miss_totals(misses: dict[str, DataFrame], key: str = "v_call") -> DataFrame:
+    """(step, key, n_rows) of several counters, such as renames and reference misses, summed over their tables."""
+    out = None
+    for step, df in misses.items():
+        one = df.select(F.lit(step).alias("step"), F.col(key).alias("key"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("step", "key").agg(F.sum("n_rows").alias("n_rows"))
+
+
+def still_missing(df: DataFrame, columns: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Rows of which each column is still null after a fill, in all or by group."""
+    counts = [F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in columns]
+    return df.groupBy(*by).agg(F.count("*").alias("n_rows"), *counts)
+
+
 def overwrite_from_reference(df: DataFrame, reference: DataFrame, columns: dict[str, str], on: str = "v_call") -> DataFrame:
     """Columns of ``df`` overwritten by the reference's where these are not null.  ``columns``: own -> reference's."""
     ref = reference.select(on, *(F.col(r).alias(f"__{o}") for o, r in columns.items()))
@@ -138,6 +153,13 @@ def audit(df: DataFrame) -> DataFrame:
     )
 
 
+def audit_groups(df: DataFrame, meta: DataFrame, keys: list[str]) -> DataFrame:
+    """Specimens and rows by metadata columns such as fold and disease; ``keys`` of specimens without metadata are null."""
+    n = df.groupBy("repertoire_id").agg(F.count("*").alias("n"))
+    own = n.join(meta.select(F.col("specimen_label").alias("repertoire_id"), *keys), "repertoire_id", "left")
+    return own.groupBy(*keys).agg(F.count("*").alias("n_specimens"), F.sum("n").alias("n_rows"))
+
+
 def fill_reads(df: DataFrame, name: str = "num_reads", sources: tuple[str, ...] = ("templates", "seq_reads")) -> DataFrame:
     """Read counts from the first source that has one; a row without any stops the job."""
     have = [F.col(c) for c in sources if c in df.columns]

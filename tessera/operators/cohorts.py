@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import md5_order
+from ..scratch import numbered
+from .sampling import stratified_folds
 
 HEALTHY = "Healthy/Background"
 # Cohort adjustment of each disease.
@@ -145,9 +147,8 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def source_mismatches(supplement: DataFrame, files: DataFrame, order: str, age_tolerance: float = 2) -> DataFrame:
     """Supplement rows and files paired by their order; pairs that differ in sex, status or age."""
-    w = Window.orderBy(order)  # metadata: one row for each subject
-    s = supplement.select(*(F.col(c).alias(f"s_{c}") for c in ("sex", "status", "age")), F.row_number().over(w).alias("i"))
-    f = files.select(*(F.col(c).alias(f"f_{c}") for c in ("sex", "status", "age")), F.row_number().over(w).alias("i"))
+    s = numbered(supplement, [order], "n").select(*(F.col(c).alias(f"s_{c}") for c in ("sex", "status", "age")), (F.col("n") + 1).alias("i"))
+    f = numbered(files, [order], "n").select(*(F.col(c).alias(f"f_{c}") for c in ("sex", "status", "age")), (F.col("n") + 1).alias("i"))
     j = s.join(f, "i", "full")
     differs = lambda c: ~F.col(f"s_{c}").eqNullSafe(F.col(f"f_{c}"))
     age = F.coalesce(F.abs(F.col("s_age") - F.col("f_age")) > age_tolerance, F.col("s_age").isNull() != F.col("f_age").isNull())
@@ -157,7 +158,7 @@ def source_mismatches(supplement: DataFrame, files: DataFrame, order: str, age_t
 def split_by_metadata(rep: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of known specimens, the unknown specimens with their rows)."""
     known = meta.select(F.col("specimen_label").alias("repertoire_id")).distinct()
-    return rep.join(F.broadcast(known), "repertoire_id", "left_semi"), rep.groupBy("repertoire_id").agg(F.count("*").alias("n_rows")).join(known, "repertoire_id", "left_anti")
+    return rep.join(known, "repertoire_id", "left_semi"), rep.groupBy("repertoire_id").agg(F.count("*").alias("n_rows")).join(known, "repertoire_id", "left_anti")
 
 
 def overview(rep: DataFrame, meta: DataFrame) -> DataFrame:
@@ -207,6 +208,17 @@ def transfer_set(train: DataFrame, score: DataFrame) -> DataFrame:
     return train.withColumn("role", F.lit("train")).unionByName(score.withColumn("role", F.lit("test")), allowMissingColumns=True)
 
 
+def transfer_folds(train: DataFrame, score: DataFrame, label: str, key: str, k: int) -> DataFrame:
+    """k-fold form: cohort A trains every fold, cohort B's folds are scored in turn by models that saw A and the others.
+
+    One row for each fold and specimen with its role; folds whose test part has no row do not occur.
+    """
+    folds = stratified_folds(score, label, key, k)
+    grid = folds.select("cv_fold").distinct().withColumnRenamed("cv_fold", "fold")
+    own = folds.join(F.broadcast(grid)).withColumn("role", F.when(F.col("cv_fold") == F.col("fold"), "test").otherwise("train")).drop("cv_fold")  # k rows
+    return train.join(F.broadcast(grid)).withColumn("role", F.lit("train")).unionByName(own, allowMissingColumns=True)
+
+
 def attach_scores(meta: DataFrame, scores: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     j = meta.join(scores, key, "left")
     return j.where("model_score is not null"), j.where("model_score is null").drop("model_score")
@@ -234,6 +246,6 @@ def cohort_lists(meta: DataFrame, diseases: list[str], seeds: list[int] = BASELI
 
 def supertypes(df: DataFrame, key: str, alleles: str, table: DataFrame, keep_unmapped: bool = False) -> DataFrame:
     """Allele lists mapped by a table (allele, supertype); unmapped ones are dropped or kept."""
-    long = df.select(key, F.explode(alleles).alias("allele")).join(F.broadcast(table), "allele", "left")
+    long = df.select(key, F.explode(alleles).alias("allele")).join(table, "allele", "left")
     found = F.coalesce("supertype", "allele") if keep_unmapped else F.col("supertype")
     return long.groupBy(key).agg(F.sort_array(F.collect_set(found)).alias("supertypes"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences
+from ..scratch import numbered
 
 REP = "repertoire_id"
 
@@ -55,11 +56,13 @@ def cut(df: DataFrame, mode: str, value: float, count: str = "n_reads", tie: str
 def kmer_frequencies(df: DataFrame, k: int = 4, column: str = "cdr3_aa") -> DataFrame:
     """Share of every k-mer and one-gap k-mer among all of a repertoire's, over rows (not distinct CDR3s).
 
-    Rows are summed by distinct CDR3 before they are exploded, so public CDR3s are cut up once.
+    Rows are summed by distinct CDR3 before they are exploded, so public CDR3s are cut up once.  A repertoire's total is
+    known from the lengths, k + 1 features for each place, so no window runs over its k-mers.
     """
     rows = df.groupBy(REP, column).agg(F.count("*").alias("m"))
     counts = rows.select(REP, F.explode(sequences.gapped_kmers(F.col(column), k)).alias("feature"), "m").groupBy(REP, "feature").agg(F.sum("m").alias("n"))
-    return counts.select(REP, "feature", "n", (F.col("n") / F.sum("n").over(Window.partitionBy(REP))).alias("value"))
+    total = rows.groupBy(REP).agg(F.sum(F.greatest(F.length(column) - k + 1, F.lit(0)) * (k + 1) * F.col("m")).alias("total"))
+    return counts.join(total, REP).select(REP, "feature", "n", (F.col("n") / F.col("total")).alias("value"))
 
 
 def gene_usage(df: DataFrame) -> DataFrame:
@@ -93,7 +96,7 @@ def gene_vocabulary_compare(a: DataFrame, b: DataFrame, column: str) -> DataFram
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
     """Sorted distinct values numbered from 1; a value outside and null get 0 on lookup."""
     values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
-    return values.select("value", F.row_number().over(Window.orderBy("value")).alias("id"))
+    return numbered(values, ["value"], "n").select("value", (F.col("n") + 1).alias("id"))
 
 
 def cluster_frequencies(df: DataFrame, weight: str) -> DataFrame:
@@ -101,6 +104,23 @@ def cluster_frequencies(df: DataFrame, weight: str) -> DataFrame:
     return df.groupBy(REP, "cluster").agg(F.sum(weight).alias("weight"))
 
 
+def cluster_matrix(df: DataFrame, weight: str, column: str = "cdr3_aa") -> tuple[DataFrame, DataFrame]:
+    """((repertoire, cluster): summed weight; cluster: its members' length spread and whether lengths vary)."""
+    n = F.length(column)
+    return cluster_frequencies(df, weight), df.groupBy("cluster").agg(F.count("*").alias("n_rows"), (F.max(n) - F.min(n)).alias("length_spread"), F.countDistinct(n).alias("n_lengths"))
+
+
+def representatives(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each group in ``order``: a class's most probable sequences, its highest or lowest."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def attention_driver_scores(df: DataFrame, score: str, column: str = "cdr3_aa") -> DataFrame:
+    """Each CDR3's largest attention weight in its repertoire."""
+    e = df.withColumn("e", F.exp(F.col(score) - F.max(score).over(Window.partitionBy(REP))))
+    return e.withColumn("weight", F.col("e") / F.sum("e").over(Window.partitionBy(REP))).groupBy(REP, column).agg(F.max("weight").alias("score"))
+
+
 def diversity(df: DataFrame, weight: str = "weight") -> DataFrame:
     """Clusters of positive weight and Shannon entropy (natural logarithm) of each repertoire."""
     shares = df.where(F.col(weight) > 0).withColumn("p", F.col(weight) / F.sum(weight).over(Window.partitionBy(REP)))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import VectorUDT  # noqa: F401  (registers the type)
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import numbered
 from . import metrics, sampling
 
 KMER_C = [0.001, 0.003, 0.01, 0.03, 0.1]
@@ -21,7 +24,7 @@ GENE_C = [1.0, 0.3, 0.1, 0.03]
 
 def feature_index(long: DataFrame, train: DataFrame, key: str = "repertoire_id") -> DataFrame:
     """(feature, id): the features of training rows in sorted order; others are dropped later."""
-    return long.join(train.select(key), key, "left_semi").select("feature").distinct().select("feature", (F.row_number().over(Window.orderBy("feature")) - 1).alias("id"))
+    return numbered(long.join(train.select(key), key, "left_semi").select("feature").distinct(), ["feature"], "id").withColumn("id", F.col("id").cast("int"))
 
 
 def scales(long: DataFrame, index: DataFrame, train: DataFrame, key: str = "repertoire_id") -> DataFrame:
@@ -33,12 +36,15 @@ def scales(long: DataFrame, index: DataFrame, train: DataFrame, key: str = "repe
 
 
 def vectors(long: DataFrame, scaled: DataFrame, rows: DataFrame, key: str = "repertoire_id") -> DataFrame:
-    """``rows`` with a dense-by-index feature vector, each value divided by its feature's deviation."""
+    """``rows`` with a sparse feature vector, each value divided by its feature's deviation."""
     size = scaled.count()
-    cells = long.join(scaled, "feature").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("id", (F.col("value") / F.col("std")).alias("x")))).alias("m"))
-    zero = F.sequence(F.lit(0), F.lit(size - 1))
-    j = rows.join(cells, key, "left")
-    return j.withColumn("features", array_to_vector(F.transform(zero, lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0.0))))).drop("m")
+
+    @F.udf(returnType=VectorUDT())
+    def sparse(cells):  # one call for each repertoire
+        return Vectors.sparse(size, [(c["id"], c["x"]) for c in cells or []])
+
+    cells = long.join(scaled, "feature").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", (F.col("value") / F.col("std")).alias("x")))).alias("cells"))
+    return rows.join(cells, key, "left").withColumn("features", sparse("cells")).drop("cells")
 
 
 def l1_logistic(train: DataFrame, c: float, n: int, label: str = "label"):
@@ -79,9 +85,9 @@ def coefficient_table(spark, model, scaled: DataFrame) -> DataFrame:
 
 def predict_long(long: DataFrame, coefficients: DataFrame, rows: DataFrame, key: str = "repertoire_id") -> DataFrame:
     """Probability of every row from the long features and the coefficient table alone: this is how saved models score."""
-    z = long.join(F.broadcast(coefficients), "feature").groupBy(key).agg(F.sum(F.col("value") * F.col("weight")).alias("z"))
+    z = long.join(coefficients, "feature").groupBy(key).agg(F.sum(F.col("value") * F.col("weight")).alias("z"))
     b = coefficients.where("feature = ''").select(F.col("weight").alias("b"))
-    j = rows.join(z, key, "left").join(F.broadcast(b))
+    j = rows.join(z, key, "left").join(F.broadcast(b))  # one row
     return j.withColumn("score", 1 / (1 + F.exp(-(F.coalesce("z", F.lit(0.0)) + F.col("b"))))).drop("z", "b")
 
 
@@ -94,12 +100,54 @@ def blend(kmer: DataFrame, gene: DataFrame, key: str = "repertoire_id", label: s
     return alpha, grid.where(F.col("alpha") == alpha).select(key, label, "score")
 
 
-def boosted_trees(train: DataFrame, validation: DataFrame, label: str = "label", rounds: int = 50, depth: int = 3, step: float = 0.1, seed: int = 7):
+# Two grids, the second at the best of the first: depth and step, then share of rows and of features, leaf size.
+TREE_GRIDS = ({"depth": [3, 4, 5, 6], "step": [0.01, 0.03, 0.05, 0.1]}, {"rows": [0.7, 0.8, 1.0], "columns": [0.7, 0.8, 1.0], "leaf": [1, 3, 5]})
+
+
+def boosted_trees(train: DataFrame, validation: DataFrame, label: str = "label", rounds: int = 50, depth: int = 3, step: float = 0.1, rows: float = 1.0, columns: float = 1.0, leaf: int = 1, seed: int = 7):
+    """Gradient-boosted trees; rounds end early where the validation rows (others than the training rows) gain no more."""
     both = train.withColumn("is_validation", F.lit(False)).unionByName(validation.withColumn("is_validation", F.lit(True)))
-    return GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, validationIndicatorCol="is_validation", seed=seed).fit(both)
+    model = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=rows, featureSubsetStrategy="all" if columns >= 1 else str(columns), minInstancesPerNode=leaf, validationIndicatorCol="is_validation", seed=seed)
+    return model.fit(both)
+
+
+def tuned_trees(train: DataFrame, validation: DataFrame, grids=TREE_GRIDS, folds: int = 3, rounds: int = 1000, key: str = "repertoire_id", label: str = "label") -> tuple[dict, object]:
+    """(parameters, model): the first of best mean AUROC over stratified folds in each grid, then a fit with early stopping
+    on ``validation``."""
+    tagged = sampling.stratified_folds(train, label, key, folds).persist()
+    best: dict = {"rows": 0.8, "columns": 0.8, "leaf": 3}
+    for grid in grids:
+        top = -1.0
+        for values in itertools.product(*grid.values()):
+            tried = best | dict(zip(grid, values, strict=True))
+            scored = None
+            for f in range(folds):
+                held = tagged.where(F.col("cv_fold") == f)
+                one = probability(boosted_trees(tagged.where(F.col("cv_fold") != f), held, label, rounds, **tried), held).select(label, "score", "cv_fold")
+                scored = one if scored is None else scored.unionByName(one)
+            mean = metrics.auroc(scored, ["cv_fold"], "score", label).agg(F.avg("auroc")).first()[0]
+            if mean is not None and mean > top:
+                top, chosen = mean, tried
+        best = chosen if top >= 0 else tried
+    tagged.unpersist()
+    return best, boosted_trees(train, validation, label, rounds, **best)
+
+
+def tree_sequence_scores(rows: DataFrame, scaled: DataFrame, model, keys: list[str], key: str = "repertoire_id") -> DataFrame:
+    """(key, cdr3_aa, score): a tree model's probability of each distinct row (``keys``: cdr3_aa and what makes features),
+    largest for each CDR3.
+
+    ``rows``: (*keys, feature, value) in long form, the features of one sequence.  Distinct sequences are scored once.
+    """
+    named = rows.withColumn("__k", F.concat_ws("|", *keys))
+    seen = named.select("__k", "cdr3_aa").distinct()
+    scored = probability(model, vectors(named.select("__k", "feature", "value").distinct(), scaled, seen, "__k")).select("__k", "score")
+    held = named.select(key, "cdr3_aa", "__k").distinct()
+    return held.join(scored, "__k").groupBy(key, "cdr3_aa").agg(F.max("score").alias("score"))
 
 
 def class_weight(df: DataFrame, label: str = "label") -> DataFrame:
+    """Negative rows for each positive one."""
     return df.agg((F.count_if(F.col(label) == 0) / F.greatest(F.count_if(F.col(label) == 1), F.lit(1))).alias("positive_weight"))
 
 
@@ -118,13 +166,14 @@ def mil_fit(bags: DataFrame, labels: DataFrame, restarts: int = 8, steps: int =
     """(weights, intercept, training loss) of the best restart.  One Spark job a step for all restarts.
 
     A step scores every instance under all restarts in one map, keeps each bag's best instance of each restart (partial
-    maxima by batch, then by bag) and moves the parameters on the driver: what comes back is bags x restarts rows.
+    maxima by batch, then by bag), and sums loss and gradient of each restart over the bags: what reaches the driver is one
+    row of parameter size for each restart.  Weights start at N(0, (1/20)^2).
     """
     size = len(bags.first()["x"])
     rng = np.random.default_rng(seed)
-    params = np.hstack([rng.normal(0, 1 / np.sqrt(max(size, 1)), (restarts, size)), np.zeros((restarts, 1))])
-    held = bags.select("repertoire_id", "x").persist()
-    y = {r[0]: r[1] for r in labels.select("repertoire_id", "label").collect()}
+    params = np.hstack([rng.normal(0, 1 / 20, (restarts, size)), np.zeros((restarts, 1))])
+    held = bags.select("repertoire_id", "x").join(labels.select("repertoire_id"), "repertoire_id", "left_semi").persist()
+    y = labels.select("repertoire_id", F.col("label").cast("double").alias("y"))
     m, v = np.zeros_like(params), np.zeros_like(params)
     loss = np.full(restarts, np.inf)
     for t in range(1, steps + 1):
@@ -142,14 +191,14 @@ def mil_fit(bags: DataFrame, labels: DataFrame, restarts: int = 8, steps: int =
                         yield pd.DataFrame({"repertoire_id": names[codes[at]], "r": r, "z": z[at, r], "x": [x[i].tolist() for i in at]})
 
         part = held.mapInPandas(best, "repertoire_id string, r int, z double, x array<double>")
-        rows = part.groupBy("repertoire_id", "r").agg(F.max_by("x", "z").alias("x"), F.max("z").alias("z")).toPandas()
-        rows = rows[rows["repertoire_id"].isin(y)]
-        for r, g in rows.groupby("r"):
-            target = np.array([y[k] for k in g["repertoire_id"]], float)
-            p = np.clip(1 / (1 + np.exp(-np.clip(g["z"].to_numpy(), -30, 30))), 1e-7, 1 - 1e-7)
-            loss[r] = -np.mean(target * np.log(p) + (1 - target) * np.log(1 - p))
-            x = np.hstack([np.stack(g["x"].to_numpy()), np.ones((len(g), 1))])
-            grad = ((p - target)[:, None] * x).mean(axis=0)
+        top = part.groupBy("repertoire_id", "r").agg(F.max_by("x", "z").alias("x"), F.max("z").alias("z")).join(y, "repertoire_id")
+        p = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), 1 / (1 + F.exp(-F.col("z")))))
+        off = p - F.col("y")
+        sums = top.groupBy("r").agg(
+            F.avg(-F.col("y") * F.ln(p) - (1 - F.col("y")) * F.ln(1 - p)).alias("loss"), F.avg(off).alias("g"), F.array(*(F.avg(off * F.get("x", F.lit(i))) for i in range(size))).alias("gs")
+        )
+        for r, now, last, grad in sums.select("r", "loss", "g", "gs").collect():
+            loss[r], grad = now, np.array([*grad, last])
             m[r], v[r] = 0.9 * m[r] + 0.1 * grad, 0.99 * v[r] + 0.01 * grad * grad
             params[r] -= rate * (m[r] / (1 - 0.9**t)) / (np.sqrt(v[r] / (1 - 0.99**t)) + 1e-8)
     held.unpersist()
@@ -171,7 +220,7 @@ def residualized(long: DataFrame, covariates: DataFrame, train: DataFrame, names
     xy = long.join(known.select(key, *cols), key).groupBy("feature").agg(F.array(*(F.sum(F.col("value") * F.col(c)) for c in cols)).alias("xy"))
     rows = F.array(*(F.array(*map(F.lit, map(float, r))) for r in inverse))
     beta = xy.withColumn("beta", F.transform(rows, lambda r: F.aggregate(F.zip_with(r, "xy", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))).select("feature", "beta")
-    grid = one.select(key, F.array(*cols).alias("c")).join(F.broadcast(beta))
+    grid = one.select(key, F.array(*cols).alias("c")).crossJoin(beta)  # the result is dense: every subject has every residual
     fit = F.aggregate(F.zip_with("c", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     return grid.join(long.select(key, "feature", "value"), [key, "feature"], "left").select(key, "feature", (F.coalesce("value", F.lit(0.0)) - fit).alias("value"))
 
@@ -184,12 +233,83 @@ def kmeans_clusters(df: DataFrame, vector: str, k: int, seed: int = 7, sample: f
 
 
 def demographic_features(meta: DataFrame, mean_age: float) -> DataFrame:
-    """age (mean where missing), age_missing, sex_M, sex_unknown and one-hot ancestry, as numbers."""
+    """age (mean where missing), age_missing, sex_M and sex_unknown as numbers; ancestry: ``ancestry_columns``."""
     return meta.withColumns({
         "c_age": F.coalesce("age", F.lit(mean_age)), "c_age_missing": F.col("age").isNull().cast("double"), "c_sex_m": F.coalesce((F.col("sex") == "M").cast("double"), F.lit(0.0)), "c_sex_unknown": F.col("sex").isNull().cast("double"),
     })
 
 
+def ancestry_columns(meta: DataFrame, known: list[str]) -> dict:
+    """One-hot columns c_<ancestry> of the shared vocabulary ``known``; others and nulls are all 0."""
+    return {f"c_{a.lower().replace('/', '_').replace(' ', '_')}": F.coalesce((F.col("ancestry") == a).cast("double"), F.lit(0.0)) for a in known}
+
+
+#: Inverse penalties of the demographic model.
+DEMOGRAPHIC_C = [1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0]
+
+
+def l2_logistic(train: DataFrame, c: float, n: int, label: str = "label"):
+    return LogisticRegression(labelCol=label, elasticNetParam=0.0, regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=200).fit(train)
+
+
+def demographic_model(train: DataFrame, validation: DataFrame, columns: list[str], grid: list[float] = DEMOGRAPHIC_C, key: str = "specimen_label", label: str = "label"):  # noqa: B006
+    """(C, scale) -> the L2 model of best validation AUROC (the first of equals), refitted on training and validation rows.
+
+    Returns (C, function that scores a table of the same columns).
+    """
+    t, v = standardized(train, validation, columns)
+    n, scored = train.count(), None
+    for c in grid:
+        one = probability(l2_logistic(t, c, n, label), v).select(label, "score", F.lit(c).alias("c"))
+        scored = one if scored is None else scored.unionByName(one)
+    best = metrics.auroc(scored, ["c"], "score", label).where("auroc is not null").orderBy(F.desc("auroc"), "c").first()
+    c = best["c"] if best else 1.0
+    both = train.unionByName(validation)
+    model = l2_logistic(standardized(both, both, columns)[0], c, both.count(), label)
+    return c, lambda df: probability(model, standardized(both, df, columns)[1]).drop("features")
+
+
+def usage_and_demographics(long: DataFrame, meta: DataFrame, train: DataFrame, test: DataFrame, grid: list[float] = GENE_C, folds: int = 5, least: int = 10, key: str = "repertoire_id"):  # noqa: B006
+    """(C, scores): L1 model on repertoire features and demographics together, C by cross-validation (1.0 where a class has
+    fewer than ``least`` rows)."""
+    from .features import joined_features
+
+    every = joined_features(long, meta)
+    scaled = scales(every, feature_index(every, train, key), train, key).persist()
+    v = vectors(every, scaled, train, key).persist()
+    sizes = [r["count"] for r in train.groupBy("label").count().collect()]
+    c = choose_c(v, grid, folds, key) if len(sizes) > 1 and min(sizes) >= least else 1.0
+    return c, predict_long(every, coefficient_table(long.sparkSession, l1_logistic(v, c, v.count()), scaled), test, key)
+
+
+def embedding_and_demographics(df: DataFrame, train: DataFrame, vector: str, columns: list[str], grid: list[float] = GENE_C, folds: int = 5, key: str = "specimen_label"):  # noqa: B006
+    """(C, scores of ``df``): two blocks, standardized each on ``train``, concatenated for an L1 model with C by
+    cross-validation."""
+    from pyspark.ml.functions import array_to_vector as to_vector
+
+    place = lambda x: x.withColumn("__e", to_vector(F.transform(vector, lambda c: c.cast("double"))))
+    scaler = StandardScaler(inputCol="__e", outputCol="__es", withMean=True).fit(place(train))
+    joined = VectorAssembler(inputCols=["__es", "__ds"], outputCol="features")
+    out = []
+    for x in standardized(train, df, columns):
+        both = scaler.transform(place(x.withColumnRenamed("features", "__ds")))
+        out.append(joined.transform(both).drop("__e", "__es", "__ds"))
+    t = out[0].persist()
+    c = choose_c(t, grid, folds, key)
+    return c, probability(l1_logistic(t, c, t.count()), out[1]).drop("features")
+
+
+def abundance_method(bags: dict[str, DataFrame], train: DataFrame, validation: DataFrame, **fit) -> tuple[str, tuple]:
+    """(name, model): of several encodings of the bags the one whose model has the best validation AUROC (first of equals)."""
+    best = (-1.0, "", ())
+    for name, b in bags.items():
+        model = mil_fit(b, train, **fit)
+        auc = metrics.auroc(mil_scores(b, model[0].tolist(), model[1], validation).withColumn("m", F.lit(name)), ["m"], "score", "label").first()
+        if auc and auc["auroc"] is not None and auc["auroc"] > best[0]:
+            best = (auc["auroc"], name, model)
+    return best[1], best[2]
+
+
 def standardized(train: DataFrame, df: DataFrame, columns: list[str], center: bool = True) -> tuple[DataFrame, DataFrame]:
     assembler = VectorAssembler(inputCols=columns, outputCol="raw_features")
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=center).fit(assembler.transform(train))
@@ -201,6 +321,13 @@ def attribution(df: DataFrame, score: str, vector: str = "features") -> list[flo
     return LinearRegression(featuresCol=vector, labelCol=score, regParam=1e-6).fit(df).coefficients.toArray().tolist()
 
 
+def class_attribution(df: DataFrame, scores: dict[str, str], names: list[str], vector: str = "features") -> DataFrame:
+    """(class, feature, weight, rank): each class's linear weights, largest first; ``scores``: class -> score column."""
+    rows = [(k, n, w) for k, c in scores.items() for n, w in zip(names, attribution(df, c, vector), strict=True)]
+    out = df.sparkSession.createDataFrame(rows, "class string, feature string, weight double")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("weight"), "feature")))
+
+
 def average_over_splits(rows: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
     """Mean of a row's test predictions over repeated splits; 0 for rows that were never tested."""
     return rows.join(predictions.groupBy(key).agg(F.avg("score").alias("score")), key, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

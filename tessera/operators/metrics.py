@@ -84,6 +84,24 @@ def chance_recall(hits: DataFrame) -> DataFrame:
     return hits.groupBy("k").agg(F.avg(F.least(F.col("k") / F.col("n"), F.lit(1.0))).alias("chance_recall"))
 
 
+def simulated_chance_recall(hits: DataFrame, trials: int = 10_000, seed: int = 7) -> DataFrame:
+    """Recall at k of random rankings, by ``trials`` hypergeometric draws for each repertoire; the list's size divides.
+
+    ``hits``: (repertoire_id, k, n: sequences, n_drivers: listed, n_present: listed ones that occur).
+    """
+    import numpy as np
+    import pandas as pd
+
+    def draw(batches):
+        for b in batches:
+            rng = [np.random.default_rng([seed, int(k), *map(ord, str(r))]) for r, k in zip(b["repertoire_id"], b["k"], strict=True)]
+            mean = [g.hypergeometric(int(p), int(n - p), min(int(k), int(n)), trials).mean() / d for g, p, n, k, d in zip(rng, b["n_present"], b["n"], b["k"], b["n_drivers"], strict=True)]
+            yield pd.DataFrame({"k": b["k"], "recall": mean})
+
+    rows = hits.select(F.col("repertoire_id").cast("string").alias("repertoire_id"), "k", "n", "n_drivers", "n_present")
+    return rows.mapInPandas(draw, "k int, recall double").groupBy("k").agg(F.avg("recall").alias("chance_recall"))
+
+
 def depth_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean and standard error by group; the error of a single value is 0."""
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value) / F.sqrt(F.count("*")), F.lit(0.0)).alias("standard_error"))

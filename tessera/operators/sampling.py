@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import md5_order
+from ..scratch import numbered
 
 REP = "repertoire_id"
 
@@ -95,5 +96,10 @@ def three_way_split(df: DataFrame, label: str, key: str, test_share: float = 0.2
 def leave_out(df: DataFrame, label: str, key: str, n: int, seed: int = 7) -> DataFrame:
     """n rows held out, spread evenly over the classes."""
     rank = F.row_number().over(Window.partitionBy(label).orderBy(md5_order(seed, F.col(key)), key))
-    turn = F.row_number().over(Window.orderBy("__r", label))
-    return df.withColumn("__r", rank).withColumn("role", F.when(turn <= n, "test").otherwise("train")).drop("__r")
+    turns = numbered(df.withColumn("__r", rank), ["__r", label], "__turn")
+    return turns.withColumn("role", F.when(F.col("__turn") < n, "test").otherwise("train")).drop("__r", "__turn")
+
+
+def only_allowed(meta: DataFrame, indices: DataFrame, key: str = "specimen_label") -> DataFrame:
+    """Metadata of the specimens that a depth table names."""
+    return meta.join(indices.select(F.col(REP).alias(key)).distinct(), key, "left_semi")

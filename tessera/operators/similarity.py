@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences
+from ..scratch import numbered
 from .graph import components
 
 
@@ -108,11 +109,12 @@ def _directions(size: int, n: int) -> list[list[float]]:
     return out
 
 
-def isometric_pairs(left: DataFrame, right: DataFrame, size: int, threshold: float = 7.0, projections: int = 2) -> DataFrame:
+def isometric_pairs(left: DataFrame, right: DataFrame, size: int, threshold: float = 7.0, projections: int = 2, gaps: int = 4) -> DataFrame:
     """(a, b, distance) of equally long sequences with squared L2 <= threshold - 0.5 (15 - length); inputs from ``encoded``.
 
     Sequences that close fall into the same or neighbouring cells of any projection with cells as wide as the radius, so
-    the equi join on (length, cells) has exact recall however the codes are spread.
+    the equi join on (length, cells) has exact recall however the codes are spread.  Of the pairs that meet, those whose
+    further projections lie more than a radius apart are left out before the distance, which is one unrolled sum, is taken.
     """
     limit = F.lit(threshold) - 0.5 * (15 - F.col("len"))
 
@@ -124,10 +126,25 @@ def isometric_pairs(left: DataFrame, right: DataFrame, size: int, threshold: flo
         return df
 
     keys = ["len", *(f"cell{p}" for p in range(projections))]
-    a = cells(left, False).select(*keys, F.col("cdr3_aa").alias("a"), F.col("code").alias("ca"), "limit")
-    b = cells(right, True).select(*keys, F.col("cdr3_aa").alias("b"), F.col("code").alias("cb"))
-    d = sequences.squared_distance(F.col("ca"), F.col("cb"))
-    return a.join(b, keys).where("a <> b").select("a", "b", "len", "limit", d.alias("distance")).where("distance <= limit").select("a", "b", "len", "distance")
+    more = _directions(size, projections + gaps)[projections:]
+    at = lambda n: [sequences.dot(F.col("code"), F.array(*map(F.lit, d))).alias(f"{n}{i}") for i, d in enumerate(more)]
+    a = cells(left, False).select(*keys, F.col("cdr3_aa").alias("a"), F.col("code").alias("ca"), "limit", F.sqrt("limit").alias("radius"), *at("pa"))
+    b = cells(right, True).select(*keys, F.col("cdr3_aa").alias("b"), F.col("code").alias("cb"), *at("pb"))
+    met = a.join(b, keys).where("a <> b")
+    for i in range(gaps):
+        met = met.where(F.abs(F.col(f"pa{i}") - F.col(f"pb{i}")) <= F.col("radius") + 1e-9)
+    terms = [(F.get("ca", F.lit(i)) - F.get("cb", F.lit(i))) * (F.get("ca", F.lit(i)) - F.get("cb", F.lit(i))) for i in range(size)]
+    return met.select("a", "b", "len", "limit", sum(terms[1:], terms[0]).alias("distance")).where("distance <= limit").select("a", "b", "len", "distance")
+
+
+def query_nearest(queries: DataFrame, reference: DataFrame, size: int, threshold: float = 7.0) -> DataFrame:
+    """(a, b, side, distance): each query's nearest other sequence of queries and reference; inputs from ``encoded``.
+
+    ``side`` tells where the nearest one is from; a sequence of both counts as reference, ties go by name.
+    """
+    both = queries.join(reference.select("cdr3_aa"), "cdr3_aa", "left_anti").withColumn("side", F.lit("query")).unionByName(reference.withColumn("side", F.lit("reference")))
+    near = nearest(isometric_pairs(queries, both.drop("side"), size, threshold))
+    return near.join(both.select(F.col("cdr3_aa").alias("b"), "side"), "b").select("a", "b", "side", "distance")
 
 
 def nearest(pairs: DataFrame) -> DataFrame:
@@ -136,15 +153,21 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a").agg(best.alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.distance").alias("distance"))
 
 
-def isometric_clusters(pairs: DataFrame, members: DataFrame, v_scores: DataFrame | None = None, least: float = 3.7) -> DataFrame:
+def isometric_clusters(pairs: DataFrame, members: DataFrame, v_scores: DataFrame | None = None, least: float = 3.7, residue_scores: dict[str, float] | None = None, alike: float = 3.5) -> DataFrame:
     """(cdr3_aa, v_call, cluster): components of nearest pairs, split into components of compatible V genes.
 
-    ``members``: distinct (cdr3_aa, v_call).  V compatibility runs on the distinct genes of a cluster: equal, or a pair of
-    ``v_scores`` (v1, v2, score) of ``least`` or more.  Clusters are named by their smallest member.
+    ``members``: (cdr3_aa, v_call), one row for each time it was seen.  V compatibility runs on the distinct genes of a
+    cluster: equal, or a pair of ``v_scores`` (v1, v2, score) of ``least`` or more.  With ``residue_scores`` a third stage
+    keeps, of the edges inside a cluster, those whose residue score by length reaches ``alike``.  A member without a partner
+    that was seen more than once is a cluster of its own.  Clusters are named by their smallest member.
     """
+    seen = members.groupBy("cdr3_aa", "v_call").agg(F.count("*").alias("n"))
     near = nearest(pairs)
+    if residue_scores is not None:
+        near = near.where(sequences.pair_scores(F.col("a"), F.col("b"), residue_scores) / F.length("a") >= alike)
     stage1 = components(near, "a", "b").select(F.col("node").alias("cdr3_aa"), F.col("component").alias("c1"))
-    held = members.join(stage1, "cdr3_aa")
+    lone = seen.join(stage1, "cdr3_aa", "left_anti").where("n > 1").select("cdr3_aa", "v_call", F.concat_ws("|", "cdr3_aa", "v_call").alias("cluster"))
+    held = seen.drop("n").join(stage1, "cdr3_aa")
     genes = held.select("c1", "v_call").distinct()
     edges = genes.select(F.concat_ws("|", "c1", "v_call").alias("x"), F.concat_ws("|", "c1", "v_call").alias("y"))
     if v_scores is not None:
@@ -153,7 +176,22 @@ def isometric_clusters(pairs: DataFrame, members: DataFrame, v_scores: DataFrame
         ok = ok.select("c1", "v_call", "v2").join(g2.withColumnRenamed("c2", "c1"), ["c1", "v2"])
         edges = edges.unionByName(ok.select(F.concat_ws("|", "c1", "v_call").alias("x"), F.concat_ws("|", "c1", "v2").alias("y")))
     stage2 = components(edges, "x", "y")
-    return held.withColumn("node", F.concat_ws("|", "c1", "v_call")).join(stage2, "node").select("cdr3_aa", "v_call", F.col("component").alias("cluster"))
+    return held.withColumn("node", F.concat_ws("|", "c1", "v_call")).join(stage2, "node").select("cdr3_aa", "v_call", F.col("component").alias("cluster")).unionByName(lone)
+
+
+def compatible_genes(pairs: DataFrame, v_scores: DataFrame, least: float = 3.7) -> DataFrame:
+    """``pairs`` (.., v1, v2) of compatible V genes: a score of ``least`` or more; equal genes where the pair is unknown."""
+    known = v_scores.select("v1", "v2", F.col("score").alias("__s"))
+    return pairs.join(known, ["v1", "v2"], "left").where(F.coalesce(F.col("__s") >= least, F.col("v1") == F.col("v2"))).drop("__s")
+
+
+def unique_by_length(df: DataFrame, least: int = 10, most: int = 24) -> DataFrame:
+    """(len, cdr3_aa, v_call, n_rows, duplicate): distinct sequences by length, and whether more than one row holds one.
+
+    Members stay rows of ``df`` (join on the three keys), as a list of them has no bound.
+    """
+    rows = df.where(F.length("cdr3_aa").between(least, most))
+    return rows.groupBy(F.length("cdr3_aa").alias("len"), "cdr3_aa", "v_call").agg(F.count("*").alias("n_rows"), F.countDistinct("repertoire_id").alias("n_repertoires")).withColumn("duplicate", F.col("n_rows") > 1)
 
 
 def kmer_share_edges(df: DataFrame, least: int, k: int = 5, column: str = "cdr3_aa") -> DataFrame:
@@ -198,33 +236,66 @@ def v_pair_scores(genes: DataFrame, scores: dict[str, float]) -> DataFrame:
 
 
 def cluster_disease_fraction(clusters: DataFrame, labels: DataFrame, most: int = 100) -> DataFrame:
-    """(cluster, n, fraction) over reference rows; clusters of more than ``most`` rows are left out.
+    """(cluster, n, fraction, excluded) over reference rows; clusters of more than ``most`` rows are excluded.
 
     ``clusters``: (repertoire_id, cluster); ``labels``: (repertoire_id, label).
     """
-    return clusters.join(F.broadcast(labels), "repertoire_id").groupBy("cluster").agg(F.count("*").alias("n"), F.avg("label").alias("fraction")).where(F.col("n") <= most)
+    return clusters.join(labels, "repertoire_id").groupBy("cluster").agg(F.count("*").alias("n"), F.avg("label").alias("fraction")).withColumn("excluded", F.col("n") > most)
 
 
 def specimen_scores(assigned: DataFrame, fractions: DataFrame, specimens: DataFrame) -> DataFrame:
-    """Mean cluster fraction over a specimen's assigned rows; absent clusters 0.0, specimens without rows 0.0."""
-    scored = assigned.join(fractions.select("cluster", "fraction"), "cluster", "left").groupBy("repertoire_id").agg(F.avg(F.coalesce("fraction", F.lit(0.0))).alias("score"))
+    """Mean cluster fraction over a specimen's assigned rows: those of excluded clusters do not count, clusters without
+    reference rows are 0.0, and so are specimens without rows that count."""
+    held = assigned.join(fractions.select("cluster", "fraction", "excluded"), "cluster", "left").where(~F.coalesce("excluded", F.lit(False)))
+    scored = held.groupBy("repertoire_id").agg(F.avg(F.coalesce("fraction", F.lit(0.0))).alias("score"))
     return specimens.select("repertoire_id").join(scored, "repertoire_id", "left").select("repertoire_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def _own_pairs(keys: DataFrame, key: str) -> DataFrame:
+    """All pairs a < b of a table of repertoires: the size of the result asked for."""
+    own = numbered(keys.select(key).distinct(), [key], "__n")
+    ahead = own.where("__n > 0").select(F.col(key).alias("b"), F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))).cast("bigint").alias("__n"))
+    return ahead.join(own.withColumnRenamed(key, "a"), "__n").select("a", "b")
+
+
 def repertoire_distances(shares: DataFrame, epsilon: float = 1e-9) -> DataFrame:
-    """All pairs of repertoires: Euclidean, symmetric KL and Jensen-Shannon distance of their cluster shares.
+    """All pairs a < b of repertoires: Euclidean, symmetric KL, Jensen-Shannon and correlation distance of their cluster
+    shares + ``epsilon``, and the 1-D Wasserstein distance of the share values.
 
-    Sums run over clusters that either holds; a cluster that neither holds adds the same epsilon to both and cancels.
+    ``shares``: (repertoire_id, cluster, share).  A sum over all clusters is the sum of what each repertoire adds where the
+    other has nothing, corrected where both hold a cluster; so only clusters in common are joined.
     """
-    n = shares.select("repertoire_id").distinct()
-    ids = n.agg(F.sort_array(F.collect_set("repertoire_id")).alias("all"))
-    pairs = n.join(F.broadcast(ids)).select(F.col("repertoire_id").alias("a"), F.explode("all").alias("b")).where("a < b")
-    long = pairs.join(shares.select(F.col("repertoire_id").alias("a"), "cluster", F.col("share").alias("p")), "a").withColumn("q", F.lit(0.0)).unionByName(
-        pairs.join(shares.select(F.col("repertoire_id").alias("b"), "cluster", F.col("share").alias("q")), "b").withColumn("p", F.lit(0.0)).select("a", "b", "cluster", "p", "q"), allowMissingColumns=True
+    k = shares.select("cluster").distinct().count()
+    js = lambda x, y: x * F.ln(2 * x / (x + y)) + y * F.ln(2 * y / (x + y))
+    alone = lambda x: {"e": x * x, "kl": x * F.ln((x + epsilon) / epsilon), "js": js(x + epsilon, F.lit(epsilon)), "s": x}
+    own = shares.groupBy("repertoire_id").agg(*(F.sum(c).alias(n) for n, c in alone(F.col("share")).items()))
+    side = lambda df, n, *keep: df.select(F.col("repertoire_id").alias(n), *keep)
+    p, q = F.col("p"), F.col("q")
+    met = side(shares, "a", "cluster", F.col("share").alias("p")).join(side(shares, "b", "cluster", F.col("share").alias("q")), "cluster").where("a < b")
+    both = met.groupBy("a", "b").agg(
+        F.sum(p * q).alias("pq"),
+        F.sum((p - q) * F.ln((p + epsilon) / (q + epsilon)) - alone(p)["kl"] - alone(q)["kl"]).alias("kl"),
+        F.sum(js(p + epsilon, q + epsilon) - alone(p)["js"] - alone(q)["js"]).alias("js"),
+    )
+    order = Window.partitionBy("repertoire_id").orderBy(F.desc("share"), "cluster")
+    placed = shares.withColumn("r", F.row_number().over(order))
+    facing = side(placed, "a", "r", F.col("share").alias("p")).join(side(placed, "b", "r", F.col("share").alias("q")), "r").where("a < b")
+    facing = facing.groupBy("a", "b").agg(F.sum(F.abs(p - q) - p - q).alias("w"))
+    out = _own_pairs(shares, "repertoire_id")
+    for n in "ab":
+        out = out.join(own.select(F.col("repertoire_id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("e", "kl", "js", "s"))), n)
+    out = out.join(both, ["a", "b"], "left").join(facing, ["a", "b"], "left").na.fill(0.0, ["pq", "kl", "js", "w"])
+    spread = lambda n: F.col(f"e_{n}") - F.col(f"s_{n}") * F.col(f"s_{n}") / k
+    root = F.sqrt(spread("a") * spread("b"))
+    return out.select(
+        "a",
+        "b",
+        F.sqrt(F.greatest(F.lit(0.0), F.col("e_a") + F.col("e_b") - 2 * F.col("pq"))).alias("euclidean"),
+        (F.col("kl_a") + F.col("kl_b") + F.col("kl")).alias("symmetric_kl"),
+        F.sqrt(F.greatest(F.lit(0.0), (F.col("js_a") + F.col("js_b") + F.col("js")) / 2)).alias("jensen_shannon"),
+        F.when(root > 0, 1 - (F.col("pq") - F.col("s_a") * F.col("s_b") / k) / root).alias("correlation"),
+        ((F.col("s_a") + F.col("s_b") + F.col("w")) / k).alias("wasserstein"),
     )
-    met = long.groupBy("a", "b", "cluster").agg((F.sum("p") + epsilon).alias("p"), (F.sum("q") + epsilon).alias("q"))
-    p, q, m = F.col("p"), F.col("q"), (F.col("p") + F.col("q")) / 2
-    return met.groupBy("a", "b").agg(F.sqrt(F.sum((p - q) * (p - q))).alias("euclidean"), F.sum((p - q) * F.ln(p / q)).alias("symmetric_kl"), F.sqrt(F.greatest(F.lit(0.0), F.sum(p * F.ln(p / m) + q * F.ln(q / m)) / 2)).alias("jensen_shannon"))
 
 
 def nearest_vote(distances: DataFrame, labels: DataFrame, k: int, distance: str) -> DataFrame:
@@ -232,7 +303,7 @@ def nearest_vote(distances: DataFrame, labels: DataFrame, k: int, distance: str)
     both = distances.select("a", "b", distance).unionByName(distances.select(F.col("b").alias("a"), F.col("a").alias("b"), distance))
     top = both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(distance, "b"))).where(F.col("rank") <= k)
     w = 1 / (F.col(distance) + 1e-9)
-    return top.join(F.broadcast(labels.select(F.col("repertoire_id").alias("b"), "label")), "b").groupBy("a").agg((F.sum(w * F.col("label")) / F.sum(w)).alias("score"))
+    return top.join(labels.select(F.col("repertoire_id").alias("b"), "label"), "b").groupBy("a").agg((F.sum(w * F.col("label")) / F.sum(w)).alias("score"))
 
 
 def merged_into_reference(candidates: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
@@ -257,9 +328,20 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, fold: str, k: int) ->
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "rank", F.col("x.o").alias("other"), F.sqrt("x.d").alias("distance"))
 
 
+def vote_by_k(neighbours: DataFrame, classes: DataFrame, key: str, ks: list[int]) -> DataFrame:
+    """(key, k, class, score): inverse-distance weighted share of each class among the k nearest, for every k in one job.
+
+    ``neighbours``: (key, rank, other, distance); ``classes``: (key, class).
+    """
+    w = 1 / (F.col("distance") + 1e-9)
+    held = neighbours.join(classes.select(F.col(key).alias("other"), "class"), "other").withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("rank <= k")
+    by = held.groupBy(key, "k", "class").agg(F.sum(w).alias("w"))
+    return by.select(key, "k", "class", (F.col("w") / F.sum("w").over(Window.partitionBy(key, "k"))).alias("score"))
+
+
 def cdr2_cdr3(rep: DataFrame, cdr2: DataFrame, length: int = 28, gap: str = "--------") -> DataFrame:
     """``rep`` with cdr2 of its gene (gaps when missing) and the joined text cdr2-cdr3, cut at ``length``."""
     known = cdr2.select(F.col("gene").alias("__g"), "cdr2")
-    j = rep.join(F.broadcast(known), F.substring_index("v_call", "*", 1) == F.col("__g"), "left").drop("__g")
+    j = rep.join(known, F.substring_index("v_call", "*", 1) == F.col("__g"), "left").drop("__g")
     own = F.coalesce("cdr2", F.lit(gap))
     return j.withColumns({"cdr2": own, "model_text": F.concat_ws("-", own, "cdr3_aa").substr(1, length)})

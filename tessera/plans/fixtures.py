@@ -34,7 +34,7 @@ select repertoire_id, row_idx,
 _NAMES = {t: t for t in ("supplier", "nation", "region", "lineitem", "repertoire")}
 
 #: Common table expressions for oracle queries.
-CTE = ", ".join(f"{name} as ({sql.format(S='varchar', **_NAMES)})" for name, sql in (("metadata", METADATA), ("repertoire", REPERTOIRE), ("raw", RAW)))
+CTE = ", ".join(f"{name} as materialized ({sql.format(S='varchar', **_NAMES)})" for name, sql in (("metadata", METADATA), ("repertoire", REPERTOIRE), ("raw", RAW)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

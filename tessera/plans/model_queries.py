@@ -20,8 +20,8 @@ def _long_and_rows(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _kmers(s, d) -> DataFrame:
-    rep = repertoire(s, d).join(F.broadcast(labels(s, d).select("repertoire_id")), "repertoire_id", "left_semi")
-    return features.kmer_frequencies(rep.withColumn("cdr3_aa", F.col("cdr3_aa").substr(4, 5)), 3)
+    rep = repertoire(s, d).join(labels(s, d).select("repertoire_id"), "repertoire_id", "left_semi")
+    return features.kmer_frequencies(rep, 3)
 
 
 @query()
@@ -30,20 +30,20 @@ def gene_usage_classifier(s, d):
     long, train, test = _long_and_rows(s, d)
     scaled = learners.scales(long, learners.feature_index(long, train), train).persist()
     v = learners.vectors(long, scaled, train).persist()
-    c = learners.choose_c(v, learners.GENE_C[:2], 3)
+    c = learners.choose_c(v, learners.GENE_C)
     table_ = learners.coefficient_table(s, learners.l1_logistic(v, c, v.count()), scaled)
     return learners.predict_long(long, table_, test)
 
 
 @query()
 def ensemble_weights(s, d):
-    """The k-mer and V/J models' validation scores blended at every alpha; AUROC of each."""
+    """The k-mer and V/J models' validation scores blended with the alpha of best AUROC."""
     long, train, test = _long_and_rows(s, d)
     out = []
     for name, features_ in (("kmer", _kmers(s, d)), ("gene", long)):
         scaled = learners.scales(features_, learners.feature_index(features_, train), train)
         v = learners.vectors(features_, scaled, train)
-        model = learners.l1_logistic(v, 0.1, 80)
+        model = learners.l1_logistic(v, 0.1, train.count())
         out.append(learners.predict_long(features_, learners.coefficient_table(s, model, scaled), test))
     _, blended = learners.blend(*out)
     return blended
@@ -66,42 +66,41 @@ def sequence_scores(s, d):
     rep = repertoire(s, d).select("repertoire_id", *association.CLONE).distinct()
     for locus, column in (("V", "v_call"), ("J", "j_call")):
         w = weights.where(F.col("feature").startswith(f"{locus}:")).select(F.expr("substring(feature, 3)").alias(column), F.col("weight").alias(f"w_{locus}"))
-        rep = rep.join(F.broadcast(w), column, "left")
+        rep = rep.join(w, column, "left")
     total = F.coalesce("w_V", F.lit(0.0)) + F.coalesce("w_J", F.lit(0.0))
     return rep.groupBy("repertoire_id", "cdr3_aa").agg(F.max(total).alias("score"))
 
 
 @query()
 def boosted_tree_classifier(s, d):
+    """Boosted trees on V/J usage; every fifth training repertoire of a class decides when to stop."""
     long, train, test = _long_and_rows(s, d)
     scaled = learners.scales(long, learners.feature_index(long, train), train).persist()
-    v = learners.vectors(long, scaled, train)
-    model = learners.boosted_trees(v, v, rounds=10)
+    held = sampling.stratified_split(train, "label", "repertoire_id", 0.8, seed=11)
+    v = learners.vectors(long, scaled, held).persist()
+    model = learners.boosted_trees(v.where("role = 'train'").drop("role"), v.where("role <> 'train'").drop("role"))
     return learners.probability(model, learners.vectors(long, scaled, test)).select("repertoire_id", "label", "score")
 
 
 @query()
 def mil_classifier(s, d):
     """Multiple-instance model on Atchley-encoded 4-mers with log abundance, several restarts in one job a step."""
-    f = features.fourmer_abundance(repertoire(s, d).where("row_idx < 60"))
+    f = features.fourmer_abundance(repertoire(s, d))
     bags = f.select("repertoire_id", F.concat(sequences.atchley(F.col("fourmer")), F.array("log_sum")).alias("x")).where("x is not null")
     y = labels(s, d)
-    w, b, _ = learners.mil_fit(bags, y, restarts=4, steps=8)
+    w, b, _ = learners.mil_fit(bags, y)
     return learners.mil_scores(bags, w.tolist(), b, y)
 
 
 @query()
 def tuned_beta_binomial(s, d):
-    """Clones, diagnostic sets, beta-binomial fits and AUROC for all thresholds of one development set in one job each."""
-    rows = sampling.stratified_split(labels(s, d), "label", "repertoire_id", 0.7)
+    """Clones, diagnostic sets and beta-binomial fits for all thresholds in one job each; scores at the best threshold."""
+    rows = sampling.three_way_split(labels(s, d), "label", "repertoire_id")
     train, rep = rows.where("role = 'train'").drop("role"), repertoire(s, d)
-    tested = association.fisher_greater(association.incidence(rep, train), train)
+    tested = association.fisher_greater(Scratch(s).write(association.incidence(rep, train)), train)
     dia = Scratch(s).write(association.diagnostic_sets(tested))
-    nk = association.subject_counts(rep, dia, rows.select("repertoire_id", "label")).join(rows, "repertoire_id")
-    nk = Scratch(s).write(nk)
-    params = association.fit_beta_binomial(nk.where("role = 'train'"), ["threshold", "label"])
-    scored = association.posterior(nk.where("role <> 'train'").drop("role"), params, ["threshold"])
-    return metrics.auroc(scored, ["threshold"], "score", "label")
+    nk = Scratch(s).write(association.subject_counts(rep, dia, rows.select("repertoire_id")))
+    return association.tuned_posterior(nk, rows)[1].where("role = 'test'").select("repertoire_id", "label", "score")
 
 
 @query(f", {LABELS}, c as (select specimen_label repertoire_id, coalesce(age, 40.0) x from metadata), u as (select repertoire_id, v_call f, count(*) n, sum(count(*)) over (partition by repertoire_id) t from repertoire group by 1, 2), g as (select repertoire_id, x, f, coalesce(n / t, 0) y from c cross join (select distinct f from u) left join u using (repertoire_id, f)), r as (select f, regr_slope(y, x) b, regr_intercept(y, x) a from g group by 1) select repertoire_id, 'V:' || f feature, round(y - a - b * x, 6) + 0.0 as value from g join r using (f)")
@@ -127,19 +126,15 @@ def covariate_adjusted_classifier(s, d):
 
 @query()
 def demographic_classifier(s, d):
-    """Age, sex and missingness alone: L2 logistic regression, AUROC-chosen C on validation rows."""
-    from pyspark.ml.classification import LogisticRegression
-
+    """Age, sex, ancestry and missingness alone: L2 logistic regression, C by validation AUROC, scores of the test rows."""
     meta = metadata(s, d)
-    cols = ["c_age", "c_age_missing", "c_sex_m", "c_sex_unknown"]
-    task = learners.demographic_features(cohorts.complete_cases(cohorts.binary_task(meta, "CMV"), any_of=["age", "sex"]), meta.agg(F.avg("age")).first()[0])
-    split = sampling.stratified_split(task, "label", "specimen_label", 0.8)
-    train, rest = learners.standardized(split.where("role = 'train'"), split.where("role <> 'train'"), cols)
-    scored = None
-    for c in (0.001, 0.1, 1.0):
-        one = learners.probability(LogisticRegression(labelCol="label", regParam=1.0 / (c * 80)).fit(train), rest).select("specimen_label", "label", "score", F.lit(c).alias("c"))
-        scored = one if scored is None else scored.unionByName(one)
-    return metrics.auroc(scored, ["c"], "score", "label")
+    ancestry = learners.ancestry_columns(meta, ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
+    cols = ["c_age", "c_age_missing", "c_sex_m", "c_sex_unknown", *ancestry]
+    task = learners.demographic_features(cohorts.complete_cases(cohorts.binary_task(meta, "CMV"), any_of=["age", "sex"]), meta.agg(F.avg("age")).first()[0]).withColumns(ancestry)
+    split = sampling.three_way_split(task, "label", "specimen_label").persist()
+    part = lambda role: split.where(F.col("role") == role).drop("role")
+    _, scored = learners.demographic_model(part("train"), part("validation"), cols)
+    return scored(part("test")).select("specimen_label", "label", "score")
 
 
 @query()
@@ -153,7 +148,7 @@ def vector_shards(s, d):
     return table(s, d, "embeddings").groupBy((F.col("vec_id") % 20).alias("shard")).agg(F.count("*").alias("n"))
 
 
-@query(", " + LABELS + ", sh as (select repertoire_id, v_call as cluster, count(*) / sum(count(*)) over (partition by repertoire_id) share from repertoire where cast(substr(repertoire_id, 2) as int) <= 30 group by 1, 2), ids as (select distinct repertoire_id i from sh), cl as (select distinct cluster from sh), g as (select a.i a, b.i b, coalesce(x.share, 0) p, coalesce(y.share, 0) q from ids a join ids b on a.i <> b.i cross join cl left join sh x on x.repertoire_id = a.i and x.cluster = cl.cluster left join sh y on y.repertoire_id = b.i and y.cluster = cl.cluster), e as (select a, b, round(sqrt(sum((p - q) * (p - q))), 9) dist from g group by 1, 2), t as (select *, row_number() over (partition by a order by dist, b) k from e) select a, round(sum(y / (dist + 1e-9)) / sum(1 / (dist + 1e-9)), 6) score from t join labels on b = repertoire_id where k <= 5 group by 1")
+@query(", " + LABELS + ", sh as (select repertoire_id, v_call as cluster, count(*) / sum(count(*)) over (partition by repertoire_id) share from repertoire group by 1, 2), ids as (select distinct repertoire_id i from sh), cl as (select distinct cluster from sh), g as (select a.i a, b.i b, coalesce(x.share, 0) p, coalesce(y.share, 0) q from ids a join ids b on a.i <> b.i cross join cl left join sh x on x.repertoire_id = a.i and x.cluster = cl.cluster left join sh y on y.repertoire_id = b.i and y.cluster = cl.cluster), e as (select a, b, round(sqrt(sum((p - q) * (p - q))), 9) dist from g group by 1, 2), t as (select *, row_number() over (partition by a order by dist, b) k from e) select a, round(sum(y / (dist + 1e-9)) / sum(1 / (dist + 1e-9)), 6) score from t join labels on b = repertoire_id where k <= 5 group by 1")
 def knn_repertoires(s, d):
     """5-nearest-repertoire vote on usage distance."""
     dist = similarity.repertoire_distances(shares(s, d)).withColumn("euclidean", F.round("euclidean", 9))
@@ -185,9 +180,9 @@ def score_attach(s, d):
     return both.groupBy("disease").agg(F.count("model_score").alias("scored"), F.count_if(F.col("model_score").isNull()).alias("unscored"), r6(F.avg("model_score"), "mean_score"))
 
 
-@query(", n as (select *, concat('AAA', replace(replace(replace(replace(left(cdr3_aa, 3), 'A', 'GCT'), 'C', 'TGT'), 'D', 'GAC'), 'E', 'GAG'), case when row_idx % 5 = 0 then 'N' else '' end, 'CCC') nt from repertoire where row_idx < 50 and regexp_full_match(left(cdr3_aa, 3), '[ACDE]+')), t as (select *, substr(nt, 4, length(nt) - 6) x, left(cdr3_aa, case when row_idx % 7 = 0 then 2 else 3 end) aa from n) select repertoire_id, row_idx, x cdr3, case when not regexp_full_match(x, '[ACGT]+') then 'letters' when length(x) <> 3 * length(aa) then 'length' end nt_reason from t".replace("replace(replace(replace(replace(left(cdr3_aa, 3), 'A', 'GCT'), 'C', 'TGT'), 'D', 'GAC'), 'E', 'GAG')", "list_aggregate(list_transform(string_split(left(cdr3_aa, 3), ''), lambda c: case c when 'A' then 'GCT' when 'C' then 'TGT' when 'D' then 'GAC' else 'GAG' end), 'string_agg', '')"))
+@query(", n as (select *, concat('AAA', replace(replace(replace(replace(left(cdr3_aa, 3), 'A', 'GCT'), 'C', 'TGT'), 'D', 'GAC'), 'E', 'GAG'), case when row_idx % 5 = 0 then 'N' else '' end, 'CCC') nt from repertoire where regexp_full_match(left(cdr3_aa, 3), '[ACDE]+')), t as (select *, substr(nt, 4, length(nt) - 6) x, left(cdr3_aa, case when row_idx % 7 = 0 then 2 else 3 end) aa from n) select repertoire_id, row_idx, x cdr3, case when not regexp_full_match(x, '[ACGT]+') then 'letters' when length(x) <> 3 * length(aa) then 'length' end nt_reason from t".replace("replace(replace(replace(replace(left(cdr3_aa, 3), 'A', 'GCT'), 'C', 'TGT'), 'D', 'GAC'), 'E', 'GAG')", "list_aggregate(list_transform(string_split(left(cdr3_aa, 3), ''), lambda c: case c when 'A' then 'GCT' when 'C' then 'TGT' when 'D' then 'GAC' else 'GAG' end), 'string_agg', '')"))
 def nucleotide_reasons(s, d):
-    rep = repertoire(s, d).where("row_idx < 50").where(F.col("cdr3_aa").substr(1, 3).rlike("^[ACDE]+$"))
+    rep = repertoire(s, d).where(F.col("cdr3_aa").substr(1, 3).rlike("^[ACDE]+$"))
     codon = F.create_map(*map(F.lit, ("A", "GCT", "C", "TGT", "D", "GAC", "E", "GAG")))
     nt = F.concat(F.lit("AAA"), F.array_join(F.transform(sequences.letters(F.col("cdr3_aa").substr(1, 3)), lambda c: codon[c]), ""), F.when(F.col("row_idx") % 5 == 0, "N").otherwise(""), F.lit("CCC"))
     aa = F.expr("substring(cdr3_aa, 1, case when row_idx % 7 = 0 then 2 else 3 end)")
@@ -215,9 +210,9 @@ def source_mapping_check(s, d):
     return cohorts.source_mismatches(a, b, "specimen_label").select(*big("i"), "s_sex", "f_sex", "s_age", "f_age")
 
 
-@query("select repertoire_id, row_idx from repertoire where length(cdr3_aa) = 13 and row_idx < 20")
+@query("select repertoire_id, row_idx from repertoire where length(cdr3_aa) = 13")
 def length_bucket(s, d):
-    return cleaning.length_filter(repertoire(s, d), least=13, most=13).where("row_idx < 20").select("repertoire_id", "row_idx")
+    return cleaning.length_filter(repertoire(s, d), least=13, most=13).select("repertoire_id", "row_idx")
 
 
 @query(", s0 as (select v_call, max(cdr3_aa) || 'ACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRST' seq from repertoire group by 1), p as (select v_call, substr(seq, 27, 11) || substr(seq, 56, 9) part from s0), g as (select a.v_call v1, b.v_call v2, a.part p, b.part q from p a, p b) select v1, v2, floor(list_sum(list_transform(range(1, length(p) + 1), lambda i: case when substr(p, i, 1) = substr(q, i, 1) then 4.0 else -6.0 end))) / 20 score from g where length(p) = length(q)")
@@ -227,9 +222,9 @@ def v_pair_scores(s, d):
     return similarity.v_pair_scores(ref, own).where("score is not null")
 
 
-@query(", own as (select distinct cdr3_aa a, v_call v from repertoire where row_idx < 4) select a cdr3_aa, pos - 1 pos, count(*) n from (select a, unnest(range(1, length(a) + 1)) pos from (select distinct a from own)) cross join (select unnest(range(0, 20))) group by 1, 2")
+@query(", own as (select distinct cdr3_aa a, v_call v from repertoire) select a cdr3_aa, pos - 1 pos, count(*) n from (select a, unnest(range(1, length(a) + 1)) pos from (select distinct a from own)) cross join (select unnest(range(0, 20))) group by 1, 2")
 def substitution_scan(s, d):
-    own = repertoire(s, d).where("row_idx < 4").select("cdr3_aa").distinct()
+    own = repertoire(s, d).select("cdr3_aa").distinct()
     return own.select("cdr3_aa", F.explode(sequences.substitutions(F.col("cdr3_aa"))).alias("x")).groupBy("cdr3_aa", F.col("x.pos").cast("bigint").alias("pos")).agg(F.count("*").alias("n"))
 
 

@@ -10,9 +10,9 @@ from .fixtures import metadata, raw, repertoire, table
 from .queries import LABELS, PRED, TASK, TRUTH, big, clones, labels, predictions, query, r6, truth
 
 
-@query(" select repertoire_id, cdr3_aa, v_call, j_call, cast(null as varchar) sequence, cast(duplicate_count as bigint) num_reads, 'P0' participant_label from repertoire where row_idx < 50")
+@query(" select repertoire_id, cdr3_aa, v_call, j_call, cast(null as varchar) sequence, cast(duplicate_count as bigint) num_reads, 'P0' participant_label from repertoire")
 def standard_columns(s, d):
-    rep = repertoire(s, d).where("row_idx < 50").withColumnRenamed("duplicate_count", "templates")
+    rep = repertoire(s, d).withColumnRenamed("duplicate_count", "templates")
     return cleaning.standard_columns(rep, participant="P0").withColumn("num_reads", F.col("num_reads").cast("bigint"))
 
 
@@ -39,15 +39,15 @@ def integer_codes(s, d):
     return own.select("cdr3_aa", F.array_join(sequences.integer_code(F.col("cdr3_aa"), 12).cast("array<string>"), ",").alias("code"))
 
 
-@query(" select repertoire_id, row_idx, round(ln(greatest(duplicate_count, 1)), 6) log_count, greatest(duplicate_count, 0) own from repertoire where row_idx < 100")
+@query(" select repertoire_id, row_idx, round(ln(greatest(duplicate_count, 1)), 6) log_count, greatest(duplicate_count, 0) own from repertoire")
 def count_scaling(s, d):
     c = F.col("duplicate_count")
-    return repertoire(s, d).where("row_idx < 100").select("repertoire_id", "row_idx", r6(sequences.count_scaling(c), "log_count"), sequences.count_scaling(c, "own").alias("own"))
+    return repertoire(s, d).select("repertoire_id", "row_idx", r6(sequences.count_scaling(c), "log_count"), sequences.count_scaling(c, "own").alias("own"))
 
 
-@query(", o as (select distinct repertoire_id, cdr3_aa from repertoire where row_idx < 30), p as (select a.cdr3_aa a, b.cdr3_aa b from o a join o b on a.repertoire_id = b.repertoire_id and length(a.cdr3_aa) = length(b.cdr3_aa) and a.cdr3_aa < b.cdr3_aa group by 1, 2) select a, b, list_sum(list_transform(range(1, length(a) + 1), lambda i: case when substr(a, i, 1) = substr(b, i, 1) then 4.0 else -6.0 end)) score from p")
+@query(", o as (select distinct repertoire_id, cdr3_aa from repertoire), p as (select a.cdr3_aa a, b.cdr3_aa b from o a join o b on a.repertoire_id = b.repertoire_id and length(a.cdr3_aa) = length(b.cdr3_aa) and a.cdr3_aa < b.cdr3_aa group by 1, 2) select a, b, list_sum(list_transform(range(1, length(a) + 1), lambda i: case when substr(a, i, 1) = substr(b, i, 1) then 4.0 else -6.0 end)) score from p")
 def alignment_scores(s, d):
-    own = repertoire(s, d).where("row_idx < 30").select("repertoire_id", "cdr3_aa", F.length("cdr3_aa").alias("len")).distinct()
+    own = repertoire(s, d).select("repertoire_id", "cdr3_aa", F.length("cdr3_aa").alias("len")).distinct()
     pairs = own.withColumnRenamed("cdr3_aa", "a").join(own.withColumnRenamed("cdr3_aa", "b"), ["repertoire_id", "len"]).where("a < b").select("a", "b").distinct()
     return pairs.withColumn("score", sequences.pair_scores(F.col("a"), F.col("b"), {r + r: 5.0 for r in sequences.RESIDUES}))
 
@@ -60,38 +60,49 @@ def truth_union(s, d):
     return similarity.union_truth(a, b).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query(", x as (select repertoire_id, v_call as cluster, cdr3_aa, j_call from repertoire where row_idx < 60), c as (select distinct cdr3_aa, j_call, v_call as cluster from repertoire where row_idx < 20), r as (select distinct cdr3_aa, j_call, j_call as known from repertoire where row_idx between 15 and 30), h as (select cluster, min(known) k from c join r using (cdr3_aa, j_call) group by 1) select c.cdr3_aa, c.j_call, coalesce(k, 'new:' || c.cluster) as cluster from c left join h using (cluster)")
+MERGE = """
+, o as (select cdr3_aa, j_call, left(cdr3_aa, 4) as cluster, fold_id from repertoire join metadata on repertoire_id = specimen_label),
+ c as (select distinct cdr3_aa, j_call, cluster from o where fold_id = 2),
+ r as (select distinct cdr3_aa, j_call, 'r' || left(cluster, 2) as known from o where fold_id < 2 and length(cdr3_aa) = 12),
+ h as (select cluster, min(known) k from c join r using (cdr3_aa, j_call) group by 1)
+select c.cdr3_aa, c.j_call, coalesce(k, 'new:' || c.cluster) as cluster from c left join h using (cluster)
+"""
+
+
+@query(MERGE)
 def cluster_merge(s, d):
-    rep = repertoire(s, d)
-    c = rep.where("row_idx < 20").select("cdr3_aa", "j_call", F.col("v_call").alias("cluster")).distinct()
-    r = rep.where("row_idx between 15 and 30").select("cdr3_aa", "j_call", F.col("j_call").alias("cluster")).distinct()
+    """Clusters of fold 2 merged into those of the other folds' CDR3s of 12 residues."""
+    fold = metadata(s, d).select(F.col("specimen_label").alias("repertoire_id"), "fold_id")
+    o = repertoire(s, d).join(fold, "repertoire_id").select("cdr3_aa", "j_call", F.expr("left(cdr3_aa, 4)").alias("cluster"), "fold_id")
+    c = o.where("fold_id = 2").select("cdr3_aa", "j_call", "cluster").distinct()
+    r = o.where("fold_id < 2 and length(cdr3_aa) = 12").select("cdr3_aa", "j_call", F.concat(F.lit("r"), F.expr("left(cluster, 2)")).alias("cluster")).distinct()
     return similarity.merged_into_reference(c, r, ["cdr3_aa", "j_call"])
 
 
-@query(", e as (select distinct 'c' || split_part(v_call, '-', 2) || (row_idx % 5) as cluster, cdr3_aa as member from repertoire where row_idx < 2), n as (select distinct a.cluster x, b.cluster y from e a join e b using (member)), r(node, root) as (select x, x from n union select n.y, r.root from r join n on n.x = r.node where r.root < n.y) select node as cluster, least(node, min(root)) merged from r group by 1")
+@query(", e as (select distinct left(cdr3_aa, 4) as cluster, substr(cdr3_aa, 5, 3) as member from repertoire), n as (select distinct a.cluster x, b.cluster y from e a join e b using (member)), r(node, root) as (select x, x from n union select n.y, r.root from r join n on n.x = r.node where r.root < n.y) select node as cluster, least(node, min(root)) merged from r group by 1")
 def overlapping_clusters(s, d):
-    e = repertoire(s, d).where("row_idx < 2").select(F.concat(F.lit("c"), F.split_part("v_call", F.lit("-"), F.lit(2)), (F.col("row_idx") % 5).cast("string")).alias("cluster"), F.col("cdr3_aa").alias("member")).distinct()
+    e = repertoire(s, d).select(F.expr("left(cdr3_aa, 4)").alias("cluster"), F.expr("substring(cdr3_aa, 5, 3)").alias("member")).distinct()
     return similarity.merged_clusters(e)
 
 
-@query(", e as (select distinct v_call a, j_call b from repertoire where duplicate_count = 50 and row_idx < 30), n as (select a x, b y from e union select b, a from e), h0 as (select distinct v_call s from repertoire where row_idx < 3 and duplicate_count > 45), h1 as (select distinct s, y from h0 join n on s = x), h2 as (select distinct s, n.y from h1 join n on h1.y = n.x) select seed, node, min(hops) hops from (select s seed, s node, 0 hops from h0 union all select s, y, 1 from h1 union all select s, y, 2 from h2) group by 1, 2")
+@query(", e as (select distinct v_call a, j_call b from repertoire where duplicate_count = 50), n as (select a x, b y from e union select b, a from e), h0 as (select distinct v_call s from repertoire where v_call < 'TRBV2'), h1 as (select distinct s, y from h0 join n on s = x), h2 as (select distinct s, n.y from h1 join n on h1.y = n.x) select seed, node, min(hops) hops from (select s seed, s node, 0 hops from h0 union all select s, y, 1 from h1 union all select s, y, 2 from h2) group by 1, 2")
 def range_hops(s, d):
     rep = repertoire(s, d)
-    e = rep.where("duplicate_count = 50 and row_idx < 30").select(F.col("v_call").alias("a"), F.col("j_call").alias("b")).distinct()
-    return similarity.hop_limited(e, rep.where("row_idx < 3 and duplicate_count > 45").select(F.col("v_call").alias("node")).distinct(), 2)
+    e = rep.where("duplicate_count = 50").select(F.col("v_call").alias("a"), F.col("j_call").alias("b")).distinct()
+    return similarity.hop_limited(e, rep.where("v_call < 'TRBV2'").select(F.col("v_call").alias("node")).distinct(), 2)
 
 
-@query(", g as (select distinct split_part(v_call, '*', 1) gene from repertoire where v_call < 'TRBV2'), x as (select r.*, coalesce('K' || right(gene, 3), '--------') cdr2 from repertoire r left join g on split_part(v_call, '*', 1) = gene where row_idx < 30) select repertoire_id, row_idx, cdr2, left(cdr2 || '-' || cdr3_aa, 15) model_text from x")
+@query(", g as (select distinct split_part(v_call, '*', 1) gene from repertoire where v_call < 'TRBV2'), x as (select r.*, coalesce('K' || right(gene, 3), '--------') cdr2 from repertoire r left join g on split_part(v_call, '*', 1) = gene) select repertoire_id, row_idx, cdr2, left(cdr2 || '-' || cdr3_aa, 15) model_text from x")
 def cdr2_lookup(s, d):
     rep = repertoire(s, d)
     g = rep.where("v_call < 'TRBV2'").select(F.substring_index("v_call", "*", 1).alias("gene")).distinct().withColumn("cdr2", F.concat(F.lit("K"), F.expr("right(gene, 3)")))
-    return similarity.cdr2_cdr3(rep.where("row_idx < 30"), g, 15).select("repertoire_id", "row_idx", "cdr2", "model_text")
+    return similarity.cdr2_cdr3(rep, g, 15).select("repertoire_id", "row_idx", "cdr2", "model_text")
 
 
-@query(", t as (select vec_id, vec_id % 3 f, embedding e from embeddings where vec_id % 10 = 0), p as (select a.vec_id, b.vec_id o, list_sum(list_transform(range(1, 65), lambda i: (a.e[i]::double - b.e[i]::double) * (a.e[i]::double - b.e[i]::double))) q from t a join t b on a.f <> b.f), r as (select *, row_number() over (partition by vec_id order by q, o) rank from p) select vec_id, rank, o as other, round(sqrt(q), 5) distance from r where rank <= 5".replace("from embeddings where vec_id % 10 = 0", "from embeddings where label < 3"), plain=False)
+@query(", t as (select vec_id, vec_id % 3 f, embedding e from embeddings), p as (select a.vec_id, b.vec_id o, list_sum(list_transform(range(1, 65), lambda i: (a.e[i]::double - b.e[i]::double) * (a.e[i]::double - b.e[i]::double))) q from t a join t b on a.f <> b.f), r as (select *, row_number() over (partition by vec_id order by q, o) rank from p) select vec_id, rank, o as other, round(sqrt(q), 5) distance from r where rank <= 5", plain=False)
 def knn_vectors(s, d):
-    """Each vector of three labels against the other folds: distances in blocks."""
-    v = table(s, d, "embeddings").where("label < 3").select("vec_id", (F.col("vec_id") % 3).alias("fold"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    """Each vector against the other folds: distances in blocks."""
+    v = table(s, d, "embeddings").select("vec_id", (F.col("vec_id") % 3).alias("fold"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return similarity.nearest_vectors(v, "vec_id", "v", "fold", 5).select("vec_id", *big("rank"), "other", F.round("distance", 5).alias("distance"))
 
 
@@ -146,7 +157,7 @@ def depth_grid(s, d):
 def depth_slices_by_participant(s, d):
     g = sampling.nested_depths(repertoire(s, d).select("repertoire_id", "row_idx"), [25], 1)
     who = metadata(s, d).select("participant_label", F.col("specimen_label").alias("repertoire_id"))
-    return g.join(F.broadcast(who), "repertoire_id").groupBy("participant_label").agg(F.count("*").alias("n"), F.countDistinct("repertoire_id").alias("specimens"), F.sum("row_idx").alias("row_sum"))
+    return g.join(who, "repertoire_id").groupBy("participant_label").agg(F.count("*").alias("n"), F.countDistinct("repertoire_id").alias("specimens"), F.sum("row_idx").alias("row_sum"))
 
 
 @query(PRED + ", x as (select y, s, seed from (select *, unnest([7, 14, 21]) seed from pred) where (cast(substr(specimen_label, 2) as int) * seed) % 5 > 0) select seed, count(*) n, round(avg(s), 6) mean from x group by 1")
@@ -164,9 +175,9 @@ def clone_first_holder(s, d):
 @query()
 def isometric_clusters(s, d):
     """Clusters of nearest isometric pairs, split by V gene."""
-    rep = repertoire(s, d).where("length(cdr3_aa) <= 12")
+    rep = repertoire(s, d)
     own = similarity.encoded(rep, sequences.ATCHLEY)
-    return similarity.isometric_clusters(similarity.isometric_pairs(own, own, 30, 40.0), rep.select("cdr3_aa", "v_call").distinct())
+    return similarity.isometric_clusters(similarity.isometric_pairs(own, own, 30, 40.0), rep.select("cdr3_aa", "v_call"))
 
 
 @query()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import genes, sequences
 from ..operators import association, cleaning, cohorts, features, metrics, sampling, similarity
 from ..operators.graph import components
+from ..scratch import Scratch, numbered
 from .fixtures import CTE, metadata, raw, repertoire, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +47,7 @@ LABELS = "labels as (select specimen_label repertoire_id, cast(disease = 'CMV' a
 
 
 def _airr(g: str) -> str:
-    return f"regexp_replace(regexp_replace(case when regexp_matches(trim({g}), '/OR\\d') then trim({g}) else split_part(trim({g}), '/', 1) end, 'TCRB([VDJ])', 'TRB\\1'), '([^0-9])0+([0-9])', '\\1\\2', 'g')"
+    return f"regexp_replace(regexp_replace(case when regexp_matches(trim({g}), '/OR\\d', 'i') then trim({g}) else split_part(trim({g}), '/', 1) end, '^TCRB([VDJ])', 'TRB\\1', 'i'), '([^0-9])0+([0-9])', '\\1\\2', 'g')"
 
 
 def _allele(g: str) -> str:
@@ -110,7 +111,7 @@ def renamed_alleles(s, d):
 def reference_overwrite(s, d):
     rep = repertoire(s, d)
     ref = rep.where("row_idx % 2 = 0 and v_call < 'TRBV3'").groupBy("v_call").agg(F.min("cdr3_aa").alias("ref_cdr1"))
-    return cleaning.overwrite_from_reference(rep.select("repertoire_id", "row_idx", "v_call", F.col("cdr3_aa").alias("cdr1")), F.broadcast(ref), {"cdr1": "ref_cdr1"})
+    return cleaning.overwrite_from_reference(rep.select("repertoire_id", "row_idx", "v_call", F.col("cdr3_aa").alias("cdr1")), ref, {"cdr1": "ref_cdr1"})
 
 
 @query("select v_call, count(*) n_rows from repertoire where v_call not in (select v_call from repertoire where v_call < 'TRBV3') group by 1")
@@ -130,9 +131,9 @@ def length_and_count_filter(s, d):
     return rep.select("repertoire_id", "row_idx", "cdr3_aa", "duplicate_count")
 
 
-@query("select specimen_label, participant_label, coalesce(h.x, false) has_tcr from metadata left join (select distinct repertoire_id specimen_label, true x from repertoire where row_idx > 560) h using (specimen_label)")
+@query("select specimen_label, participant_label, coalesce(h.x, false) has_tcr from metadata left join (select distinct repertoire_id specimen_label, true x from repertoire where duplicate_count = 50 and length(cdr3_aa) = 16) h using (specimen_label)")
 def availability_flag(s, d):
-    return cohorts.availability(metadata(s, d), repertoire(s, d).where("row_idx > 560")).select("specimen_label", "participant_label", "has_tcr")
+    return cohorts.availability(metadata(s, d), repertoire(s, d).where("duplicate_count = 50 and length(cdr3_aa) = 16")).select("specimen_label", "participant_label", "has_tcr")
 
 
 @query(", k as (select specimen_label from metadata where fold_id < 2) select repertoire_id, count(*) n_rows from repertoire where repertoire_id not in (select specimen_label from k) group by 1")
@@ -234,10 +235,10 @@ def sample_features(s, d):
     return features.pooled_vectors(table(s, d, "embeddings"), "label", "embedding").select("label", F.col("pos").cast("bigint").alias("pos"), F.round("value", 5).alias("value"))
 
 
-@query(", l as (select disease feature, i - 1 pos, substr(cdr3_aa, i, 1) residue from (select disease, cdr3_aa, unnest(range(1, 11)) i from repertoire join metadata on repertoire_id = specimen_label)), n as (select feature, pos, residue, count(*) n from l group by 1, 2, 3) select feature, pos, residue, n, round(n / sum(n) over (partition by feature, pos), 6) share from n")
+@query(", l as (select disease feature, i - 1 pos, substr(cdr3_aa, i, 1) residue from (select disease, cdr3_aa, unnest(range(1, length(cdr3_aa) + 1)) i from repertoire join metadata on repertoire_id = specimen_label)), n as (select feature, pos, residue, count(*) n from l group by 1, 2, 3) select feature, pos, residue, n, round(n / sum(n) over (partition by feature, pos), 6) share from n")
 def position_weights(s, d):
-    rep = repertoire(s, d).join(F.broadcast(metadata(s, d).select(F.col("specimen_label").alias("repertoire_id"), F.col("disease").alias("feature"))), "repertoire_id")
-    return features.weight_matrix(rep.withColumn("motif", F.col("cdr3_aa").substr(1, 10)), "feature", "motif").select("feature", F.col("pos").cast("bigint").alias("pos"), "residue", "n", r6("share", "share"))
+    rep = repertoire(s, d).join(metadata(s, d).select(F.col("specimen_label").alias("repertoire_id"), F.col("disease").alias("feature")), "repertoire_id")
+    return features.weight_matrix(rep, "feature", "cdr3_aa").select("feature", F.col("pos").cast("bigint").alias("pos"), "residue", "n", r6("share", "share"))
 
 
 @query(", e as (select repertoire_id, row_idx, exp(duplicate_count / 10.0 - max(duplicate_count / 10.0) over (partition by repertoire_id)) e, length(cdr3_aa) x, row_idx % 7 y from repertoire), w as (select *, e / sum(e) over (partition by repertoire_id) w from e) select repertoire_id, unnest([0, 1]) pos, round(unnest([sum(w * x), sum(w * y)]), 6) as value from w group by 1")
@@ -246,9 +247,9 @@ def attention_pool(s, d):
     return features.attention_pool(rep, "score", "v").select("repertoire_id", F.col("pos").cast("int").alias("pos"), r6("value", "value"))
 
 
-@query("select repertoire_id, unnest(list_distinct([v_call, j_call])) as value from (select distinct repertoire_id, v_call, j_call from repertoire where row_idx < 40)".replace("select repertoire_id, unnest", "select distinct repertoire_id, unnest"))
+@query("select repertoire_id, unnest(list_distinct([v_call, j_call])) as value from (select distinct repertoire_id, v_call, j_call from repertoire)".replace("select repertoire_id, unnest", "select distinct repertoire_id, unnest"))
 def multi_hot_genes(s, d):
-    rep = repertoire(s, d).where("row_idx < 40").select("repertoire_id", F.array("v_call", "j_call").alias("genes"))
+    rep = repertoire(s, d).select("repertoire_id", F.array("v_call", "j_call").alias("genes"))
     return features.multi_hot(rep, "repertoire_id", "genes")
 
 
@@ -263,7 +264,7 @@ FISHER = CLONES + """, tot as (select sum(y) P, sum(1 - y) N from labels), pairs
 
 def clones(s, d) -> DataFrame:
     y = labels(s, d)
-    return association.fisher_greater(association.incidence(repertoire(s, d), y), y)
+    return association.fisher_greater(Scratch(s).write(association.incidence(repertoire(s, d), y)), y)
 
 
 @query(CLONES + " select cdr3_aa, v_call, j_call, cast(n_pos as bigint) n_pos, cast(n_neg as bigint) n_neg from inc")
@@ -326,7 +327,7 @@ USAGE = f", {LABELS}, u as (select v_call feature, repertoire_id, y, count(*) v
 
 @query(USAGE + ", c as (select feature, v, count(*) c, sum(y) p from u group by 1, 2), r as (select *, coalesce(sum(c) over (partition by feature order by v rows between unbounded preceding and 1 preceding), 0) + (c + 1) / 2 k from c), t as (select feature, sum(p * k) R, sum(p) n1, sum(c - p) n0, sum(c) n, sum(c * c * c - c) ties, sum(v * p) / sum(p) m1, sum(v * (c - p)) / sum(c - p) m0 from r group by 1), z as (select *, R - n1 * (n1 + 1) / 2 u, n1 * n0 / 12 * ((n + 1) - ties / (n * (n - 1))) v from t) select feature, cast(u as double) u, round(case when v > 0 then (u - n1 * n0 / 2) / sqrt(v) else 0 end, 6) z, round(m1, 6) mean1, round(m0, 6) mean0 from z")
 def mann_whitney(s, d):
-    u = repertoire(s, d).join(F.broadcast(labels(s, d)), "repertoire_id").groupBy(F.col("v_call").alias("feature"), "repertoire_id", "label").agg(F.count("*").alias("v"))
+    u = repertoire(s, d).join(labels(s, d), "repertoire_id").groupBy(F.col("v_call").alias("feature"), "repertoire_id", "label").agg(F.count("*").alias("v"))
     return association.mann_whitney(u, "feature", "v", "label").select("feature", F.col("u").cast("double").alias("u"), r6("z", "z"), r6("mean1", "mean1"), r6("mean0", "mean0"))
 
 
@@ -535,14 +536,14 @@ def specimens_histogram(s, d):
 
 # ---- similarity ------------------------------------------------------------------------------------------------------
 
-TRUTH = ", truth as (select row_number() over (order by cdr3_aa) - 1 gt_idx, cdr3_aa, v_call, j_call, score from (select cdr3_aa, min(v_call) v_call, min(j_call) j_call, cast(count(*) as int) score from (select case when length(cdr3_aa) > 11 then left(cdr3_aa, 4) || 'W' || substr(cdr3_aa, 6) else cdr3_aa end cdr3_aa, v_call, j_call from repertoire where row_idx < 3 and cast(substr(repertoire_id, 2) as int) <= 20) group by 1))"
+TRUTH = ", truth as (select row_number() over (order by cdr3_aa) - 1 gt_idx, cdr3_aa, v_call, j_call, score from (select cdr3_aa, min(v_call) v_call, min(j_call) j_call, cast(count(*) as int) score from (select case when length(cdr3_aa) > 11 then left(cdr3_aa, 4) || 'W' || substr(cdr3_aa, 6) else cdr3_aa end cdr3_aa, v_call, j_call from repertoire where duplicate_count = 50) group by 1))"
 
 
 def truth(s, d) -> DataFrame:
-    rep = repertoire(s, d).where("row_idx < 3 and cast(substring(repertoire_id, 2) as int) <= 20")
+    rep = repertoire(s, d).where("duplicate_count = 50")
     edited = F.when(F.length("cdr3_aa") > 11, F.concat(F.substring("cdr3_aa", 1, 4), F.lit("W"), F.expr("substring(cdr3_aa, 6)"))).otherwise(F.col("cdr3_aa"))
     t = rep.withColumn("cdr3_aa", edited).groupBy("cdr3_aa").agg(F.min("v_call").alias("v_call"), F.min("j_call").alias("j_call"), F.count("*").cast("int").alias("score"))
-    return t.withColumn("gt_idx", F.row_number().over(Window.orderBy("cdr3_aa")) - 1)
+    return numbered(t, ["cdr3_aa"], "gt_idx")
 
 
 @query(TRUTH + ", f as (select repertoire_id, cdr3_aa, arg_min(v_call, row_idx) v, arg_min(j_call, row_idx) j from repertoire group by 1, 2), u as (select distinct cdr3_aa from repertoire), m as (select u.cdr3_aa a, t.*, 1 - levenshtein(u.cdr3_aa, t.cdr3_aa) / greatest(length(u.cdr3_aa), length(t.cdr3_aa)) sim from u, truth t), b as (select *, row_number() over (partition by a order by sim desc, gt_idx) rn from m where sim >= 0.9) select repertoire_id, a sample_cdr3, v sample_vgene, j sample_jgene, b.cdr3_aa public_clone_cdr3, v_call public_clone_vgene, j_call public_clone_jgene, round(sim, 6) similarity, score from f join b on f.cdr3_aa = b.a where rn = 1")
@@ -569,11 +570,11 @@ def _phase_sql(s: str) -> str:
     return f"[{', '.join(parts)}]"
 
 
-CODES = f", own as (select distinct cdr3_aa from repertoire where length(cdr3_aa) <= 12 and cast(substr(repertoire_id, 2) as int) <= 40), code as (select cdr3_aa, length(cdr3_aa) len, {_phase_sql('cdr3_aa')} code from own)"
+CODES = f", own as (select distinct cdr3_aa from repertoire), code as materialized (select cdr3_aa, length(cdr3_aa) len, {_phase_sql('cdr3_aa')} code from own)"
 
 
 def coded(s, d) -> DataFrame:
-    return similarity.encoded(repertoire(s, d).where("length(cdr3_aa) <= 12 and cast(substring(repertoire_id, 2) as int) <= 40"), sequences.ATCHLEY)
+    return similarity.encoded(repertoire(s, d), sequences.ATCHLEY)
 
 
 @query(CODES + " select cdr3_aa, len, round(list_sum(list_transform(code, lambda x: x * x)), 6) norm from code")
@@ -594,56 +595,73 @@ def isometric_nearest(s, d):
     return similarity.nearest(pairs).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
-@query(", e as (select distinct v_call a, j_call b from repertoire where duplicate_count = 50 and row_idx < 60), n as (select a x, b y from e union select b, a from e), r(node, root) as (select x, x from n union select n.y, r.root from r join n on n.x = r.node where r.root < n.y) select node, min(root) component from r group by 1".replace("select node, min(root) component from r group by 1", "select node, least(node, min(root)) component from r group by 1"))
+@query(", e as (select distinct v_call a, j_call b from repertoire where duplicate_count = 50), n as (select a x, b y from e union select b, a from e), r(node, root) as (select x, x from n union select n.y, r.root from r join n on n.x = r.node where r.root < n.y) select node, min(root) component from r group by 1".replace("select node, min(root) component from r group by 1", "select node, least(node, min(root)) component from r group by 1"))
 def gene_components(s, d):
-    e = repertoire(s, d).where("duplicate_count = 50 and row_idx < 60").select("v_call", "j_call").distinct()
+    e = repertoire(s, d).where("duplicate_count = 50").select("v_call", "j_call").distinct()
     return components(e, "v_call", "j_call")
 
 
-@query(f", {LABELS}, c as (select v_call as cluster, count(*) n, avg(y) f from repertoire join labels using (repertoire_id) where row_idx < 30 group by 1) select cluster, n, round(f, 6) fraction from c where n <= 100")
+@query(f", {LABELS}, c as (select cdr3_aa as cluster, count(*) n, avg(y) f from repertoire join labels using (repertoire_id) group by 1) select cluster, n, round(f, 6) fraction from c where n <= 100")
 def cluster_disease_fraction(s, d):
-    c = repertoire(s, d).where("row_idx < 30").select("repertoire_id", F.col("v_call").alias("cluster"))
-    return similarity.cluster_disease_fraction(c, labels(s, d)).select("cluster", "n", r6("fraction", "fraction"))
+    c = repertoire(s, d).select("repertoire_id", F.col("cdr3_aa").alias("cluster"))
+    return similarity.cluster_disease_fraction(c, labels(s, d)).where("not excluded").select("cluster", "n", r6("fraction", "fraction"))
 
 
-@query(f", {LABELS}, c as (select v_call as cluster, avg(y) f from repertoire join labels using (repertoire_id) where row_idx < 30 group by 1 having count(*) <= 100), sc as (select repertoire_id, avg(coalesce(f, 0)) s from repertoire left join c on v_call = cluster where row_idx between 30 and 60 group by 1) select specimen_label repertoire_id, round(coalesce(s, 0), 6) score from metadata left join sc on repertoire_id = specimen_label")
+SPECIMEN_SCORE = f"""
+, {LABELS},
+ own as (select repertoire_id, left(cdr3_aa, 3) as cluster, fold_id from repertoire join metadata on repertoire_id = specimen_label),
+ c as (select cluster, count(*) n, avg(y) f from own join labels using (repertoire_id) where fold_id < 2 group by 1),
+ sc as (select repertoire_id, avg(coalesce(f, 0)) s from own left join c using (cluster) where fold_id = 2 and coalesce(n, 0) <= 100 group by 1)
+select specimen_label repertoire_id, round(coalesce(s, 0), 6) score from metadata left join sc on repertoire_id = specimen_label where fold_id = 2
+"""
+
+
+@query(SPECIMEN_SCORE)
 def specimen_score(s, d):
-    rep = repertoire(s, d).select("repertoire_id", F.col("v_call").alias("cluster"), "row_idx")
-    fractions = similarity.cluster_disease_fraction(rep.where("row_idx < 30"), labels(s, d))
-    specimens = metadata(s, d).select(F.col("specimen_label").alias("repertoire_id"))
-    return similarity.specimen_scores(rep.where("row_idx between 30 and 60"), fractions, specimens).select("repertoire_id", r6("score", "score"))
+    """Fold 2 scored by the clusters of the other folds; rows of clusters of over 100 reference rows do not count."""
+    meta = metadata(s, d).select(F.col("specimen_label").alias("repertoire_id"), "fold_id")
+    own = repertoire(s, d).select("repertoire_id", F.expr("left(cdr3_aa, 3)").alias("cluster")).join(meta, "repertoire_id")
+    fractions = similarity.cluster_disease_fraction(own.where("fold_id < 2"), labels(s, d))
+    return similarity.specimen_scores(own.where("fold_id = 2"), fractions, meta.where("fold_id = 2")).select("repertoire_id", r6("score", "score"))
 
 
-SHARES = ", sh as (select repertoire_id, v_call as cluster, count(*) / sum(count(*)) over (partition by repertoire_id) share from repertoire where cast(substr(repertoire_id, 2) as int) <= 30 group by 1, 2)"
+SHARES = ", sh as (select repertoire_id, v_call as cluster, count(*) / sum(count(*)) over (partition by repertoire_id) share from repertoire group by 1, 2)"
 
 
 def shares(s, d) -> DataFrame:
-    rep = repertoire(s, d).where("cast(substring(repertoire_id, 2) as int) <= 30")
-    n = rep.groupBy("repertoire_id", F.col("v_call").alias("cluster")).agg(F.count("*").alias("n"))
+    n = repertoire(s, d).groupBy("repertoire_id", F.col("v_call").alias("cluster")).agg(F.count("*").alias("n"))
     return n.select("repertoire_id", "cluster", (F.col("n") / F.sum("n").over(Window.partitionBy("repertoire_id"))).alias("share"))
 
 
-@query(SHARES + ", ids as (select distinct repertoire_id i from sh), cl as (select distinct cluster from sh), g as (select a.i a, b.i b, cl.cluster, coalesce(x.share, 0) + 1e-9 p, coalesce(y.share, 0) + 1e-9 q from ids a join ids b on a.i < b.i, cl left join sh x on x.repertoire_id = a and x.cluster = cl.cluster left join sh y on y.repertoire_id = b and y.cluster = cl.cluster) select a, b, round(sqrt(sum((p - q) * (p - q))), 6) euclidean, round(sum((p - q) * ln(p / q)), 6) symmetric_kl, round(sqrt(greatest(0, sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2)), 6) jensen_shannon from g group by 1, 2".replace("from ids a join ids b on a.i < b.i, cl left join sh x", "from ids a join ids b on a.i < b.i cross join cl left join sh x").replace("x.repertoire_id = a and", "x.repertoire_id = a.i and").replace("y.repertoire_id = b and", "y.repertoire_id = b.i and"))
+DISTANCES = SHARES + """
+, ids as (select distinct repertoire_id i from sh), cl as (select distinct cluster from sh),
+ full_ as materialized (select i, cl.cluster, coalesce(share, 0) p, row_number() over (partition by i order by coalesce(share, 0) desc, cl.cluster) r from ids cross join cl left join sh on repertoire_id = i and sh.cluster = cl.cluster),
+ g as (select x.i a, y.i b, x.p + 1e-9 p, y.p + 1e-9 q from full_ x join full_ y on x.cluster = y.cluster and x.i < y.i),
+ w as (select x.i a, y.i b, avg(abs(x.p - y.p)) wasserstein from full_ x join full_ y on x.r = y.r and x.i < y.i group by 1, 2),
+ d as (select a, b, sqrt(sum((p - q) * (p - q))) euclidean, sum((p - q) * ln(p / q)) symmetric_kl, sqrt(greatest(0, sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2)) jensen_shannon, 1 - corr(p, q) correlation from g group by 1, 2)
+"""
+
+
+@query(DISTANCES + "select a, b, round(euclidean, 6) euclidean, round(symmetric_kl, 6) symmetric_kl, round(jensen_shannon, 6) jensen_shannon, round(correlation, 6) correlation, round(wasserstein, 6) wasserstein from d join w using (a, b)")
 def repertoire_distance(s, d):
-    return similarity.repertoire_distances(shares(s, d)).select("a", "b", r6("euclidean", "euclidean"), r6("symmetric_kl", "symmetric_kl"), r6("jensen_shannon", "jensen_shannon"))
+    return similarity.repertoire_distances(shares(s, d)).select("a", "b", *(r6(c, c) for c in ("euclidean", "symmetric_kl", "jensen_shannon", "correlation", "wasserstein")))
 
 
-@query(", k as (select distinct repertoire_id, cdr3_aa, v_call, length(cdr3_aa) len from repertoire where length(cdr3_aa) between 10 and 24) select len, cdr3_aa, v_call, count(*) n_repertoires from k group by 1, 2, 3")
+@query("select length(cdr3_aa) len, cdr3_aa, v_call, count(*) n_rows, count(distinct repertoire_id) n_repertoires, count(*) > 1 duplicate from repertoire where length(cdr3_aa) between 10 and 24 group by 1, 2, 3")
 def unique_by_length(s, d):
-    rep = cleaning.length_filter(repertoire(s, d), least=10, most=24)
-    return rep.groupBy(F.length("cdr3_aa").alias("len"), "cdr3_aa", "v_call").agg(F.countDistinct("repertoire_id").alias("n_repertoires"))
+    return similarity.unique_by_length(repertoire(s, d))
 
 
-@query(", own as (select distinct cdr3_aa s from repertoire where length(cdr3_aa) <= 13), m as (select s, length(s) len, i, substr(substr(s, 4, length(s) - 5), i, 5) mer from (select s, unnest(range(1, length(s) - 8)) i from own)), k as (select s, len, i, left(mer, j) || '?' || substr(mer, j + 2) w from (select *, unnest(range(0, 5)) j from m)), p as (select distinct a.s a, b.s b, a.i from k a join k b on a.len = b.len and a.w = b.w and a.s < b.s) select a, b, count(*) shared from p group by 1, 2 having count(*) >= 1")
+@query(", own as (select distinct cdr3_aa s from repertoire), m as (select s, length(s) len, i, substr(substr(s, 4, length(s) - 5), i, 5) mer from (select s, unnest(range(1, length(s) - 8)) i from own)), k as (select s, len, i, left(mer, j) || '?' || substr(mer, j + 2) w from (select *, unnest(range(0, 5)) j from m)), p as (select distinct a.s a, b.s b, a.i from k a join k b on a.len = b.len and a.w = b.w and a.s < b.s) select a, b, count(*) shared from p group by 1, 2 having count(*) >= 1")
 def kmer_share_edges(s, d):
-    return similarity.kmer_share_edges(repertoire(s, d).where("length(cdr3_aa) <= 13"), 1)
+    return similarity.kmer_share_edges(repertoire(s, d), 1)
 
 
-@query(f", c as (select repertoire_id, cdr3_aa, substr(cdr3_aa, 4, length(cdr3_aa) - 6) core from repertoire where row_idx < 40), x as (select repertoire_id, substr(core, i, 4) w from (select *, unnest(range(1, length(core) - 2)) i from c)), v as (select repertoire_id, w, list_transform(range(1, 5), lambda i: (map {{{', '.join(f"'{k}': {v}" for k, v in sequences.ATCHLEY.items())}}})[substr(w, i, 1)]) r from x) select repertoire_id, round(max(1 / (1 + exp(-(0.1 + list_sum(list_transform(range(1, 5), lambda i: 0.3 * r[i][1]::double - 0.2 * r[i][5]::double)))))), 6) score from v group by 1")
+@query(f", c as (select repertoire_id, cdr3_aa, substr(cdr3_aa, 4, length(cdr3_aa) - 6) core from repertoire), x as (select repertoire_id, substr(core, i, 4) w from (select *, unnest(range(1, length(core) - 2)) i from c)), v as (select repertoire_id, w, list_transform(range(1, 5), lambda i: (map {{{', '.join(f"'{k}': {v}" for k, v in sequences.ATCHLEY.items())}}})[substr(w, i, 1)]) r from x) select repertoire_id, round(max(1 / (1 + exp(-(0.1 + list_sum(list_transform(range(1, 5), lambda i: 0.3 * r[i][1]::double - 0.2 * r[i][5]::double)))))), 6) score from v group by 1")
 def mil_score(s, d):
     from ..operators import learners
 
-    rep = repertoire(s, d).where("row_idx < 40")
+    rep = repertoire(s, d)
     bags = rep.select("repertoire_id", F.explode(sequences.windows(sequences.core(F.col("cdr3_aa")), 4)).alias("w")).select("repertoire_id", sequences.atchley(F.col("w")).alias("x")).where("x is not null")
     subjects_ = rep.select("repertoire_id").distinct()
     return learners.mil_scores(bags, [0.3, 0.0, 0.0, 0.0, -0.2] * 4, 0.1, subjects_).select("repertoire_id", r6("score", "score"))

@@ -1,8 +1,8 @@
 """All registered queries and their SQL equivalents."""
 
-from .plans import model_queries, more_queries, queries
+from .plans import file_queries, model_queries, more_queries, queries
 
-assert model_queries and more_queries  # they register their queries
+assert file_queries and model_queries and more_queries  # they register their queries
 
 QUERIES = dict(queries.QUERIES)
 ORACLE_SQL = dict(queries.ORACLE_SQL)

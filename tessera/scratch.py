@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -24,11 +25,28 @@ def folder(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+_scopes: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def temporary():
+    """Tables of every Scratch that is made inside are dropped at the end: for results that are written inside."""
+    _scopes.append(own := [])
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for scratch in own:
+            scratch.clear()
+
+
 class Scratch:
     """Intermediate tables of one operator call.  Lineage ends at each; a lost executor costs no written table."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.made = spark, f"{folder(spark)}/tessera-{uuid.uuid4().hex}", 0
+        for scope in _scopes:
+            scope.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -51,6 +69,22 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with its rows numbered from 0 in ``order``.  Rows are sorted in ranges; what the driver sees is one count for
+    each range."""
+    at = F.monotonically_increasing_id()
+    rows = Scratch(df.sparkSession).write(df.orderBy(*order).withColumn("__at", at))
+    part = F.shiftright("__at", 33)
+    counts = sorted((r[0], r[1]) for r in rows.groupBy(part).count().collect())
+    before, total = {}, 0
+    for p, n in counts:
+        before[p], total = total, total + n
+    if not before:
+        return rows.withColumn(name, F.lit(0).cast("bigint")).drop("__at")
+    first = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
+    return rows.withColumn(name, F.element_at(first, part).cast("bigint") + F.col("__at") - F.shiftleft(part, 33)).drop("__at")
+
+
 def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``rows`` whose key is in ``keys`` (distinct), where ``keys`` is small enough to broadcast; else ``rows``.
 

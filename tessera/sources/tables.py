@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import numbered
+
 REPERTOIRE = T.StructType([T.StructField(c, T.StringType()) for c in ("cdr3_aa", "v_call", "j_call")] + [T.StructField("duplicate_count", T.LongType()), T.StructField("cdr3", T.StringType())])
 METADATA = T.StructType([T.StructField(c, T.StringType()) for c in ("participant_label", "specimen_label", "disease", "study_name", "disease_subtype", "sex", "ancestry")] + [T.StructField("age", T.DoubleType()), T.StructField("fold_id", T.IntegerType())])
 DEPTHS = "depths array<int>, n_reps int, min_sequences int, seed int, repertoires map<string,map<string,array<int>>>"
@@ -49,6 +51,15 @@ def read_depth_indices(spark: SparkSession, path: str) -> DataFrame:
     return reps.select("repertoire_id", F.col("r").cast("int").alias("replicate"), F.posexplode("idx").alias("pos", "row_idx"))
 
 
+def read_v_reference(spark: SparkSession, path: str) -> DataFrame:
+    """A V-gene table (TSV with v_call); of a repeated gene the first row in the file counts."""
+    df = spark.read.option("sep", "\t").option("header", True).csv(path).where("v_call is not null")
+    at = F.struct(F.input_file_name(), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rest = [c for c in df.columns if c != "v_call"]
+    first = df.select("v_call", *rest, at.alias("__at")).groupBy("v_call").agg(F.min_by(F.struct(*rest), "__at").alias("r"))
+    return first.select("v_call", "r.*")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(name, seq); of a repeated name the longest sequence, then the first by text."""
     rows = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
@@ -61,7 +72,8 @@ def read_driver_truth(spark: SparkSession, path: str, names: dict[str, str], sep
     """A ground-truth table projected to (gt_idx, cdr3_aa, v_call, j_call, score); ``names``: own -> common."""
     df = spark.read.option("header", True).option("sep", sep).csv(path).withColumnsRenamed(names)
     df = df.withColumns({c: F.lit(None).cast("string") for c in ("v_call", "j_call", "score") if c not in df.columns})
-    return df.select(F.monotonically_increasing_id().alias("gt_idx"), "cdr3_aa", "v_call", "j_call", F.col("score").cast("int").alias("score"))
+    own = df.select("cdr3_aa", "v_call", "j_call", F.col("score").cast("int").alias("score"), F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__i"))
+    return numbered(own, ["__f", "__b", "__i"], "gt_idx").select("gt_idx", "cdr3_aa", "v_call", "j_call", "score")
 
 
 def read_labelled(spark: SparkSession, path: str, schema: T.StructType = REPERTOIRE) -> DataFrame:
@@ -76,6 +88,12 @@ def write_by(df: DataFrame, path: str, keys: list[str], fmt: str = "parquet") ->
     out.parquet(path) if fmt == "parquet" else out.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
 
 
+def write_by_participant(df: DataFrame, meta: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """One folder for each participant: its specimens' rows stacked, with participant and specimen as columns."""
+    who = meta.select(F.col("specimen_label").alias("repertoire_id"), "participant_label")
+    write_by(df.drop("participant_label").join(who, "repertoire_id").withColumn("specimen_label", F.col("repertoire_id")), path, ["participant_label"], fmt)
+
+
 def compact(df: DataFrame, columns: list[str]) -> DataFrame:
     if lacking := [c for c in columns if c not in df.columns]:
         raise ValueError(f"columns are missing: {lacking}")

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +222,136 @@ def test_mil_fit_learns(spark):
     assert loss < 0.69 and len(w) == 2
     scores = learners.mil_scores(bags, w.tolist(), b, labels.select("repertoire_id").unionByName(spark.createDataFrame([("empty",)], "repertoire_id string"))).collect()
     assert {r["score"] for r in scores if r["repertoire_id"] == "empty"} == {0.5}
+
+
+def test_numbered(spark):
+    from tessera.scratch import numbered
+
+    rows = [(k * 7919 % 503, str(k)) for k in range(500)]
+    df = spark.createDataFrame(rows, "k int, s string").repartition(7)
+    got = [(r["n"], r["k"]) for r in numbered(df, ["k", "s"], "n").orderBy("n").collect()]
+    assert [n for n, _ in got] == list(range(500)) and [k for _, k in got] == sorted(k for k, _ in rows)
+    assert numbered(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_specimen_scores_leave_excluded_clusters_out(spark):
+    assigned = spark.createDataFrame([("a", "big"), ("a", "c1"), ("a", "none"), ("b", "big")], "repertoire_id string, cluster string")
+    reference = [("r1", "big")] * 101 + [("r1", "c1"), ("r2", "c1"), ("r1", "c1")]
+    labels = spark.createDataFrame([("r1", 1), ("r2", 0)], "repertoire_id string, label int")
+    fractions = similarity.cluster_disease_fraction(spark.createDataFrame(reference, "repertoire_id string, cluster string"), labels)
+    specimens = spark.createDataFrame([("a",), ("b",), ("c",)], "repertoire_id string")
+    got = {r["repertoire_id"]: r["score"] for r in similarity.specimen_scores(assigned, fractions, specimens).collect()}
+    assert got == {"a": pytest.approx((2 / 3 + 0) / 2), "b": 0.0, "c": 0.0}
+
+
+def test_repertoire_distances_equal_dense_form(spark):
+    rng = np.random.default_rng(1)
+    n, k = 6, 9
+    w = rng.random((n, k)) * (rng.random((n, k)) < 0.6)
+    w[:, 0] += 0.1
+    w[1, 1:] = 0
+    p = w / w.sum(axis=1, keepdims=True)
+    shares = spark.createDataFrame([(f"r{i}", f"c{j}", float(p[i, j])) for i in range(n) for j in range(k) if p[i, j] > 0], "repertoire_id string, cluster string, share double")
+    k = len({j for i in range(n) for j in range(k) if p[i, j] > 0})
+    q = p + 1e-9
+    got = {(r["a"], r["b"]): r for r in similarity.repertoire_distances(shares).collect()}
+    assert len(got) == n * (n - 1) // 2
+    for (a, b), r in got.items():
+        x, y = q[int(a[1])], q[int(b[1])]
+        m = (x + y) / 2
+        assert r["euclidean"] == pytest.approx(np.sqrt(((x - y) ** 2).sum()))
+        assert r["symmetric_kl"] == pytest.approx(((x - y) * np.log(x / y)).sum())
+        assert r["jensen_shannon"] == pytest.approx(np.sqrt((x * np.log(x / m) + y * np.log(y / m)).sum() / 2), abs=1e-7)
+        assert r["correlation"] == pytest.approx(1 - np.corrcoef(x, y)[0, 1])
+        assert r["wasserstein"] == pytest.approx(np.abs(np.sort(x) - np.sort(y)).sum() / k)
+
+
+def test_isometric_clusters_keep_lone_members_seen_twice(spark, small):
+    from tessera.functions.sequences import ATCHLEY, RESIDUES
+
+    rows = [("CASSAAAAAAEQYF", "V1"), ("CASSAAAAAGEQYF", "V1"), ("CASSAAAAAGEQYF", "V2"), ("CWWWWPPPPWWWYF", "V1"), ("CWWWWPPPPWWWYF", "V1"), ("CHHHHHHHHHHHHHH", "V1")]
+    members = spark.createDataFrame(rows, "cdr3_aa string, v_call string")
+    own = similarity.encoded(members, ATCHLEY)
+    pairs = similarity.isometric_pairs(own, own, 30, 40.0)
+    got = {(r["cdr3_aa"], r["v_call"]): r["cluster"] for r in similarity.isometric_clusters(pairs, members).collect()}
+    assert got[rows[0]] == got[rows[1]] != got[rows[2]] and rows[3] in got and rows[5] not in got
+    strict = similarity.isometric_clusters(pairs, members, residue_scores={a + a: 5.0 for a in RESIDUES}, alike=3.9).collect()
+    assert {(r["cdr3_aa"], r["v_call"]) for r in strict} == {rows[3]}
+
+
+def test_two_sided_p_and_enriched(spark):
+    df = spark.createDataFrame([(f, float(v), y) for f in ("same", "apart") for y in (0, 1) for v in [*range(30)] for v in [v + (40 if f == "apart" and y else 0)]], "f string, v double, y int")
+    tests = association.mann_whitney(df, "f", "v", "y")
+    p = {r["f"]: (r["z"], r["p_value"]) for r in tests.collect()}
+    assert p["same"] == (0.0, 1.0) and p["apart"][1] == pytest.approx(math.erfc(abs(p["apart"][0]) / math.sqrt(2)))
+    assert [r["f"] for r in association.enriched(tests).collect()] == ["apart"]
+
+
+def test_tuned_posterior_without_clones(spark):
+    subjects = spark.createDataFrame([("a", 1, "train"), ("b", 0, "test")], "repertoire_id string, label int, role string")
+    empty = spark.createDataFrame([], "repertoire_id string, threshold double, n int, k int")
+    threshold, scores = association.tuned_posterior(empty, subjects)
+    assert threshold is None and {r["score"] for r in scores.collect()} == {0.5}
+
+
+def test_tuned_posterior_takes_the_best_threshold(spark):
+    rng = random.Random(5)
+    subjects = [(f"s{i}", i % 2, ["train", "train", "validation", "test"][i // 2 % 4]) for i in range(80)]
+    counts = [(s, t, 500, (rng.randint(4, 9) if y and t == 0.001 else rng.randint(0, 2) if t == 0.001 else rng.randint(0, 6))) for s, y, _ in subjects for t in (0.01, 0.001)]
+    threshold, scores = association.tuned_posterior(spark.createDataFrame(counts, "repertoire_id string, threshold double, n int, k int"), spark.createDataFrame(subjects, "repertoire_id string, label int, role string"))
+    assert threshold == 0.001 and all((r["score"] > 0.5) == bool(r["label"]) for r in scores.where("role = 'test'").collect())
+
+
+def _vectors(spark, n=90):
+    rng = np.random.default_rng(3)
+    rows = [(f"r{i}", f, float(v)) for i in range(n) for f, v in zip("abc", (rng.normal(2 * (i % 2), 1), rng.normal(), rng.random()), strict=True)]
+    return spark.createDataFrame(rows, "repertoire_id string, feature string, value double"), spark.createDataFrame([(f"r{i}", i % 2) for i in range(n)], "repertoire_id string, label int")
+
+
+def test_tuned_trees_and_their_sequence_scores(spark):
+    long, rows = _vectors(spark)
+    scaled = learners.scales(long, learners.feature_index(long, rows), rows).persist()
+    v = learners.vectors(long, scaled, sampling.stratified_split(rows, "label", "repertoire_id", 0.8)).persist()
+    assert v.first()["features"].size == 3
+    grids = ({"depth": [2, 3], "step": [0.1]}, {"rows": [0.8], "columns": [1.0], "leaf": [1, 5]})
+    best, model = learners.tuned_trees(v.where("role = 'train'").drop("role"), v.where("role <> 'train'").drop("role"), grids, folds=2, rounds=5)
+    assert best["depth"] in (2, 3) and best["leaf"] in (1, 5)
+    units = spark.createDataFrame([("x", "CA", "v1", "a", 3.0), ("x", "CA", "v2", "a", -2.0), ("y", "CA", "v2", "a", -2.0)], "repertoire_id string, cdr3_aa string, v_call string, feature string, value double")
+    got = {r["repertoire_id"]: r["score"] for r in learners.tree_sequence_scores(units, scaled, model, ["cdr3_aa", "v_call"]).collect()}
+    assert got["x"] > got["y"]
+
+
+def test_models_with_demographics(spark):
+    long, rows = _vectors(spark)
+    meta = spark.createDataFrame([(f"r{i}", float(20 + i), "M" if i % 3 else "F", ["African", "Asian", None][i % 3], [float(i % 2), 1.0]) for i in range(90)], "specimen_label string, age double, sex string, ancestry string, vector array<double>")
+    split = sampling.stratified_split(rows, "label", "repertoire_id", 0.7)
+    train, test = split.where("role = 'train'").drop("role"), split.where("role <> 'train'").drop("role")
+    c, scored = learners.usage_and_demographics(long, meta, train, test, [1.0, 0.1], 2)
+    assert c in (1.0, 0.1) and metrics.auroc(scored.withColumn("g", F.lit(1)), ["g"], "score", "label").first()["auroc"] > 0.7
+    few, _ = learners.usage_and_demographics(long, meta, train.limit(8), test, [0.1], 2)
+    assert few == 1.0
+    ancestry = learners.ancestry_columns(meta, ["African", "Asian"])
+    own = learners.demographic_features(meta.withColumns(ancestry), 40.0).join(rows.withColumnRenamed("repertoire_id", "specimen_label"), "specimen_label")
+    parts = sampling.three_way_split(own, "label", "specimen_label").persist()
+    part = lambda role: parts.where(F.col("role") == role).drop("role")
+    cols = ["c_age", "c_sex_m", *ancestry]
+    c, scores = learners.demographic_model(part("train"), part("validation"), cols, [0.1, 1.0])
+    assert c in (0.1, 1.0) and scores(part("test")).where("score between 0 and 1").count() == part("test").count()
+    c, scored = learners.embedding_and_demographics(part("test"), part("train"), "vector", cols, [1.0], 2)
+    assert c == 1.0 and metrics.auroc(scored.withColumn("g", F.lit(1)), ["g"], "score", "label").first()["auroc"] == 1.0
+
+
+def test_abundance_method_takes_the_better_encoding(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"r{i}", rng.normal(size=3).tolist()) for i in range(40) for _ in range(4)]
+    good = [(r, [x[0] + 4.0 * (int(r[1:]) % 2), *x[1:]]) for r, x in rows]
+    frame = lambda x: spark.createDataFrame(x, "repertoire_id string, x array<double>")
+    y = spark.createDataFrame([(f"r{i}", i % 2) for i in range(40)], "repertoire_id string, label int")
+    name, model = learners.abundance_method({"a": frame(rows), "b": frame(good)}, y, y, restarts=3, steps=25)
+    assert name == "b" and len(model[0]) == 3
+
+
+def test_simulated_chance_is_near_the_closed_form(spark):
+    hits = spark.createDataFrame([("a", 10, 100, 5, 5), ("b", 10, 50, 4, 2)], "repertoire_id string, k int, n int, n_drivers int, n_present int")
+    got = metrics.simulated_chance_recall(hits, 4000).first()["chance_recall"]
+    assert got == pytest.approx((0.1 + 0.2 * 2 / 4) / 2, abs=0.01)
