@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, near_duplicates, packing, queries, secret_scan
-from tessera.plans.shared import Scratch, but, having
+from tessera.scratch import Scratch, but, having, temporary
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch, docs = Scratch(spark), queries.table(spark, sf_dir, "documents")
+    scratch, docs, before = Scratch(spark), queries.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir))
+        with temporary():  # what the stage wrote on its way goes as soon as its result stands
+            docs = scratch.write(stage(spark, docs, sf_dir))
+        if before:
+            scratch.drop(before)
+        before = docs
     return docs
