@@ -8,8 +8,8 @@ double precision.
 2. Start: ``trees`` partitions by random hyperplanes into cells of about ``leaf`` vectors give every node its first links.
    They are poor (a few hundred comparisons for each node, however many nodes there are); the descent does the work.
 3. NN-descent: in a round the neighbours and reverse neighbours of every node meet in pools (those of hubs are dealt into
-   several), pool members propose each other, and each node keeps its best ``k``.  Pools without a link that is new since
-   the round before are left out.  Rounds go on until at most ``settled`` of the links change.
+   several), and members propose each other where at least one of the two links is fresh, that is, was not there a round
+   before; each node keeps its best ``k``.  Rounds go on until at most ``settled`` of all links are fresh.
 4. Greedy search: a query keeps the ``width`` best nodes seen, at first its own node's neighbours.  In a hop it visits
    all of them that it has not visited yet and sees their neighbours; hops go on until no query has a node to visit.
 5. The best ``rescored`` classes of a query are scored exactly, expanded to their members and ranked (ties: smaller id).
@@ -74,36 +74,42 @@ def _cells(trees: int, planes: int, dim: int, seed: int):
 
 
 def _proposals(most: int):
-    """Pools (members: id, part, v) -> (id, part, the member's ``most`` best co-members, their similarities)."""
+    """Pools (members: id, part, fresh, v) -> (id, part, the member's ``most`` best co-members of those it has not met)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ends, held = b.column(0).offsets.to_numpy(), b.column(0).values
-            ids, part = held.field("id").to_numpy(), held.field("part").to_numpy()
+            ids, part, fresh = (held.field(c).to_numpy(zero_copy_only=False) for c in ("id", "part", "fresh"))
             x, scale = _matrix(held.field("v"))
             at, lists, sims, sizes = [], [], [], []
-            for a, z in zip((ends - ends[0]).tolist(), (ends[1:] - ends[0]).tolist(), strict=False):
+            for a, z in zip(ends.tolist(), ends[1:].tolist(), strict=False):
                 if z - a < 2:
                     continue
-                a, z = a + int(ends[0]), z + int(ends[0])
+                own = ids[a:z]
                 s = (x[a:z] @ x[a:z].T) * scale[a:z]
-                np.fill_diagonal(s, -np.inf)
+                s[(own[:, None] == own) | ~(fresh[a:z, None] | fresh[a:z])] = -np.inf
                 n = min(most, z - a - 1)
                 best = np.argpartition(-s, n - 1, 1)[:, :n]
+                score = np.take_along_axis(s, best, 1)
+                some = np.isfinite(score)
                 at.append(np.arange(a, z))
-                lists.append(ids[a:z][best].ravel())
-                sims.append(np.take_along_axis(s, best, 1).ravel())
-                sizes.append(np.full(z - a, n))
+                lists.append(own[best][some])
+                sims.append(score[some])
+                sizes.append(some.sum(axis=1))
             if at:
                 at, size = np.concatenate(at), np.concatenate(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(part[at]), _lists(np.concatenate(lists), size), _lists(np.concatenate(sims), size)], names=["id", "part", "ns", "ss"])
+                new = _lists(np.ones(size.sum(), bool), size)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(part[at]), _lists(np.concatenate(lists), size), _lists(np.concatenate(sims), size), new], names=["id", "part", "ns", "ss", "fresh"])
 
     return run
 
 
 def _ranked(row: np.ndarray, n: np.ndarray, s: np.ndarray, k: int, *more: np.ndarray) -> list[np.ndarray]:
-    """Of entries (row, node, similarity) each row's ``k`` best distinct nodes, best first; of equal ones the first."""
-    order = np.lexsort((n, row))
+    """Of entries (row, node, similarity, more) each row's ``k`` best distinct nodes, best first.
+
+    Of entries of one node the one with the least first column of ``more`` stands for all.
+    """
+    order = np.lexsort((*more[:1], n, row))
     first = np.ones(len(order), bool)
     first[1:] = (row[order][1:] != row[order][:-1]) | (n[order][1:] != n[order][:-1])
     kept = order[first]
@@ -120,65 +126,57 @@ def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merged(k: int):
-    """(id, all proposals) -> (id, best k distinct)."""
+    """(id, all proposals) -> (id, best k distinct); a link that any proposal has as an old one is not fresh."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, n = _flat(b.column(1), np.int64)
-            row, n, s = _ranked(row, n, _flat(b.column(2), np.float64)[1], k)
+            row, n, s, fresh = _ranked(row, n, _flat(b.column(2), np.float64)[1], k, _flat(b.column(3), bool)[1])
             size = np.bincount(row, minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(n, size), _lists(s, size)], names=["id", "ns", "ss"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(n, size), _lists(s, size), _lists(fresh, size)], names=["id", "ns", "ss", "fresh"])
 
     return run
 
 
-_GRAPH = "id bigint, ns array<bigint>, ss array<double>"
-_FOUND = "id bigint, part int, ns array<bigint>, ss array<double>"
+_GRAPH = "id bigint, ns array<bigint>, ss array<double>, fresh array<boolean>"
+_FOUND = "id bigint, part int, ns array<bigint>, ss array<double>, fresh array<boolean>"
 
 
 def _graph(proposals: DataFrame, k: int) -> DataFrame:
-    """Best k of the proposals (id, part, ns, ss) of each node: by part, then all parts."""
-    every = [F.flatten(F.collect_list(c)).alias(c) for c in ("ns", "ss")]
+    """Best k of the proposals (id, part, ns, ss, fresh) of each node: by part, then all parts."""
+    every = [F.flatten(F.collect_list(c)).alias(c) for c in ("ns", "ss", "fresh")]
     parts = proposals.groupBy("id", "part").agg(*every).drop("part").mapInArrow(_merged(k), _GRAPH)
     return parts.groupBy("id").agg(*every).mapInArrow(_merged(k), _GRAPH)
 
 
 def start_graph(vectors: DataFrame, scratch: Scratch, rows: int, dim: int, k: int, trees: int, leaf: int, seed: int) -> DataFrame:
-    """(id, ns, ss): the k best neighbours within each node's cells; ``vectors``: (id, v)."""
+    """(id, ns, ss, fresh): the k best neighbours within each node's cells; ``vectors``: (id, v)."""
     planes = max(0, round(math.log2(max(rows, 1) / leaf)))
     placed = vectors.mapInArrow(_cells(trees, planes, dim, seed), "tree int, cell bigint, id bigint, v binary")
     sizes = scratch.write(placed.groupBy("tree", "cell").agg(F.count("*").alias("n")))
     deal = F.when(F.col("n") > 2 * leaf, F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / leaf))).otherwise(F.lit(0))
-    member = F.struct("id", F.lit(0).alias("part"), "v")
+    member = F.struct("id", F.lit(0).alias("part"), F.lit(True).alias("fresh"), "v")
     pools = placed.join(sizes, ["tree", "cell"]).withColumn("deal", deal).groupBy("tree", "cell", "deal").agg(F.collect_list(member).alias("pool")).select("pool")
     return scratch.write(_graph(pools.mapInArrow(_proposals(k), _FOUND), k))
 
 
 def descended(graph: DataFrame, vectors: DataFrame, scratch: Scratch, k: int, proposed: int, settled: float) -> DataFrame:
-    """``graph`` after NN-descent; rounds end when at most ``settled`` of the links change."""
-    before = None
+    """``graph`` after NN-descent; rounds end when at most ``settled`` of the links are fresh."""
     while True:
-        links = graph.select(F.col("id").alias("a"), F.explode("ns").alias("b"))
-        if before is not None:
-            known = before.select("id", F.col("ns").alias("old"))
-            links = graph.join(known, "id").select(F.col("id").alias("a"), F.explode(F.transform("ns", lambda n: F.struct(n.alias("n"), (~F.array_contains("old", n)).alias("new")))).alias("x")).select("a", F.col("x.n").alias("b"), F.col("x.new").alias("new"))
-        else:
-            links = links.withColumn("new", F.lit(True))
-        edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "new")).groupBy("a", "b").agg(F.max("new").alias("new"))
-        degree = edges.groupBy("a").agg(F.count("*").alias("n"), F.max("new").alias("any_new"))
-        of_pool = degree.where("any_new").select("a", F.ceil(F.col("n") / (3 * k)).alias("deals"))
-        parts = F.ceil(F.col("n") / PARTED).cast("int")
-        member = vectors.join(degree.select(F.col("a").alias("id"), parts.alias("parts")), "id")
-        dealt = edges.join(of_pool, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b", "a"), "deals").alias("deal"))
-        own = F.struct("id", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), "v")
+        links = graph.select(F.col("id").alias("a"), F.explode(F.arrays_zip("ns", "fresh")).alias("x")).select("a", F.col("x.ns").alias("b"), F.col("x.fresh").alias("fresh"))
+        edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "fresh"))
+        degree = edges.groupBy("a").agg(F.count("*").alias("n"), F.max("fresh").alias("any_fresh"))
+        of_pool = degree.where("any_fresh").select("a", F.ceil(F.col("n") / (3 * k)).alias("deals"))
+        member = vectors.join(degree.select(F.col("a").alias("id"), F.ceil(F.col("n") / PARTED).cast("int").alias("parts")), "id")
+        dealt = edges.join(of_pool, "a").select(F.col("b").alias("id"), "a", "fresh", F.pmod(F.xxhash64("b", "a"), "deals").alias("deal"))
+        own = F.struct("id", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), "fresh", "v")
         pools = dealt.join(member, "id").groupBy("a", "deal").agg(F.collect_list(own).alias("pool")).select("pool")
-        found = scratch.write(_graph(graph.select("id", F.lit(0).alias("part"), "ns", "ss").unionByName(pools.mapInArrow(_proposals(proposed), _FOUND)), k))
-        moved = found.join(graph.select("id", F.col("ns").alias("old")), "id").agg(F.sum(F.size(F.array_except("ns", "old"))) / F.sum(F.size("ns"))).first()[0]
-        if before is not None:
-            scratch.drop(before)
-        before, graph = graph, found
+        old = graph.select("id", F.lit(0).alias("part"), "ns", "ss", F.transform("ns", lambda n: F.lit(False)).alias("fresh"))
+        found = scratch.write(_graph(old.unionByName(pools.mapInArrow(_proposals(proposed), _FOUND)), k))
+        moved = found.agg(F.sum(F.size(F.filter("fresh", lambda f: f))) / F.sum(F.size("ns"))).first()[0]
+        scratch.drop(graph)
+        graph = found
         if not moved or moved <= settled:
-            scratch.drop(before)
             return graph
 
 
@@ -205,7 +203,8 @@ def _advanced(width: int):
             other = n2 != b.column(0).to_numpy()[row2]
             row2, n2, s2 = row2[other], n2[other], s2[other]
             done = np.concatenate([np.ones(len(n), bool), np.zeros(len(n2), bool)])
-            row, n, s, done = _ranked(np.concatenate([row, row2]), np.concatenate([n, n2]), np.concatenate([s, s2]), width, done)
+            row, n, s, done = _ranked(np.concatenate([row, row2]), np.concatenate([n, n2]), np.concatenate([s, s2]), width, ~done)
+            done = ~done
             size = np.bincount(row, minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(n, size), _lists(s, size), _lists(done, size)], names=["q", "qv", "ns", "ss", "done"])
 
@@ -219,7 +218,7 @@ def searched(graph: DataFrame, vectors: DataFrame, asked: DataFrame, scratch: Sc
     """(q, ns, ss): the ``width`` best nodes that a greedy search finds for each node of ``asked`` (q, qv)."""
     links = graph.select("id", F.explode("ns").alias("n")).join(vectors.withColumnRenamed("id", "n"), "n")
     links = scratch.write(links.groupBy("id").agg(F.collect_list(F.struct("n", "v")).alias("near")))  # at most k for each node
-    own = graph.withColumnRenamed("id", "q").join(asked, "q")
+    own = graph.drop("fresh").withColumnRenamed("id", "q").join(asked, "q")
     state = scratch.write(own.select("q", "qv", "ns", "ss", F.transform("ns", lambda n: F.lit(False)).alias("done")))
     while True:
         floor = F.when(F.size("ss") >= width, F.array_min("ss")).otherwise(F.lit(float("-inf")))

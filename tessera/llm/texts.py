@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are turned into arrays at a time (one longer text is cut at word boundaries or taken alone).
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 #: Bytes of an Arrow batch for a Python worker, where the session keeps Spark's default (64 MB).
 BATCH = 4 << 20
