@@ -20,6 +20,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     alone = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
     now = scratch.write(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     size = _size(now)
+    scratch.sized(size[0])
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -40,10 +40,19 @@ def temporary():
             scratch.clear()
 
 
+#: Rows of an operator's input for each partition of a table that it writes, where it says how many rows it has.
+ROWS_A_PART = 50_000
+
+
 class Scratch:
-    """Intermediate tables of one operator call.  Lineage ends at each; a lost executor costs no written table."""
+    """Intermediate tables of one operator call.  Lineage ends at each; a lost executor costs no written table.
+
+    Once ``sized`` knows the rows of the operator's input, tables are written in about one partition for ROWS_A_PART of
+    them, at least four for each core: a small input does not end as hundreds of tiny files, a large one keeps its many.
+    """
 
     def __init__(self, spark: SparkSession):
+        self.parts: int | None = None
         self.spark, self.base, self.made = spark, f"{folder(spark)}/tessera-{uuid.uuid4().hex}", 0
         for scope in _scopes:
             scope.append(self)
@@ -51,11 +60,14 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.base}/{self.made}"
-        df.write.option("compression", "zstd").parquet(path)
+        (df.coalesce(self.parts) if self.parts else df).write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
         return out
 
+    def sized(self, rows: int) -> None:
+        self.parts = max(4 * self.spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_PART))
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             self._delete(t._scratch)
