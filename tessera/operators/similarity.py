@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences
-from ..scratch import numbered
+from ..scratch import Scratch, numbered
 from .graph import components
 
 
@@ -109,32 +111,45 @@ def _directions(size: int, n: int) -> list[list[float]]:
     return out
 
 
-def isometric_pairs(left: DataFrame, right: DataFrame, size: int, threshold: float = 7.0, projections: int = 2, gaps: int = 4) -> DataFrame:
+def _near_in_blocks(batches):
+    """Blocks (len, limit, names and codes of both sides) -> their pairs within the limit."""
+    for b in batches:
+        out: list[tuple] = []
+        for n, limit, names_a, codes_a, names_b, codes_b in zip(*(b.column(i) for i in range(6)), strict=True):
+            x, y = (codes.values.flatten().to_numpy().reshape(len(codes.values), -1) for codes in (codes_a, codes_b))
+            own, other = names_a.as_py(), names_b.as_py()
+            for k, code in enumerate(x):
+                d = ((y - code) ** 2).sum(axis=1)
+                out += [(own[k], other[m], n.as_py(), float(d[m])) for m in np.flatnonzero(d <= limit.as_py()).tolist() if other[m] != own[k]]
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["a", "b", "len", "distance"])
+
+
+def isometric_pairs(left: DataFrame, right: DataFrame, size: int, threshold: float = 7.0, projections: int = 2, block: int = 400) -> DataFrame:
     """(a, b, distance) of equally long sequences with squared L2 <= threshold - 0.5 (15 - length); inputs from ``encoded``.
 
     Sequences that close fall into the same or neighbouring cells of any projection with cells as wide as the radius, so
-    the equi join on (length, cells) has exact recall however the codes are spread.  Of the pairs that meet, those whose
-    further projections lie more than a radius apart are left out before the distance, which is one unrolled sum, is taken.
+    the equi join on (length, cells) has exact recall however the codes are spread.  What shares a key is dealt into blocks
+    of about ``block`` codes; blocks meet, and distances are taken block against block.
     """
     limit = F.lit(threshold) - 0.5 * (15 - F.col("len"))
+    scratch = Scratch(left.sparkSession)
+    keys = ["len", *(f"cell{p}" for p in range(projections))]
 
-    def cells(df: DataFrame, spread: bool) -> DataFrame:
+    def blocks(df: DataFrame, spread: bool, n: str) -> DataFrame:
         df = df.withColumn("limit", limit).where("limit > 0")
         for p, d in enumerate(_directions(size, projections)):
             at = F.floor(sequences.dot(F.col("code"), F.array(*map(F.lit, d))) / F.sqrt("limit"))
             df = df.withColumn(f"cell{p}", F.explode(F.array(at - 1, at, at + 1)) if spread else at)
-        return df
-
-    keys = ["len", *(f"cell{p}" for p in range(projections))]
-    more = _directions(size, projections + gaps)[projections:]
-    at = lambda n: [sequences.dot(F.col("code"), F.array(*map(F.lit, d))).alias(f"{n}{i}") for i, d in enumerate(more)]
-    a = cells(left, False).select(*keys, F.col("cdr3_aa").alias("a"), F.col("code").alias("ca"), "limit", F.sqrt("limit").alias("radius"), *at("pa"))
-    b = cells(right, True).select(*keys, F.col("cdr3_aa").alias("b"), F.col("code").alias("cb"), *at("pb"))
-    met = a.join(b, keys).where("a <> b")
-    for i in range(gaps):
-        met = met.where(F.abs(F.col(f"pa{i}") - F.col(f"pb{i}")) <= F.col("radius") + 1e-9)
-    terms = [(F.get("ca", F.lit(i)) - F.get("cb", F.lit(i))) * (F.get("ca", F.lit(i)) - F.get("cb", F.lit(i))) for i in range(size)]
-    return met.select("a", "b", "len", "limit", sum(terms[1:], terms[0]).alias("distance")).where("distance <= limit").select("a", "b", "len", "distance")
+        counts = df.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("blocks"))
+        dealt = df.join(counts, keys).withColumn("block", F.pmod(F.xxhash64("cdr3_aa"), "blocks"))
+        return dealt.groupBy(*keys, "limit", "block").agg(F.collect_list("cdr3_aa").alias(f"names_{n}"), F.collect_list("code").alias(f"codes_{n}")).drop("block")
+
+    own = scratch.write(left)
+    a = blocks(own, False, "a")
+    b = blocks(own if right is left else scratch.write(right), True, "b").drop("limit")
+    return a.join(b, keys).select("len", "limit", "names_a", "codes_a", "names_b", "codes_b").mapInArrow(_near_in_blocks, "a string, b string, len int, distance double")
 
 
 def query_nearest(queries: DataFrame, reference: DataFrame, size: int, threshold: float = 7.0) -> DataFrame:

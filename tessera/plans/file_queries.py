@@ -228,13 +228,13 @@ def one_gap_scores(s, d):
     return own.select("a", r6(sequences.one_gap_score(F.col("a"), short, {r + r: 5.0 for r in sequences.RESIDUES}), "score"))
 
 
-@query(f", o as (select distinct cdr3_aa from repertoire) select cdr3_aa, round(list_sum(list_transform(range(1, length(cdr3_aa) + 1), lambda i: (instr('{sequences.RESIDUES}', substr(cdr3_aa, i, 1)) - 1 - 9.5) / sqrt(33.25))), 6) total, cast(20 - length(cdr3_aa) as double) gaps from o")
+@query(f", o as (select distinct cdr3_aa from repertoire) select cdr3_aa, round(list_sum(list_transform(range(1, length(cdr3_aa) + 1), lambda i: (instr('{sequences.RESIDUES}', substr(cdr3_aa, i, 1)) - 1 - 9.5) / sqrt(33.25))), 6) + 0.0 total, cast(20 - length(cdr3_aa) as double) gaps from o")
 def standardized_codes(s, d):
     """Sum of a property's standardized values and number of padded places, from the per-position code."""
     code = sequences.standardized_code(F.col("cdr3_aa"), {c: [float(i)] for i, c in enumerate(sequences.RESIDUES)}, 20)
     own = repertoire(s, d).select("cdr3_aa").distinct().select("cdr3_aa", code.alias("code"))
     part = lambda k: F.aggregate(F.filter("code", lambda x, i: i % 2 == k), F.lit(0.0), lambda a, x: a + x)
-    return own.select("cdr3_aa", r6(part(0), "total"), part(1).alias("gaps"))
+    return own.select("cdr3_aa", (F.round(part(0), 6) + 0.0).alias("total"), part(1).alias("gaps"))
 
 
 @query(f", {STEPS} select repertoire_id, count(*) n_input, count(*) filter (where removed_by is null) n_kept from steps group by 1")
