@@ -14,6 +14,7 @@ outputs differ in few places.  Symbols are words (lower case, without ASCII punc
    the items, the rarer equal outputs are, so fewer are sampled where ``SOME_REPEATS`` repetitions are not enough; with one
    output there is no bound on the repetitions.
 3. Every meeting is verified: edit distance (words) between the item and the best substring around the window, at most k.
+   ``first_word`` is where the best one begins: of least edits the first to end, and of these the shortest.
 
 Items are handed to the executors in slices of at most ``slice_words`` words, so what is sent is bounded; a larger benchmark
 takes more passes over the documents.  Documents are only mapped; the shuffle afterwards has matches alone.
@@ -90,14 +91,25 @@ def calibrated(n: int, recall: float) -> tuple[int, int]:
         sampled, repeats = (sampled - 1, repeats) if sampled > 1 else (1, 2 * repeats)
 
 
-def edits(item: list, words: list) -> int:
-    """Least edit distance between ``item`` and any substring of ``words``."""
-    row = [0] * (len(words) + 1)
+def _distances(item: np.ndarray, words: np.ndarray, free: bool) -> np.ndarray:
+    """Edit distance of ``item`` to the prefixes of ``words``; with ``free``, to the best substring with the same end.
+
+    Row by row; what a cell takes from the cell to its left is a running minimum of the row less its column numbers.
+    """
+    column = np.arange(len(words) + 1)
+    row = np.zeros_like(column) if free else column
     for i, x in enumerate(item, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(words, 1):
-            before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
-    return min(row)
+        new = np.append(i, np.minimum(row[:-1] + (words != x), row[1:] + 1))
+        row = np.minimum.accumulate(new - column) + column
+    return row
+
+
+def edits(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
+    """(edits, first word, end) of the substring of ``words`` nearest to ``item``: the first to end, then the shortest."""
+    row = _distances(item, words, True)
+    end = int(row.argmin())
+    back = _distances(item[::-1], words[:end][::-1], False)
+    return int(row[end]), end - int(back.argmin()), end
 
 
 def item_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -178,15 +190,16 @@ class Items:
         out = []
         for (t, i), starts in sorted(met.items()):
             n_i, k_i = int(self.n[i]), int(allowed(self.n[i]))
-            own = self.words[self.begin[i] : self.begin[i] + n_i].tolist()
-            best, done = (k_i + 1, 0), -1
+            own = self.words[self.begin[i] : self.begin[i] + n_i]
+            best, done = (k_i + 1, 0, 0), -1
             for s in sorted(starts):
                 if s <= done or best[0] == 0:
                     continue
-                a, b = max(0, s - k_i), min(int(counts[t]), s + n_i + 3 * k_i)
-                best, done = min(best, (edits(own, words[begin[t] + a : begin[t] + b].tolist()), s)), s + k_i
+                a, b = max(0, s - 2 * k_i), min(int(counts[t]), s + n_i + 4 * k_i)
+                k, first, end = edits(own, words[begin[t] + a : begin[t] + b])
+                best, done = min(best, (k, a + end, a + first)), s + k_i
             if best[0] <= k_i:
-                out.append((t, i, best[1], best[0]))
+                out.append((t, i, best[2], best[0]))
         return out
 
 
