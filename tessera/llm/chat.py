@@ -10,7 +10,8 @@ A rendering is
     <|im_start|>system\\n{text}<|im_end|>\\n
 
 and ``mask`` lists start:end of the masked spans in code points, end exclusive, comma-joined.  A control mark written in a
-text or a name (``<|``) is broken with a space (``< |``), so a text cannot open a turn.
+text or a name (``<|``) is broken with a space (``< |``), so a text cannot open a turn; line ends in a name become spaces, so
+a name cannot leave its header line.
 
 Turns are numbered and measured as rows; a dialogue's rows meet only in the final rendering, which is one value anyway.
 
@@ -35,7 +36,7 @@ def perspectives(turns: DataFrame, dialogue: str = "conv_id", turn: str = "turn"
     rows = rows.withColumn("i", F.row_number().over(order))
     who = rows.where(~F.col("s").isin(*system)).select("d", F.col("s").alias("p")).distinct()
     own = F.col("s") == F.col("p")
-    head = F.when(F.col("s").isin(*system), F.lit("<|im_start|>system\n")).when(own, F.lit("<|im_start|>assistant\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), safe(F.col("s")), F.lit("\n")))
+    head = F.when(F.col("s").isin(*system), F.lit("<|im_start|>system\n")).when(own, F.lit("<|im_start|>assistant\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), safe(F.translate("s", "\n\r", "  ")), F.lit("\n")))
     seen = rows.join(who, "d").select("d", "p", "i", own.alias("own"), head.alias("head"), F.concat(safe(F.col("x")), F.lit("<|im_end|>")).alias("body"))
     before = Window.partitionBy("d", "p").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("head") + F.length("body") + 1

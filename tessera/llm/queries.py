@@ -83,7 +83,7 @@ QUERIES = {
 OP3_SQL = """
 with r as (select conv_id d, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'unknown'), coalesce(text, '')) i, coalesce(role, 'unknown') s, coalesce(text, '') x from conversations where conv_id is not null),
  w as (select distinct d, s p from r where s <> 'system'),
- v as (select r.d, p, i, s = p own, case when s = 'system' then '<|im_start|>system' || chr(10) when s = p then '<|im_start|>assistant' || chr(10) else '<|im_start|>user name=' || replace(s, '<|', '< |') || chr(10) end head, replace(x, '<|', '< |') || '<|im_end|>' body from r join w using (d)),
+ v as (select r.d, p, i, s = p own, case when s = 'system' then '<|im_start|>system' || chr(10) when s = p then '<|im_start|>assistant' || chr(10) else '<|im_start|>user name=' || replace(translate(s, chr(10) || chr(13), '  '), '<|', '< |') || chr(10) end head, replace(x, '<|', '< |') || '<|im_end|>' body from r join w using (d)),
  q as (select *, coalesce(sum(length(head) + length(body) + 1) over (partition by d, p order by i rows between unbounded preceding and 1 preceding), 0) + length(head) b from v)
 select d conv_id, p perspective, count(*) n_turns, count(*) filter (where own) n_masked, coalesce(string_agg(case when own then b || ':' || (b + length(body)) end, ',' order by i), '') mask, string_agg(head || body || chr(10), '' order by i) rendered from q group by d, p
 """
