@@ -142,8 +142,12 @@ class Chain:
         return picked.mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_rows: int = 20_000, terms: int = 128, doc_id: str = "doc_id", text: str = "text") -> Chain:
-    """``categories``: name -> condition on ``labels``' columns, in the chain's order."""
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_rows: int = 20_000, terms: int = 128, least: int = 5, doc_id: str = "doc_id", text: str = "text") -> Chain:
+    """``categories``: name -> condition on ``labels``' columns, in the chain's order.
+
+    Bounds of the fit: ``most_rows`` labelled ids, ``terms`` words for each category, each held by ``least`` labelled documents
+    or more.  Rows that share an id count as one: a word's largest number in any of them.
+    """
     small_batches(docs.sparkSession)
     scratch, names = Scratch(docs.sparkSession), list(categories)
     known = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("row")).agg(*(F.max(c.cast("int")).alias(f"y{k}") for k, c in enumerate(categories.values())))
@@ -157,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_
     words = scratch.write(held.mapInArrow(_words, f"row {kind}, word bigint, n int"))
     sizes = words.select("row").distinct().join(known, "row").agg(F.count("*").alias("n"), *(F.sum(f"y{k}").alias(f"s{k}") for k in range(len(names)))).first()
     n = sizes[0] or 0
-    counts = words.select("row", "word").distinct().join(F.broadcast(known), "row").groupBy("word").agg(F.count("*").alias("df"), *(F.sum(f"y{k}").alias(f"a{k}") for k in range(len(names)))).where("df > 4")
+    counts = words.select("row", "word").distinct().join(F.broadcast(known), "row").groupBy("word").agg(F.count("*").alias("df"), *(F.sum(f"y{k}").alias(f"a{k}") for k in range(len(names)))).where(F.col("df") >= least)
     chosen: set[int] = set()
     for k in range(len(names)):
         s = sizes[k + 1] or 0
