@@ -150,10 +150,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, doc_id:
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     seen = scratch.write(docs.mapInArrow(_sets(size, "first"), _SET))
+    scratch.sized(seen.count())
     named = seen.where("n > 0 and doc_id is not null")
     classes = scratch.write(named.groupBy("f").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last_id"), F.min("n").alias("n")))
     copies = named.select("doc_id", "f").join(classes.where("doc_id < last_id").select("f", F.col("doc_id").alias("first_id")), "f").where("doc_id > first_id").select("doc_id", "f")
-    first = but(named, scratch.write(copies.distinct()), ["doc_id", "f"])
+    copies = scratch.write(copies.distinct())
+    first = but(named, copies, ["doc_id", "f"])
 
     # 1. The first quarter: which shingles are shared, and which are hot.
     laid = first.select("f", F.posexplode("tokens").alias("pos", "t"))
@@ -228,6 +230,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, doc_id:
     first_id = found.join(classes.select(F.col("f").alias("node"), "doc_id"), "node")
     least = first_id.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = scratch.write(first_id.join(least, "component").select(F.col("node").alias("f"), "component_id"))
+    scratch.drop(copies, df, shared, meta, rest, df2, shared2, postings, pairs, hot_postings, members, sets, links, label, more, mixed_hubs, every)
     ids = classes.join(of_class, "f", "left").select("f", F.coalesce("component_id", "doc_id").alias("component_id"))
     return (
         seen.join(ids, "f", "left")

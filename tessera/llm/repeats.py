@@ -235,6 +235,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     row = ["doc_id", "key"]
     seen = scratch.write(docs.select("doc_id", "text", "key").mapInArrow(_surveyed(size), "doc_id bigint, key bigint, n_words bigint, sha256 string, anchors array<bigint>"))
+    scratch.sized(seen.count())
     whole = seen.where((F.col("n_words") >= size) & F.col("doc_id").isNotNull())
     first = whole.groupBy("sha256").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
     copies = scratch.write(whole.select(*row, "sha256").join(first, "sha256").where("doc_id > first_id").select(*row).distinct())
