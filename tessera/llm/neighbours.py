@@ -74,12 +74,13 @@ def _cells(trees: int, planes: int, dim: int, seed: int):
 
 
 def _proposals(most: int):
-    """Pools (members: id, part, fresh, v) -> (id, part, the member's ``most`` best co-members of those it has not met)."""
+    """Pools (members: id, part, fresh, floor, v) -> (id, part, the member's ``most`` best co-members of those it has not met,
+    where they are better than ``floor``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ends, held = b.column(0).offsets.to_numpy(), b.column(0).values
-            ids, part, fresh = (held.field(c).to_numpy(zero_copy_only=False) for c in ("id", "part", "fresh"))
+            ids, part, fresh, floor = (held.field(c).to_numpy(zero_copy_only=False) for c in ("id", "part", "fresh", "floor"))
             x, scale = _matrix(held.field("v"))
             at, lists, sims, sizes = [], [], [], []
             for a, z in zip(ends.tolist(), ends[1:].tolist(), strict=False):
@@ -87,7 +88,7 @@ def _proposals(most: int):
                     continue
                 own = ids[a:z]
                 s = (x[a:z] @ x[a:z].T) * scale[a:z]
-                s[(own[:, None] == own) | ~(fresh[a:z, None] | fresh[a:z])] = -np.inf
+                s[(own[:, None] == own) | ~(fresh[a:z, None] | fresh[a:z]) | (s < floor[a:z, None])] = -np.inf
                 n = min(most, z - a - 1)
                 best = np.argpartition(-s, n - 1, 1)[:, :n]
                 score = np.take_along_axis(s, best, 1)
@@ -155,7 +156,7 @@ def start_graph(vectors: DataFrame, scratch: Scratch, rows: int, dim: int, k: in
     placed = vectors.mapInArrow(_cells(trees, planes, dim, seed), "tree int, cell bigint, id bigint, v binary")
     sizes = scratch.write(placed.groupBy("tree", "cell").agg(F.count("*").alias("n")))
     deal = F.when(F.col("n") > 2 * leaf, F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / leaf))).otherwise(F.lit(0))
-    member = F.struct("id", F.lit(0).alias("part"), F.lit(True).alias("fresh"), "v")
+    member = F.struct("id", F.lit(0).alias("part"), F.lit(True).alias("fresh"), F.lit(float("-inf")).alias("floor"), "v")
     pools = placed.join(sizes, ["tree", "cell"]).withColumn("deal", deal).groupBy("tree", "cell", "deal").agg(F.collect_list(member).alias("pool")).select("pool")
     return scratch.write(_graph(pools.mapInArrow(_proposals(k), _FOUND), k))
 
@@ -167,9 +168,10 @@ def descended(graph: DataFrame, vectors: DataFrame, scratch: Scratch, k: int, pr
         edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "fresh"))
         degree = edges.groupBy("a").agg(F.count("*").alias("n"), F.max("fresh").alias("any_fresh"))
         of_pool = degree.where("any_fresh").select("a", F.ceil(F.col("n") / (3 * k)).alias("deals"))
-        member = vectors.join(degree.select(F.col("a").alias("id"), F.ceil(F.col("n") / PARTED).cast("int").alias("parts")), "id")
+        floor = F.when(F.size("ss") >= k, F.array_min("ss")).otherwise(F.lit(float("-inf"))).alias("floor")
+        member = vectors.join(degree.select(F.col("a").alias("id"), F.ceil(F.col("n") / PARTED).cast("int").alias("parts")), "id").join(graph.select("id", floor), "id", "left").na.fill(float("-inf"), ["floor"])
         dealt = edges.join(of_pool, "a").select(F.col("b").alias("id"), "a", "fresh", F.pmod(F.xxhash64("b", "a"), "deals").alias("deal"))
-        own = F.struct("id", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), "fresh", "v")
+        own = F.struct("id", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), "fresh", "floor", "v")
         pools = dealt.join(member, "id").groupBy("a", "deal").agg(F.collect_list(own).alias("pool")).select("pool")
         old = graph.select("id", F.lit(0).alias("part"), "ns", "ss", F.transform("ns", lambda n: F.lit(False)).alias("fresh"))
         found = scratch.write(_graph(old.unionByName(pools.mapInArrow(_proposals(proposed), _FOUND)), k))
@@ -234,7 +236,7 @@ def searched(graph: DataFrame, vectors: DataFrame, asked: DataFrame, scratch: Sc
 
 
 def nearest(
-    table: DataFrame, every: int = 20, top: int = 20, k: int = 32, trees: int = 4, leaf: int = 100, proposed: int = 5, settled: float = 0.02, width: int = 200, rescored: int = 60, seed: int = 7, descend: bool = True, vec_id: str = "vec_id", embedding: str = "embedding"
+    table: DataFrame, every: int = 20, top: int = 20, k: int = 32, trees: int = 4, leaf: int = 100, proposed: int = 8, settled: float = 0.02, width: int = 200, rescored: int = 60, seed: int = 7, descend: bool = True, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for queries whose id is divisible by ``every``; without ``descend`` the start graph is searched."""
     small_batches(table.sparkSession)
@@ -248,6 +250,7 @@ def nearest(
     if not lengths:
         return table.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     dim = lengths[0]["dim"]
+    scratch.sized(lengths[0]["n"])
     rows = scratch.write(rows.where(F.size("x") == dim).withColumn("h", F.xxhash64("x")))
     first = rows.groupBy("h").agg(F.min("id").alias("rep"))
     members = scratch.write(rows.select("id", "h").join(first, "h").select("id", "rep"))

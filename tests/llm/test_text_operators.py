@@ -224,6 +224,56 @@ def test_decontamination(spark):
     assert len(sliced ^ set(pairs)) <= 2
 
 
+def nearest_substring(item, words):
+    """(edits, end, first) by plain loops: least edits, then the first end, then the shortest."""
+    best = None
+    for first in range(len(words) + 1):
+        row = list(range(len(item) + 1))  # against words[first:first]
+        ends = [(row[-1], first)]
+        for j, y in enumerate(words[first : first + 2 * len(item)], 1):
+            before, row[0] = row[0], j
+            for i, x in enumerate(item, 1):
+                before, row[i] = row[i], min(before + (x != y), row[i] + 1, row[i - 1] + 1)
+            ends.append((row[-1], first + j))
+        k, end = min(ends)
+        best = min(best or (10**9, 0, 0), (k, end, -first))
+    return best[0], best[1], -best[2]
+
+
+def test_decontamination_equals_brute_force(spark):
+    """Matches, edits and first words of every document and item against all substrings."""
+    rng = random.Random(24)
+    items = [(i, sentences(rng, n, 60)) for i, n in enumerate([3, 5, 6, 11, 16, 25])]
+    rows = []
+    for d in range(40):
+        w = sentences(rng, rng.randint(0, 25), 60).split()
+        for _ in range(rng.randint(0, 2)):
+            own = rng.choice(items)[1].split()
+            for _ in range(rng.randint(0, 1 + len(own) // 4)):
+                p, kind = rng.randrange(len(own)), rng.randrange(3)
+                own[p : p + (kind != 1)] = [f"z{rng.randrange(60)}"] * (kind != 2)
+            w += [*own, *sentences(rng, rng.randint(0, 10), 60).split()]
+        rows.append((d, " ".join(w)))
+    want = {}
+    for d, t in rows:
+        for i, x in items:
+            k, _, first = nearest_substring(x.split(), t.split())
+            if k <= int(decontamination.allowed(np.int64(len(x.split())))):
+                want[d, i] = (k, first)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["edits"], r["first_word"]) for r in decontamination.contaminated(frame(spark, rows), bench, recall=0.9999).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) and len(want) > 20
+    assert sum(got[k] == want[k] for k in got) >= 0.97 * len(got)
+
+
+def test_edits():
+    rng = random.Random(8)
+    for _ in range(200):
+        item, text = ([rng.randrange(4) for _ in range(n)] for n in (rng.randint(1, 9), rng.randint(0, 14)))
+        k, end, first = nearest_substring(item, text)
+        assert decontamination.edits(np.array(item), np.array(text, np.int64)) == (k, first, end)
+
+
 def test_decontamination_at_the_bound(spark):
     """Items of all lengths with as many edits of any kind as are allowed."""
     rng = random.Random(14)
@@ -274,8 +324,15 @@ def licenses_by_brute_force(t):
     labels, score = {label for phrase, label in licenses.BASE.items() if holds(phrase)}, float(any(map(holds, licenses.BASE)))
     for label, wording, must in licenses.TEMPLATES:
         own = wording.split()
-        best = max((sum(0 <= k + p < len(w) and w[k + p] == x for p, x in enumerate(own)) for k in range(-len(own), len(w))), default=0) / len(own)
-        if holds(must) and best >= 0.75:
+        if not holds(must):
+            continue
+        best = 0
+        for low in range(0, len(own), licenses.SEGMENT):
+            part = own[low : low + licenses.SEGMENT]
+            n = max((sum(0 <= k + p < len(w) and w[k + p] == x for p, x in enumerate(part)) for k in range(-len(part), len(w))), default=0)
+            best += n if n / len(part) >= 0.75 else 0
+        best /= len(own)
+        if best >= 0.75:
             labels, score = labels | {label}, max(score, best)
     return ",".join(sorted(labels)), score
 
@@ -283,10 +340,17 @@ def licenses_by_brute_force(t):
 def test_licenses_side_by_side_and_among_their_words(spark):
     """Several licences in a document, and licence words scattered over it, rarer in the corpus than a licence's own."""
     rng = random.Random(12)
-    wordings = [wording for _, wording, _ in licenses.TEMPLATES]
+    wordings = [wording for _, wording, _ in sorted(licenses.TEMPLATES, key=lambda t: len(t[1])) if len(wording.split()) < 60]
+    everything = [wording for _, wording, _ in licenses.TEMPLATES]
     loose = sorted({x for wording in wordings for x in wording.split()})
-    texts = [f"{wordings[1]}. {wordings[3]}.", " ".join([*loose, "z", wordings[0], "z", *loose]), "mit license " * 3 + wordings[5], f"{wordings[3]} {wordings[1]} {wordings[5]} {wordings[6]}"]
-    for _ in range(120):
+    bsd, gpl = (next(x for label, x, _ in licenses.TEMPLATES if label == name and len(x.split()) < 30) for name in ("bsd", "gpl-3.0"))
+    texts = [f"{bsd}. {gpl}.", " ".join([*loose, "z", wordings[0], "z", *loose]), "mit license " * 3 + wordings[5], f"{wordings[3]} {wordings[1]} {wordings[5]} {wordings[6]}"]
+    for x in everything:  # whole licences, with a word put in and some changed
+        own = x.split()
+        for p in rng.sample(range(len(own)), len(own) // 12):
+            own[p] = "zz"
+        texts += [x.upper(), " ".join([*own[: len(own) // 2], "odd", *own[len(own) // 2 :]])]
+    for _ in range(60):
         parts = [[f"w{rng.randrange(50)}" for _ in range(rng.randint(0, 20))]]
         for _ in range(rng.randint(1, 3)):
             one = rng.choice(wordings).split()
@@ -423,3 +487,27 @@ def test_benjamini_hochberg():
 def test_extra_columns_do_not_clash(spark):
     df = frame(spark, [(1, "a b c d e f g"), (2, "a b c d e f g")]).withColumns({c: F.lit("x") for c in ("tokens", "n", "row", "words", "key", "h")})
     assert near_duplicates.near_duplicates(df).count() == repeats.remove_repeats(df).count() == licenses.scan(df).count() == secret_scan.secrets(df).count() == 2
+
+
+def test_very_long_texts(spark):
+    """Texts that are read in several parts, words and documents beyond every block size."""
+    from tessera.llm import texts
+
+    rng = random.Random(31)
+    long = sentences(rng, 350_000, 5000) + " " + "ab" * 300_000 + " " + sentences(rng, 50_000)
+    rows = [(1, long), (2, "tail. " * 100), (3, None)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(frame(spark, rows), path, keep=["doc_id"]).collect()}
+    library = Tokenizer.from_file(path)
+    assert got == {i: (len(t or ""), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows}
+    data, offsets = texts.raw(pa.array([t for _, t in rows]))
+    cut, whole = texts.word_hashes(data, offsets, True), texts._hash_spans(data, offsets, True, False)
+    assert len(data) > 4 * texts.PIECE and (cut[0] == whole[0]).all() and (cut[1] == whole[1]).all()
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = np.array([*Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids, 2], "<u4")
+    assert len(ids) > 2 * packing.BLOCK
+    at = 0
+    for p in sorted((r for r in packing.pack(frame(spark, rows), path).collect() if r["doc_id"] == 1), key=lambda r: r["start"]):
+        assert p["start"] == at and zlib.crc32(ids[at : at + p["length"]].tobytes()) == p["ids_crc32"]
+        at += p["length"]
+    assert at == len(ids)
