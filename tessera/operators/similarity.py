@@ -331,11 +331,13 @@ def merged_into_reference(candidates: DataFrame, reference: DataFrame, keys: lis
 
 
 def nearest_vectors(df: DataFrame, key: str, vector: str, fold: str, k: int) -> DataFrame:
-    """(key, rank, other, distance): each row's k nearest of the other folds by L2, compared in blocks of one fold.
+    """(key, rank, other, distance): each row's k nearest of the other folds by L2, compared in blocks of about 500 rows of
+    one fold.
 
     For tables of repertoires or samples; large vector tables belong to an index.
     """
-    every = df.groupBy(F.col(fold).alias("__f"), F.pmod(F.xxhash64(key), F.lit(16)).alias("__b")).agg(F.collect_list(F.struct(F.col(key).alias("o"), F.col(vector).alias("v"))).alias("rows"))
+    blocks = -(-df.count() // 500) or 1
+    every = df.groupBy(F.col(fold).alias("__f"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("__b")).agg(F.collect_list(F.struct(F.col(key).alias("o"), F.col(vector).alias("v"))).alias("rows"))
     folds = df.select(F.col(fold).alias("__own")).distinct()
     pairs = folds.join(every, F.col("__own") != F.col("__f"))
     met = df.withColumnRenamed(fold, "__own").join(pairs, "__own").select(key, F.explode(F.transform("rows", lambda r: F.struct(sequences.squared_distance(F.col(vector), r["v"]).alias("d"), r["o"].alias("o")))).alias("x"))

@@ -192,7 +192,8 @@ def airr_columns(s, d):
     return cleaning.airr_layout(cleaning.normalize_names(df), {"prod": "productive"}, ["repertoire_id", "row_idx", "amino_acid", "v_gene", "productive", "locus"], ["locus"], ["productive"])
 
 
-@query(", x as (select repertoire_id, row_idx, case when row_idx % 3 = 0 then v_call else split_part(v_call, '*', 1) end r, case when row_idx % 5 = 0 then '2' when row_idx % 5 = 1 then 'x' end a from repertoire) select repertoire_id, row_idx, lpad(coalesce(nullif(regexp_extract(r, '\\*(\\d+)$', 1), ''), nullif(regexp_extract(coalesce(a, ''), '^(\\d+)$', 1), ''), '01'), 2, '0') allele, nullif(regexp_extract(r, '\\*(\\d+)$', 1), '') is null and nullif(regexp_extract(coalesce(a, ''), '^(\\d+)$', 1), '') is null imputed from x")
+@query(""", x as (select repertoire_id, row_idx, case when row_idx % 3 = 0 then v_call else split_part(v_call, '*', 1) end r, case when row_idx % 5 = 0 then '2' when row_idx % 5 = 1 then 'x' end a from repertoire)
+select repertoire_id, row_idx, lpad(coalesce(nullif(regexp_extract(r, '\\*(\\d+)$', 1), ''), nullif(regexp_extract(coalesce(a, ''), '^(\\d+)$', 1), ''), '01'), 2, '0') allele, nullif(regexp_extract(r, '\\*(\\d+)$', 1), '') is null and nullif(regexp_extract(coalesce(a, ''), '^(\\d+)$', 1), '') is null imputed from x""")
 def allele_resolution(s, d):
     i = F.col("row_idx")
     resolved = F.when(i % 3 == 0, F.col("v_call")).otherwise(F.substring_index("v_call", "*", 1))
@@ -213,14 +214,20 @@ def canonical_alleles(s, d):
     return repertoire(s, d).select("v_call", genes.first_allele(F.concat("v_call", F.lit(", TRBV9")), canonical=True).alias("canonical")).distinct()
 
 
-@query(", o as (select distinct cdr3_aa from repertoire), n as (select cdr3_aa, list_aggregate(list_transform(string_split(cdr3_aa, ''), lambda c: case c when 'A' then 'GCT' when 'C' then 'TGT' when 'D' then 'GAC' when 'E' then 'GAG' else 'NNN' end), 'string_agg', '') || 'G' nt from o) select cdr3_aa, regexp_replace(cdr3_aa, '[^ACDE]', 'X', 'g') || 'X' translated from n")
+@query(""", o as (select distinct cdr3_aa from repertoire),
+ n as (select cdr3_aa, list_aggregate(list_transform(string_split(cdr3_aa, ''), lambda c: case c when 'A' then 'GCT' when 'C' then 'TGT' when 'D' then 'GAC' when 'E' then 'GAG' else 'NNN' end), 'string_agg', '') || 'G' nt from o)
+select cdr3_aa, regexp_replace(cdr3_aa, '[^ACDE]', 'X', 'g') || 'X' translated from n""")
 def translated_codons(s, d):
     codon = F.create_map(*map(F.lit, ("A", "GCT", "C", "TGT", "D", "GAC", "E", "GAG")))
     nt = F.concat(F.array_join(F.transform(sequences.letters(F.col("cdr3_aa")), lambda c: F.coalesce(F.try_element_at(codon, c), F.lit("NNN"))), ""), F.lit("G"))
     return repertoire(s, d).select("cdr3_aa").distinct().select("cdr3_aa", sequences.translate_nt(nt).alias("translated"))
 
 
-@query(", o as (select distinct cdr3_aa a from repertoire), p as (select a, left(a, 4) || substr(a, 6) b from o), g as (select a, b, unnest(range(0, length(b) + 1)) i from p), q as (select a, b, left(b, i) || '-' || substr(b, i + 1) x from g) select a, round(max(list_sum(list_transform(range(1, length(a) + 1), lambda k: case when substr(a, k, 1) = substr(x, k, 1) then 4.0 else -6.0 end)) / length(a)), 6) score from q group by 1")
+@query(""", o as (select distinct cdr3_aa a from repertoire),
+ p as (select a, left(a, 4) || substr(a, 6) b from o),
+ g as (select a, b, unnest(range(0, length(b) + 1)) i from p),
+ q as (select a, b, left(b, i) || '-' || substr(b, i + 1) x from g)
+select a, round(max(list_sum(list_transform(range(1, length(a) + 1), lambda k: case when substr(a, k, 1) = substr(x, k, 1) then 4.0 else -6.0 end)) / length(a)), 6) score from q group by 1""")
 def one_gap_scores(s, d):
     """Each CDR3 against itself without its fifth residue: the best place of one gap."""
     own = repertoire(s, d).select(F.col("cdr3_aa").alias("a")).distinct()
@@ -283,7 +290,9 @@ def shared_columns(s, d):
     return a.unionByName(b).select("specimen_label", "disease", "fold_id")
 
 
-@query(", r as (select specimen_label, disease, row_number() over (partition by disease order by md5('7-' || specimen_label), specimen_label) r from metadata), t as (select specimen_label, row_number() over (order by r, disease) n from r) select specimen_label, case when n <= 12 then 'test' else 'train' end as role from t")
+@query(""", r as (select specimen_label, disease, row_number() over (partition by disease order by md5('7-' || specimen_label), specimen_label) r from metadata),
+ t as (select specimen_label, row_number() over (order by r, disease) n from r)
+select specimen_label, case when n <= 12 then 'test' else 'train' end as role from t""")
 def leave_twelve_out(s, d):
     return sampling.leave_out(metadata(s, d).select("specimen_label", "disease"), "disease", "specimen_label", 12).select("specimen_label", "role")
 
@@ -315,13 +324,18 @@ def audit_by_fold(s, d):
     return cleaning.audit_groups(repertoire(s, d), metadata(s, d), ["fold_id", "disease"])
 
 
-@query(", e as (select repertoire_id, cdr3_aa, exp(duplicate_count / 10.0 - max(duplicate_count / 10.0) over (partition by repertoire_id)) e from repertoire), w as (select *, e / sum(e) over (partition by repertoire_id) w from e) select repertoire_id, cdr3_aa, round(max(w), 9) score from w group by 1, 2")
+@query(""", e as (select repertoire_id, cdr3_aa, exp(duplicate_count / 10.0 - max(duplicate_count / 10.0) over (partition by repertoire_id)) e from repertoire),
+ w as (select *, e / sum(e) over (partition by repertoire_id) w from e)
+select repertoire_id, cdr3_aa, round(max(w), 9) score from w group by 1, 2""")
 def attention_driver_scores(s, d):
     rep = repertoire(s, d).select("repertoire_id", "cdr3_aa", (F.col("duplicate_count") / 10.0).alias("weighting"))
     return features.attention_driver_scores(rep, "weighting").select("repertoire_id", "cdr3_aa", F.round("score", 9).alias("score"))
 
 
-@query(TRUTH + ", m as (select distinct a.repertoire_id, a.cdr3_aa from repertoire a join truth using (cdr3_aa)), n as (select repertoire_id, count(*) n from m group by 1), f as (select disease, coalesce(n, 0) n from metadata left join n on repertoire_id = specimen_label) select disease, count(*) specimens, round(avg(n), 6) mean, round(coalesce(stddev_samp(n), 0), 6) sd, min(n) least, round(quantile_cont(n, 0.5), 6) median, max(n) most from f group by 1")
+@query(TRUTH + """, m as (select distinct a.repertoire_id, a.cdr3_aa from repertoire a join truth using (cdr3_aa)),
+ n as (select repertoire_id, count(*) n from m group by 1),
+ f as (select disease, coalesce(n, 0) n from metadata left join n on repertoire_id = specimen_label)
+select disease, count(*) specimens, round(avg(n), 6) mean, round(coalesce(stddev_samp(n), 0), 6) sd, min(n) least, round(quantile_cont(n, 0.5), 6) median, max(n) most from f group by 1""")
 def unique_drivers(s, d):
     """Exact drivers of each specimen, described by disease."""
     held = repertoire(s, d).join(truth(s, d).select("cdr3_aa"), "cdr3_aa", "left_semi").select("repertoire_id", "cdr3_aa").distinct()
@@ -356,7 +370,11 @@ def compatible_genes(s, d):
     return similarity.compatible_genes(pairs, scores).select("v1", "v2")
 
 
-@query(", t as (select vec_id, vec_id % 3 f, label, embedding e from embeddings), p as (select a.vec_id, b.vec_id o, b.label, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.e[i]::double - b.e[i]::double) * (a.e[i]::double - b.e[i]::double)))), 9) q from t a join t b on a.f <> b.f), r as (select *, row_number() over (partition by vec_id order by q, o) rank from p), v as (select vec_id, k, label as class, sum(1 / (q + 1e-9)) w from (select *, unnest([1, 5, 10]) k from r where rank <= 10) where rank <= k group by 1, 2, 3) select vec_id, k, class, round(w / sum(w) over (partition by vec_id, k), 5) score from v")
+@query(""", t as (select vec_id, vec_id % 3 f, label, embedding e from embeddings),
+ p as (select a.vec_id, b.vec_id o, b.label, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.e[i]::double - b.e[i]::double) * (a.e[i]::double - b.e[i]::double)))), 9) q from t a join t b on a.f <> b.f),
+ r as (select *, row_number() over (partition by vec_id order by q, o) rank from p),
+ v as (select vec_id, k, label as class, sum(1 / (q + 1e-9)) w from (select *, unnest([1, 5, 10]) k from r where rank <= 10) where rank <= k group by 1, 2, 3)
+select vec_id, k, class, round(w / sum(w) over (partition by vec_id, k), 5) score from v""")
 def knn_votes(s, d):
     """Class shares among the k nearest vectors of other folds, for a grid of k."""
     v = table(s, d, "embeddings").select("vec_id", F.col("label").alias("class"), (F.col("vec_id") % 3).alias("fold"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))

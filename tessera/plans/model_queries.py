@@ -148,16 +148,22 @@ def vector_shards(s, d):
     return table(s, d, "embeddings").groupBy((F.col("vec_id") % 20).alias("shard")).agg(F.count("*").alias("n"))
 
 
-@query(", " + LABELS + ", sh as (select repertoire_id, v_call as cluster, count(*) / sum(count(*)) over (partition by repertoire_id) share from repertoire group by 1, 2), ids as (select distinct repertoire_id i from sh), cl as (select distinct cluster from sh), g as (select a.i a, b.i b, coalesce(x.share, 0) p, coalesce(y.share, 0) q from ids a join ids b on a.i <> b.i cross join cl left join sh x on x.repertoire_id = a.i and x.cluster = cl.cluster left join sh y on y.repertoire_id = b.i and y.cluster = cl.cluster), e as (select a, b, round(sqrt(sum((p - q) * (p - q))), 9) dist from g group by 1, 2), t as (select *, row_number() over (partition by a order by dist, b) k from e) select a, round(sum(y / (dist + 1e-9)) / sum(1 / (dist + 1e-9)), 6) score from t join labels on b = repertoire_id where k <= 5 group by 1")
+@query(", " + LABELS + """, sh as (select repertoire_id, v_call as cluster, count(*) / sum(count(*)) over (partition by repertoire_id) share from repertoire group by 1, 2),
+ ids as (select distinct repertoire_id i from sh),
+ cl as (select distinct cluster from sh),
+ g as (select a.i a, b.i b, coalesce(x.share, 0) p, coalesce(y.share, 0) q from ids a join ids b on a.i <> b.i cross join cl left join sh x on x.repertoire_id = a.i and x.cluster = cl.cluster left join sh y on y.repertoire_id = b.i and y.cluster = cl.cluster),
+ e as (select a, b, round(sqrt(sum((p - q) * (p - q))), 9) dist from g group by 1, 2),
+ t as (select *, row_number() over (partition by a order by dist, b) k from e)
+select a, round(sum(y / (dist + 1e-9)) / sum(1 / (dist + 1e-9)), 6) score from t join labels on b = repertoire_id where k <= 5 group by 1""")
 def knn_repertoires(s, d):
     """5-nearest-repertoire vote on usage distance."""
     dist = similarity.repertoire_distances(shares(s, d)).withColumn("euclidean", F.round("euclidean", 9))
     return similarity.nearest_vote(dist, labels(s, d), 5, "euclidean").select("a", r6("score", "score"))
 
 
-@query("select vec_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::double * embedding[i]::double)), 4) norm from embeddings", plain=True)
+@query("select vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::double * embedding[i]::double))), 4) norm from embeddings", plain=True)
 def vector_norms(s, d):
-    return table(s, d, "embeddings").select("vec_id", F.round(sequences.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
+    return table(s, d, "embeddings").select("vec_id", F.round(F.sqrt(sequences.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"))
 
 
 @query(", " + LABELS + " select round(count(*) filter (where y = 0) / greatest(count(*) filter (where y = 1), 1), 6) positive_weight from labels")
@@ -171,7 +177,9 @@ def transfer_set(s, d):
     return cohorts.transfer_set(m.where("fold_id = 0"), m.where("fold_id = 1")).select("specimen_label", "role")
 
 
-@query(", m as (select * from metadata where disease in ('CMV', 'Healthy/Background')), p as (select specimen_label, (cast(substr(specimen_label, 2) as int) * 7919 % 1000) / 1000.0 s from metadata where fold_id > 0) select disease, count(s) scored, count(*) - count(s) unscored, round(avg(s), 6) mean_score from m left join p using (specimen_label) group by 1")
+@query(""", m as (select * from metadata where disease in ('CMV', 'Healthy/Background')),
+ p as (select specimen_label, (cast(substr(specimen_label, 2) as int) * 7919 % 1000) / 1000.0 s from metadata where fold_id > 0)
+select disease, count(s) scored, count(*) - count(s) unscored, round(avg(s), 6) mean_score from m left join p using (specimen_label) group by 1""")
 def score_attach(s, d):
     meta = cohorts.binary_task(metadata(s, d), "CMV")
     scores = predictions(s, d).where("fold > 0").select("specimen_label", "model_score")
@@ -196,14 +204,18 @@ def padded_keys(s, d):
     return metadata(s, d).select("participant_label", genes.padded_participant(p, 5).alias("padded"))
 
 
-@query(", v as (select specimen_label, case when race = 'Unknown' then null else race end r from (select specimen_label, case ancestry when 'ASIA' then 'Asian' when 'EUROPE' then 'White' when 'AFRICA' then 'Black or African American, Not Hispanic' when 'AMERICA' then 'White, Hispanic or Latino' else 'Unknown' end race from metadata)) select specimen_label, case when split_part(r, ', ', 2) = 'Hispanic or Latino' then 'Hispanic/Latino' else case split_part(r, ', ', 1) when 'White' then 'Caucasian' when 'Black or African American' then 'African' when 'Asian' then 'Asian' end end ancestry from v")
+@query(""", v as (select specimen_label, case when race = 'Unknown' then null else race end r from (select specimen_label, case ancestry when 'ASIA' then 'Asian' when 'EUROPE' then 'White' when 'AFRICA' then 'Black or African American, Not Hispanic' when 'AMERICA' then 'White, Hispanic or Latino' else 'Unknown' end race from metadata))
+select specimen_label, case when split_part(r, ', ', 2) = 'Hispanic or Latino' then 'Hispanic/Latino' else case split_part(r, ', ', 1) when 'White' then 'Caucasian' when 'Black or African American' then 'African' when 'Asian' then 'Asian' end end ancestry from v""")
 def ancestry_map(s, d):
     source = F.when(F.col("ancestry") == "ASIA", "Asian").when(F.col("ancestry") == "EUROPE", "White").when(F.col("ancestry") == "AFRICA", "Black or African American, Not Hispanic").when(F.col("ancestry") == "AMERICA", "White, Hispanic or Latino").otherwise("Unknown")
     race, ethnicity = cohorts.race_ethnicity(source)
     return metadata(s, d).select("specimen_label", cohorts.ancestry(race, ethnicity).alias("ancestry"))
 
 
-@query(", a as (select specimen_label, disease status, sex, age from metadata where fold_id = 0), s1 as (select *, row_number() over (order by specimen_label) i from a), f1 as (select specimen_label, status, case when age > 60 then 'F' else sex end sex, case when age < 30 then age + 3 else age + 1 end age, row_number() over (order by specimen_label) i from a) select s1.i, s1.sex s_sex, f1.sex f_sex, s1.age s_age, f1.age f_age from s1 full join f1 using (i) where s1.sex is distinct from f1.sex or s1.status is distinct from f1.status or coalesce(abs(s1.age - f1.age) > 2, (s1.age is null) <> (f1.age is null))")
+@query(""", a as (select specimen_label, disease status, sex, age from metadata where fold_id = 0),
+ s1 as (select *, row_number() over (order by specimen_label) i from a),
+ f1 as (select specimen_label, status, case when age > 60 then 'F' else sex end sex, case when age < 30 then age + 3 else age + 1 end age, row_number() over (order by specimen_label) i from a)
+select s1.i, s1.sex s_sex, f1.sex f_sex, s1.age s_age, f1.age f_age from s1 full join f1 using (i) where s1.sex is distinct from f1.sex or s1.status is distinct from f1.status or coalesce(abs(s1.age - f1.age) > 2, (s1.age is null) <> (f1.age is null))""")
 def source_mapping_check(s, d):
     a = metadata(s, d).where("fold_id = 0").select("specimen_label", F.col("disease").alias("status"), "sex", "age")
     b = a.withColumns({"sex": F.when(F.col("age") > 60, "F").otherwise(F.col("sex")), "age": F.when(F.col("age") < 30, F.col("age") + 3).otherwise(F.col("age") + 1)})
@@ -215,7 +227,10 @@ def length_bucket(s, d):
     return cleaning.length_filter(repertoire(s, d), least=13, most=13).select("repertoire_id", "row_idx")
 
 
-@query(", s0 as (select v_call, max(cdr3_aa) || 'ACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRST' seq from repertoire group by 1), p as (select v_call, substr(seq, 27, 11) || substr(seq, 56, 9) part from s0), g as (select a.v_call v1, b.v_call v2, a.part p, b.part q from p a, p b) select v1, v2, floor(list_sum(list_transform(range(1, length(p) + 1), lambda i: case when substr(p, i, 1) = substr(q, i, 1) then 4.0 else -6.0 end))) / 20 score from g where length(p) = length(q)")
+@query(""", s0 as (select v_call, max(cdr3_aa) || 'ACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRST' seq from repertoire group by 1),
+ p as (select v_call, substr(seq, 27, 11) || substr(seq, 56, 9) part from s0),
+ g as (select a.v_call v1, b.v_call v2, a.part p, b.part q from p a, p b)
+select v1, v2, floor(list_sum(list_transform(range(1, length(p) + 1), lambda i: case when substr(p, i, 1) = substr(q, i, 1) then 4.0 else -6.0 end))) / 20 score from g where length(p) = length(q)""")
 def v_pair_scores(s, d):
     ref = repertoire(s, d).groupBy("v_call").agg(F.concat(F.max("cdr3_aa"), F.lit("ACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRST")).alias("seq"))
     own = {a + a: 5.0 for a in sequences.RESIDUES}

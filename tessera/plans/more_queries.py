@@ -45,7 +45,9 @@ def count_scaling(s, d):
     return repertoire(s, d).select("repertoire_id", "row_idx", r6(sequences.count_scaling(c), "log_count"), sequences.count_scaling(c, "own").alias("own"))
 
 
-@query(", o as (select distinct repertoire_id, cdr3_aa from repertoire), p as (select a.cdr3_aa a, b.cdr3_aa b from o a join o b on a.repertoire_id = b.repertoire_id and length(a.cdr3_aa) = length(b.cdr3_aa) and a.cdr3_aa < b.cdr3_aa group by 1, 2) select a, b, list_sum(list_transform(range(1, length(a) + 1), lambda i: case when substr(a, i, 1) = substr(b, i, 1) then 4.0 else -6.0 end)) score from p")
+@query(""", o as (select distinct repertoire_id, cdr3_aa from repertoire),
+ p as (select a.cdr3_aa a, b.cdr3_aa b from o a join o b on a.repertoire_id = b.repertoire_id and length(a.cdr3_aa) = length(b.cdr3_aa) and a.cdr3_aa < b.cdr3_aa group by 1, 2)
+select a, b, list_sum(list_transform(range(1, length(a) + 1), lambda i: case when substr(a, i, 1) = substr(b, i, 1) then 4.0 else -6.0 end)) score from p""")
 def alignment_scores(s, d):
     own = repertoire(s, d).select("repertoire_id", "cdr3_aa", F.length("cdr3_aa").alias("len")).distinct()
     pairs = own.withColumnRenamed("cdr3_aa", "a").join(own.withColumnRenamed("cdr3_aa", "b"), ["repertoire_id", "len"]).where("a < b").select("a", "b").distinct()
@@ -79,46 +81,64 @@ def cluster_merge(s, d):
     return similarity.merged_into_reference(c, r, ["cdr3_aa", "j_call"])
 
 
-@query(", e as (select distinct left(cdr3_aa, 4) as cluster, substr(cdr3_aa, 5, 3) as member from repertoire), n as (select distinct a.cluster x, b.cluster y from e a join e b using (member)), r(node, root) as (select x, x from n union select n.y, r.root from r join n on n.x = r.node where r.root < n.y) select node as cluster, least(node, min(root)) merged from r group by 1")
+@query(""", e as (select distinct left(cdr3_aa, 4) as cluster, substr(cdr3_aa, 5, 3) as member from repertoire),
+ n as (select distinct a.cluster x, b.cluster y from e a join e b using (member)), r(node, root) as (select x, x from n union select n.y, r.root from r join n on n.x = r.node where r.root < n.y)
+select node as cluster, least(node, min(root)) merged from r group by 1""")
 def overlapping_clusters(s, d):
     e = repertoire(s, d).select(F.expr("left(cdr3_aa, 4)").alias("cluster"), F.expr("substring(cdr3_aa, 5, 3)").alias("member")).distinct()
     return similarity.merged_clusters(e)
 
 
-@query(", e as (select distinct v_call a, j_call b from repertoire where duplicate_count = 50), n as (select a x, b y from e union select b, a from e), h0 as (select distinct v_call s from repertoire where v_call < 'TRBV2'), h1 as (select distinct s, y from h0 join n on s = x), h2 as (select distinct s, n.y from h1 join n on h1.y = n.x) select seed, node, min(hops) hops from (select s seed, s node, 0 hops from h0 union all select s, y, 1 from h1 union all select s, y, 2 from h2) group by 1, 2")
+@query(""", e as (select distinct v_call a, j_call b from repertoire where duplicate_count = 50),
+ n as (select a x, b y from e union select b, a from e),
+ h0 as (select distinct v_call s from repertoire where v_call < 'TRBV2'),
+ h1 as (select distinct s, y from h0 join n on s = x),
+ h2 as (select distinct s, n.y from h1 join n on h1.y = n.x)
+select seed, node, min(hops) hops from (select s seed, s node, 0 hops from h0 union all select s, y, 1 from h1 union all select s, y, 2 from h2) group by 1, 2""")
 def range_hops(s, d):
     rep = repertoire(s, d)
     e = rep.where("duplicate_count = 50").select(F.col("v_call").alias("a"), F.col("j_call").alias("b")).distinct()
     return similarity.hop_limited(e, rep.where("v_call < 'TRBV2'").select(F.col("v_call").alias("node")).distinct(), 2)
 
 
-@query(", g as (select distinct split_part(v_call, '*', 1) gene from repertoire where v_call < 'TRBV2'), x as (select r.*, coalesce('K' || right(gene, 3), '--------') cdr2 from repertoire r left join g on split_part(v_call, '*', 1) = gene) select repertoire_id, row_idx, cdr2, left(cdr2 || '-' || cdr3_aa, 15) model_text from x")
+@query(""", g as (select distinct split_part(v_call, '*', 1) gene from repertoire where v_call < 'TRBV2'),
+ x as (select r.*, coalesce('K' || right(gene, 3), '--------') cdr2 from repertoire r left join g on split_part(v_call, '*', 1) = gene)
+select repertoire_id, row_idx, cdr2, left(cdr2 || '-' || cdr3_aa, 15) model_text from x""")
 def cdr2_lookup(s, d):
     rep = repertoire(s, d)
     g = rep.where("v_call < 'TRBV2'").select(F.substring_index("v_call", "*", 1).alias("gene")).distinct().withColumn("cdr2", F.concat(F.lit("K"), F.expr("right(gene, 3)")))
     return similarity.cdr2_cdr3(rep, g, 15).select("repertoire_id", "row_idx", "cdr2", "model_text")
 
 
-@query(", t as (select vec_id, vec_id % 3 f, embedding e from embeddings), p as (select a.vec_id, b.vec_id o, list_sum(list_transform(range(1, 65), lambda i: (a.e[i]::double - b.e[i]::double) * (a.e[i]::double - b.e[i]::double))) q from t a join t b on a.f <> b.f), r as (select *, row_number() over (partition by vec_id order by q, o) rank from p) select vec_id, rank, o as other, round(sqrt(q), 5) distance from r where rank <= 5", plain=False)
+@query(""", t as (select vec_id, vec_id % 3 f, embedding e from embeddings),
+ p as (select a.vec_id, b.vec_id o, list_sum(list_transform(range(1, 65), lambda i: (a.e[i]::double - b.e[i]::double) * (a.e[i]::double - b.e[i]::double))) q from t a join t b on a.f <> b.f),
+ r as (select *, row_number() over (partition by vec_id order by q, o) rank from p)
+select vec_id, rank, o as other, round(sqrt(q), 5) distance from r where rank <= 5""", plain=False)
 def knn_vectors(s, d):
     """Each vector against the other folds: distances in blocks."""
     v = table(s, d, "embeddings").select("vec_id", (F.col("vec_id") % 3).alias("fold"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return similarity.nearest_vectors(v, "vec_id", "v", "fold", 5).select("vec_id", *big("rank"), "other", F.round("distance", 5).alias("distance"))
 
 
-@query(TASK + ", h as (select *, row_number() over (partition by floor(age / 10) order by md5('7-' || participant_label), participant_label) rank from task where y = 0 and age is not null), m as (select specimen_label from task where y = 1 or participant_label in (select participant_label from h join target on floor(age / 10) * 10 = bin where rank <= target)), r as (select specimen_label, random_baseline_seed z from (select *, row_number() over (partition by random_baseline_seed, y order by md5(concat_ws('-', cast(random_baseline_seed as varchar), participant_label)), participant_label) rank from (select *, unnest([7, 14, 21, 28, 35]) random_baseline_seed from task)), (select coalesce(max(max_n), 0) max_n from target) where y = 1 or rank <= max_n) select 'CMV' disease, 'age_matched' cohort, specimen_label from m union all select 'CMV', 'random_' || z, specimen_label from r")
+@query(TASK + """, h as (select *, row_number() over (partition by floor(age / 10) order by md5('7-' || participant_label), participant_label) rank from task where y = 0 and age is not null),
+ m as (select specimen_label from task where y = 1 or participant_label in (select participant_label from h join target on floor(age / 10) * 10 = bin where rank <= target)),
+ r as (select specimen_label, random_baseline_seed z from (select *, row_number() over (partition by random_baseline_seed, y order by md5(concat_ws('-', cast(random_baseline_seed as varchar), participant_label)), participant_label) rank from (select *, unnest([7, 14, 21, 28, 35]) random_baseline_seed from task)), (select coalesce(max(max_n), 0) max_n from target) where y = 1 or rank <= max_n)
+select 'CMV' disease, 'age_matched' cohort, specimen_label from m union all select 'CMV', 'random_' || z, specimen_label from r""")
 def cohort_lists(s, d):
     return cohorts.cohort_lists(metadata(s, d), ["CMV"])
 
 
-@query(", a as (select specimen_label, case when fold_id = 0 then '25 Years, Male, Cytomegalovirus +' when fold_id = 1 then 'female, 61 Years, Cytomegalovirus -' else 'Unknown' end tags from metadata) select specimen_label, case fold_id when 0 then 'M' when 1 then 'F' end sex, case fold_id when 0 then '+' when 1 then '-' end status, case fold_id when 0 then 25.0 when 1 then 61.0 end::double age from metadata")
+@query(""", a as (select specimen_label, case when fold_id = 0 then '25 Years, Male, Cytomegalovirus +' when fold_id = 1 then 'female, 61 Years, Cytomegalovirus -' else 'Unknown' end tags from metadata)
+select specimen_label, case fold_id when 0 then 'M' when 1 then 'F' end sex, case fold_id when 0 then '+' when 1 then '-' end status, case fold_id when 0 then 25.0 when 1 then 61.0 end::double age from metadata""")
 def sample_tags(s, d):
     tags = F.when(F.col("fold_id") == 0, "25 Years, Male, Cytomegalovirus +").when(F.col("fold_id") == 1, "female, 61 Years, Cytomegalovirus -").otherwise("Unknown")
     fields = cohorts.tag_fields(tags)
     return metadata(s, d).select("specimen_label", *(c.alias(n) for n, c in fields.items()))
 
 
-@query(", m as (select specimen_label, unnest(['A' || (cast(substr(specimen_label, 2) as int) % 4), 'B' || (cast(substr(specimen_label, 2) as int) % 3)]) a from metadata), t as (select specimen_label, case a when 'A0' then 'A-one' when 'A1' then 'A-one' when 'B2' then 'B-two' end s from m) select specimen_label, coalesce(string_agg(distinct s, ',' order by s), '') supertypes from t group by 1")
+@query(""", m as (select specimen_label, unnest(['A' || (cast(substr(specimen_label, 2) as int) % 4), 'B' || (cast(substr(specimen_label, 2) as int) % 3)]) a from metadata),
+ t as (select specimen_label, case a when 'A0' then 'A-one' when 'A1' then 'A-one' when 'B2' then 'B-two' end s from m)
+select specimen_label, coalesce(string_agg(distinct s, ',' order by s), '') supertypes from t group by 1""")
 def supertype_map(s, d):
     n = F.expr("cast(substring(specimen_label, 2) as int)")
     m = metadata(s, d).select("specimen_label", F.array(F.concat(F.lit("A"), (n % 4).cast("string")), F.concat(F.lit("B"), (n % 3).cast("string"))).alias("alleles"))
@@ -126,19 +146,23 @@ def supertype_map(s, d):
     return cohorts.supertypes(m, "specimen_label", "alleles", t).select("specimen_label", F.array_join("supertypes", ",").alias("supertypes"))
 
 
-@query(", l as (select repertoire_id, 'J:' || j_call feature, count(*) / sum(count(*)) over (partition by repertoire_id) as value from repertoire group by repertoire_id, j_call), x as (select * from l union all select specimen_label, 'D:age', age from metadata where age is not null union all select specimen_label, 'D:sex_M', 1.0 from metadata where sex = 'M' union all select specimen_label, 'D:' || ancestry, 1.0 from metadata where ancestry is not null) select repertoire_id, feature, round(value, 6) as value from x")
+@query(""", l as (select repertoire_id, 'J:' || j_call feature, count(*) / sum(count(*)) over (partition by repertoire_id) as value from repertoire group by repertoire_id, j_call),
+ x as (select * from l union all select specimen_label, 'D:age', age from metadata where age is not null union all select specimen_label, 'D:sex_M', 1.0 from metadata where sex = 'M' union all select specimen_label, 'D:' || ancestry, 1.0 from metadata where ancestry is not null)
+select repertoire_id, feature, round(value, 6) as value from x""")
 def joined_features(s, d):
     j = features.gene_usage(repertoire(s, d)).where("feature like 'J:%'")
     return features.joined_features(j, metadata(s, d)).select("repertoire_id", "feature", r6("value", "value"))
 
 
-@query(", p as (select substr(substr(cdr3_aa, 4, length(cdr3_aa) - 6), i, 4) fourmer, count(*) n from (select cdr3_aa, unnest(range(1, length(cdr3_aa) - 8)) i from repertoire where length(cdr3_aa) >= 10) group by 1) select fourmer, n as score from p where n >= 5 order by n desc, fourmer limit 25")
+@query(""", p as (select substr(substr(cdr3_aa, 4, length(cdr3_aa) - 6), i, 4) fourmer, count(*) n from (select cdr3_aa, unnest(range(1, length(cdr3_aa) - 8)) i from repertoire where length(cdr3_aa) >= 10) group by 1)
+select fourmer, n as score from p where n >= 5 order by n desc, fourmer limit 25""")
 def top_motifs(s, d):
     p = repertoire(s, d).where("length(cdr3_aa) >= 10").select(F.explode(sequences.windows(sequences.core(F.col("cdr3_aa")), 4)).alias("fourmer")).groupBy("fourmer").agg(F.count("*").alias("score"))
     return features.top_motifs(p, "score", 25, 5)
 
 
-@query(PRED + ", g as (select specimen_label, unnest(range(0, 4)) k from pred) select specimen_label, round(coalesce(avg(case when (cast(substr(specimen_label, 2) as int) + k) % 4 = 0 and cast(substr(specimen_label, 2) as int) % 3 > 0 then s + k / 10 end), 0), 6) score from g join pred using (specimen_label) group by 1")
+@query(PRED + """, g as (select specimen_label, unnest(range(0, 4)) k from pred)
+select specimen_label, round(coalesce(avg(case when (cast(substr(specimen_label, 2) as int) + k) % 4 = 0 and cast(substr(specimen_label, 2) as int) % 3 > 0 then s + k / 10 end), 0), 6) score from g join pred using (specimen_label) group by 1""")
 def average_over_splits(s, d):
     p = predictions(s, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("n", F.expr("cast(substring(specimen_label, 2) as int)"))
     tested = p.where("(n + k) % 4 = 0 and n % 3 > 0").select("specimen_label", (F.col("model_score") + F.col("k") / 10).alias("score"))
@@ -153,7 +177,8 @@ def depth_grid(s, d):
     return metrics.depth_summary(f, ["depth"], "s").select("depth", "n", r6("mean", "mean"))
 
 
-@query(", k as (select participant_label, repertoire_id, row_idx, row_number() over (partition by repertoire_id order by md5(concat_ws('-', '7', '0', repertoire_id, cast(row_idx as varchar))), row_idx) - 1 pos from repertoire join metadata on specimen_label = repertoire_id) select participant_label, count(*) n, count(distinct repertoire_id) specimens, cast(sum(row_idx) as bigint) row_sum from k where pos < 25 group by 1")
+@query(""", k as (select participant_label, repertoire_id, row_idx, row_number() over (partition by repertoire_id order by md5(concat_ws('-', '7', '0', repertoire_id, cast(row_idx as varchar))), row_idx) - 1 pos from repertoire join metadata on specimen_label = repertoire_id)
+select participant_label, count(*) n, count(distinct repertoire_id) specimens, cast(sum(row_idx) as bigint) row_sum from k where pos < 25 group by 1""")
 def depth_slices_by_participant(s, d):
     g = sampling.nested_depths(repertoire(s, d).select("repertoire_id", "row_idx"), [25], 1)
     who = metadata(s, d).select("participant_label", F.col("specimen_label").alias("repertoire_id"))

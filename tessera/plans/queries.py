@@ -141,7 +141,8 @@ def split_by_metadata(s, d):
     return cohorts.split_by_metadata(repertoire(s, d), metadata(s, d).where("fold_id < 2"))[1]
 
 
-@query(", n as (select repertoire_id, count(distinct cdr3_aa) n from repertoire where length(cdr3_aa) = 16 and duplicate_count > 49 group by 1) select specimen_label repertoire_id, cast(coalesce(n, 0) as bigint) n_unique from metadata left join n on repertoire_id = specimen_label where disease = 'CMV'")
+@query(""", n as (select repertoire_id, count(distinct cdr3_aa) n from repertoire where length(cdr3_aa) = 16 and duplicate_count > 49 group by 1)
+select specimen_label repertoire_id, cast(coalesce(n, 0) as bigint) n_unique from metadata left join n on repertoire_id = specimen_label where disease = 'CMV'""")
 def zero_fill_counts(s, d):
     n = repertoire(s, d).where("length(cdr3_aa) = 16 and duplicate_count > 49").groupBy("repertoire_id").agg(F.countDistinct("cdr3_aa").alias("n_unique"))
     return cohorts.zero_filled(metadata(s, d).where("disease = 'CMV'").select(F.col("specimen_label").alias("repertoire_id")), n, "repertoire_id", "n_unique")
@@ -160,12 +161,17 @@ def specimen_overview(s, d):
 # ---- features --------------------------------------------------------------------------------------------------------
 
 
-@query(", l as (select repertoire_id, 'V' locus, v_call gene from repertoire union all select repertoire_id, 'J', j_call from repertoire), n as (select repertoire_id, locus, gene, count(*) n from l group by 1, 2, 3) select repertoire_id, locus || ':' || gene feature, n, round(n / sum(n) over (partition by repertoire_id, locus), 6) as value from n")
+@query(""", l as (select repertoire_id, 'V' locus, v_call gene from repertoire union all select repertoire_id, 'J', j_call from repertoire),
+ n as (select repertoire_id, locus, gene, count(*) n from l group by 1, 2, 3)
+select repertoire_id, locus || ':' || gene feature, n, round(n / sum(n) over (partition by repertoire_id, locus), 6) as value from n""")
 def vj_usage(s, d):
     return features.gene_usage(repertoire(s, d)).select("repertoire_id", "feature", "n", r6("value", "value"))
 
 
-@query(", w as (select repertoire_id, substr(cdr3_aa, i, 4) w from (select repertoire_id, cdr3_aa, unnest(range(1, length(cdr3_aa) - 2)) i from repertoire)), f as (select repertoire_id, w feature from w union all select repertoire_id, '_' || substr(w, 2) from w union all select repertoire_id, left(w, 1) || '_' || substr(w, 3) from w union all select repertoire_id, left(w, 2) || '_' || substr(w, 4) from w union all select repertoire_id, left(w, 3) || '_' from w), n as (select repertoire_id, feature, count(*) n from f group by 1, 2) select repertoire_id, feature, n, round(n / sum(n) over (partition by repertoire_id), 6) as value from n")
+@query(""", w as (select repertoire_id, substr(cdr3_aa, i, 4) w from (select repertoire_id, cdr3_aa, unnest(range(1, length(cdr3_aa) - 2)) i from repertoire)),
+ f as (select repertoire_id, w feature from w union all select repertoire_id, '_' || substr(w, 2) from w union all select repertoire_id, left(w, 1) || '_' || substr(w, 3) from w union all select repertoire_id, left(w, 2) || '_' || substr(w, 4) from w union all select repertoire_id, left(w, 3) || '_' from w),
+ n as (select repertoire_id, feature, count(*) n from f group by 1, 2)
+select repertoire_id, feature, n, round(n / sum(n) over (partition by repertoire_id), 6) as value from n""")
 def kmer_freq(s, d):
     return features.kmer_frequencies(repertoire(s, d)).select("repertoire_id", "feature", *big("n"), r6("value", "value"))
 
@@ -180,7 +186,8 @@ def collapse_first_gene(s, d):
     return features.collapse_first_gene(repertoire(s, d))
 
 
-COLLAPSED = ", c as (select repertoire_id, cdr3_aa, cast(sum(duplicate_count) as bigint) n_reads from repertoire group by 1, 2), r as (select *, row_number() over w rank, sum(n_reads) over (partition by repertoire_id order by n_reads desc, cdr3_aa rows unbounded preceding) run, sum(n_reads) over (partition by repertoire_id) total from c window w as (partition by repertoire_id order by n_reads desc, cdr3_aa))"
+COLLAPSED = """, c as (select repertoire_id, cdr3_aa, cast(sum(duplicate_count) as bigint) n_reads from repertoire group by 1, 2),
+ r as (select *, row_number() over w rank, sum(n_reads) over (partition by repertoire_id order by n_reads desc, cdr3_aa rows unbounded preceding) run, sum(n_reads) over (partition by repertoire_id) total from c window w as (partition by repertoire_id order by n_reads desc, cdr3_aa))"""
 
 
 @query(COLLAPSED + " select repertoire_id, cdr3_aa, n_reads, round(n_reads / total, 6) frequency from r")
@@ -208,12 +215,18 @@ _cut("reads", 60, "n_reads >= 60")
 _cut("read_sum", 2000, "run <= 2000")
 
 
-@query(", k as (select repertoire_id, cdr3_aa, substr(cdr3_aa, 4, length(cdr3_aa) - 6) core, count(*) size from repertoire where length(cdr3_aa) >= 10 group by 1, 2, 3), t as (select repertoire_id, sum(size) n from k group by 1), p as (select repertoire_id, size, substr(core, i, 4) fourmer from (select *, unnest(range(1, length(core) - 2)) i from k)), a as (select repertoire_id, fourmer, sum(size) c, max(size) m from p group by 1, 2) select repertoire_id, fourmer, round(ln(c / sum(c) over (partition by repertoire_id)), 6) log_sum, round(ln(m / n), 6) log_max from a join t using (repertoire_id)")
+@query(""", k as (select repertoire_id, cdr3_aa, substr(cdr3_aa, 4, length(cdr3_aa) - 6) core, count(*) size from repertoire where length(cdr3_aa) >= 10 group by 1, 2, 3),
+ t as (select repertoire_id, sum(size) n from k group by 1),
+ p as (select repertoire_id, size, substr(core, i, 4) fourmer from (select *, unnest(range(1, length(core) - 2)) i from k)),
+ a as (select repertoire_id, fourmer, sum(size) c, max(size) m from p group by 1, 2)
+select repertoire_id, fourmer, round(ln(c / sum(c) over (partition by repertoire_id)), 6) log_sum, round(ln(m / n), 6) log_max from a join t using (repertoire_id)""")
 def fourmer_abundance(s, d):
     return features.fourmer_abundance(repertoire(s, d)).select("repertoire_id", "fourmer", r6("log_sum", "log_sum"), r6("log_max", "log_max"))
 
 
-@query(", a as (select distinct v_call gene from repertoire where row_idx % 3 = 0 and v_call < 'TRBV25'), b as (select distinct v_call gene from repertoire where v_call > 'TRBV2') select coalesce(a.gene, b.gene) gene, case when b.gene is null then 'first_only' when a.gene is null then 'second_only' else 'shared' end status from a full join b on a.gene = b.gene")
+@query(""", a as (select distinct v_call gene from repertoire where row_idx % 3 = 0 and v_call < 'TRBV25'),
+ b as (select distinct v_call gene from repertoire where v_call > 'TRBV2')
+select coalesce(a.gene, b.gene) gene, case when b.gene is null then 'first_only' when a.gene is null then 'second_only' else 'shared' end status from a full join b on a.gene = b.gene""")
 def gene_vocab_compare(s, d):
     rep = repertoire(s, d)
     return features.gene_vocabulary_compare(rep.where("row_idx % 3 = 0 and v_call < 'TRBV25'"), rep.where("v_call > 'TRBV2'"), "v_call")
@@ -224,7 +237,9 @@ def gene_vocabulary(s, d):
     return features.vocabulary(repertoire(s, d), "j_call").select("value", *big("id"))
 
 
-@query(", c as (select repertoire_id, v_call, sum(duplicate_count) w from repertoire group by 1, 2), p as (select repertoire_id, w / sum(w) over (partition by repertoire_id) p from c where w > 0) select repertoire_id, count(*) n_clusters, round(-sum(p * ln(p)), 6) entropy from p group by 1")
+@query(""", c as (select repertoire_id, v_call, sum(duplicate_count) w from repertoire group by 1, 2),
+ p as (select repertoire_id, w / sum(w) over (partition by repertoire_id) p from c where w > 0)
+select repertoire_id, count(*) n_clusters, round(-sum(p * ln(p)), 6) entropy from p group by 1""")
 def diversity_entropy(s, d):
     c = features.cluster_frequencies(repertoire(s, d).withColumn("cluster", F.col("v_call")), "duplicate_count")
     return features.diversity(c).select("repertoire_id", "n_clusters", r6("entropy", "entropy"))
@@ -235,13 +250,17 @@ def sample_features(s, d):
     return features.pooled_vectors(table(s, d, "embeddings"), "label", "embedding").select("label", F.col("pos").cast("bigint").alias("pos"), F.round("value", 5).alias("value"))
 
 
-@query(", l as (select disease feature, i - 1 pos, substr(cdr3_aa, i, 1) residue from (select disease, cdr3_aa, unnest(range(1, length(cdr3_aa) + 1)) i from repertoire join metadata on repertoire_id = specimen_label)), n as (select feature, pos, residue, count(*) n from l group by 1, 2, 3) select feature, pos, residue, n, round(n / sum(n) over (partition by feature, pos), 6) share from n")
+@query(""", l as (select disease feature, i - 1 pos, substr(cdr3_aa, i, 1) residue from (select disease, cdr3_aa, unnest(range(1, length(cdr3_aa) + 1)) i from repertoire join metadata on repertoire_id = specimen_label)),
+ n as (select feature, pos, residue, count(*) n from l group by 1, 2, 3)
+select feature, pos, residue, n, round(n / sum(n) over (partition by feature, pos), 6) share from n""")
 def position_weights(s, d):
     rep = repertoire(s, d).join(metadata(s, d).select(F.col("specimen_label").alias("repertoire_id"), F.col("disease").alias("feature")), "repertoire_id")
     return features.weight_matrix(rep, "feature", "cdr3_aa").select("feature", F.col("pos").cast("bigint").alias("pos"), "residue", "n", r6("share", "share"))
 
 
-@query(", e as (select repertoire_id, row_idx, exp(duplicate_count / 10.0 - max(duplicate_count / 10.0) over (partition by repertoire_id)) e, length(cdr3_aa) x, row_idx % 7 y from repertoire), w as (select *, e / sum(e) over (partition by repertoire_id) w from e) select repertoire_id, unnest([0, 1]) pos, round(unnest([sum(w * x), sum(w * y)]), 6) as value from w group by 1")
+@query(""", e as (select repertoire_id, row_idx, exp(duplicate_count / 10.0 - max(duplicate_count / 10.0) over (partition by repertoire_id)) e, length(cdr3_aa) x, row_idx % 7 y from repertoire),
+ w as (select *, e / sum(e) over (partition by repertoire_id) w from e)
+select repertoire_id, unnest([0, 1]) pos, round(unnest([sum(w * x), sum(w * y)]), 6) as value from w group by 1""")
 def attention_pool(s, d):
     rep = repertoire(s, d).select("repertoire_id", (F.col("duplicate_count") / 10.0).alias("score"), F.array(F.length("cdr3_aa").cast("double"), (F.col("row_idx") % 7).cast("double")).alias("v"))
     return features.attention_pool(rep, "score", "v").select("repertoire_id", F.col("pos").cast("int").alias("pos"), r6("value", "value"))
@@ -325,7 +344,11 @@ def presence_matrix(s, d):
 USAGE = f", {LABELS}, u as (select v_call feature, repertoire_id, y, count(*) v from repertoire join labels using (repertoire_id) group by 1, 2, 3)"
 
 
-@query(USAGE + ", c as (select feature, v, count(*) c, sum(y) p from u group by 1, 2), r as (select *, coalesce(sum(c) over (partition by feature order by v rows between unbounded preceding and 1 preceding), 0) + (c + 1) / 2 k from c), t as (select feature, sum(p * k) R, sum(p) n1, sum(c - p) n0, sum(c) n, sum(c * c * c - c) ties, sum(v * p) / sum(p) m1, sum(v * (c - p)) / sum(c - p) m0 from r group by 1), z as (select *, R - n1 * (n1 + 1) / 2 u, n1 * n0 / 12 * ((n + 1) - ties / (n * (n - 1))) v from t) select feature, cast(u as double) u, round(case when v > 0 then (u - n1 * n0 / 2) / sqrt(v) else 0 end, 6) z, round(m1, 6) mean1, round(m0, 6) mean0 from z")
+@query(USAGE + """, c as (select feature, v, count(*) c, sum(y) p from u group by 1, 2),
+ r as (select *, coalesce(sum(c) over (partition by feature order by v rows between unbounded preceding and 1 preceding), 0) + (c + 1) / 2 k from c),
+ t as (select feature, sum(p * k) R, sum(p) n1, sum(c - p) n0, sum(c) n, sum(c * c * c - c) ties, sum(v * p) / sum(p) m1, sum(v * (c - p)) / sum(c - p) m0 from r group by 1),
+ z as (select *, R - n1 * (n1 + 1) / 2 u, n1 * n0 / 12 * ((n + 1) - ties / (n * (n - 1))) v from t)
+select feature, cast(u as double) u, round(case when v > 0 then (u - n1 * n0 / 2) / sqrt(v) else 0 end, 6) z, round(m1, 6) mean1, round(m0, 6) mean0 from z""")
 def mann_whitney(s, d):
     u = repertoire(s, d).join(labels(s, d), "repertoire_id").groupBy(F.col("v_call").alias("feature"), "repertoire_id", "label").agg(F.count("*").alias("v"))
     return association.mann_whitney(u, "feature", "v", "label").select("feature", F.col("u").cast("double").alias("u"), r6("z", "z"), r6("mean1", "mean1"), r6("mean0", "mean0"))
@@ -406,7 +429,8 @@ def depth_summary(s, d):
     return metrics.depth_summary(predictions(s, d), ["fold"], "model_score").select("fold", "n", r6("mean", "mean"), r6("standard_error", "standard_error"))
 
 
-@query(", u as (select specimen_label, disease own, unnest(['CMV', 'HIV', 'Healthy/Background']) class, unnest([(n * 7919 % 1000) / 1000.0, (n * 104729 % 1000) / 1000.0, (n * 1299709 % 1000) / 1000.0]) s from (select *, cast(substr(specimen_label, 2) as bigint) n from metadata)), pred as (select class, cast(own = class as int) y, s from u)" + f" select class, round(auroc, 6) auroc, round(average_precision, 6) average_precision, round({_F1}, 6) f1 from {_auc('s', 'class')} join {_ap('s', 'class')} using (class) join (select class, {_CONF} from pred group by 1) using (class)")
+@query(""", u as (select specimen_label, disease own, unnest(['CMV', 'HIV', 'Healthy/Background']) class, unnest([(n * 7919 % 1000) / 1000.0, (n * 104729 % 1000) / 1000.0, (n * 1299709 % 1000) / 1000.0]) s from (select *, cast(substr(specimen_label, 2) as bigint) n from metadata)),
+ pred as (select class, cast(own = class as int) y, s from u)""" + f" select class, round(auroc, 6) auroc, round(average_precision, 6) average_precision, round({_F1}, 6) f1 from {_auc('s', 'class')} join {_ap('s', 'class')} using (class) join (select class, {_CONF} from pred group by 1) using (class)")
 def one_vs_rest(s, d):
     n = F.expr("substring(specimen_label, 2)").cast("bigint")
     scores = F.create_map(*(x for c, k in (("CMV", 7919), ("HIV", 104729), ("Healthy/Background", 1299709)) for x in (F.lit(c), n * k % 1000 / 1000.0)))
@@ -422,7 +446,9 @@ def spearman(s, d):
 # ---- sampling and cohorts --------------------------------------------------------------------------------------------
 
 
-@query(", t as (select *, unnest(range(0, 3)) replicate from repertoire), r as (select repertoire_id, row_idx, replicate, row_number() over (partition by repertoire_id, replicate order by md5(concat_ws('-', '7', cast(replicate as varchar), repertoire_id, cast(row_idx as varchar))), row_idx) - 1 pos from t) select repertoire_id, replicate, depth, count(*) n, cast(sum(row_idx) as bigint) row_sum, cast(max(pos) as bigint) last_pos from (select *, unnest([50, 100, 200, 400]) depth from r) where pos < depth group by 1, 2, 3")
+@query(""", t as (select *, unnest(range(0, 3)) replicate from repertoire),
+ r as (select repertoire_id, row_idx, replicate, row_number() over (partition by repertoire_id, replicate order by md5(concat_ws('-', '7', cast(replicate as varchar), repertoire_id, cast(row_idx as varchar))), row_idx) - 1 pos from t)
+select repertoire_id, replicate, depth, count(*) n, cast(sum(row_idx) as bigint) row_sum, cast(max(pos) as bigint) last_pos from (select *, unnest([50, 100, 200, 400]) depth from r) where pos < depth group by 1, 2, 3""")
 def depth_nested(s, d):
     out = sampling.nested_depths(repertoire(s, d).select("repertoire_id", "row_idx"), [50, 100, 200, 400], 3)
     return out.groupBy("repertoire_id", F.col("replicate").cast("bigint").alias("replicate"), "depth").agg(F.count("*").alias("n"), F.sum("row_idx").alias("row_sum"), F.max("pos").cast("bigint").alias("last_pos"))
@@ -438,12 +464,15 @@ def weighted_sample(s, d):
     return sampling.weighted_sample(repertoire(s, d), 30, "duplicate_count").select("repertoire_id", "row_idx")
 
 
-@query(", z as (select repertoire_id, count(*) n from repertoire group by 1), p as (select distinct repertoire_id, cast(least(floor((cast('0x' || substr(md5(concat_ws('-', '7', repertoire_id, cast(k as varchar))), 1, 8) as bigint) + 1) / 4294967296.0 * n), n - 1) as int) i from (select *, unnest(range(0, 40)) k from z)) select repertoire_id, row_idx from repertoire join p using (repertoire_id) where row_idx = i")
+@query(""", z as (select repertoire_id, count(*) n from repertoire group by 1),
+ p as (select distinct repertoire_id, cast(least(floor((cast('0x' || substr(md5(concat_ws('-', '7', repertoire_id, cast(k as varchar))), 1, 8) as bigint) + 1) / 4294967296.0 * n), n - 1) as int) i from (select *, unnest(range(0, 40)) k from z))
+select repertoire_id, row_idx from repertoire join p using (repertoire_id) where row_idx = i""")
 def sample_with_replacement(s, d):
     return sampling.sample_with_replacement(repertoire(s, d), 40).select("repertoire_id", "row_idx")
 
 
-@query(", idx as (select repertoire_id, 0 replicate, row_number() over (partition by repertoire_id order by md5(concat_ws('-', '9', repertoire_id, cast(row_idx as varchar)))) - 1 pos, row_idx from repertoire) select r.repertoire_id, r.row_idx, r.cdr3_aa from repertoire r join idx using (repertoire_id, row_idx) where pos < 60")
+@query(""", idx as (select repertoire_id, 0 replicate, row_number() over (partition by repertoire_id order by md5(concat_ws('-', '9', repertoire_id, cast(row_idx as varchar)))) - 1 pos, row_idx from repertoire)
+select r.repertoire_id, r.row_idx, r.cdr3_aa from repertoire r join idx using (repertoire_id, row_idx) where pos < 60""")
 def depth_subset(s, d):
     rep = repertoire(s, d)
     w = Window.partitionBy("repertoire_id").orderBy(sequences.md5_order(9, F.col("repertoire_id"), F.col("row_idx")))
@@ -451,13 +480,16 @@ def depth_subset(s, d):
     return sampling.depth_subset(rep.select("repertoire_id", "row_idx", "cdr3_aa"), idx, 60, 0)
 
 
-@query(", r as (select specimen_label, disease, row_number() over (partition by case when disease = 'HIV' then null else disease end order by md5('7-' || specimen_label), specimen_label) - 1 r from metadata), l as (select cast(sum(n % 2) as bigint) as lead from (select count(*) n from metadata where disease <> 'HIV' group by disease)) select specimen_label, cast(case when disease <> 'HIV' then r % 2 when r < lead then 1 else (r - lead) % 2 end as int) fold from r, l")
+@query(""", r as (select specimen_label, disease, row_number() over (partition by case when disease = 'HIV' then null else disease end order by md5('7-' || specimen_label), specimen_label) - 1 r from metadata),
+ l as (select cast(sum(n % 2) as bigint) as lead from (select count(*) n from metadata where disease <> 'HIV' group by disease))
+select specimen_label, cast(case when disease <> 'HIV' then r % 2 when r < lead then 1 else (r - lead) % 2 end as int) fold from r, l""")
 def fold_assign(s, d):
     m = metadata(s, d).select("specimen_label", F.when(F.col("disease") != "HIV", F.col("disease")).alias("disease"))
     return sampling.alternating_folds(m, "disease", "specimen_label").select("specimen_label", F.col("fold").cast("int").alias("fold"))
 
 
-@query(", r as (select specimen_label, disease, row_number() over (partition by disease order by md5('7-' || specimen_label), specimen_label) r, count(*) over (partition by disease) n from metadata) select specimen_label, case when r <= round_even(n * 0.9, 0) then 'train' else 'validation' end as role, cast((r - 1) % 5 as int) cv_fold, case when r <= n - floor(n * 0.25) then 'train' when r <= n - floor(n * 0.25) + ceil(floor(n * 0.25) / 2) then 'validation' else 'test' end three from r")
+@query(""", r as (select specimen_label, disease, row_number() over (partition by disease order by md5('7-' || specimen_label), specimen_label) r, count(*) over (partition by disease) n from metadata)
+select specimen_label, case when r <= round_even(n * 0.9, 0) then 'train' else 'validation' end as role, cast((r - 1) % 5 as int) cv_fold, case when r <= n - floor(n * 0.25) then 'train' when r <= n - floor(n * 0.25) + ceil(floor(n * 0.25) / 2) then 'validation' else 'test' end three from r""")
 def stratified_split(s, d):
     m = metadata(s, d).select("specimen_label", "disease")
     one = sampling.stratified_folds(sampling.stratified_split(m, "disease", "specimen_label"), "disease", "specimen_label")
@@ -475,10 +507,15 @@ def head_per_class(s, d):
     return sampling.head_per_class(metadata(s, d), 3, ["fold_id", "disease"], "specimen_label").select("specimen_label", "fold_id", "disease")
 
 
-TASK = ", task as (select *, cast(disease = 'CMV' as int) y from metadata where disease in ('CMV', 'Healthy/Background')), bins as (select floor(age / 10) * 10 bin, sum(y) n1, sum(1 - y) n0 from task where age is not null group by 1 having sum(y) > 0 and sum(1 - y) > 0), sh as (select *, n1 / sum(n1) over () share from bins), tg as (select *, floor(min(n0 / share) over ()) max_n from sh), target as (select bin, max_n, cast(least(round_even(max_n * share, 0), n0) as bigint) target from tg)"
+TASK = """, task as (select *, cast(disease = 'CMV' as int) y from metadata where disease in ('CMV', 'Healthy/Background')),
+ bins as (select floor(age / 10) * 10 bin, sum(y) n1, sum(1 - y) n0 from task where age is not null group by 1 having sum(y) > 0 and sum(1 - y) > 0),
+ sh as (select *, n1 / sum(n1) over () share from bins),
+ tg as (select *, floor(min(n0 / share) over ()) max_n from sh),
+ target as (select bin, max_n, cast(least(round_even(max_n * share, 0), n0) as bigint) target from tg)"""
 
 
-@query(TASK + ", h as (select *, row_number() over (partition by floor(age / 10) order by md5('7-' || participant_label), participant_label) rank from task where y = 0 and age is not null) select participant_label, y as label from task where y = 1 or (select coalesce(max(max_n), 0) from target) <= 0 or participant_label in (select participant_label from h join target on floor(age / 10) * 10 = bin where rank <= target)")
+@query(TASK + """, h as (select *, row_number() over (partition by floor(age / 10) order by md5('7-' || participant_label), participant_label) rank from task where y = 0 and age is not null)
+select participant_label, y as label from task where y = 1 or (select coalesce(max(max_n), 0) from target) <= 0 or participant_label in (select participant_label from h join target on floor(age / 10) * 10 = bin where rank <= target)""")
 def age_match(s, d):
     return cohorts.age_match(cohorts.binary_task(metadata(s, d), "CMV")).select("participant_label", "label")
 
@@ -488,7 +525,10 @@ def random_controls(s, d):
     return cohorts.random_controls(cohorts.binary_task(metadata(s, d), "CMV")).select("participant_label", "label", "random_baseline_seed")
 
 
-@query(", a as (select disease, 'sex' what, unnest(['F', 'M', 'Unknown']) as value, unnest([count(*) filter (where sex = 'F'), count(*) filter (where sex = 'M'), count(*) filter (where sex is null)]) n from metadata group by 1), b as (select disease, 'ancestry' what, coalesce(ancestry, 'Unknown') as value, count(*) n from metadata group by 1, 3), c as (select disease, 'age_bin' what, cast(cast(floor((age - least) / 5) as bigint) as varchar) as value, count(*) n from (select *, min(age) over (partition by disease) least from metadata where age is not null) group by 1, 3) select * from a union all select * from b union all select * from c")
+@query(""", a as (select disease, 'sex' what, unnest(['F', 'M', 'Unknown']) as value, unnest([count(*) filter (where sex = 'F'), count(*) filter (where sex = 'M'), count(*) filter (where sex is null)]) n from metadata group by 1),
+ b as (select disease, 'ancestry' what, coalesce(ancestry, 'Unknown') as value, count(*) n from metadata group by 1, 3),
+ c as (select disease, 'age_bin' what, cast(cast(floor((age - least) / 5) as bigint) as varchar) as value, count(*) n from (select *, min(age) over (partition by disease) least from metadata where age is not null) group by 1, 3)
+select * from a union all select * from b union all select * from c""")
 def demographic_counts(s, d):
     return cohorts.demographic_counts(metadata(s, d))
 
@@ -504,7 +544,8 @@ def complete_cases(s, d):
     return cohorts.complete_cases(metadata(s, d), ["age", "sex", "ancestry"]).select("specimen_label")
 
 
-@query(", p as (select 'a' cohort, participant_label, cast(disease = 'CMV' as int) y from metadata where fold_id < 2 union all select 'b', participant_label, cast(disease = 'CMV' as int) from metadata where fold_id > 0) select participant_label, count(distinct cohort) n_cohorts from p group by 1 having count(distinct cohort) > 1")
+@query(""", p as (select 'a' cohort, participant_label, cast(disease = 'CMV' as int) y from metadata where fold_id < 2 union all select 'b', participant_label, cast(disease = 'CMV' as int) from metadata where fold_id > 0)
+select participant_label, count(distinct cohort) n_cohorts from p group by 1 having count(distinct cohort) > 1""")
 def cohort_id_clashes(s, d):
     m = metadata(s, d)
     return cohorts.id_clashes(cohorts.pool({"a": m.where("fold_id < 2"), "b": m.where("fold_id > 0").drop("age")}))
@@ -516,13 +557,18 @@ def pool_cohorts(s, d):
     return cohorts.class_checks(cohorts.pool({"a": m.where("fold_id < 2"), "b": m.where("disease = 'HIV'").drop("age")}))
 
 
-@query(", a as (select specimen_label, disease d1, fold_id f1 from metadata where fold_id < 2), b as (select specimen_label, case when age > 70 then 'HIV' else disease end d2, fold_id f2 from metadata where sex is not null), j as (select a.specimen_label l, b.specimen_label r, d1, d2, f1, f2 from a full join b on a.specimen_label = b.specimen_label) select count(*) filter (where l is not null and r is not null and d1 is distinct from d2) n_disease, count(*) filter (where l is not null and r is not null and f1 is distinct from f2) n_fold, count(*) filter (where r is null) n_left_only, count(*) filter (where l is null) n_right_only from j")
+@query(""", a as (select specimen_label, disease d1, fold_id f1 from metadata where fold_id < 2),
+ b as (select specimen_label, case when age > 70 then 'HIV' else disease end d2, fold_id f2 from metadata where sex is not null),
+ j as (select a.specimen_label l, b.specimen_label r, d1, d2, f1, f2 from a full join b on a.specimen_label = b.specimen_label)
+select count(*) filter (where l is not null and r is not null and d1 is distinct from d2) n_disease, count(*) filter (where l is not null and r is not null and f1 is distinct from f2) n_fold, count(*) filter (where r is null) n_left_only, count(*) filter (where l is null) n_right_only from j""")
 def metadata_agreement(s, d):
     m = metadata(s, d)
     return cohorts.agreement(m.where("fold_id < 2"), m.where("sex is not null").withColumn("disease", F.when(F.col("age") > 70, "HIV").otherwise(F.col("disease"))))
 
 
-@query(", p as (select concat('P', cast(cast(substr(participant_label, 2) as int) // 3 as varchar)) participant_label, specimen_label, disease, fold_id from metadata), q as (select participant_label k, count(distinct disease) d, count(distinct fold_id) f from p group by 1) select k as key, 'diseases' what, d n from q where d > 1 union all select k, 'folds', f from q where f > 1")
+@query(""", p as (select concat('P', cast(cast(substr(participant_label, 2) as int) // 3 as varchar)) participant_label, specimen_label, disease, fold_id from metadata),
+ q as (select participant_label k, count(distinct disease) d, count(distinct fold_id) f from p group by 1)
+select k as key, 'diseases' what, d n from q where d > 1 union all select k, 'folds', f from q where f > 1""")
 def uniqueness_checks(s, d):
     m = metadata(s, d).withColumn("participant_label", F.concat(F.lit("P"), F.expr("cast(substring(participant_label, 2) as int) div 3").cast("string")))
     return cohorts.uniqueness_violations(m).select("key", "what", *big("n"))
@@ -536,7 +582,7 @@ def specimens_histogram(s, d):
 
 # ---- similarity ------------------------------------------------------------------------------------------------------
 
-TRUTH = ", truth as (select row_number() over (order by cdr3_aa) - 1 gt_idx, cdr3_aa, v_call, j_call, score from (select cdr3_aa, min(v_call) v_call, min(j_call) j_call, cast(count(*) as int) score from (select case when length(cdr3_aa) > 11 then left(cdr3_aa, 4) || 'W' || substr(cdr3_aa, 6) else cdr3_aa end cdr3_aa, v_call, j_call from repertoire where duplicate_count = 50) group by 1))"
+TRUTH = """, truth as (select row_number() over (order by cdr3_aa) - 1 gt_idx, cdr3_aa, v_call, j_call, score from (select cdr3_aa, min(v_call) v_call, min(j_call) j_call, cast(count(*) as int) score from (select case when length(cdr3_aa) > 11 then left(cdr3_aa, 4) || 'W' || substr(cdr3_aa, 6) else cdr3_aa end cdr3_aa, v_call, j_call from repertoire where duplicate_count = 50) group by 1))"""
 
 
 def truth(s, d) -> DataFrame:
@@ -546,13 +592,20 @@ def truth(s, d) -> DataFrame:
     return numbered(t, ["cdr3_aa"], "gt_idx")
 
 
-@query(TRUTH + ", f as (select repertoire_id, cdr3_aa, arg_min(v_call, row_idx) v, arg_min(j_call, row_idx) j from repertoire group by 1, 2), u as (select distinct cdr3_aa from repertoire), m as (select u.cdr3_aa a, t.*, 1 - levenshtein(u.cdr3_aa, t.cdr3_aa) / greatest(length(u.cdr3_aa), length(t.cdr3_aa)) sim from u, truth t), b as (select *, row_number() over (partition by a order by sim desc, gt_idx) rn from m where sim >= 0.9) select repertoire_id, a sample_cdr3, v sample_vgene, j sample_jgene, b.cdr3_aa public_clone_cdr3, v_call public_clone_vgene, j_call public_clone_jgene, round(sim, 6) similarity, score from f join b on f.cdr3_aa = b.a where rn = 1")
+@query(TRUTH + """, f as (select repertoire_id, cdr3_aa, arg_min(v_call, row_idx) v, arg_min(j_call, row_idx) j from repertoire group by 1, 2),
+ u as (select distinct cdr3_aa from repertoire),
+ m as (select u.cdr3_aa a, t.*, 1 - levenshtein(u.cdr3_aa, t.cdr3_aa) / greatest(length(u.cdr3_aa), length(t.cdr3_aa)) sim from u, truth t),
+ b as (select *, row_number() over (partition by a order by sim desc, gt_idx) rn from m where sim >= 0.9)
+select repertoire_id, a sample_cdr3, v sample_vgene, j sample_jgene, b.cdr3_aa public_clone_cdr3, v_call public_clone_vgene, j_call public_clone_jgene, round(sim, 6) similarity, score from f join b on f.cdr3_aa = b.a where rn = 1""")
 def driver_match(s, d):
     out = similarity.driver_matches(repertoire(s, d), truth(s, d))
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
-@query(TRUTH + ", u as (select distinct cdr3_aa from repertoire), m as (select distinct u.cdr3_aa from u, truth t where 1 - levenshtein(u.cdr3_aa, t.cdr3_aa) / greatest(length(u.cdr3_aa), length(t.cdr3_aa)) >= 0.9), n as (select repertoire_id, count(distinct r.cdr3_aa) n from repertoire r join m using (cdr3_aa) group by 1) select disease, count(*) specimens, round(avg(coalesce(n, 0)), 6) mean, max(coalesce(n, 0)) most from metadata left join n on repertoire_id = specimen_label group by 1")
+@query(TRUTH + """, u as (select distinct cdr3_aa from repertoire),
+ m as (select distinct u.cdr3_aa from u, truth t where 1 - levenshtein(u.cdr3_aa, t.cdr3_aa) / greatest(length(u.cdr3_aa), length(t.cdr3_aa)) >= 0.9),
+ n as (select repertoire_id, count(distinct r.cdr3_aa) n from repertoire r join m using (cdr3_aa) group by 1)
+select disease, count(*) specimens, round(avg(coalesce(n, 0)), 6) mean, max(coalesce(n, 0)) most from metadata left join n on repertoire_id = specimen_label group by 1""")
 def driver_counts(s, d):
     n = similarity.driver_matches(repertoire(s, d), truth(s, d)).groupBy(F.col("repertoire_id").alias("specimen_label")).agg(F.countDistinct("sample_cdr3").alias("n"))
     z = cohorts.zero_filled(metadata(s, d), n, "specimen_label", "n")
@@ -582,13 +635,15 @@ def isometric_codes(s, d):
     return coded(s, d).select("cdr3_aa", "len", F.round(sequences.squared_distance(F.col("code"), F.array_repeat(F.lit(0.0), 30)), 6).alias("norm"))
 
 
-@query(CODES + ", p as (select a.cdr3_aa a, b.cdr3_aa b, a.len, list_sum(list_transform(range(1, 31), lambda i: (a.code[i] - b.code[i]) * (a.code[i] - b.code[i]))) dist from code a join code b on a.len = b.len and a.cdr3_aa <> b.cdr3_aa) select a, b, len, round(dist, 6) distance from p where dist <= 40 - 0.5 * (15 - len)")
+@query(CODES + """, p as (select a.cdr3_aa a, b.cdr3_aa b, a.len, list_sum(list_transform(range(1, 31), lambda i: (a.code[i] - b.code[i]) * (a.code[i] - b.code[i]))) dist from code a join code b on a.len = b.len and a.cdr3_aa <> b.cdr3_aa)
+select a, b, len, round(dist, 6) distance from p where dist <= 40 - 0.5 * (15 - len)""")
 def isometric_pairs(s, d):
     own = coded(s, d)
     return similarity.isometric_pairs(own, own, 30, 40.0).select("a", "b", "len", F.round("distance", 6).alias("distance"))
 
 
-@query(CODES + ", p as (select a.cdr3_aa a, b.cdr3_aa b, round(list_sum(list_transform(range(1, 31), lambda i: (a.code[i] - b.code[i]) * (a.code[i] - b.code[i]))), 9) dist, a.len from code a join code b on a.len = b.len and a.cdr3_aa <> b.cdr3_aa) select a, min(struct_pack(d := dist, b := b)).b b, round(min(dist), 6) distance from p where dist <= 40 - 0.5 * (15 - len) group by 1")
+@query(CODES + """, p as (select a.cdr3_aa a, b.cdr3_aa b, round(list_sum(list_transform(range(1, 31), lambda i: (a.code[i] - b.code[i]) * (a.code[i] - b.code[i]))), 9) dist, a.len from code a join code b on a.len = b.len and a.cdr3_aa <> b.cdr3_aa)
+select a, min(struct_pack(d := dist, b := b)).b b, round(min(dist), 6) distance from p where dist <= 40 - 0.5 * (15 - len) group by 1""")
 def isometric_nearest(s, d):
     own = coded(s, d)
     pairs = similarity.isometric_pairs(own, own, 30, 40.0).withColumn("distance", F.round("distance", 9))
@@ -652,7 +707,11 @@ def unique_by_length(s, d):
     return similarity.unique_by_length(repertoire(s, d))
 
 
-@query(", own as (select distinct cdr3_aa s from repertoire), m as (select s, length(s) len, i, substr(substr(s, 4, length(s) - 5), i, 5) mer from (select s, unnest(range(1, length(s) - 8)) i from own)), k as (select s, len, i, left(mer, j) || '?' || substr(mer, j + 2) w from (select *, unnest(range(0, 5)) j from m)), p as (select distinct a.s a, b.s b, a.i from k a join k b on a.len = b.len and a.w = b.w and a.s < b.s) select a, b, count(*) shared from p group by 1, 2 having count(*) >= 1")
+@query(""", own as (select distinct cdr3_aa s from repertoire),
+ m as (select s, length(s) len, i, substr(substr(s, 4, length(s) - 5), i, 5) mer from (select s, unnest(range(1, length(s) - 8)) i from own)),
+ k as (select s, len, i, left(mer, j) || '?' || substr(mer, j + 2) w from (select *, unnest(range(0, 5)) j from m)),
+ p as (select distinct a.s a, b.s b, a.i from k a join k b on a.len = b.len and a.w = b.w and a.s < b.s)
+select a, b, count(*) shared from p group by 1, 2 having count(*) >= 1""")
 def kmer_share_edges(s, d):
     return similarity.kmer_share_edges(repertoire(s, d), 1)
 
