@@ -245,7 +245,7 @@ def test_decontamination_equals_brute_force(spark):
     rng = random.Random(24)
     items = [(i, sentences(rng, n, 60)) for i, n in enumerate([3, 5, 6, 11, 16, 25])]
     rows = []
-    for d in range(40):
+    for d in range(70):
         w = sentences(rng, rng.randint(0, 25), 60).split()
         for _ in range(rng.randint(0, 2)):
             own = rng.choice(items)[1].split()
