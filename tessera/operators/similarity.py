@@ -269,7 +269,7 @@ def specimen_scores(assigned: DataFrame, fractions: DataFrame, specimens: DataFr
 def _own_pairs(keys: DataFrame, key: str) -> DataFrame:
     """All pairs a < b of a table of repertoires: the size of the result asked for."""
     own = numbered(keys.select(key).distinct(), [key], "__n")
-    ahead = own.where("__n > 0").select(F.col(key).alias("b"), F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))).cast("bigint").alias("__n"))
+    ahead = own.where("__n > 0").select(F.col(key).alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)).alias("__n"))
     return ahead.join(own.withColumnRenamed(key, "a"), "__n").select("a", "b")
 
 
