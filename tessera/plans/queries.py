@@ -697,9 +697,9 @@ DISTANCES = SHARES + """
 """
 
 
-@query(DISTANCES + "select a, b, round(euclidean, 6) euclidean, round(symmetric_kl, 6) symmetric_kl, round(jensen_shannon, 6) jensen_shannon, round(correlation, 6) correlation, round(wasserstein, 6) wasserstein from d join w using (a, b)")
+@query(DISTANCES + "select a, b, round(euclidean, 6) euclidean, round(symmetric_kl, 6) symmetric_kl, round(jensen_shannon, 6) jensen_shannon, round(correlation, 6) correlation, round(wasserstein, 9) wasserstein from d join w using (a, b)")
 def repertoire_distance(s, d):
-    return similarity.repertoire_distances(shares(s, d)).select("a", "b", *(r6(c, c) for c in ("euclidean", "symmetric_kl", "jensen_shannon", "correlation", "wasserstein")))
+    return similarity.repertoire_distances(shares(s, d)).select("a", "b", *(r6(c, c) for c in ("euclidean", "symmetric_kl", "jensen_shannon", "correlation")), F.round("wasserstein", 9).alias("wasserstein"))
 
 
 @query("select length(cdr3_aa) len, cdr3_aa, v_call, count(*) n_rows, count(distinct repertoire_id) n_repertoires, count(*) > 1 duplicate from repertoire where length(cdr3_aa) between 10 and 24 group by 1, 2, 3")

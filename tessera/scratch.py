@@ -41,7 +41,7 @@ def temporary():
 
 
 #: Rows of an operator's input for each partition of a table that it writes, where it says how many rows it has.
-ROWS_A_PART = 50_000
+ROWS_A_PART = 5_000
 
 
 class Scratch:
