@@ -11,7 +11,8 @@
    segment counts with its best start, if ``share`` of its words stand at their places there.  A template is a hit where
    ``share`` of its words do so; the score is the largest such share.
 
-Documents without a word of a mandatory phrase are never exploded: one regular expression sorts them out.
+Documents that lack a word of every phrase are never exploded: the index words that a document holds, which are counted
+for step 2 anyway, sort them out.
 
 Base labels: places where a base phrase's words stand consecutively.  Defined results: null or empty texts have no words,
 no places, empty labels and score 0; ids may be null and repeat, every row gives its own result.
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-#: A word: a run of ASCII digits and letters and of anything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -105,12 +104,6 @@ TEMPLATES = (
 )
 
 
-def _pattern(phrases) -> str:
-    """Any of the phrases as whole words, letters in either case."""
-    joined = "|".join(sorted({p.replace(" ", GAP) for p in phrases}, key=len, reverse=True))
-    return rf"(?i)(?<!{WORD})(?:{joined})(?!{WORD})"
-
-
 def _places(words, phrase: str):
     """Starts (from 0) of a phrase in an array of words."""
     parts = phrase.split(" ")
@@ -135,17 +128,19 @@ def scan(docs: DataFrame, rarest: int = 4, share: float = 0.75, doc_id: str = "d
         for g, low in enumerate(range(0, len(own), SEGMENT)):
             index += [(w, t, g, p, len(own[low : low + SEGMENT]), len(own)) for p, w in enumerate(own[low : low + SEGMENT])]
     postings = spark.createDataFrame(index, "word string, template int, segment int, place int, size int, words int")
-    vocabulary = sorted({w for w, *_ in index})
+    phrases = [p.split(" ") for p in (*BASE, *(m for _, _, m in TEMPLATES))]
+    vocabulary = sorted({w for w, *_ in index} | {w for p in phrases for w in p})
 
     # One pass over the texts; places are kept only where a phrase stands.
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("held", F.col("text").rlike(_pattern([*BASE, *(m for _, _, m in TEMPLATES)])))
-    rows = rows.select("doc_id", "held", F.filter(F.split(F.translate("text", UPPER, LOWER), GAP), lambda w: w != "").alias("words"))
+    rows = rows.select("doc_id", F.filter(F.split(F.translate("text", UPPER, LOWER), GAP), lambda w: w != "").alias("words"))
+    rows = rows.withColumn("own", F.array_intersect(F.array(*map(F.lit, vocabulary)), "words"))
+    whole = [F.size(F.array_intersect(F.array(*map(F.lit, sorted(set(p)))), "own")) == len(set(p)) for p in phrases]
+    rows = rows.withColumn("held", F.exists(F.array(*whole), lambda h: h))
     at = F.when(F.col("held"), F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(vocabulary)))
-    own = F.array_intersect(F.array(*map(F.lit, vocabulary)), "words").alias("own")
     base = [F.when(F.col("held"), _places(F.col("words"), p)).alias(f"base{i}") for i, p in enumerate(BASE)]
     must = [F.when(F.col("held"), F.size(_places(F.col("words"), m)) > 0) for _, _, m in TEMPLATES]
-    read = scratch.write(rows.select(F.when(F.col("held"), F.monotonically_increasing_id()).alias("row"), "doc_id", F.size("words").cast("bigint").alias("n_words"), *base, F.array(*must).alias("must"), own, at.alias("spots")))
+    read = scratch.write(rows.select(F.when(F.col("held"), F.monotonically_increasing_id()).alias("row"), "doc_id", F.size("words").cast("bigint").alias("n_words"), *base, F.array(*must).alias("must"), "own", at.alias("spots")))
 
     spots = read.where("row is not null").select("row", F.explode("spots").alias("x")).select("row", "x.word", "x.at")
     df = read.select(F.explode("own").alias("word")).groupBy("word").agg(F.count("*").alias("df"))  # as many rows as the templates have words
