@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, near_duplicates, neighbours, packing, repeats, secret_scan, token_counts, toxicity
+from ..scratch import Scratch
+from . import chat, collocations, conversation_trie, decontamination, licenses, near_duplicates, neighbours, packing, repeats, secret_scan, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,22 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with the first h = crc32(id) % 4 turns of the one whose id is the next lower multiple of 20."""
+    scratch = Scratch(spark)
+    own = scratch.write(conversation_trie.paths(table(spark, sf_dir, "conversations")))
+    c, h = F.col("conv_id"), (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    heads = own.where(c % 20 == 0).select(c.alias("base"), F.slice("symbols", 1, 3).alias("head"))
+    rebuilt = own.withColumn("base", c - c % 20).join(heads, "base", "left")
+    none = F.array().cast("array<binary>")
+    symbols = F.concat(F.slice(F.coalesce("head", none), F.lit(1), h), F.slice("symbols", h + 1, F.greatest(F.size("symbols") - h, F.lit(0))))
+    return conversation_trie.prefix_trie(rebuilt.select("conv_id", symbols.alias("symbols"))).drop("turn")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -78,6 +95,8 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_neighbours": op9_neighbours,
     "op10_repeats": op10_repeats,
+    "op11_collocations": op11_collocations,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 OP3_SQL = """
@@ -110,4 +129,35 @@ with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
 select doc_id, cast(n as bigint) n_words, cast(n - len(k) as bigint) n_removed, sha256(array_to_string(k, ' ')) kept_sha256 from kept
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": OP2_SQL, "op3_chat_perspectives": OP3_SQL, "op10_repeats": OP10_SQL}
+OP11_SQL = """
+with d as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') x from documents),
+ p as (select lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) x from d),
+ w as (select lang, list_filter(regexp_split_to_array(x, '[\x20\x09]+'), lambda y: y <> '') ws from p),
+ g as (select lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) s from w, unnest(range(1, 5)) u(m)),
+ f as (select lang, m, s, count(*) f from g group by all having count(*) >= 30),
+ n as (select lang, count(*) n from g where m = 1 group by 1),
+ c as (select lang, m, s, f a, string_split(s, ' ') ws from f where m > 1),
+ b as (select lang, array_to_string(ws[i:i + k - 1], ' ') s, max(a) longer from (select lang, ws, a, k, unnest(range(1, m - k + 2)) i from c, unnest(range(2, m)) t(k) where m > 2) group by 1, 2),
+ o as (select c.* from c left join b using (lang, s) where longer is null or 100 * longer::hugeint < 80 * a::hugeint),
+ k as (select lang, s, a, k, array_to_string(ws[1:k], ' ') x, array_to_string(ws[k + 1:], ' ') y from (select *, unnest(range(1, m)) k from o)),
+ z as (select k.lang, k.s, a, k, x.f l, y.f r, (2000000 * a::hugeint) // (x.f::hugeint + y.f) score from k join f x on x.lang = k.lang and x.s = k.x join f y on y.lang = k.lang and y.s = k.y),
+ t as (select * from z qualify row_number() over (partition by lang, s order by score, k) = 1),
+ q as (select *, row_number() over (partition by lang order by score desc, a desc, s) rank from t)
+select lang, rank, s phrase, a, l, r, n, cast(score as bigint) score from q join n using (lang) where rank <= 2000
+"""
+
+OP12_SQL = """
+with t as (select conv_id c, sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))[1:32] s, turn, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda y: y <> '')) w from conversations where conv_id is not null),
+ o as (select c, list({'s': s, 'w': w} order by turn nulls first, s) xs from t group by 1),
+ h as (select c, xs, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(c::varchar, ''), lambda y: ascii(y)::bigint)), lambda x, y: list_reduce(list_prepend(xor(x, y), range(0, 8)), lambda p, q: case when p % 2 = 1 then xor(3988292384, p // 2) else p // 2 end))) % 4 h from o),
+ r as (select h.c, list_concat(coalesce(b.xs, [])[1:h], h.xs[h + 1:]) xs from h left join o b on b.c = h.c - h.c % 20),
+ m as (select c, xs, d, xs[1:d] p from (select c, xs, unnest(range(0, len(xs) + 1)) d from r)),
+ e as (select p, d, min(c) id, count(*) n, coalesce(string_agg(c::varchar, ',' order by c) filter (where d = len(xs)), '') ids from m group by 1, 2),
+ k as (select e.*, f.id up, case when e.d = 0 then 0 else e.p[e.d].w end w from e left join e f on e.d > 0 and f.d = e.d - 1 and f.p = e.p[1:e.d - 1]),
+ q as (select p[1:d - 1] p, d - 1 d, count(*) kids from k where d > 0 group by 1, 2),
+ y as (select k.*, coalesce(kids, 0) kids from k left join q using (p, d)),
+ s as (select p[1:x] p, x d, sum((n - 1) * w) saved, count(*) filter (where kids = 0) leaves from (select *, unnest(range(0, d + 1)) x from y) group by 1, 2)
+select id conv_id, d depth, up parent_conv_id, n n_convs, kids n_children, leaves n_leaves, cast(saved as bigint) saved_tokens, sha256(ids) ends_sha256 from y join s using (p, d)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": OP2_SQL, "op3_chat_perspectives": OP3_SQL, "op10_repeats": OP10_SQL, "op11_collocations": OP11_SQL, "op12_prefix_trie": OP12_SQL}

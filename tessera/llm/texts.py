@@ -164,14 +164,28 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool, marks: bool
     return _hash_spans(data, offsets, lower, marks)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans as a string column (of less than 2 GB)."""
+    sizes = ends - starts
+    to = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=to[1:])
+    at = np.repeat(starts - to[:-1], sizes) + np.arange(to[-1])
+    return pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[at]))])
+
+
 def _hash_spans(data, offsets, lower, marks):
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     starts, ends = _word_spans(data, offsets, marks)
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data] if lower else data] * up[: len(data)], out=total[1:])
-    hashes = mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = span_hashes(_LOWER[data] if lower else data, starts, ends)
     counts = np.searchsorted(starts, offsets[1:], "left") - np.searchsorted(starts, offsets[:-1], "left")
     return hashes, counts
 
