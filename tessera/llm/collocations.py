@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .texts import cache, gathered, mixed, raw, seeded, small_batches, span_hashes
+from .texts import cache, cuts, gathered, mixed, raw, seeded, small_batches, span_hashes
 
 #: Bits of a table of frequent prefixes (16 MB), leaves in a group of prefixes, bytes of text at a time.
 BITS, BUDGET, PIECE = 27, 1 << 20, 1 << 20
@@ -42,20 +42,6 @@ _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray, piece: int):
-    """(low, high) byte ranges of about ``piece`` bytes that end with a text or a piece; one long piece is taken alone."""
-    low = 0
-    while low < len(data):
-        high = min(low + piece, len(data))
-        if high < len(data):
-            ends = offsets[np.searchsorted(offsets, high) :][:1]
-            stop = int(ends[0]) if len(ends) else len(data)
-            marks = np.flatnonzero(_KIND[data[high:stop]] == 2)
-            high = high + int(marks[0]) + 1 if len(marks) else stop
-        yield low, high
-        low = high
-
-
 def _words(column: pa.Array, langs: pa.Array):
     """For each cut of a batch: (bytes in lower case, starts, ends, fingerprints, whether the next word follows in the same
     piece, text of each word, names of the languages, language of each text)."""
@@ -64,7 +50,7 @@ def _words(column: pa.Array, langs: pa.Array):
     names = codes.dictionary.to_pylist()
     salts = np.array([int.from_bytes(hashlib.sha256(n.encode()).digest()[:8], "little") for n in names] or [0], np.uint64)
     kinds = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    for low, high in _cuts(data, offsets, PIECE):
+    for low, high in cuts(data, offsets, PIECE, _KIND == 2):
         own = _LOWER[data[low:high]]
         a, b = int(np.searchsorted(offsets, low, "right")) - 1, int(np.searchsorted(offsets, high, "left"))
         ends_ = np.clip(offsets[a : b + 1], low, high) - low

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..scratch import BROADCAST_ROWS, Scratch, having
 from .texts import cache, small_batches
 
-#: Turns in a shard, paths that a shard has at least, ids in a block that is hashed at a time.
+#: Turns in a shard, paths that a shard has at least (8, of which two go on, so that every level is smaller), ids in a block that is hashed at a time.
 SHARD, FEWEST, BLOCK = 1 << 14, 8, 10_000
 WIDTH = 24
 
@@ -176,7 +176,7 @@ def _dense(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new[1:] = (symbols[order[1:], :2] != symbols[order[:-1], :2]).any(axis=1)
     code = np.empty(len(order), np.int64)
     code[order] = np.cumsum(new)
-    kept = np.concatenate([np.zeros((1, 3), ">u8"), symbols[order[new]]])
+    kept = np.concatenate([np.zeros((1, 3), ">u8"), symbols[order[new]]]).astype(">u8")
     return code, kept[:, 2].astype(np.int64), kept
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from . import chat, collocations, conversation_trie, decontamination, licenses, near_duplicates, neighbours, packing, repeats, secret_scan, token_counts, toxicity
+from . import chat, collocations, conversation_trie, decontamination, language_id, licenses, near_duplicates, neighbours, packing, repeats, secret_scan, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(rebuilt.select("conv_id", symbols.alias("symbols"))).drop("turn")
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    model = language_id.fit(docs.where("doc_id is not null and not held_out"))
+    return model.predict(docs, keep=["doc_id", "held_out"])
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -97,6 +104,7 @@ QUERIES = {
     "op10_repeats": op10_repeats,
     "op11_collocations": op11_collocations,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_language_id": op13_language_id,
 }
 
 OP3_SQL = """

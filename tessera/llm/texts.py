@@ -119,6 +119,26 @@ def row_groups(offsets: np.ndarray, piece: int = PIECE):
         low = high
 
 
+def cuts(data: np.ndarray, offsets: np.ndarray, piece: int, stops: np.ndarray):
+    """(low, high) byte ranges of about ``piece`` bytes that end with a text or after a byte of ``stops``."""
+    low = 0
+    while low < len(data):
+        high = min(low + piece, len(data))
+        if high < len(data):
+            ends = offsets[np.searchsorted(offsets, high) :][:1]
+            stop = int(ends[0]) if len(ends) else len(data)
+            found, at = stop, high
+            while at < stop:
+                marks = np.flatnonzero(stops[data[at : min(at + piece, stop)]])
+                if len(marks):
+                    found = at + int(marks[0]) + 1
+                    break
+                at += piece
+            high = found
+        yield low, high
+        low = high
+
+
 def _word_spans(data: np.ndarray, offsets: np.ndarray, marks: bool):
     gap = (_MARKS if marks else _SPACE)[data]
     first = np.zeros(len(data) + 1, bool)
