@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +32,46 @@ ATCHLEY = {
     "W": [-0.595, 0.009, 0.672, -2.128, -0.184],
     "Y": [0.260, 0.830, 3.097, -0.838, 1.512],
 }
+# BLOSUM62, lower triangle.
+_BLOSUM62 = """
+A 4
+R -1 5
+N -2 0 6
+D -2 -2 1 6
+C 0 -3 -3 -3 9
+Q -1 1 0 0 -3 5
+E -1 0 0 2 -4 2 5
+G 0 -2 0 -1 -3 -2 -2 6
+H -2 0 1 -1 -3 0 0 -2 8
+I -1 -3 -3 -3 -1 -3 -3 -4 -3 4
+L -1 -2 -3 -4 -1 -2 -3 -4 -3 2 4
+K -1 2 0 -1 -3 1 1 -2 -1 -3 -2 5
+M -1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5
+F -2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6
+P -1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7
+S 1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4
+T 0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5
+W -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11
+Y -2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
+V 0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
+"""
+_ROWS = [line.split() for line in _BLOSUM62.split("\n") if line]
+#: 'AB' -> score, both ways round.
+BLOSUM62 = {k: float(v) for i, row in enumerate(_ROWS) for j, v in enumerate(row[1:]) for k in (row[0] + _ROWS[j][0], _ROWS[j][0] + row[0])}
+
+
+def isometric_codes(scores: dict[str, float] = BLOSUM62, cap: float = 4.0, size: int = 16) -> dict[str, list[float]]:
+    """A vector of ``size`` numbers for each residue, squared distances as close to ``cap`` minus the capped score as such
+    vectors allow: the leading eigenvectors of the centred score matrix, to six places, each axis's largest entry positive."""
+    names = sorted({k[0] for k in scores})
+    apart = np.array([[cap - min(scores[a + b], cap) for b in names] for a in names])
+    centre = np.eye(len(names)) - 1 / len(names)
+    values, axes = np.linalg.eigh(-centre @ apart @ centre / 2)
+    axes = axes[:, ::-1][:, :size] * np.sqrt(np.maximum(values[::-1][:size], 0))
+    axes *= np.where(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])] < 0, -1, 1)
+    return {a: [round(float(x), 6) for x in row] for a, row in zip(names, axes, strict=True)}
+
+
 #: Standard genetic code, by rule: codons in TCAG order.
 CODONS = dict(zip((a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"), "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", strict=True))
 

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,27 +112,37 @@ def _directions(size: int, n: int) -> list[list[float]]:
     return out
 
 
-def _near_in_blocks(batches):
-    """Blocks (len, limit, names and codes of both sides) -> their pairs within the limit."""
-    for b in batches:
-        out: list[tuple] = []
-        for n, limit, names_a, codes_a, names_b, codes_b in zip(*(b.column(i) for i in range(6)), strict=True):
-            x, y = (codes.values.flatten().to_numpy().reshape(len(codes.values), -1) for codes in (codes_a, codes_b))
-            own, other = names_a.as_py(), names_b.as_py()
-            for k, code in enumerate(x):
-                d = ((y - code) ** 2).sum(axis=1)
-                out += [(own[k], other[m], n.as_py(), float(d[m])) for m in np.flatnonzero(d <= limit.as_py()).tolist() if other[m] != own[k]]
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["a", "b", "len", "distance"])
+def _near_in_blocks(nearest_only: bool):
+    """Blocks (len, limit, names and codes of both sides) -> their pairs within the limit, or each one's nearest of them."""
 
+    def run(batches):
+        for batch in batches:
+            for n, limit, names_a, codes_a, names_b, codes_b in zip(*(batch.column(i) for i in range(6)), strict=True):
+                x, y = (codes.values.flatten().to_numpy().reshape(len(codes.values), -1) for codes in (codes_a, codes_b))
+                own, other = names_a.values, names_b.values
+                about = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * x @ y.T
+                i, j = np.nonzero(about <= limit.as_py() + 1e-6 * (1 + np.abs(about)))
+                d = ((x[i] - y[j]) ** 2).sum(axis=1)  # the product above is not exact
+                keep = (d <= limit.as_py()) & pc.not_equal(own.take(pa.array(i)), other.take(pa.array(j))).to_numpy(zero_copy_only=False)
+                i, j, d = i[keep], j[keep], d[keep]
+                if nearest_only and len(i):
+                    rank = np.empty(len(other), np.int64)
+                    rank[pc.array_sort_indices(other).to_numpy()] = np.arange(len(other))
+                    order = np.lexsort((rank[j], np.round(d, 9), i))
+                    order = order[np.append(True, i[order[1:]] != i[order[:-1]])]
+                    i, j, d = i[order], j[order], d[order]
+                yield pa.RecordBatch.from_arrays([own.take(pa.array(i)), other.take(pa.array(j)), pa.array(np.full(len(i), n.as_py(), np.int32)), pa.array(d)], names=["a", "b", "len", "distance"])
 
-def isometric_pairs(left: DataFrame, right: DataFrame, size: int, threshold: float = 7.0, projections: int = 2, block: int = 400) -> DataFrame:
+    return run
+
+
+def isometric_pairs(left: DataFrame, right: DataFrame, size: int, threshold: float = 7.0, projections: int = 2, block: int = 400, nearest_only: bool = False) -> DataFrame:
     """(a, b, distance) of equally long sequences with squared L2 <= threshold - 0.5 (15 - length); inputs from ``encoded``.
 
     Sequences that close fall into the same or neighbouring cells of any projection with cells as wide as the radius, so
     the equi join on (length, cells) has exact recall however the codes are spread.  What shares a key is dealt into blocks
-    of about ``block`` codes; blocks meet, and distances are taken block against block.
+    of about ``block`` codes; blocks meet, and distances are taken block against block.  With ``nearest_only`` a block gives
+    each sequence's nearest of the other block alone (ties by name).
     """
     limit = F.lit(threshold) - 0.5 * (15 - F.col("len"))
     scratch = Scratch(left.sparkSession)
@@ -149,7 +160,7 @@ def isometric_pairs(left: DataFrame, right: DataFrame, size: int, threshold: flo
     own = scratch.write(left)
     a = blocks(own, False, "a")
     b = blocks(own if right is left else scratch.write(right), True, "b").drop("limit")
-    return a.join(b, keys).select("len", "limit", "names_a", "codes_a", "names_b", "codes_b").mapInArrow(_near_in_blocks, "a string, b string, len int, distance double")
+    return a.join(b, keys).select("len", "limit", "names_a", "codes_a", "names_b", "codes_b").mapInArrow(_near_in_blocks(nearest_only), "a string, b string, len int, distance double")
 
 
 def query_nearest(queries: DataFrame, reference: DataFrame, size: int, threshold: float = 7.0) -> DataFrame:
@@ -168,32 +179,6 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a").agg(best.alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.distance").alias("distance"))
 
 
-def isometric_clusters(pairs: DataFrame, members: DataFrame, v_scores: DataFrame | None = None, least: float = 3.7, residue_scores: dict[str, float] | None = None, alike: float = 3.5) -> DataFrame:
-    """(cdr3_aa, v_call, cluster): components of nearest pairs, split into components of compatible V genes.
-
-    ``members``: (cdr3_aa, v_call), one row for each time it was seen.  V compatibility runs on the distinct genes of a
-    cluster: equal, or a pair of ``v_scores`` (v1, v2, score) of ``least`` or more.  With ``residue_scores`` a third stage
-    keeps, of the edges inside a cluster, those whose residue score by length reaches ``alike``.  A member without a partner
-    that was seen more than once is a cluster of its own.  Clusters are named by their smallest member.
-    """
-    seen = members.groupBy("cdr3_aa", "v_call").agg(F.count("*").alias("n"))
-    near = nearest(pairs)
-    if residue_scores is not None:
-        near = near.where(sequences.pair_scores(F.col("a"), F.col("b"), residue_scores) / F.length("a") >= alike)
-    stage1 = components(near, "a", "b").select(F.col("node").alias("cdr3_aa"), F.col("component").alias("c1"))
-    lone = seen.join(stage1, "cdr3_aa", "left_anti").where("n > 1").select("cdr3_aa", "v_call", F.concat_ws("|", "cdr3_aa", "v_call").alias("cluster"))
-    held = seen.drop("n").join(stage1, "cdr3_aa")
-    genes = held.select("c1", "v_call").distinct()
-    edges = genes.select(F.concat_ws("|", "c1", "v_call").alias("x"), F.concat_ws("|", "c1", "v_call").alias("y"))
-    if v_scores is not None:
-        g2 = genes.select(F.col("c1").alias("c2"), F.col("v_call").alias("v2"))
-        ok = genes.join(v_scores.where(F.col("score") >= least), F.col("v_call") == F.col("v1")).drop("v1")
-        ok = ok.select("c1", "v_call", "v2").join(g2.withColumnRenamed("c2", "c1"), ["c1", "v2"])
-        edges = edges.unionByName(ok.select(F.concat_ws("|", "c1", "v_call").alias("x"), F.concat_ws("|", "c1", "v2").alias("y")))
-    stage2 = components(edges, "x", "y")
-    return held.withColumn("node", F.concat_ws("|", "c1", "v_call")).join(stage2, "node").select("cdr3_aa", "v_call", F.col("component").alias("cluster")).unionByName(lone)
-
-
 def compatible_genes(pairs: DataFrame, v_scores: DataFrame, least: float = 3.7) -> DataFrame:
     """``pairs`` (.., v1, v2) of compatible V genes: a score of ``least`` or more; equal genes where the pair is unknown."""
     known = v_scores.select("v1", "v2", F.col("score").alias("__s"))
@@ -209,15 +194,17 @@ def unique_by_length(df: DataFrame, least: int = 10, most: int = 24) -> DataFram
     return rows.groupBy(F.length("cdr3_aa").alias("len"), "cdr3_aa", "v_call").agg(F.count("*").alias("n_rows"), F.countDistinct("repertoire_id").alias("n_repertoires")).withColumn("duplicate", F.col("n_rows") > 1)
 
 
-def kmer_share_edges(df: DataFrame, least: int, k: int = 5, column: str = "cdr3_aa") -> DataFrame:
-    """Pairs of equally long sequences whose cores share at least ``least`` k-mers up to one substitution."""
-    own = df.select(F.col(column).alias("s")).distinct()
-    mers = own.select("s", F.length("s").alias("len"), F.posexplode(sequences.windows(sequences.core(F.col("s"), 3, 2), k)).alias("at", "mer"))
+def kmer_share_edges(df: DataFrame, least: int, k: int = 5, column: str = "cdr3_aa", within: list[str] | None = None) -> DataFrame:
+    """Pairs of equally long sequences, of equal columns ``within``, whose cores share at least ``least`` k-mers up to one
+    substitution."""
+    same = within or []
+    own = df.select(*same, F.col(column).alias("s")).distinct()
+    mers = own.select(*same, "s", F.length("s").alias("len"), F.posexplode(sequences.windows(sequences.core(F.col("s"), 3, 2), k)).alias("at", "mer"))
     wild = F.array(*(F.concat(F.col("mer").substr(1, j), F.lit("?"), F.col("mer").substr(j + 2, k)) for j in range(k)))
-    keyed = mers.select("s", "len", "at", F.explode(wild).alias("key"))
-    a, b = keyed.select(F.col("s").alias("a"), "len", "key", F.col("at").alias("i")), keyed.select(F.col("s").alias("b"), "len", "key")
-    shared = a.join(b, ["len", "key"]).where("a < b").select("a", "b", "i").distinct()
-    return shared.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    keyed = mers.select(*same, "s", "len", "at", F.explode(wild).alias("key"))
+    a, b = keyed.select(*same, F.col("s").alias("a"), "len", "key", F.col("at").alias("i")), keyed.select(*same, F.col("s").alias("b"), "len", "key")
+    shared = a.join(b, [*same, "len", "key"]).where("a < b").select(*same, "a", "b", "i").distinct()
+    return shared.groupBy(*same, "a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def hop_limited(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:

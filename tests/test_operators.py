@@ -266,19 +266,6 @@ def test_repertoire_distances_equal_dense_form(spark):
         assert r["wasserstein"] == pytest.approx(np.abs(np.sort(x) - np.sort(y)).sum() / k)
 
 
-def test_isometric_clusters_keep_lone_members_seen_twice(spark, small):
-    from tessera.functions.sequences import ATCHLEY, RESIDUES
-
-    rows = [("CASSAAAAAAEQYF", "V1"), ("CASSAAAAAGEQYF", "V1"), ("CASSAAAAAGEQYF", "V2"), ("CWWWWPPPPWWWYF", "V1"), ("CWWWWPPPPWWWYF", "V1"), ("CHHHHHHHHHHHHHH", "V1")]
-    members = spark.createDataFrame(rows, "cdr3_aa string, v_call string")
-    own = similarity.encoded(members, ATCHLEY)
-    pairs = similarity.isometric_pairs(own, own, 30, 40.0)
-    got = {(r["cdr3_aa"], r["v_call"]): r["cluster"] for r in similarity.isometric_clusters(pairs, members).collect()}
-    assert got[rows[0]] == got[rows[1]] != got[rows[2]] and rows[3] in got and rows[5] not in got
-    strict = similarity.isometric_clusters(pairs, members, residue_scores={a + a: 5.0 for a in RESIDUES}, alike=3.9).collect()
-    assert {(r["cdr3_aa"], r["v_call"]) for r in strict} == {rows[3]}
-
-
 def test_two_sided_p_and_enriched(spark):
     df = spark.createDataFrame([(f, float(v), y) for f in ("same", "apart") for y in (0, 1) for v in [*range(30)] for v in [v + (40 if f == "apart" and y else 0)]], "f string, v double, y int")
     tests = association.mann_whitney(df, "f", "v", "y")
