@@ -197,14 +197,6 @@ def clone_first_holder(s, d):
     return held.groupBy("first_held").agg(F.count("*").alias("n_clones"))
 
 
-@query()
-def isometric_clusters(s, d):
-    """Clusters of nearest isometric pairs, split by V gene."""
-    rep = repertoire(s, d)
-    own = similarity.encoded(rep, sequences.ATCHLEY)
-    return similarity.isometric_clusters(similarity.isometric_pairs(own, own, 30, 40.0), rep.select("cdr3_aa", "v_call"))
-
-
 @query()
 def score_attribution(s, d):
     """Linear weights of the Fisher evidence on V/J usage."""

@@ -471,8 +471,8 @@ def sample_with_replacement(s, d):
     return sampling.sample_with_replacement(repertoire(s, d), 40).select("repertoire_id", "row_idx")
 
 
-@query(""", idx as (select repertoire_id, 0 replicate, row_number() over (partition by repertoire_id order by md5(concat_ws('-', '9', repertoire_id, cast(row_idx as varchar)))) - 1 pos, row_idx from repertoire)
-select r.repertoire_id, r.row_idx, r.cdr3_aa from repertoire r join idx using (repertoire_id, row_idx) where pos < 60""")
+@query(""" select repertoire_id, row_idx, cdr3_aa from
+ (select repertoire_id, row_idx, cdr3_aa, row_number() over (partition by repertoire_id order by md5(concat_ws('-', '9', repertoire_id, cast(row_idx as varchar)))) pos from repertoire) where pos <= 60""")
 def depth_subset(s, d):
     rep = repertoire(s, d)
     w = Window.partitionBy("repertoire_id").orderBy(sequences.md5_order(9, F.col("repertoire_id"), F.col("row_idx")))
@@ -726,7 +726,8 @@ def mil_score(s, d):
     return learners.mil_scores(bags, [0.3, 0.0, 0.0, 0.0, -0.2] * 4, 0.1, subjects_).select("repertoire_id", r6("score", "score"))
 
 
-@query("select repertoire_id, row_idx, sim from (select a.repertoire_id, a.row_idx, round(1 - levenshtein(a.cdr3_aa, b.cdr3_aa) / greatest(length(a.cdr3_aa), length(b.cdr3_aa)), 6) sim from repertoire a join repertoire b on a.repertoire_id = b.repertoire_id and a.row_idx + 1 = b.row_idx)")
+@query(""" select repertoire_id, row_idx, round(1 - levenshtein(cdr3_aa, o) / greatest(length(cdr3_aa), length(o)), 6) sim from
+ (select repertoire_id, row_idx, cdr3_aa, lead(cdr3_aa) over (partition by repertoire_id order by row_idx) o from repertoire) where o is not null""")
 def sequence_similarity(s, d):
     rep = repertoire(s, d).select("repertoire_id", "row_idx", "cdr3_aa")
     other = rep.select("repertoire_id", (F.col("row_idx") - 1).alias("row_idx"), F.col("cdr3_aa").alias("o"))

@@ -1,6 +1,6 @@
 """All registered queries and their SQL equivalents."""
 
-from .plans import file_queries, model_queries, more_queries, queries
+from .plans import cluster_queries, file_queries, model_queries, more_queries, queries
 
 assert file_queries and model_queries and more_queries  # they register their queries
 
