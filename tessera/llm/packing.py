@@ -5,7 +5,10 @@ sequences: a cut is free at a document's end, costs ``sentence_cost`` at a sente
 (offered only inside sentences longer than ``spare``, every ``spare`` ids).  A window of w ids is padded by pad(w) = 0 where w
 is a power of two, else capacity - w.  With S(j) the stream position of cut j,
 
-    cost(j) = penalty(j) + min over i with 0 < S(j) - S(i) <= capacity of cost(i) + pad(S(j) - S(i))
+    cost(j) = penalty(j) + each + min over i with 0 < S(j) - S(i) <= capacity of cost(i) + pad(S(j) - S(i))
+
+``each``, a sixteenth of the capacity, is what a sequence costs, so that a power of two is taken where it saves padding and
+the stream isn't cut into small ones.
 
 For the padded windows the best i minimises cost(i) + S(i) over a sliding window: a monotone queue gives it in amortised
 constant time.  The windows of a power of two add one transition for each power, where a cut is offered there.  The chosen
@@ -103,7 +106,7 @@ def _normal(text: str, path: str) -> str:
     return _normalizers[path].normalize_str(text)
 
 
-def sequences(positions: np.ndarray, penalty: np.ndarray, capacity: int, total: int) -> list[int]:
+def sequences(positions: np.ndarray, penalty: np.ndarray, capacity: int, total: int, each: float = 0.0) -> list[int]:
     """Indices of the chosen cuts among ``positions`` (increasing, at most ``capacity`` apart, the last one is ``total``).
 
     The final window stays open: the cheapest cut from which ``total`` is within ``capacity`` is the last one.
@@ -133,7 +136,7 @@ def sequences(positions: np.ndarray, penalty: np.ndarray, capacity: int, total:
         for i in earlier[bounds[j] : bounds[j + 1]]:
             if cost[i] < best:
                 best, where = cost[i], i
-        cost[j], came[j] = best + pen[j], where
+        cost[j], came[j] = best + pen[j] + each, where
         k = key[j] = cost[j] + s
         while len(queue) > head and key[queue[-1]] >= k:
             queue.pop()
@@ -151,6 +154,7 @@ class Packer:
 
     def __init__(self, capacity: int, sentence_cost: float, forced_cost: float, spare: int):
         self.capacity, self.sentence_cost, self.forced_cost, self.spare = capacity, sentence_cost, forced_cost, spare
+        self.each = capacity / 16
         self.ids, self.cut, self.doc, self.start = (np.zeros(0, k) for k in (np.uint32, np.int8, np.int64, np.int64))
         self.pieces: list[tuple] = []
         self.number = 0
@@ -171,7 +175,7 @@ class Packer:
             at = np.unique(np.concatenate([at, *more]))
         kind = cut[at - 1]
         penalty = np.where(kind == 2, 0.0, np.where(kind == 1, self.sentence_cost, self.forced_cost))
-        chosen = at[sequences(at, penalty, self.capacity, size)]
+        chosen = at[sequences(at, penalty, self.capacity, size, self.each)]
         self._emit(np.diff(np.concatenate([[0], chosen])))
 
     def _emit(self, lengths: np.ndarray) -> None:
@@ -197,7 +201,7 @@ class Packer:
             self._solve(len(self.ids))
         rest = len(self.ids)
         bits = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-        if rest and (len(bits) - 1) * self.forced_cost >= self.capacity - rest:
+        if rest and (len(bits) - 1) * (self.forced_cost + self.each) >= self.capacity - rest:
             bits = [rest]
         if bits:
             self._emit(np.array(bits))
