@@ -205,14 +205,25 @@ GRIDS = ({"depth": [3, 4, 5, 6], "step": [0.01, 0.03, 0.05, 0.1]}, {"rows": [0.7
 START = {"depth": 5, "step": 0.05, "rows": 0.8, "columns": 0.8, "leaf": 3}
 
 
-def tuned(long: DataFrame, train: DataFrame, validation: DataFrame, grids=GRIDS, folds: int = 3, rounds: int = 1000, patience: int = 20, key: str = "repertoire_id", label: str = "label") -> tuple[Fit, list[tuple[dict, float]]]:
-    """(model, (parameters, mean AUROC) of every setting): in each grid the first setting of best mean AUROC over stratified
-    folds, all settings and folds fitted together; then a fit on ``train`` that ends by ``validation``."""
+def _rows(train: DataFrame, validation: DataFrame, folds: int, key: str, label: str):
+    """(keys, labels, fold of each row, -1 for validation rows)."""
     from .sampling import stratified_folds
 
     tagged = stratified_folds(train, label, key, folds).select(key, label, "cv_fold").unionByName(validation.select(key, label, F.lit(-1).alias("cv_fold")))
     rows = sorted(tuple(r) for r in tagged.collect())  # one row for each repertoire
-    keys, y, fold = [r[0] for r in rows], np.array([float(r[1]) for r in rows]), np.array([r[2] for r in rows])
+    return [r[0] for r in rows], np.array([float(r[1]) for r in rows]), np.array([r[2] for r in rows])
+
+
+def fitted(long: DataFrame, train: DataFrame, validation: DataFrame, rounds: int = 1000, patience: int = 20, key: str = "repertoire_id", label: str = "label", **params) -> Fit:
+    """One model with ``params`` (others as in START)."""
+    keys, y, fold = _rows(train, validation, 2, key, label)
+    return boost(long, [Fit(START | params, fold >= 0, fold == -1)], keys, y, rounds, patience, key)[0]
+
+
+def tuned(long: DataFrame, train: DataFrame, validation: DataFrame, grids=GRIDS, folds: int = 3, rounds: int = 1000, patience: int = 20, key: str = "repertoire_id", label: str = "label") -> tuple[Fit, list[tuple[dict, float]]]:
+    """(model, (parameters, mean AUROC) of every setting): in each grid the first setting of best mean AUROC over stratified
+    folds, all settings and folds fitted together; then a fit on ``train`` that ends by ``validation``."""
+    keys, y, fold = _rows(train, validation, folds, key, label)
     best, tried = dict(START), []
     for grid in grids:
         settings = [best | dict(zip(grid, v, strict=True)) for v in itertools.product(*grid.values())]

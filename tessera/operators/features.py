@@ -141,6 +141,30 @@ def weight_matrix(df: DataFrame, key: str, motif: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(key, "pos")))
 
 
+def attributed_windows(rows: DataFrame, attribution: DataFrame, per_feature: int = 10, width: int = 5, top: int | None = None) -> DataFrame:
+    """(class, feature, rank, cdr3_aa, motif): for each class's features the windows of its sequences of highest score.
+
+    ``rows``: (class, cdr3_aa, score), a class's own sequences with its predicted score; ``attribution``: (class, feature,
+    rank), features being k-mers with or without one blank, the first ``top`` of each class.  A window of ``width`` residues
+    begins where the sequence first has the feature and is padded with X; sequences without it are passed over.
+    """
+    wanted = attribution if top is None else attribution.where(F.col("rank") <= top)
+    wanted = wanted.select("class", "feature", F.length("feature").alias("k"))
+    best = rows.where("cdr3_aa is not null and score is not null").groupBy("class", "cdr3_aa").agg(F.max("score").alias("score"))
+    texts, lengths = best.select("cdr3_aa").distinct(), [r["k"] for r in wanted.select("k").distinct().collect()]
+    found = None
+    for k in sorted(lengths):  # as many as there are lengths of k-mers
+        cells = texts.select("cdr3_aa", F.posexplode(sequences.gapped_kmers(F.col("cdr3_aa"), k)).alias("i", "feature"))
+        cells = cells.join(wanted.select("feature").distinct(), "feature", "left_semi").groupBy("cdr3_aa", "feature").agg(F.floor(F.min("i") / (k + 1)).alias("at"))
+        found = cells if found is None else found.unionByName(cells)
+    if found is None:
+        return rows.select("class", F.col("cdr3_aa").alias("feature"), F.lit(0).alias("rank"), "cdr3_aa", F.col("cdr3_aa").alias("motif")).limit(0)
+    held = wanted.select("class", "feature").join(found, "feature").join(best, ["class", "cdr3_aa"])
+    order = Window.partitionBy("class", "feature").orderBy(F.desc("score"), "cdr3_aa")
+    ranked = held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_feature)
+    return ranked.select("class", "feature", "rank", "cdr3_aa", F.rpad(F.substring(F.col("cdr3_aa"), (F.col("at") + 1).cast("int"), F.lit(width)), width, "X").alias("motif"))
+
+
 def multi_hot(df: DataFrame, key: str, values: str) -> DataFrame:
     """Long 0/1 form of a list column: the (key, value) pairs that are 1."""
     return df.select(key, F.explode(F.array_distinct(values)).alias("value")).where("value is not null").distinct()

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -15,8 +13,9 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import numbered
-from . import metrics, sampling
+from ..functions import sequences
+from ..scratch import Scratch, numbered
+from . import boosting, metrics, sampling
 
 KMER_C = [0.001, 0.003, 0.01, 0.03, 0.1]
 GENE_C = [1.0, 0.3, 0.1, 0.03]
@@ -47,8 +46,8 @@ def vectors(long: DataFrame, scaled: DataFrame, rows: DataFrame, key: str = "rep
     return rows.join(cells, key, "left").withColumn("features", sparse("cells")).drop("cells")
 
 
-def l1_logistic(train: DataFrame, c: float, n: int, label: str = "label"):
-    return LogisticRegression(labelCol=label, elasticNetParam=1.0, regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=100).fit(train)
+def l1_logistic(train: DataFrame, c: float, n: int, label: str = "label", tol: float = 1e-6, steps: int = 100):
+    return LogisticRegression(labelCol=label, elasticNetParam=1.0, regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=steps, tol=tol).fit(train)
 
 
 def probability(model, df: DataFrame, name: str = "score") -> DataFrame:
@@ -100,50 +99,56 @@ def blend(kmer: DataFrame, gene: DataFrame, key: str = "repertoire_id", label: s
     return alpha, grid.where(F.col("alpha") == alpha).select(key, label, "score")
 
 
-# Two grids, the second at the best of the first: depth and step, then share of rows and of features, leaf size.
-TREE_GRIDS = ({"depth": [3, 4, 5, 6], "step": [0.01, 0.03, 0.05, 0.1]}, {"rows": [0.7, 0.8, 1.0], "columns": [0.7, 0.8, 1.0], "leaf": [1, 3, 5]})
-
-
-def boosted_trees(train: DataFrame, validation: DataFrame, label: str = "label", rounds: int = 50, depth: int = 3, step: float = 0.1, rows: float = 1.0, columns: float = 1.0, leaf: int = 1, seed: int = 7):
-    """Gradient-boosted trees; rounds end early where the validation rows (others than the training rows) gain no more."""
-    both = train.withColumn("is_validation", F.lit(False)).unionByName(validation.withColumn("is_validation", F.lit(True)))
-    model = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=rows, featureSubsetStrategy="all" if columns >= 1 else str(columns), minInstancesPerNode=leaf, validationIndicatorCol="is_validation", seed=seed)
-    return model.fit(both)
-
+def tree_sequence_scores(rows: DataFrame, trees: DataFrame, keys: list[str], key: str = "repertoire_id") -> DataFrame:
+    """(key, cdr3_aa, score): the probability that a table of trees gives each distinct row (``keys``: cdr3_aa and what makes
+    features), largest for each CDR3.
 
-def tuned_trees(train: DataFrame, validation: DataFrame, grids=TREE_GRIDS, folds: int = 3, rounds: int = 1000, key: str = "repertoire_id", label: str = "label") -> tuple[dict, object]:
-    """(parameters, model): the first of best mean AUROC over stratified folds in each grid, then a fit with early stopping
-    on ``validation``."""
-    tagged = sampling.stratified_folds(train, label, key, folds).persist()
-    best: dict = {"rows": 0.8, "columns": 0.8, "leaf": 3}
-    for grid in grids:
-        top = -1.0
-        for values in itertools.product(*grid.values()):
-            tried = best | dict(zip(grid, values, strict=True))
-            scored = None
-            for f in range(folds):
-                held = tagged.where(F.col("cv_fold") == f)
-                one = probability(boosted_trees(tagged.where(F.col("cv_fold") != f), held, label, rounds, **tried), held).select(label, "score", "cv_fold")
-                scored = one if scored is None else scored.unionByName(one)
-            mean = metrics.auroc(scored, ["cv_fold"], "score", label).agg(F.avg("auroc")).first()[0]
-            if mean is not None and mean > top:
-                top, chosen = mean, tried
-        best = chosen if top >= 0 else tried
-    tagged.unpersist()
-    return best, boosted_trees(train, validation, label, rounds, **best)
+    ``rows``: (*keys, feature, value) in long form, the features of one sequence.  Distinct sequences are scored once.
+    """
+    named = rows.withColumn("__s", F.concat_ws("|", *keys))
+    seen = named.select("__s").distinct()
+    scored = boosting.predict(named.select("__s", "feature", "value").distinct(), trees, seen, "__s")
+    held = named.select(key, "cdr3_aa", "__s").distinct()
+    return held.join(scored, "__s").groupBy(key, "cdr3_aa").agg(F.max("score").alias("score"))
 
 
-def tree_sequence_scores(rows: DataFrame, scaled: DataFrame, model, keys: list[str], key: str = "repertoire_id") -> DataFrame:
-    """(key, cdr3_aa, score): a tree model's probability of each distinct row (``keys``: cdr3_aa and what makes features),
-    largest for each CDR3.
+def sequence_decisions(rep: DataFrame, kmer: DataFrame, gene: DataFrame, alpha: float, k: int = 4) -> DataFrame:
+    """(repertoire_id, cdr3_aa, score): alpha times the k-mer model's decision plus 1 - alpha times the V/J model's, largest of
+    each CDR3's (V, CDR3, J) triples.
 
-    ``rows``: (*keys, feature, value) in long form, the features of one sequence.  Distinct sequences are scored once.
+    ``kmer``, ``gene``: (feature, weight) on unscaled features with the intercept as feature ''.  A sequence counts each of
+    its k-mers, those with one residue blanked among them, as often as it has them, and each gene once.  Only features of
+    non-zero weight are joined, and k-mers are cut up once for each distinct CDR3.
+    """
+    own = rep.select("repertoire_id", "cdr3_aa", "v_call", "j_call").where("cdr3_aa is not null and v_call is not null and j_call is not null").distinct()
+    used = lambda w: w.where("feature <> '' and weight <> 0")
+    intercept = lambda w: F.broadcast(w.where("feature = ''").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("b")))
+    texts = own.select("cdr3_aa").distinct()
+    cells = texts.select("cdr3_aa", F.explode(sequences.gapped_kmers(F.col("cdr3_aa"), k)).alias("feature")).join(used(kmer), "feature")
+    by_text = cells.groupBy("cdr3_aa").agg(F.sum("weight").alias("z"))
+    first = texts.join(by_text, "cdr3_aa", "left").join(intercept(kmer)).select("cdr3_aa", (F.coalesce("z", F.lit(0.0)) + F.col("b")).alias("__kmer"))
+    out = own.join(first, "cdr3_aa").join(intercept(gene))
+    for locus, column in (("V", "v_call"), ("J", "j_call")):
+        own_weights = used(gene).where(F.col("feature").startswith(f"{locus}:")).select(F.expr("substring(feature, 3)").alias(column), F.col("weight").alias(f"__{locus}"))
+        out = out.join(own_weights, column, "left")
+    second = F.coalesce("__V", F.lit(0.0)) + F.coalesce("__J", F.lit(0.0)) + F.col("b")
+    return out.groupBy("repertoire_id", "cdr3_aa").agg(F.max(alpha * F.col("__kmer") + (1 - alpha) * second).alias("score"))
+
+
+def optimality(long: DataFrame, rows: DataFrame, coefficients: DataFrame, scaled: DataFrame, c: float, key: str = "repertoire_id", label: str = "label") -> DataFrame:
+    """(feature, weight, slope, excess): how far an L1 model is from its optimum, by the table of its coefficients alone.
+
+    slope is the derivative of the mean loss by the scaled feature (feature '' is the intercept); at the optimum it is
+    -sign(weight) / (c n) where there is a weight, at most 1 / (c n) where there is none, 0 for the intercept.
     """
-    named = rows.withColumn("__k", F.concat_ws("|", *keys))
-    seen = named.select("__k", "cdr3_aa").distinct()
-    scored = probability(model, vectors(named.select("__k", "feature", "value").distinct(), scaled, seen, "__k")).select("__k", "score")
-    held = named.select(key, "cdr3_aa", "__k").distinct()
-    return held.join(scored, "__k").groupBy(key, "cdr3_aa").agg(F.max("score").alias("score"))
+    n = rows.count()
+    off = predict_long(long, coefficients, rows, key).select(key, (F.col("score") - F.col(label)).alias("off"))
+    by = long.join(off, key).join(scaled, "feature").groupBy("feature").agg((F.sum(F.col("off") * F.col("value") / F.col("std")) / n).alias("slope"))
+    every = scaled.select("feature", "std").join(by, "feature", "left").join(coefficients, "feature", "left").select("feature", (F.coalesce("weight", F.lit(0.0)) * F.col("std")).alias("weight"), F.coalesce("slope", F.lit(0.0)).alias("slope"))
+    bound = F.lit(1.0 / (c * max(n, 1)))
+    excess = F.when(F.col("weight") == 0, F.greatest(F.abs("slope") - bound, F.lit(0.0))).otherwise(F.abs(F.col("slope") + F.signum("weight") * bound))
+    middle = off.agg(F.lit("").alias("feature"), F.lit(0.0).alias("weight"), F.avg("off").alias("slope")).withColumn("excess", F.abs("slope"))
+    return every.withColumn("excess", excess).unionByName(middle)
 
 
 def class_weight(df: DataFrame, label: str = "label") -> DataFrame:
@@ -162,48 +167,104 @@ def mil_scores(bags: DataFrame, weights: list[float], intercept: float, subjects
     return subjects.join(top, "repertoire_id", "left").withColumn("score", F.coalesce("score", F.lit(0.5)))
 
 
-def mil_fit(bags: DataFrame, labels: DataFrame, restarts: int = 8, steps: int = 60, rate: float = 0.2, seed: int = 7) -> tuple[np.ndarray, float, float]:
-    """(weights, intercept, training loss) of the best restart.  One Spark job a step for all restarts.
+def _bag_sums(state, size: int):
+    """Loss and gradient of every point, summed over the bags of a partition."""
+
+    def run(batches):
+        points = state.value
+        total = np.zeros((len(points), size + 2))
+        for batch in batches:
+            for y, flat in zip(batch["y"], batch["flat"], strict=True):
+                x = np.asarray(flat).reshape(-1, size)
+                z = x @ points[:, :size].T + points[:, size]
+                at = z.argmax(axis=0)
+                p = 1 / (1 + np.exp(-np.clip(z[at, np.arange(len(points))], -500, 500)))
+                q = np.clip(p, 1e-10, 1 - 1e-10)
+                total[:, 0] -= y * np.log(q) + (1 - y) * np.log(1 - q)
+                total[:, 1:-1] += (p - y)[:, None] * x[at]
+                total[:, -1] += p - y
+        yield pd.DataFrame({"total": [total.tobytes()]})
+
+    return run
 
-    A step scores every instance under all restarts in one map, keeps each bag's best instance of each restart (partial
-    maxima by batch, then by bag), and sums loss and gradient of each restart over the bags: what reaches the driver is one
-    row of parameter size for each restart.  Weights start at N(0, (1/20)^2).
+
+def mil_fit(bags: DataFrame, labels: DataFrame, restarts: int = 200, steps: int = 1000, seed: int = 7, memory: int = 10) -> tuple[np.ndarray, float, float]:
+    """(weights, intercept, training loss) of the best of ``restarts`` runs of limited-memory BFGS, all in step.
+
+    A step is one Spark job for all runs: it takes the loss and the gradient of each run a full step along its direction
+    (two-loop recursion over its last ``memory`` steps).  Runs whose loss that doesn't decrease enough try seven shorter
+    steps in one more job and go on from the longest that does.  A run ends when a step gains less than 2.2e-9 of its loss or no length gains, or its gradient is below 1e-5.
+    Weights and intercept start at N(0, (1/20)^2), the last weight at 0.
+
+    A bag is one row of its instances: 4-mers are at most 160,000.  What reaches the driver is one sum for each partition.
     """
-    size = len(bags.first()["x"])
+    size, spark = len(bags.first()["x"]), bags.sparkSession
+    own = bags.groupBy("repertoire_id").agg(F.flatten(F.collect_list("x")).alias("flat"))
+    held = Scratch(spark).write(own.join(labels.select("repertoire_id", F.col("label").cast("double").alias("y")), "repertoire_id").select("y", "flat"))
+    n = held.count()
+
+    def losses(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        state = spark.sparkContext.broadcast(points)
+        parts = [np.frombuffer(r["total"]).reshape(len(points), -1) for r in held.mapInPandas(_bag_sums(state, size), "total binary").collect()]
+        state.destroy()
+        total = np.sum(parts, axis=0) / max(n, 1)
+        return total[:, 0], total[:, 1:]
+
     rng = np.random.default_rng(seed)
-    params = np.hstack([rng.normal(0, 1 / 20, (restarts, size)), np.zeros((restarts, 1))])
-    held = bags.select("repertoire_id", "x").join(labels.select("repertoire_id"), "repertoire_id", "left_semi").persist()
-    y = labels.select("repertoire_id", F.col("label").cast("double").alias("y"))
-    m, v = np.zeros_like(params), np.zeros_like(params)
-    loss = np.full(restarts, np.inf)
-    for t in range(1, steps + 1):
-        known = params.copy()
-
-        def best(batches, known=known):
-            for b in batches:
-                if len(b):
-                    x = np.stack(b["x"].to_numpy())
-                    z = x @ known[:, :-1].T + known[:, -1]
-                    codes, names = pd.factorize(b["repertoire_id"])
-                    for r in range(len(known)):
-                        order = np.lexsort((z[:, r], codes))
-                        at = order[np.append(np.flatnonzero(np.diff(codes[order])), len(order) - 1)]
-                        yield pd.DataFrame({"repertoire_id": names[codes[at]], "r": r, "z": z[at, r], "x": [x[i].tolist() for i in at]})
-
-        part = held.mapInPandas(best, "repertoire_id string, r int, z double, x array<double>")
-        top = part.groupBy("repertoire_id", "r").agg(F.max_by("x", "z").alias("x"), F.max("z").alias("z")).join(y, "repertoire_id")
-        p = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), 1 / (1 + F.exp(-F.col("z")))))
-        off = p - F.col("y")
-        sums = top.groupBy("r").agg(
-            F.avg(-F.col("y") * F.ln(p) - (1 - F.col("y")) * F.ln(1 - p)).alias("loss"), F.avg(off).alias("g"), F.array(*(F.avg(off * F.get("x", F.lit(i))) for i in range(size))).alias("gs")
-        )
-        for r, now, last, grad in sums.select("r", "loss", "g", "gs").collect():
-            loss[r], grad = now, np.array([*grad, last])
-            m[r], v[r] = 0.9 * m[r] + 0.1 * grad, 0.99 * v[r] + 0.01 * grad * grad
-            params[r] -= rate * (m[r] / (1 - 0.9**t)) / (np.sqrt(v[r] / (1 - 0.99**t)) + 1e-8)
-    held.unpersist()
+    point = np.hstack([rng.normal(0, 1 / 20, (restarts, size)), rng.normal(0, 1 / 20, (restarts, 1))])
+    point[:, size - 1] = 0
+    loss, slope = losses(point)
+    past: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(restarts)]
+    going = np.abs(slope).max(axis=1) > 1e-5
+    lengths = 2.0 ** -np.arange(8)
+    for _ in range(steps):
+        runs = np.flatnonzero(going)
+        if not len(runs):
+            break
+        directions = np.stack([_direction(slope[r], past[r]) for r in runs])
+        slant = (slope[runs] * directions).sum(axis=1)
+        found = np.zeros(len(runs), int) - 1
+        new_loss, new_slope, length = loss[runs].copy(), slope[runs].copy(), np.zeros(len(runs))
+        for some in (lengths[:1], lengths[1:]):
+            todo = np.flatnonzero(found < 0)
+            if not len(todo):
+                break
+            tried = (point[runs[todo], None] + some[None, :, None] * directions[todo, None]).reshape(-1, size + 1)
+            own_loss, own_slope = (x.reshape(len(todo), len(some), -1) for x in losses(tried))
+            enough = own_loss[:, :, 0] <= loss[runs[todo], None] + 1e-4 * some * slant[todo, None]
+            hit, at = todo[enough.any(axis=1)], enough.argmax(axis=1)[enough.any(axis=1)]
+            row = np.flatnonzero(enough.any(axis=1))
+            found[hit], new_loss[hit], new_slope[hit], length[hit] = at, own_loss[row, at, 0], own_slope[row, at], some[at]
+        for i, r in enumerate(runs):
+            if found[i] < 0:
+                going[r] = bool(past[r])  # once more along the gradient, then the run ends
+                past[r] = []
+                continue
+            step, change = length[i] * directions[i], new_slope[i] - slope[r]
+            if step @ change > 1e-12:
+                past[r] = [*past[r], (step, change)][-memory:]
+            gain = loss[r] - new_loss[i]
+            going[r] = gain > 2.2e-9 * max(abs(loss[r]), abs(new_loss[i]), 1.0) and np.abs(new_slope[i]).max() > 1e-5
+            point[r], loss[r], slope[r] = point[r] + step, new_loss[i], new_slope[i]
     k = int(np.argmin(loss))
-    return known[k, :-1], float(known[k, -1]), float(loss[k])
+    return point[k, :-1], float(point[k, -1]), float(loss[k])
+
+
+def _direction(slope: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The two-loop recursion; without a past the gradient, of length one at most."""
+    q, weights = slope.copy(), []
+    for step, change in reversed(past):
+        a = (step @ q) / (step @ change)
+        weights.append(a)
+        q -= a * change
+    if past:
+        step, change = past[-1]
+        q *= (step @ change) / (change @ change)
+    else:
+        q /= max(1.0, np.linalg.norm(q))
+    for (step, change), a in zip(past, reversed(weights), strict=True):
+        q += step * (a - (change @ q) / (step @ change))
+    return -q if slope @ q > 0 else -slope
 
 
 def residualized(long: DataFrame, covariates: DataFrame, train: DataFrame, names: list[str], key: str = "repertoire_id") -> DataFrame:

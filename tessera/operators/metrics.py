@@ -85,21 +85,41 @@ def chance_recall(hits: DataFrame) -> DataFrame:
 
 
 def simulated_chance_recall(hits: DataFrame, trials: int = 10_000, seed: int = 7) -> DataFrame:
-    """Recall at k of random rankings, by ``trials`` hypergeometric draws for each repertoire; the list's size divides.
+    """(k, chance_recall, standard_error, closed_form): recall at k of random rankings, ``trials`` for each repertoire.
 
-    ``hits``: (repertoire_id, k, n: sequences, n_drivers: listed, n_present: listed ones that occur).
+    ``hits``: (repertoire_id, k, n: sequences, n_drivers: listed, n_present: listed ones that occur).  The number of present
+    drivers among k of n is hypergeometric: its distribution is written out once for each row, and uniform numbers are looked
+    up in it.  The list's size divides; repertoires without sequences or list count for nothing.
     """
     import numpy as np
     import pandas as pd
 
     def draw(batches):
         for b in batches:
-            rng = [np.random.default_rng([seed, int(k), *map(ord, str(r))]) for r, k in zip(b["repertoire_id"], b["k"], strict=True)]
-            mean = [g.hypergeometric(int(p), int(n - p), min(int(k), int(n)), trials).mean() / d for g, p, n, k, d in zip(rng, b["n_present"], b["n"], b["k"], b["n_drivers"], strict=True)]
-            yield pd.DataFrame({"k": b["k"], "recall": mean})
+            mean, error = [], []
+            for r, k, n, d, m in zip(b["repertoire_id"], b["k"], b["n"], b["n_drivers"], b["n_present"], strict=True):
+                chance = hypergeometric(int(n), int(m), min(int(k), int(n)))
+                low = max(0, min(int(k), int(n)) - int(n - m))
+                uniform = np.random.default_rng([seed, int(k), *map(ord, str(r))]).random(trials)
+                drawn = (low + np.minimum(np.searchsorted(np.cumsum(chance), uniform, "right"), len(chance) - 1)) / d
+                mean.append(drawn.mean())
+                error.append(drawn.var(ddof=1) / trials if trials > 1 else 0.0)
+            yield pd.DataFrame({"k": b["k"], "recall": mean, "variance": error, "expected": np.minimum(b["k"], b["n"]) / b["n"] * b["n_present"] / b["n_drivers"]})
+
+    rows = hits.where("n > 0 and n_drivers > 0").select(F.col("repertoire_id").cast("string").alias("repertoire_id"), "k", "n", "n_drivers", "n_present")
+    by = rows.mapInPandas(draw, "k int, recall double, variance double, expected double").groupBy("k")
+    return by.agg(F.avg("recall").alias("chance_recall"), (F.sqrt(F.sum("variance")) / F.count("*")).alias("standard_error"), F.avg("expected").alias("closed_form"))
+
+
+def hypergeometric(n: int, good: int, k: int):
+    """Chances of max(0, k - n + good) .. min(good, k) good ones among k of n, by the ratio of neighbouring terms."""
+    import numpy as np
 
-    rows = hits.select(F.col("repertoire_id").cast("string").alias("repertoire_id"), "k", "n", "n_drivers", "n_present")
-    return rows.mapInPandas(draw, "k int, recall double").groupBy("k").agg(F.avg("recall").alias("chance_recall"))
+    low, high = max(0, k - n + good), min(good, k)
+    x = np.arange(low, high)
+    logs = np.concatenate([[0.0], np.cumsum(np.log((good - x) * (k - x)) - np.log((x + 1.0) * (n - good - k + x + 1.0)))])
+    out = np.exp(logs - logs.max())
+    return out / out.sum()
 
 
 def depth_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:

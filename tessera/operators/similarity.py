@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences
-from ..scratch import Scratch, numbered
+from ..scratch import Scratch
 from .graph import components
 
 
@@ -253,11 +253,72 @@ def specimen_scores(assigned: DataFrame, fractions: DataFrame, specimens: DataFr
     return specimens.select("repertoire_id").join(scored, "repertoire_id", "left").select("repertoire_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _own_pairs(keys: DataFrame, key: str) -> DataFrame:
-    """All pairs a < b of a table of repertoires: the size of the result asked for."""
-    own = numbered(keys.select(key).distinct(), [key], "__n")
-    ahead = own.where("__n > 0").select(F.col(key).alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)).alias("__n"))
-    return ahead.join(own.withColumnRenamed(key, "a"), "__n").select("a", "b")
+#: Entries (repertoire, cluster) in a block of repertoires; products of two blocks at a time.
+ENTRIES, PRODUCTS = 500_000, 2_000_000
+
+
+def _products(x: np.ndarray, y: np.ndarray):
+    """(places in x, places in y) of equal values, in portions; both sorted."""
+    low, high = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
+    n = high - low
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(x):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PRODUCTS, "right")))
+        size = n[at:to]
+        left = np.repeat(np.arange(at, to), size)
+        yield left, np.repeat(low[at:to] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        at = to
+
+
+def _distances(k: int, epsilon: float):
+    """Pairs of blocks of repertoires -> the five distances of all pairs a < b of their repertoires."""
+
+    def js(x, y):
+        return x * np.log(2 * x / (x + y)) + y * np.log(2 * y / (x + y))
+
+    def run(batches):
+        for batch in batches:
+            for row in zip(*(batch.column(i) for i in range(8)), strict=True):
+                sides = []
+                for names, codes, clusters, shares in (row[:4], row[4:]):
+                    code, cluster, p = (np.asarray(x.values.to_numpy()) for x in (codes, clusters, shares))
+                    n = len(names.values)
+                    own = [np.bincount(code, v, n) for v in (p * p, p * np.log((p + epsilon) / epsilon), js(p + epsilon, np.full(len(p), epsilon)), p)]
+                    order = np.lexsort((-p, code))
+                    rank = np.arange(len(p)) - np.searchsorted(code[order], code[order])
+                    sides.append((names.values, code, cluster, p, own, order, rank))
+                (names_a, code_a, cluster_a, p_a, own_a, order_a, rank_a), (names_b, code_b, cluster_b, p_b, own_b, order_b, rank_b) = sides
+                n, m = len(names_a), len(names_b)
+                pq, kl, shannon, facing = (np.zeros(n * m) for _ in range(4))
+                x, y = np.argsort(cluster_a, kind="stable"), np.argsort(cluster_b, kind="stable")
+                for i, j in _products(cluster_a[x], cluster_b[y]):
+                    i, j = x[i], y[j]
+                    p, q, cell = p_a[i], p_b[j], code_a[i] * m + code_b[j]
+                    pq += np.bincount(cell, p * q, n * m)
+                    kl += np.bincount(cell, (p - q) * np.log((p + epsilon) / (q + epsilon)) - p * np.log((p + epsilon) / epsilon) - q * np.log((q + epsilon) / epsilon), n * m)
+                    shannon += np.bincount(cell, js(p + epsilon, q + epsilon) - js(p + epsilon, epsilon) - js(q + epsilon, epsilon), n * m)
+                x, y = np.argsort(rank_a, kind="stable"), np.argsort(rank_b, kind="stable")
+                for i, j in _products(rank_a[x], rank_b[y]):
+                    i, j = order_a[x[i]], order_b[y[j]]
+                    facing += np.bincount(code_a[i] * m + code_b[j], np.abs(p_a[i] - p_b[j]) - p_a[i] - p_b[j], n * m)
+                (e_a, kl_a, js_a, s_a), (e_b, kl_b, js_b, s_b) = ([v[:, None] for v in own_a], own_b)
+                pq, kl, shannon, facing = (v.reshape(n, m) for v in (pq, kl, shannon, facing))
+                root = np.sqrt(np.maximum((e_a - s_a * s_a / k) * (e_b - s_b * s_b / k), 0))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    correlation = np.where(root > 0, 1 - (pq - s_a * s_b / k) / root, np.nan)
+                found = {"euclidean": np.sqrt(np.maximum(0, e_a + e_b - 2 * pq)), "symmetric_kl": kl_a + kl_b + kl, "jensen_shannon": np.sqrt(np.maximum(0, js_a + js_b + shannon) / 2), "correlation": correlation, "wasserstein": (s_a + s_b + facing) / k}
+                first, second = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+                a, b = names_a.take(pa.array(first)), names_b.take(pa.array(second))
+                keep = pc.not_equal(a, b)
+                if row[0] is row[4] or names_a.equals(names_b):  # a block with itself: each pair once
+                    keep = pc.less(a, b)
+                swap = pc.greater(a, b)
+                a, b = pc.if_else(swap, b, a), pc.if_else(swap, a, b)
+                columns = [a, b, *(pa.array(v.ravel(), from_pandas=True) for v in found.values())]
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["a", "b", *found])
+
+    return run
 
 
 def repertoire_distances(shares: DataFrame, epsilon: float = 1e-9) -> DataFrame:
@@ -265,39 +326,24 @@ def repertoire_distances(shares: DataFrame, epsilon: float = 1e-9) -> DataFrame:
     shares + ``epsilon``, and the 1-D Wasserstein distance of the share values.
 
     ``shares``: (repertoire_id, cluster, share).  A sum over all clusters is the sum of what each repertoire adds where the
-    other has nothing, corrected where both hold a cluster; so only clusters in common are joined.
+    other has nothing, corrected where both hold a cluster.  Repertoires are dealt into blocks of about ENTRIES entries; each
+    pair of blocks is one task's work on sparse arrays, so no join runs on clusters, of which a few may hold everything.
+    Clusters are told apart by 64-bit fingerprints.
     """
-    k = shares.select("cluster").distinct().count()
-    js = lambda x, y: x * F.ln(2 * x / (x + y)) + y * F.ln(2 * y / (x + y))
-    alone = lambda x: {"e": x * x, "kl": x * F.ln((x + epsilon) / epsilon), "js": js(x + epsilon, F.lit(epsilon)), "s": x}
-    own = shares.groupBy("repertoire_id").agg(*(F.sum(c).alias(n) for n, c in alone(F.col("share")).items()))
-    side = lambda df, n, *keep: df.select(F.col("repertoire_id").alias(n), *keep)
-    p, q = F.col("p"), F.col("q")
-    met = side(shares, "a", "cluster", F.col("share").alias("p")).join(side(shares, "b", "cluster", F.col("share").alias("q")), "cluster").where("a < b")
-    both = met.groupBy("a", "b").agg(
-        F.sum(p * q).alias("pq"),
-        F.sum((p - q) * F.ln((p + epsilon) / (q + epsilon)) - alone(p)["kl"] - alone(q)["kl"]).alias("kl"),
-        F.sum(js(p + epsilon, q + epsilon) - alone(p)["js"] - alone(q)["js"]).alias("js"),
-    )
-    order = Window.partitionBy("repertoire_id").orderBy(F.desc("share"), "cluster")
-    placed = shares.withColumn("r", F.row_number().over(order))
-    facing = side(placed, "a", "r", F.col("share").alias("p")).join(side(placed, "b", "r", F.col("share").alias("q")), "r").where("a < b")
-    facing = facing.groupBy("a", "b").agg(F.sum(F.abs(p - q) - p - q).alias("w"))
-    out = _own_pairs(shares, "repertoire_id")
-    for n in "ab":
-        out = out.join(own.select(F.col("repertoire_id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("e", "kl", "js", "s"))), n)
-    out = out.join(both, ["a", "b"], "left").join(facing, ["a", "b"], "left").na.fill(0.0, ["pq", "kl", "js", "w"])
-    spread = lambda n: F.col(f"e_{n}") - F.col(f"s_{n}") * F.col(f"s_{n}") / k
-    root = F.sqrt(spread("a") * spread("b"))
-    return out.select(
-        "a",
-        "b",
-        F.sqrt(F.greatest(F.lit(0.0), F.col("e_a") + F.col("e_b") - 2 * F.col("pq"))).alias("euclidean"),
-        (F.col("kl_a") + F.col("kl_b") + F.col("kl")).alias("symmetric_kl"),
-        F.sqrt(F.greatest(F.lit(0.0), (F.col("js_a") + F.col("js_b") + F.col("js")) / 2)).alias("jensen_shannon"),
-        F.when(root > 0, 1 - (F.col("pq") - F.col("s_a") * F.col("s_b") / k) / root).alias("correlation"),
-        ((F.col("s_a") + F.col("s_b") + F.col("w")) / k).alias("wasserstein"),
-    )
+    scratch = Scratch(shares.sparkSession)
+    own = scratch.write(shares.select("repertoire_id", F.xxhash64("cluster").alias("cluster"), F.col("share").cast("double").alias("share")))
+    k, entries = own.agg(F.count_distinct("cluster"), F.count("*")).first()
+    blocks = max(-(-entries // ENTRIES), min(own.sparkSession.sparkContext.defaultParallelism, own.select("repertoire_id").distinct().count()), 1)
+    block = F.pmod(F.xxhash64("repertoire_id"), F.lit(blocks)).cast("int")
+    by = own.groupBy("repertoire_id").agg(F.collect_list("cluster").alias("c"), F.collect_list("share").alias("s")).withColumn("block", block)
+    rows = by.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("repertoire_id", "c", "s"))).alias("r"))
+    code = F.flatten(F.transform("r", lambda x, i: F.array_repeat(i.cast("bigint"), F.size(x["c"]))))
+    dealt = scratch.write(rows.select("block", F.col("r.repertoire_id").alias("names"), code.alias("codes"), F.flatten("r.c").alias("clusters"), F.flatten("r.s").alias("shares")))
+    columns = ["names", "codes", "clusters", "shares"]
+    second = dealt.select(F.col("block").alias("other"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    pairs = dealt.withColumn("other", F.explode(F.sequence("block", F.lit(blocks - 1)))).join(second, "other")
+    met = pairs.repartition("block", "other").select(*columns, *(f"{c}_b" for c in columns))
+    return met.mapInArrow(_distances(k, epsilon), "a string, b string, euclidean double, symmetric_kl double, jensen_shannon double, correlation double, wasserstein double")
 
 
 def nearest_vote(distances: DataFrame, labels: DataFrame, k: int, distance: str) -> DataFrame:
@@ -317,19 +363,44 @@ def merged_into_reference(candidates: DataFrame, reference: DataFrame, keys: lis
     return candidates.join(hit, "cluster", "left").select(*keys, F.coalesce("known", F.concat(F.lit("new:"), F.col("cluster"))).alias("cluster"))
 
 
+def _nearest_of_blocks(k: int):
+    """Pairs of blocks (keys and vectors of both) -> for each row of the first the k nearest of the second."""
+
+    def run(batches):
+        for batch in batches:
+            for keys, rows, others, facing in zip(*(batch.column(i) for i in range(4)), strict=True):
+                x, y = (v.values.flatten().to_numpy().reshape(len(v.values), -1) for v in (rows, facing))
+                about = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * x @ y.T
+                last = np.partition(about, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+                i, j = np.nonzero(about <= (last + 1e-9 * (1 + np.abs(last)))[:, None])
+                d = ((x[i] - y[j]) ** 2).sum(axis=1)  # the product above is not exact
+                rank = np.empty(len(y), np.int64)
+                rank[pc.array_sort_indices(others.values).to_numpy()] = np.arange(len(y))
+                order = np.lexsort((rank[j], d, i))
+                place = np.arange(len(i)) - np.searchsorted(i[order], i[order])
+                top = order[place < k]
+                yield pa.RecordBatch.from_arrays([keys.values.take(pa.array(i[top])), others.values.take(pa.array(j[top])), pa.array(d[top])], names=["key", "other", "d"])
+
+    return run
+
+
 def nearest_vectors(df: DataFrame, key: str, vector: str, fold: str, k: int) -> DataFrame:
-    """(key, rank, other, distance): each row's k nearest of the other folds by L2, compared in blocks of about 500 rows of
-    one fold.
+    """(key, rank, other, distance): each row's k nearest of the other folds by L2, in blocks of about 500 rows of one fold,
+    of which only the k nearest leave a pair of blocks.
 
     For tables of repertoires or samples; large vector tables belong to an index.
     """
     blocks = -(-df.count() // 500) or 1
-    every = df.groupBy(F.col(fold).alias("__f"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("__b")).agg(F.collect_list(F.struct(F.col(key).alias("o"), F.col(vector).alias("v"))).alias("rows"))
-    folds = df.select(F.col(fold).alias("__own")).distinct()
-    pairs = folds.join(every, F.col("__own") != F.col("__f"))
-    met = df.withColumnRenamed(fold, "__own").join(pairs, "__own").select(key, F.explode(F.transform("rows", lambda r: F.struct(sequences.squared_distance(F.col(vector), r["v"]).alias("d"), r["o"].alias("o")))).alias("x"))
-    order = Window.partitionBy(key).orderBy("x.d", "x.o")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "rank", F.col("x.o").alias("other"), F.sqrt("x.d").alias("distance"))
+    rows = F.sort_array(F.collect_list(F.struct(F.col(key).alias("o"), F.transform(vector, lambda x: x.cast("double")).alias("v"))))
+    dealt = df.groupBy(F.col(fold).alias("__f"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("__b")).agg(rows.alias("rows"))
+    dealt = Scratch(df.sparkSession).write(dealt.select("__f", F.col("rows.o").alias("keys"), F.col("rows.v").alias("vectors")))
+    other = dealt.select(F.col("__f").alias("__g"), F.col("keys").alias("others"), F.col("vectors").alias("facing"))
+    folds = df.select(F.col(fold).alias("__g")).distinct()
+    pairs = dealt.join(folds, F.col("__f") != F.col("__g")).join(other, "__g").repartition(F.xxhash64("keys", "others"))
+    kind = df.schema[key].dataType.simpleString()
+    met = pairs.select("keys", "vectors", "others", "facing").mapInArrow(_nearest_of_blocks(k), f"key {kind}, other {kind}, d double")
+    order = Window.partitionBy("key").orderBy("d", "other")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("key").alias(key), "rank", "other", F.sqrt("d").alias("distance"))
 
 
 def vote_by_k(neighbours: DataFrame, classes: DataFrame, key: str, ks: list[int]) -> DataFrame:

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genes, sequences
-from ..operators import association, cleaning, cohorts, features, learners, metrics, sampling, similarity
+from ..operators import association, boosting, cleaning, cohorts, features, learners, metrics, sampling, similarity
 from ..scratch import folder
 from ..sources import tables
 from ..streaming.ingest import running_funnel
 from .fixtures import metadata, raw, repertoire, table
-from .queries import LABELS, PRED, STEPS, TRUTH, _phase_sql, big, coded, labels, predictions, query, r6, truth
+from .queries import HITS, LABELS, PRED, STEPS, TRUTH, _phase_sql, big, coded, labels, predictions, query, r6, truth
 
 
 def _place(s) -> str:
@@ -397,13 +397,13 @@ def tree_sequence_scores(s, d):
     """Boosted trees on V/J usage, applied to single sequences; the largest score of each CDR3."""
     long = features.gene_usage(repertoire(s, d))
     rows = sampling.stratified_split(labels(s, d), "label", "repertoire_id", 0.8)
-    scaled = learners.scales(long, learners.feature_index(long, rows), rows).persist()
-    v = learners.vectors(long, scaled, rows).persist()
-    model = learners.boosted_trees(v.where("role = 'train'").drop("role"), v.where("role <> 'train'").drop("role"))
+    part = lambda role: rows.where(role).drop("role")
+    model = boosting.fitted(long, part("role = 'train'"), part("role <> 'train'"), depth=3, step=0.1)
     own = repertoire(s, d).select("repertoire_id", "cdr3_aa", "v_call", "j_call").distinct()
     cells = F.explode(F.array(F.concat(F.lit("V:"), "v_call"), F.concat(F.lit("J:"), "j_call"))).alias("feature")
     units = own.select("repertoire_id", "cdr3_aa", "v_call", "j_call", cells).withColumn("value", F.lit(1.0))
-    return learners.tree_sequence_scores(units, scaled, model, ["cdr3_aa", "v_call", "j_call"])
+    # A sequence's features are its genes alone, so distinct pairs of genes are what is scored.
+    return learners.tree_sequence_scores(units, boosting.tree_table(s, model), ["v_call", "j_call"])
 
 
 @query()
@@ -416,19 +416,24 @@ def usage_and_demographics(s, d):
 
 @query()
 def embedding_and_demographics(s, d):
-    """Mean vectors and demographics, standardized apart, in one L1 model."""
+    """Mean vectors and demographics, standardized apart, in one L1 model; specimens without a vector get the mean of all."""
     meta = metadata(s, d)
     n = F.expr("cast(substring(specimen_label, 2) as bigint)")
-    vectors = table(s, d, "embeddings").groupBy((F.col("vec_id") % 1000).alias("n")).agg(F.first("embedding").alias("vector"))
-    task = learners.demographic_features(cohorts.binary_task(meta, "CMV"), meta.agg(F.avg("age")).first()[0]).withColumn("n", n % 100).join(vectors, "n")
+    cells = table(s, d, "embeddings").select((F.col("vec_id") % 100).alias("n"), F.posexplode("embedding").alias("i", "x"))
+    mean = lambda *by: cells.groupBy(*by, "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("vector"))
+    vectors, every = mean("n"), mean().withColumnRenamed("vector", "all")
+    task = learners.demographic_features(cohorts.binary_task(meta, "CMV"), meta.agg(F.avg("age")).first()[0]).withColumn("n", n % 100)
+    task = task.join(vectors, "n", "left").join(F.broadcast(every)).withColumn("vector", F.coalesce("vector", "all"))  # one row
     split = sampling.stratified_split(task.select("specimen_label", "label", "vector", "c_age", "c_age_missing", "c_sex_m", "c_sex_unknown"), "label", "specimen_label", 0.8).persist()
     _, scored = learners.embedding_and_demographics(split.where("role <> 'train'"), split.where("role = 'train'"), "vector", ["c_age", "c_age_missing", "c_sex_m", "c_sex_unknown"])
     return scored.select("specimen_label", "label", "score")
 
 
-@query()
+@query(HITS + " select k, round(avg(least(k / n, 1.0)), 6) closed_form, true near from hits group by k")
 def simulated_chance(s, d):
-    """Recall at k of random rankings by simulation."""
+    """Recall at k of 10,000 random rankings a repertoire beside its expectation, and whether they are within three errors."""
     from .queries import hits
 
-    return metrics.simulated_chance_recall(hits(s, d).withColumn("n_present", F.col("n_drivers")), 2000)
+    out = metrics.simulated_chance_recall(hits(s, d).withColumn("n_present", F.col("n_drivers")))
+    near = F.abs(F.col("chance_recall") - F.col("closed_form")) <= 3 * F.col("standard_error") + 1e-9
+    return out.select("k", F.round("closed_form", 6).alias("closed_form"), near.alias("near"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import genes, sequences
-from ..operators import association, cleaning, cohorts, features, learners, metrics, sampling, similarity
+from ..operators import association, boosting, cleaning, cohorts, features, learners, metrics, sampling, similarity
 from ..scratch import Scratch, folder
 from ..streaming.ingest import ingest
 from .fixtures import metadata, raw, repertoire, table
@@ -35,18 +35,32 @@ def gene_usage_classifier(s, d):
     return learners.predict_long(long, table_, test)
 
 
+def _l1_model(s, long, train, grid, label="label"):
+    """(C, coefficient table, deviations) of the L1 model whose C cross-validation chose; the tables are written once."""
+    scratch = Scratch(s)
+    scaled = scratch.write(learners.scales(long, learners.feature_index(long, train), train))
+    v = learners.vectors(long, scaled, train).persist()
+    c = learners.choose_c(v, grid, label=label)
+    weights = scratch.write(learners.coefficient_table(s, learners.l1_logistic(v, c, v.count(), label), scaled))
+    v.unpersist()
+    return c, weights, scaled
+
+
+def _ensemble(s, d):
+    """Both models of the ensemble and their validation scores: (alpha, blended scores, k-mer weights, V/J weights)."""
+    long, train, test = _long_and_rows(s, d)
+    out, tables = [], []
+    for features_, grid in ((Scratch(s).write(_kmers(s, d)), learners.KMER_C), (Scratch(s).write(long), learners.GENE_C)):
+        _, weights, _ = _l1_model(s, features_, train, grid)
+        out.append(learners.predict_long(features_, weights, test))
+        tables.append(weights)
+    return *learners.blend(*out), *tables
+
+
 @query()
 def ensemble_weights(s, d):
-    """The k-mer and V/J models' validation scores blended with the alpha of best AUROC."""
-    long, train, test = _long_and_rows(s, d)
-    out = []
-    for name, features_ in (("kmer", _kmers(s, d)), ("gene", long)):
-        scaled = learners.scales(features_, learners.feature_index(features_, train), train)
-        v = learners.vectors(features_, scaled, train)
-        model = learners.l1_logistic(v, 0.1, train.count())
-        out.append(learners.predict_long(features_, learners.coefficient_table(s, model, scaled), test))
-    _, blended = learners.blend(*out)
-    return blended
+    """The k-mer and V/J models, C of each by cross-validation, blended with the alpha of best validation AUROC."""
+    return _ensemble(s, d)[1]
 
 
 @query()
@@ -59,32 +73,71 @@ def selected_features(s, d):
 
 @query()
 def sequence_scores(s, d):
-    """Largest decision value of each repertoire's CDR3s under the V/J model."""
-    long, train, _ = _long_and_rows(s, d)
-    scaled = learners.scales(long, learners.feature_index(long, train), train)
-    weights = learners.coefficient_table(s, learners.l1_logistic(learners.vectors(long, scaled, train), 1.0, train.count()), scaled)
-    rep = repertoire(s, d).select("repertoire_id", *association.CLONE).distinct()
-    for locus, column in (("V", "v_call"), ("J", "j_call")):
-        w = weights.where(F.col("feature").startswith(f"{locus}:")).select(F.expr("substring(feature, 3)").alias(column), F.col("weight").alias(f"w_{locus}"))
-        rep = rep.join(w, column, "left")
-    total = F.coalesce("w_V", F.lit(0.0)) + F.coalesce("w_J", F.lit(0.0))
-    return rep.groupBy("repertoire_id", "cdr3_aa").agg(F.max(total).alias("score"))
+    """Largest ensemble decision of each repertoire's CDR3s: k-mer and V/J models with the alpha of the sweep."""
+    alpha, _, kmer, gene = _ensemble(s, d)
+    return learners.sequence_decisions(repertoire(s, d), kmer, gene, alpha, 3)
+
+
+#: Weights by rule, in place of a fitted model's, so that another engine can follow the scoring.
+_WEIGHT = "case when substr(md5(feature), 1, 1) < '5' then round((instr('0123456789abcdef', substr(md5(feature), 2, 1)) - 8) * 0.01, 4) else 0.0 end"
+
+
+@query(f""", u as (select distinct repertoire_id, cdr3_aa, v_call, j_call from repertoire),
+ x as (select distinct cdr3_aa from u),
+ w as (select cdr3_aa, substr(cdr3_aa, i, 4) m from (select cdr3_aa, unnest(range(1, length(cdr3_aa) - 2)) i from x)),
+ k as (select cdr3_aa, unnest([m, '_' || substr(m, 2), substr(m, 1, 1) || '_' || substr(m, 3), substr(m, 1, 2) || '_' || substr(m, 4), substr(m, 1, 3) || '_']) feature from w),
+ z as (select cdr3_aa, sum({_WEIGHT}) z from k group by 1),
+ g as (select v_call, j_call, (select {_WEIGHT} from (select 'V:' || v_call feature)) + (select {_WEIGHT} from (select 'J:' || j_call feature)) y from (select distinct v_call, j_call from u))
+select repertoire_id, cdr3_aa, round(max(0.3 * (z - 0.25) + 0.7 * (y + 0.125)), 6) + 0.0 score from u join z using (cdr3_aa) join g using (v_call, j_call) group by 1, 2""")
+def sequence_decisions(s, d):
+    """Decisions of all sequences by two tables of weights, k-mers with blanks and genes."""
+    rep = repertoire(s, d)
+
+    def weighted(names, intercept):
+        table_ = names.distinct().select("feature", F.expr(_WEIGHT).cast("double").alias("weight"))
+        return table_.unionByName(s.createDataFrame([("", intercept)], "feature string, weight double"))
+
+    kmer = weighted(rep.select("cdr3_aa").distinct().select(F.explode(sequences.gapped_kmers(F.col("cdr3_aa"))).alias("feature")), -0.25)
+    gene = weighted(rep.select("v_call", "j_call").distinct().select(F.explode(F.array(F.concat(F.lit("V:"), "v_call"), F.concat(F.lit("J:"), "j_call"))).alias("feature")), 0.125)
+    out = learners.sequence_decisions(rep, kmer, gene, 0.3)
+    return out.select("repertoire_id", "cdr3_aa", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query(f", {LABELS}, u as (select 'V:' || v_call f from repertoire join labels using (repertoire_id) union select 'J:' || j_call from repertoire join labels using (repertoire_id) union select '') select f feature, true optimal from u")
+def logistic_optimality(s, d):
+    """Of every feature, whether the fitted L1 model on V/J usage (C = 1, all labelled repertoires) meets the conditions of its
+    optimum, told from the table of its coefficients."""
+    long, rows = Scratch(s).write(features.gene_usage(repertoire(s, d))), Scratch(s).write(labels(s, d))
+    scaled = Scratch(s).write(learners.scales(long, learners.feature_index(long, rows), rows))
+    n = rows.count()
+    model = learners.l1_logistic(learners.vectors(long, scaled, rows), 1.0, n, tol=1e-10, steps=2000)
+    off = learners.optimality(long, rows, learners.coefficient_table(s, model, scaled), scaled, 1.0)
+    return off.select("feature", (F.col("excess") < 2e-3).alias("optimal"))
 
 
 @query()
 def boosted_tree_classifier(s, d):
-    """Boosted trees on V/J usage; every fifth training repertoire of a class decides when to stop."""
+    """Boosted trees on V/J usage at one setting; every fifth training repertoire of a class decides when to stop."""
+    long, train, test = _long_and_rows(s, d)
+    held = sampling.stratified_split(train, "label", "repertoire_id", 0.8, seed=11)
+    part = lambda role: held.where(role).drop("role")
+    model = boosting.fitted(long, part("role = 'train'"), part("role <> 'train'"), depth=3, step=0.1)
+    return boosting.predict(long, boosting.tree_table(s, model), test)
+
+
+@query()
+def tuned_boosted_trees(s, d):
+    """Boosted trees on V/J usage, both grids (16 and 27 settings in three folds, 129 fits) and early stopping."""
     long, train, test = _long_and_rows(s, d)
-    scaled = learners.scales(long, learners.feature_index(long, train), train).persist()
     held = sampling.stratified_split(train, "label", "repertoire_id", 0.8, seed=11)
-    v = learners.vectors(long, scaled, held).persist()
-    model = learners.boosted_trees(v.where("role = 'train'").drop("role"), v.where("role <> 'train'").drop("role"))
-    return learners.probability(model, learners.vectors(long, scaled, test)).select("repertoire_id", "label", "score")
+    part = lambda role: held.where(role).drop("role")
+    model, _ = boosting.tuned(long, part("role = 'train'"), part("role <> 'train'"))
+    return boosting.predict(long, boosting.tree_table(s, model), test)
 
 
 @query()
 def mil_classifier(s, d):
-    """Multiple-instance model on Atchley-encoded 4-mers with log abundance, several restarts in one job a step."""
+    """Multiple-instance model on Atchley-encoded 4-mers with log abundance, 200 restarts in one job a step."""
     f = features.fourmer_abundance(repertoire(s, d))
     bags = f.select("repertoire_id", F.concat(sequences.atchley(F.col("fourmer")), F.array("log_sum")).alias("x")).where("x is not null")
     y = labels(s, d)
@@ -113,15 +166,16 @@ def residualized_usage(s, d):
 
 @query()
 def covariate_adjusted_classifier(s, d):
-    """Usage residualized on demographics, then an L1 model with C = 1."""
+    """Usage residualized on age, sex, ancestry and missingness, then an L1 model, C by cross-validation."""
     long, train, test = _long_and_rows(s, d)
-    mean = metadata(s, d).agg(F.avg("age")).first()[0]
-    names = ["c_age", "c_age_missing", "c_sex_m", "c_sex_unknown"]
-    cov = learners.demographic_features(metadata(s, d), mean).select(F.col("specimen_label").alias("repertoire_id"), *names)
+    meta = metadata(s, d)
+    ancestry = learners.ancestry_columns(meta, ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
+    names = ["c_age", "c_age_missing", "c_sex_m", "c_sex_unknown", *ancestry]
+    mean = meta.agg(F.avg("age")).first()[0]
+    cov = learners.demographic_features(meta, mean).withColumns(ancestry).select(F.col("specimen_label").alias("repertoire_id"), *names)
     res = Scratch(s).write(learners.residualized(long, cov, train, names))
-    scaled = learners.scales(res, learners.feature_index(res, train), train)
-    model = learners.l1_logistic(learners.vectors(res, scaled, train), 1.0, train.count())
-    return learners.predict_long(res, learners.coefficient_table(s, model, scaled), test)
+    _, weights, _ = _l1_model(s, res, train, learners.GENE_C)
+    return learners.predict_long(res, weights, test)
 
 
 @query()

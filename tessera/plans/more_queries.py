@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import genes, sequences
@@ -197,6 +198,40 @@ def clone_first_holder(s, d):
     return held.groupBy("first_held").agg(F.count("*").alias("n_clones"))
 
 
+#: Each class's 4-mers by the mean of a score over the sequences that hold them.
+_MOTIFS = f""", {LABELS}, sq as (select distinct y class, cdr3_aa, length(cdr3_aa) * 10 + instr('ACDEFGHIKLMNPQRS', substr(cdr3_aa, 1, 1)) score from repertoire join labels using (repertoire_id)),
+ ks as (select class, cdr3_aa, score, unnest(range(1, length(cdr3_aa) - 2)) i from sq),
+ fe as (select class, substr(cdr3_aa, i, 4) feature, cdr3_aa, score, min(i) i0 from ks group by all),
+ att as (select class, feature, row_number() over (partition by class order by avg(score) desc, feature) r from fe group by 1, 2 having count(*) >= 3),
+ win as (select class, feature, cdr3_aa, rpad(substr(cdr3_aa, i0, 5), 5, 'X') motif, row_number() over (partition by class, feature order by score desc, cdr3_aa) rank from fe join (select class, feature from att where r <= 20) using (class, feature))
+"""
+
+
+def _attributed(s, d):
+    rep = repertoire(s, d).join(labels(s, d), "repertoire_id")
+    first = F.expr("instr('ACDEFGHIKLMNPQRS', substring(cdr3_aa, 1, 1))")
+    rows = rep.select(F.col("label").alias("class"), "cdr3_aa", (F.length("cdr3_aa") * 10 + first).alias("score")).distinct()
+    mers = rows.select("class", "cdr3_aa", "score", F.explode(F.array_distinct(sequences.windows(F.col("cdr3_aa"), 4))).alias("feature"))
+    order = Window.partitionBy("class").orderBy(F.desc("m"), "feature")
+    by = mers.groupBy("class", "feature").agg(F.avg("score").alias("m"), F.count("*").alias("n")).where("n >= 3")
+    return features.attributed_windows(rows, by.withColumn("rank", F.row_number().over(order)), per_feature=8, width=5, top=20)
+
+
+@query(_MOTIFS + "select class, feature, rank, cdr3_aa, motif from win where rank <= 8")
+def attributed_windows(s, d):
+    """Windows of each class's best sequences where they have the class's first 20 features."""
+    return _attributed(s, d).select("class", "feature", *big("rank"), "cdr3_aa", "motif")
+
+
+@query(_MOTIFS + """, l as (select class || ':' || feature f, unnest(range(1, 6)) i, motif from win where rank <= 8),
+ c as (select f, i - 1 pos, substr(motif, i, 1) residue, count(*) n from l where substr(motif, i, 1) <> 'X' group by all)
+select f feature, pos, residue, n, round(n / sum(n) over (partition by f, pos), 6) share from c""")
+def attributed_motifs(s, d):
+    """Residue shares by position of those windows."""
+    own = _attributed(s, d).select(F.concat_ws(":", F.col("class").cast("string"), "feature").alias("feature"), "motif")
+    return features.weight_matrix(own, "feature", "motif").select("feature", F.col("pos").cast("bigint").alias("pos"), "residue", "n", r6("share", "share"))
+
+
 @query()
 def score_attribution(s, d):
     """Linear weights of the Fisher evidence on V/J usage."""

@@ -224,6 +224,49 @@ def test_mil_fit_learns(spark):
     assert {r["score"] for r in scores if r["repertoire_id"] == "empty"} == {0.5}
 
 
+def test_restarts_reach_the_loss_of_long_descents(spark):
+    """No restart's best is worse than plain descents from the same kind of start, with the same loss."""
+    rng = np.random.default_rng(12)
+    bags = {f"S{i}": rng.normal(size=(rng.integers(1, 7), 3)) + [1.5 * (i % 2), 0, 0] for i in range(30)}
+    frame = spark.createDataFrame([(k, x.tolist()) for k, own in bags.items() for x in own], "repertoire_id string, x array<double>")
+    y = {k: int(k[1:]) % 2 for k in bags}
+    _, _, loss = learners.mil_fit(frame.repartition(5), spark.createDataFrame(list(y.items()), "repertoire_id string, label int"), restarts=40)
+
+    def at(w):
+        total, slope = 0.0, np.zeros(4)
+        for k, x in bags.items():
+            z = x @ w[:3] + w[3]
+            i = int(z.argmax())
+            p = 1 / (1 + np.exp(-z[i]))
+            total -= np.log(p if y[k] else 1 - p) / len(bags)
+            slope += (p - y[k]) * np.append(x[i], 1) / len(bags)
+        return total, slope
+
+    best = np.inf
+    for _ in range(8):
+        w = np.append(rng.normal(0, 1 / 20, 2), [0, rng.normal(0, 1 / 20)])
+        for step in range(1500):
+            now, slope = at(w)
+            best = min(best, now)
+            w = w - 0.5 / (1 + step / 300) * slope
+    assert loss <= best + 1e-3
+
+
+def test_sequence_decisions_and_optimality(spark):
+    rep = spark.createDataFrame([("r", "ABCDE", "v1", "j1"), ("r", "ABCDE", "v2", "j1"), ("s", "AB", "v1", None), ("s", "AB", "v9", "j9")], "repertoire_id string, cdr3_aa string, v_call string, j_call string")
+    kmer = spark.createDataFrame([("", 0.5), ("ABCD", 1.0), ("A_CD", 2.0), ("BCD_", 4.0), ("ZZZZ", 8.0), ("BCDE", 0.0)], "feature string, weight double")
+    gene = spark.createDataFrame([("", -1.0), ("V:v1", 1.0), ("V:v2", 3.0), ("J:j1", 0.25)], "feature string, weight double")
+    got = {(r["repertoire_id"], r["cdr3_aa"]): r["score"] for r in learners.sequence_decisions(rep, kmer, gene, 0.4).collect()}
+    assert got == pytest.approx({("r", "ABCDE"): 0.4 * 7.5 + 0.6 * 2.25, ("s", "AB"): 0.4 * 0.5 - 0.6})
+    long, rows = _vectors(spark)
+    scaled = learners.scales(long, learners.feature_index(long, rows), rows)
+    model = learners.l1_logistic(learners.vectors(long, scaled, rows), 0.5, rows.count(), tol=1e-10, steps=2000)
+    table = learners.coefficient_table(spark, model, scaled)
+    assert all(r["excess"] < 1e-3 for r in learners.optimality(long, rows, table, scaled, 0.5).collect())
+    wrong = table.withColumn("weight", F.col("weight") * 1.3)
+    assert any(r["excess"] > 5e-3 for r in learners.optimality(long, rows, wrong, scaled, 0.5).collect())
+
+
 def test_numbered(spark):
     from tessera.scratch import numbered
 
@@ -295,16 +338,14 @@ def _vectors(spark, n=90):
     return spark.createDataFrame(rows, "repertoire_id string, feature string, value double"), spark.createDataFrame([(f"r{i}", i % 2) for i in range(n)], "repertoire_id string, label int")
 
 
-def test_tuned_trees_and_their_sequence_scores(spark):
+def test_sequence_scores_of_trees(spark):
+    from tessera.operators import boosting
+
     long, rows = _vectors(spark)
-    scaled = learners.scales(long, learners.feature_index(long, rows), rows).persist()
-    v = learners.vectors(long, scaled, sampling.stratified_split(rows, "label", "repertoire_id", 0.8)).persist()
-    assert v.first()["features"].size == 3
-    grids = ({"depth": [2, 3], "step": [0.1]}, {"rows": [0.8], "columns": [1.0], "leaf": [1, 5]})
-    best, model = learners.tuned_trees(v.where("role = 'train'").drop("role"), v.where("role <> 'train'").drop("role"), grids, folds=2, rounds=5)
-    assert best["depth"] in (2, 3) and best["leaf"] in (1, 5)
+    split = sampling.stratified_split(rows, "label", "repertoire_id", 0.8)
+    model, _ = boosting.tuned(long, split.where("role = 'train'").drop("role"), split.where("role <> 'train'").drop("role"), ({"depth": [2], "step": [0.1], "rows": [1.0], "columns": [1.0], "leaf": [1]},), folds=2, rounds=5)
     units = spark.createDataFrame([("x", "CA", "v1", "a", 3.0), ("x", "CA", "v2", "a", -2.0), ("y", "CA", "v2", "a", -2.0)], "repertoire_id string, cdr3_aa string, v_call string, feature string, value double")
-    got = {r["repertoire_id"]: r["score"] for r in learners.tree_sequence_scores(units, scaled, model, ["cdr3_aa", "v_call"]).collect()}
+    got = {r["repertoire_id"]: r["score"] for r in learners.tree_sequence_scores(units, boosting.tree_table(spark, model), ["cdr3_aa", "v_call"]).collect()}
     assert got["x"] > got["y"]
 
 
@@ -340,5 +381,9 @@ def test_abundance_method_takes_the_better_encoding(spark):
 
 def test_simulated_chance_is_near_the_closed_form(spark):
     hits = spark.createDataFrame([("a", 10, 100, 5, 5), ("b", 10, 50, 4, 2)], "repertoire_id string, k int, n int, n_drivers int, n_present int")
-    got = metrics.simulated_chance_recall(hits, 4000).first()["chance_recall"]
-    assert got == pytest.approx((0.1 + 0.2 * 2 / 4) / 2, abs=0.01)
+    got = metrics.simulated_chance_recall(hits.unionByName(hits.limit(1).selectExpr("'none' repertoire_id", "k", "0 n", "n_drivers", "0 n_present")), 4000).first()
+    assert got["closed_form"] == pytest.approx((0.1 + 0.2 * 2 / 4) / 2) and abs(got["chance_recall"] - got["closed_form"]) < 4 * got["standard_error"] < 0.02
+    for n, good, k in ((50, 7, 20), (9, 9, 4), (9, 0, 4), (12, 5, 12), (1000, 400, 900)):
+        chance = metrics.hypergeometric(n, good, k)
+        low = max(0, k - n + good)
+        assert np.allclose(chance, [math.comb(good, x) * math.comb(n - good, k - x) / math.comb(n, k) for x in range(low, low + len(chance))])
