@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch, numbered
+from ..scratch import BROADCAST_ROWS, Scratch, numbered
 
 CLONE = ["cdr3_aa", "v_call", "j_call"]
 THRESHOLDS = [1e-2, 1e-3, 1e-4, 1e-5, 1e-6]
@@ -32,20 +32,30 @@ def incidence(rep: DataFrame, labels: DataFrame, least: int = 2) -> DataFrame:
     return held.groupBy(*CLONE).agg(F.sum("label").alias("n_pos"), F.sum(1 - F.col("label")).alias("n_neg")).where(F.col("n_pos") + F.col("n_neg") >= least)
 
 
+def _upper_tails(P: int, N: int):
+    """(n_pos, n_neg) -> chance of n_pos or more positives among n_pos + n_neg of P + N subjects."""
+
+    def run(batches):
+        facts = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, P + N + 1)))])
+        choose = lambda n, k: facts[n] - facts[k] - facts[n - k]
+        for b in batches:
+            p = []
+            for x, y in zip(b["n_pos"].astype(int), b["n_neg"].astype(int), strict=True):
+                k = x + y
+                a = np.arange(x, min(k, P) + 1)
+                p.append(min(1.0, float(np.exp(choose(P, a) + choose(N, k - a) - choose(P + N, k)).sum())))
+            yield pd.DataFrame({"n_pos": b["n_pos"], "n_neg": b["n_neg"], "p_value": p})
+
+    return run
+
+
 def fisher_greater(counts: DataFrame, labels: DataFrame) -> DataFrame:
     """One-sided Fisher p-value of every clone.  p depends on (n_pos, n_neg) alone, so it is found once for each such pair."""
     totals = labels.agg(F.sum("label").alias("P"), F.sum(1 - F.col("label")).alias("N")).first()
     P, N = int(totals[0] or 0), int(totals[1] or 0)
-    facts = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, P + N + 1)))])
-    table = F.array(*map(F.lit, facts.tolist()))
-    lf = lambda i: F.element_at(table, (i + 1).cast("int"))
-    choose = lambda n, k: lf(n) - lf(k) - lf(n - k)
     pairs = counts.select("n_pos", "n_neg").distinct()
-    k = F.col("n_pos") + F.col("n_neg")
-    top = F.least(k, F.lit(P))
-    terms = F.transform(F.sequence(F.col("n_pos"), top), lambda a: F.exp(choose(F.lit(P), a) + choose(F.lit(N), k - a) - choose(F.lit(P + N), k)))
-    p = pairs.withColumn("p_value", F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
-    return counts.join(F.broadcast(p), ["n_pos", "n_neg"])  # (P + 1)(N + 1) pairs at most
+    p = Scratch(counts.sparkSession).write(pairs.mapInPandas(_upper_tails(P, N), "n_pos bigint, n_neg bigint, p_value double"))
+    return counts.join(F.broadcast(p) if p.count() <= BROADCAST_ROWS else p, ["n_pos", "n_neg"])
 
 
 def diagnostic_sets(clones: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
@@ -122,6 +132,17 @@ def fit_beta_binomial(counts: DataFrame, by: list[str]) -> DataFrame:
     return counts.select(*by, "n", "k").groupBy(*by).applyInPandas(one, f"{kinds}, a double, b double, m bigint")
 
 
+def beta_binomial_moments(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(a, b, m) of each group of (n, k) rows by moments, in one aggregation: a / (a + b) is the share of all k among all n, and
+    a + b follows from how far the shares' variance is above the binomial one (within 10 and a million)."""
+    share, extra = F.col("p"), F.greatest(F.col("v") - F.col("p") * (1 - F.col("p")) / F.col("n"), F.lit(0.0))
+    spread = F.when(extra > 0, share * (1 - share) / extra - 1).otherwise(F.lit(1e6))
+    spread = F.greatest(F.least(spread, F.lit(1e6)), F.lit(10.0))
+    own = counts.where("n > 0").groupBy(*by).agg(F.count("*").alias("m"), (F.sum("k") / F.sum("n")).alias("p"), F.avg("n").alias("n"), F.var_pop(F.col("k") / F.col("n")).alias("v"))
+    least = F.greatest(share, F.lit(1e-6))
+    return own.select(*by, (least * spread).alias("a"), ((1 - least) * spread).alias("b"), "m")
+
+
 def posterior(counts: DataFrame, params: DataFrame, by: list[str]) -> DataFrame:
     """P(positive | n, k) from the two classes' parameters (label 1 and 0) and the prior (m + 1) / (total + 2)."""
     wide = params.groupBy(*by).agg(*(F.max(F.when(F.col("label") == c, F.col(x))).alias(f"{x}{c}") for c in (0, 1) for x in ("a", "b", "m"))) if by else params.agg(*(F.max(F.when(F.col("label") == c, F.col(x))).alias(f"{x}{c}") for c in (0, 1) for x in ("a", "b", "m")))

@@ -58,9 +58,11 @@ def cohort_registry(s, d):
 DEPTH = ", o as (select repertoire_id, row_number() over (partition by repertoire_id order by md5(concat_ws('-', '9', repertoire_id, cast(row_idx as varchar)))) - 1 pos, row_idx from repertoire)"
 
 
-def _depth_file(s, d) -> DataFrame:
+def _depth_file(s, d, below: str | None = None) -> DataFrame:
+    """A depth-index file of all repertoires, or of those below an id, read again."""
     order = F.struct(sequences.md5_order(9, F.col("repertoire_id"), F.col("row_idx")), "row_idx")
-    idx = repertoire(s, d).where("repertoire_id < 'S5'").groupBy("repertoire_id").agg(F.sort_array(F.collect_list(order)).alias("o"))
+    rep = repertoire(s, d) if below is None else repertoire(s, d).where(F.col("repertoire_id") < below)
+    idx = rep.groupBy("repertoire_id").agg(F.sort_array(F.collect_list(order)).alias("o"))
     own = idx.select("repertoire_id", F.map_from_arrays(F.array(F.lit("0"), F.lit("1")), F.array("o.row_idx", F.reverse("o.row_idx"))).alias("m"))
     one = own.agg(F.map_from_entries(F.collect_list(F.struct("repertoire_id", "m"))).alias("repertoires"))
     base = _place(s)
@@ -68,7 +70,7 @@ def _depth_file(s, d) -> DataFrame:
     return tables.read_depth_indices(s, base)
 
 
-@query(DEPTH + " select repertoire_id, row_idx, cdr3_aa from repertoire join o using (repertoire_id, row_idx) where pos < 60 and repertoire_id < 'S5'")
+@query(DEPTH + " select repertoire_id, row_idx, cdr3_aa from repertoire join o using (repertoire_id, row_idx) where pos < 60")
 def depth_index_file(s, d):
     """A published depth-index file applied to a repertoire table; a column that no longer holds is dropped."""
     rep = repertoire(s, d).select("repertoire_id", "row_idx", "cdr3_aa", F.lit("old").alias("rank_in_file"))
@@ -77,7 +79,7 @@ def depth_index_file(s, d):
 
 @query(" select specimen_label, disease from metadata where specimen_label < 'S5'")
 def allowed_specimens(s, d):
-    return sampling.only_allowed(metadata(s, d), _depth_file(s, d)).select("specimen_label", "disease")
+    return sampling.only_allowed(metadata(s, d), _depth_file(s, d, 'S5')).select("specimen_label", "disease")
 
 
 @query(" select v_call, min(cdr3_aa) seq from repertoire group by 1")

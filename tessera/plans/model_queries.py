@@ -242,13 +242,20 @@ def score_attach(s, d):
     return both.groupBy("disease").agg(F.count("model_score").alias("scored"), F.count_if(F.col("model_score").isNull()).alias("unscored"), r6(F.avg("model_score"), "mean_score"))
 
 
-@query(", n as (select *, concat('AAA', replace(replace(replace(replace(left(cdr3_aa, 3), 'A', 'GCT'), 'C', 'TGT'), 'D', 'GAC'), 'E', 'GAG'), case when row_idx % 5 = 0 then 'N' else '' end, 'CCC') nt from repertoire where regexp_full_match(left(cdr3_aa, 3), '[ACDE]+')), t as (select *, substr(nt, 4, length(nt) - 6) x, left(cdr3_aa, case when row_idx % 7 = 0 then 2 else 3 end) aa from n) select repertoire_id, row_idx, x cdr3, case when not regexp_full_match(x, '[ACGT]+') then 'letters' when length(x) <> 3 * length(aa) then 'length' end nt_reason from t".replace("replace(replace(replace(replace(left(cdr3_aa, 3), 'A', 'GCT'), 'C', 'TGT'), 'D', 'GAC'), 'E', 'GAG')", "list_aggregate(list_transform(string_split(left(cdr3_aa, 3), ''), lambda c: case c when 'A' then 'GCT' when 'C' then 'TGT' when 'D' then 'GAC' else 'GAG' end), 'string_agg', '')"))
+#: One codon for each residue: the first of the standard code.
+_CODON = {r: next(c for c, x in sequences.CODONS.items() if x == r) for r in sequences.RESIDUES}
+
+
+@query(f""", n as (select repertoire_id, row_idx, 'AAA' || array_to_string(list_transform(string_split(cdr3_aa, ''), lambda c: map {{{", ".join(f"'{r}': '{c}'" for r, c in _CODON.items())}}}[c]), '') || case when row_idx % 5 = 0 then 'N' else '' end || 'CCC' nt,
+  substr(cdr3_aa, 1, length(cdr3_aa) - case when row_idx % 7 = 0 then 1 else 0 end) aa from repertoire),
+ t as (select *, substr(nt, 4, length(nt) - 6) x from n)
+select repertoire_id, row_idx, x cdr3, case when not regexp_full_match(x, '[ACGT]+') then 'letters' when length(x) <> 3 * length(aa) then 'length' end nt_reason from t""")
 def nucleotide_reasons(s, d):
-    rep = repertoire(s, d).where(F.col("cdr3_aa").substr(1, 3).rlike("^[ACDE]+$"))
-    codon = F.create_map(*map(F.lit, ("A", "GCT", "C", "TGT", "D", "GAC", "E", "GAG")))
-    nt = F.concat(F.lit("AAA"), F.array_join(F.transform(sequences.letters(F.col("cdr3_aa").substr(1, 3)), lambda c: codon[c]), ""), F.when(F.col("row_idx") % 5 == 0, "N").otherwise(""), F.lit("CCC"))
-    aa = F.expr("substring(cdr3_aa, 1, case when row_idx % 7 = 0 then 2 else 3 end)")
-    out = cleaning.nucleotide_reasons(rep.withColumns({"cdr3_rearrangement": nt, "cdr3_aa": aa}))
+    """Why a rearrangement's nucleotides don't fit, of all rows: every fifth has an unknown letter, every seventh a residue less."""
+    codon = F.create_map(*(F.lit(x) for kv in _CODON.items() for x in kv))
+    nt = F.concat(F.lit("AAA"), F.array_join(F.transform(sequences.letters(F.col("cdr3_aa")), lambda c: codon[c]), ""), F.when(F.col("row_idx") % 5 == 0, "N").otherwise(""), F.lit("CCC"))
+    aa = F.expr("substring(cdr3_aa, 1, length(cdr3_aa) - case when row_idx % 7 = 0 then 1 else 0 end)")
+    out = cleaning.nucleotide_reasons(repertoire(s, d).withColumns({"cdr3_rearrangement": nt, "cdr3_aa": aa}))
     return out.select("repertoire_id", "row_idx", "cdr3", "nt_reason")
 
 

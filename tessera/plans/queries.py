@@ -321,13 +321,20 @@ def betabinom_nll(s, d):
     return association.beta_binomial_nll(subjects(s, d), 2.0, 1000.0, ["threshold", "label"]).select("threshold", "label", F.round("log_likelihood", 4).alias("log_likelihood"))
 
 
-@query(NK + """ select repertoire_id, threshold, round(1 / (1 + exp(-(ln((select sum(y) from labels) + 1) - ln((select sum(1 - y) from labels) + 1)
- + (lgamma(k + 8) + lgamma(n - k + 600) - lgamma(n + 608)) - (lgamma(8.0) + lgamma(600.0) - lgamma(608.0)) - (lgamma(k + 2) + lgamma(n - k + 900) - lgamma(n + 902)) + (lgamma(2.0) + lgamma(900.0) - lgamma(902.0))))), 6) score from nk""")
+#: Parameters of each class from its counts by moments: the share is that of all clones, the spread follows the variance.
+_MOMENTS = """, mo as (select threshold, y, count(*) m, sum(k) / sum(n) p, avg(n) n, var_pop(k / n) v from nk where n > 0 group by 1, 2),
+ ab as (select threshold, y, m, p, greatest(least(coalesce(p * (1 - p) / nullif(greatest(v - p * (1 - p) / n, 0), 0) - 1, 1e6), 1e6), 10.0) s from mo),
+ pa as (select threshold, y, m, greatest(p, 1e-6) * s a, (1 - greatest(p, 1e-6)) * s b from ab)"""
+
+
+@query(NK + _MOMENTS + """ select k.repertoire_id, k.threshold, round(1 / (1 + exp(-(ln(x.m + 1) - ln(z.m + 1) + (lgamma(k + x.a) + lgamma(n - k + x.b) - lgamma(n + x.a + x.b)) - (lgamma(x.a) + lgamma(x.b) - lgamma(x.a + x.b))
+ - (lgamma(k + z.a) + lgamma(n - k + z.b) - lgamma(n + z.a + z.b)) + (lgamma(z.a) + lgamma(z.b) - lgamma(z.a + z.b))))), 4) + 0.0 score from nk k join pa x on x.threshold = k.threshold and x.y = 1 join pa z on z.threshold = k.threshold and z.y = 0""")
 def betabinom_posterior(s, d):
-    nk = subjects(s, d)
-    m = labels(s, d).groupBy("label").agg(F.count("*").alias("m"))
-    params = m.select("label", F.when(F.col("label") == 1, 8.0).otherwise(2.0).alias("a"), F.when(F.col("label") == 1, 600.0).otherwise(900.0).alias("b"), "m")
-    return association.posterior(nk, params, []).select("repertoire_id", "threshold", r6("score", "score"))
+    """Posterior of every subject and threshold with parameters fitted to the counts by moments (``tuned_beta_binomial`` fits by
+    likelihood)."""
+    nk = Scratch(s).write(subjects(s, d))
+    params = association.beta_binomial_moments(nk, ["threshold", "label"])
+    return association.posterior(nk.select("repertoire_id", "threshold", "n", "k"), params, ["threshold"]).select("repertoire_id", "threshold", (F.round("score", 4) + 0.0).alias("score"))
 
 
 @query(FISHER + " select repertoire_id, cdr3_aa, round(min(coalesce(p, 1.0)), 6) p_value from held left join clones using (cdr3_aa, v_call, j_call) group by 1, 2")

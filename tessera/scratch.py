@@ -18,7 +18,7 @@ def folder(spark: SparkSession) -> str:
     if not (place := spark.conf.get("spark.checkpoint.dir", None)):
         place = spark.sparkContext.getCheckpointDir()
         if not place:
-            if not spark.sparkContext.master.startswith("local["):
+            if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             place = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", place)
