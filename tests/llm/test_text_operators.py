@@ -319,14 +319,19 @@ def test_licenses(spark):
 
 
 def licenses_by_brute_force(t):
+    """Each segment at every place it may start, a template by the words of its segments that are hits."""
     w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)})) if x]
     holds = lambda phrase: any(w[k : k + len(phrase.split())] == phrase.split() for k in range(len(w)))
     labels, score = {label for phrase, label in licenses.BASE.items() if holds(phrase)}, float(any(map(holds, licenses.BASE)))
     for label, wording, must in licenses.TEMPLATES:
-        own = wording.split()
-        best = max((sum(0 <= k + p < len(w) and w[k + p] == x for p, x in enumerate(own)) for k in range(-len(own), len(w))), default=0) / len(own)
-        if holds(must) and best >= 0.75:
-            labels, score = labels | {label}, max(score, best)
+        if not holds(must):
+            continue
+        n = 0
+        for own in licenses.segments(wording):
+            best = max((sum(0 <= k + p < len(w) and w[k + p] == x for p, x in enumerate(own)) for k in range(-len(own), len(w))), default=0)
+            n += best if best >= 0.75 * len(own) else 0
+        if n >= 0.75 * len(wording.split()):
+            labels, score = labels | {label}, max(score, n / len(wording.split()))
     return ",".join(sorted(labels)), score
 
 
