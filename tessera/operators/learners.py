@@ -200,7 +200,7 @@ def mil_fit(bags: DataFrame, labels: DataFrame, restarts: int = 200, steps: int
     """
     size, spark = len(bags.first()["x"]), bags.sparkSession
     own = bags.groupBy("repertoire_id").agg(F.flatten(F.collect_list("x")).alias("flat"))
-    held = Scratch(spark).write(own.join(labels.select("repertoire_id", F.col("label").cast("double").alias("y")), "repertoire_id").select("y", "flat"))
+    held = Scratch(spark).write(own.join(labels.select("repertoire_id", F.col("label").cast("double").alias("y")), "repertoire_id").select("y", "flat")).persist()
     n = held.count()
 
     def losses(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,6 +246,7 @@ def mil_fit(bags: DataFrame, labels: DataFrame, restarts: int = 200, steps: int
             gain = loss[r] - new_loss[i]
             going[r] = gain > 2.2e-9 * max(abs(loss[r]), abs(new_loss[i]), 1.0) and np.abs(new_slope[i]).max() > 1e-5
             point[r], loss[r], slope[r] = point[r] + step, new_loss[i], new_slope[i]
+    held.unpersist()
     k = int(np.argmin(loss))
     return point[k, :-1], float(point[k, -1]), float(loss[k])
 

@@ -137,11 +137,11 @@ def tuned_boosted_trees(s, d):
 
 @query()
 def mil_classifier(s, d):
-    """Multiple-instance model on Atchley-encoded 4-mers with log abundance, 200 restarts in one job a step."""
+    """Multiple-instance model on Atchley-encoded 4-mers with log abundance, 200 restarts in one job a step, 40 steps at most."""
     f = features.fourmer_abundance(repertoire(s, d))
     bags = f.select("repertoire_id", F.concat(sequences.atchley(F.col("fourmer")), F.array("log_sum")).alias("x")).where("x is not null")
     y = labels(s, d)
-    w, b, _ = learners.mil_fit(bags, y)
+    w, b, _ = learners.mil_fit(bags, y, steps=40)
     return learners.mil_scores(bags, w.tolist(), b, y)
 
 

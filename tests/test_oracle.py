@@ -8,7 +8,7 @@ import pytest
 from tessera import registry
 
 PLACE = "/root/testdata/sf0.001"
-NAMES = ["clean_adaptive", "clean_funnel", "gene_harmonize", "cut_fraction", "fourmer_abundance", "fisher_clones", "betabinom_nll", "auroc", "average_precision", "recall_at_k", "depth_nested", "driver_match", "age_match", "gene_components", "repertoire_distance", "streamed_ingest", "knn_vectors"]
+NAMES = ["clean_adaptive", "clean_funnel", "gene_harmonize", "cut_fraction", "fourmer_abundance", "fisher_clones", "betabinom_nll", "auroc", "average_precision", "recall_at_k", "depth_nested", "driver_match", "age_match", "gene_components", "repertoire_distance", "streamed_ingest", "knn_vectors", "close_pairs", "sequence_decisions", "attributed_motifs", "simulated_chance", "betabinom_posterior"]
 
 
 def rows(frame):
