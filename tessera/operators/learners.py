@@ -268,23 +268,81 @@ def _direction(slope: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]]) ->
     return -q if slope @ q > 0 else -slope
 
 
-def residualized(long: DataFrame, covariates: DataFrame, train: DataFrame, names: list[str], key: str = "repertoire_id") -> DataFrame:
-    """(key, feature, value): features minus their least-squares fit on [1, covariates], fitted on training rows.
+def residual_fit(long: DataFrame, covariates: DataFrame, train: DataFrame, names: list[str], key: str = "repertoire_id") -> DataFrame:
+    """(feature, beta, std): each feature's least-squares fit on [1, covariates] over training rows, and the deviation of what is
+    left there (1 where nothing is).
 
-    ``covariates``: one row for each key, columns ``names`` complete.  X'X is small and inverted on the driver; X'y is one
-    aggregation over the long table (absent values are 0 and add nothing).
+    ``covariates``: one row for each key, columns ``names`` complete.  X'X is small and inverted on the driver; X'y and y'y are
+    one aggregation over the long table (absent values are 0 and add nothing), and r'r = y'y - beta X'y.
     """
-    one = covariates.withColumn("__1", F.lit(1.0))
     cols = ["__1", *names]
-    known = one.join(train.select(key), key, "left_semi")
-    sums = known.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a in cols for b in cols)).first()
-    inverse = np.linalg.pinv(np.array([float(x or 0) for x in sums]).reshape(len(cols), len(cols)))
-    xy = long.join(known.select(key, *cols), key).groupBy("feature").agg(F.array(*(F.sum(F.col("value") * F.col(c)) for c in cols)).alias("xy"))
+    known = covariates.withColumn("__1", F.lit(1.0)).join(train.select(key), key, "left_semi")
+    sums = known.agg(F.count("*").alias("n"), *(F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a in cols for b in cols)).first()
+    n, inverse = sums[0], np.linalg.pinv(np.array([float(x or 0) for x in sums[1:]]).reshape(len(cols), len(cols)))
+    y = F.col("value")
+    by = long.select(key, "feature", "value").join(known.select(key, *cols), key).groupBy("feature").agg(F.array(*(F.sum(y * F.col(c)) for c in cols)).alias("xy"), F.sum(y * y).alias("yy"))
     rows = F.array(*(F.array(*map(F.lit, map(float, r))) for r in inverse))
-    beta = xy.withColumn("beta", F.transform(rows, lambda r: F.aggregate(F.zip_with(r, "xy", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))).select("feature", "beta")
-    grid = one.select(key, F.array(*cols).alias("c")).crossJoin(beta)  # the result is dense: every subject has every residual
-    fit = F.aggregate(F.zip_with("c", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return grid.join(long.select(key, "feature", "value"), [key, "feature"], "left").select(key, "feature", (F.coalesce("value", F.lit(0.0)) - fit).alias("value"))
+    beta = by.withColumn("beta", F.transform(rows, lambda r: _dot(r, F.col("xy"))))
+    left = F.col("yy") - _dot(F.col("beta"), F.col("xy"))
+    return beta.select("feature", "beta", F.when(left > 1e-12 * F.col("yy"), F.sqrt(left / max(n, 1))).otherwise(1.0).alias("std"))
+
+
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def residualized(long: DataFrame, covariates: DataFrame, train: DataFrame, names: list[str], key: str = "repertoire_id") -> DataFrame:
+    """(key, feature, value): features minus their least-squares fit on [1, covariates], fitted on training rows.
+
+    The result is dense: every key of ``covariates`` has every feature.  ``residual_vectors`` and ``predict_residuals`` train and
+    score without it.
+    """
+    grid = covariates.select(key, F.array(F.lit(1.0), *names).alias("c")).crossJoin(residual_fit(long, covariates, train, names, key))
+    return grid.join(long.select(key, "feature", "value"), [key, "feature"], "left").select(key, "feature", (F.coalesce("value", F.lit(0.0)) - _dot("c", "beta")).alias("value"))
+
+
+def residual_vectors(long: DataFrame, fitted: DataFrame, rows: DataFrame, covariates: DataFrame, names: list[str], key: str = "repertoire_id") -> DataFrame:
+    """``rows`` with a dense vector of residuals, each divided by its feature's deviation.
+
+    ``fitted``: ``residual_fit`` with an ``id`` for each feature.  Only the sparse features are shuffled; the fit (one row for
+    each feature, of model size) goes to the executors, and a row becomes dense in its task.  A key without covariates is dropped.
+    """
+    spark = rows.sparkSession
+    of_model = fitted.orderBy("id").select("beta", "std").toPandas()
+    size = len(of_model)
+    betas = np.array(of_model["beta"].tolist(), float).reshape(size, len(names) + 1)
+    state = spark.sparkContext.broadcast((betas, of_model["std"].to_numpy(float)))
+
+    def dense(batches):
+        beta, std = state.value
+        for batch in batches:
+            for at in range(0, len(batch), 16):  # 16 rows of 160,000 features are 20 MB
+                part = batch.iloc[at : at + 16].copy()
+                x = -np.array(part["__c"].tolist(), float) @ beta.T
+                for i, (ids, values) in enumerate(zip(part["__ids"], part["__xs"], strict=True)):
+                    if ids is not None:
+                        x[i, ids] += values
+                part["__x"] = list(x / std)
+                yield part.drop(columns=["__c", "__ids", "__xs"])
+
+    cells = long.join(fitted.select("feature", "id"), "feature").groupBy(key).agg(F.collect_list(F.struct("id", "value")).alias("__v")).select(key, F.col("__v.id").alias("__ids"), F.col("__v.value").alias("__xs"))
+    own = rows.join(covariates.select(key, F.array(F.lit(1.0), *(F.col(c).cast("double") for c in names)).alias("__c")), key).join(cells, key, "left")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return own.select(*rows.columns, "__c", "__ids", "__xs").mapInPandas(dense, f"{schema}, __x array<double>").withColumn("features", array_to_vector("__x")).drop("__x")
+
+
+def predict_residuals(long: DataFrame, coefficients: DataFrame, fitted: DataFrame, rows: DataFrame, covariates: DataFrame, names: list[str], key: str = "repertoire_id") -> DataFrame:
+    """Probability of every row from sparse features: sum of w (y - c beta) is the sum of w y less c times the sum of w beta.
+
+    ``coefficients``: (feature, weight) on residuals, the intercept as feature ''; rows without covariates are dropped.
+    """
+    used = coefficients.join(fitted.select("feature", "beta"), "feature")
+    z = long.join(used.select("feature", "weight"), "feature").groupBy(key).agg(F.sum(F.col("value") * F.col("weight")).alias("__z"))
+    fit = used.agg(F.array(*(F.coalesce(F.sum(F.col("weight") * F.col("beta")[i]), F.lit(0.0)) for i in range(len(names) + 1))).alias("__fit"))
+    b = coefficients.where("feature = ''").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("__b"))
+    c = covariates.select(key, F.array(F.lit(1.0), *(F.col(c).cast("double") for c in names)).alias("__c"))
+    j = rows.join(c, key).join(z, key, "left").join(F.broadcast(fit)).join(F.broadcast(b))  # one row each
+    return j.withColumn("score", 1 / (1 + F.exp(-(F.coalesce("__z", F.lit(0.0)) + F.col("__b") - _dot("__c", "__fit"))))).drop("__z", "__b", "__c", "__fit")
 
 
 def kmeans_clusters(df: DataFrame, vector: str, k: int, seed: int = 7, sample: float = 1.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genes, sequences
 from ..operators import association, boosting, cleaning, cohorts, features, learners, metrics, sampling, similarity
-from ..scratch import Scratch, folder
+from ..scratch import Scratch, folder, numbered
 from ..streaming.ingest import ingest
 from .fixtures import metadata, raw, repertoire, table
 from .queries import LABELS, STEPS, big, labels, predictions, query, r6, shares
@@ -173,9 +173,26 @@ def covariate_adjusted_classifier(s, d):
     names = ["c_age", "c_age_missing", "c_sex_m", "c_sex_unknown", *ancestry]
     mean = meta.agg(F.avg("age")).first()[0]
     cov = learners.demographic_features(meta, mean).withColumns(ancestry).select(F.col("specimen_label").alias("repertoire_id"), *names)
-    res = Scratch(s).write(learners.residualized(long, cov, train, names))
-    _, weights, _ = _l1_model(s, res, train, learners.GENE_C)
-    return learners.predict_long(res, weights, test)
+    scratch = Scratch(s)
+    long = scratch.write(long)
+    fitted = scratch.write(numbered(learners.residual_fit(long, cov, train, names), ["feature"], "id").withColumn("id", F.col("id").cast("int")))
+    v = scratch.write(learners.residual_vectors(long, fitted, train, cov, names)).persist()
+    c = learners.choose_c(v, learners.GENE_C)
+    weights = learners.coefficient_table(s, learners.l1_logistic(v, c, v.count()), fitted)
+    v.unpersist()
+    return learners.predict_residuals(long, weights, fitted, test, cov, names)
+
+
+@query(f", {LABELS}, c as (select specimen_label repertoire_id, coalesce(age, 40.0) x from metadata), u as (select repertoire_id, v_call f, count(*) n, sum(count(*)) over (partition by repertoire_id) t from repertoire group by 1, 2), g as (select repertoire_id, x, f, coalesce(n / t, 0) y from c cross join (select distinct f from u) left join u using (repertoire_id, f)), r as (select f, regr_slope(y, x) b, regr_intercept(y, x) a, {_WEIGHT.replace('feature', "('V:' || f)")} w from g group by 1) select repertoire_id, round(1 / (1 + exp(-(0.25 + sum(40 * w * (y - a - b * x))))), 6) + 0.0 score from g join r using (f) group by 1")
+def residual_decisions(s, d):
+    """Scores of all specimens by a table of weights on V usage less its fit on age, without making residuals."""
+    cov = metadata(s, d).select(F.col("specimen_label").alias("repertoire_id"), F.coalesce("age", F.lit(40.0)).alias("c_age"))
+    scratch = Scratch(s)
+    usage = scratch.write(features.gene_usage(repertoire(s, d)).where("feature like 'V:%'"))
+    fitted = scratch.write(learners.residual_fit(usage, cov, cov, ["c_age"]))
+    weights = fitted.select("feature", (40 * F.expr(_WEIGHT)).cast("double").alias("weight")).unionByName(s.createDataFrame([("", 0.25)], "feature string, weight double"))
+    out = learners.predict_residuals(usage, weights, fitted, cov.select("repertoire_id"), cov, ["c_age"])
+    return out.select("repertoire_id", (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query()

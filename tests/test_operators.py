@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import scratch
 from tessera.operators import association, cleaning, cohorts, features, learners, metrics, sampling, similarity
 from tessera.operators.graph import components
 
@@ -213,6 +214,29 @@ def test_residuals_are_orthogonal(spark):
     assert all(abs(x) < 1e-8 for x in s)
 
 
+def test_residuals_need_not_be_made(spark):
+    """Vectors, deviations and scores from sparse features equal those of the table of residuals."""
+    rng = random.Random(8)
+    cov = spark.createDataFrame([(f"S{i}", rng.random(), float(i % 2)) for i in range(24)], "repertoire_id string, c1 double, c2 double")
+    long = spark.createDataFrame([(f"S{i}", f, rng.random()) for i in range(23) for f in "abcd" if rng.random() < 0.6] + [(f"S{i}", "same", 2.0) for i in range(24)], "repertoire_id string, feature string, value double")
+    train, names = cov.where("repertoire_id < 'S20'").select("repertoire_id"), ["c1", "c2"]
+    fitted = scratch.numbered(learners.residual_fit(long, cov, train, names), ["feature"], "id")
+    table = learners.residualized(long, cov, train, names)
+    std = {r["feature"]: r["std"] for r in learners.scales(table, learners.feature_index(table, train), train).collect()}
+    own = {r["feature"]: r for r in fitted.collect()}
+    assert set(own) == {"a", "b", "c", "d", "same"} and own["same"]["std"] == 1.0
+    assert all(abs(own[f]["std"] - std[f]) < 1e-9 for f in "abcd")
+    want = {(r["repertoire_id"], r["feature"]): r["value"] for r in table.collect()}
+    got = learners.residual_vectors(long, fitted, cov.select("repertoire_id"), cov, names).collect()
+    assert len(got) == 24
+    for r in got:
+        assert all(abs(r["features"][x["id"]] * x["std"] - want[r["repertoire_id"], f]) < 1e-9 for f, x in own.items())
+    weights = spark.createDataFrame([("a", 0.5), ("c", -1.5), ("", 0.2)], "feature string, weight double")
+    scores = learners.predict_residuals(long, weights, fitted, cov.select("repertoire_id"), cov, names).collect()
+    plain = {r["repertoire_id"]: r["score"] for r in learners.predict_long(table, weights, cov.select("repertoire_id")).collect()}
+    assert len(scores) == 24 and all(abs(r["score"] - plain[r["repertoire_id"]]) < 1e-12 for r in scores)
+
+
 def test_mil_fit_learns(spark):
     rng = random.Random(4)
     rows = [(f"S{i}", [rng.gauss(0, 1) + (3 if (i % 2 and k == 0) else 0), rng.gauss(0, 1)]) for i in range(20) for k in range(5)]
