@@ -12,6 +12,7 @@ double precision.
    before; each node keeps its best ``k``.  Rounds go on until at most ``settled`` of all links are fresh.
 4. Greedy search: a query keeps the ``width`` best nodes seen, at first its own node's neighbours.  In a hop it visits
    all of them that it has not visited yet and sees their neighbours; hops go on until no query has a node to visit.
+   By default the width follows the root of the number of nodes (``width_for``), since a fixed one finds less the more there are.
 5. The best ``rescored`` classes of a query are scored exactly, expanded to their members and ranked (ties: smaller id).
 
 Proposals to a node that stands in very many pools are merged in parts first, so no group grows with the table.
@@ -235,8 +236,13 @@ def searched(graph: DataFrame, vectors: DataFrame, asked: DataFrame, scratch: Sc
         state = after
 
 
+def width_for(rows: int) -> int:
+    """Best nodes that a query keeps: 200 up to 20,000 nodes, from there with the root of their number."""
+    return max(200, math.ceil(200 * math.sqrt(rows / 20_000)))
+
+
 def nearest(
-    table: DataFrame, every: int = 20, top: int = 20, k: int = 32, trees: int = 4, leaf: int = 100, proposed: int = 8, settled: float = 0.02, width: int = 200, rescored: int = 60, seed: int = 7, descend: bool = True, vec_id: str = "vec_id", embedding: str = "embedding"
+    table: DataFrame, every: int = 20, top: int = 20, k: int = 32, trees: int = 4, leaf: int = 100, proposed: int = 8, settled: float = 0.02, width: int | None = None, rescored: int = 60, seed: int = 7, descend: bool = True, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for queries whose id is divisible by ``every``; without ``descend`` the start graph is searched."""
     small_batches(table.sparkSession)
@@ -255,13 +261,14 @@ def nearest(
     first = rows.groupBy("h").agg(F.min("id").alias("rep"))
     members = scratch.write(rows.select("id", "h").join(first, "h").select("id", "rep"))
     vectors = scratch.write(rows.join(members.where("id = rep").select("id"), "id").select("id", "x").mapInArrow(_packed, "id bigint, v binary"))
-    graph = start_graph(vectors, scratch, vectors.count(), dim, k, trees, leaf, seed)
+    nodes = vectors.count()
+    graph = start_graph(vectors, scratch, nodes, dim, k, trees, leaf, seed)
     if descend:
         graph = descended(graph, vectors, scratch, k, proposed, settled)
 
     queries = members.where(F.col("id") % every == 0)
     asked = queries.select(F.col("rep").alias("q")).distinct().join(vectors.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q")
-    seen = searched(graph, vectors, asked, scratch, width)
+    seen = searched(graph, vectors, asked, scratch, width or width_for(nodes))
     best = seen.select("q", F.explode(F.slice("ns", 1, rescored)).alias("rep")).unionByName(seen.select("q", F.col("q").alias("rep")))
     alone = asked.join(seen.select("q"), "q", "left_anti").select("q", F.col("q").alias("rep"))  # a table of one class has no links
     best = best.unionByName(alone)
