@@ -202,3 +202,7 @@ def test_pipeline(spark, tables):
     assert docs.where("doc_id = 304").first()["text"] == "[SECRET]" + '" ok' and docs.where("doc_id = 304").first()["n_chars"] == len('[SECRET]" ok')
     packed = corpus_pipeline.run(spark, place)
     assert {r[0] for r in packed.select("doc_id").collect()} == seen["secrets"]
+
+
+def test_width_follows_the_rows():
+    assert [neighbours.width_for(n) for n in (0, 20_000, 80_000, 2_000_000)] == [200, 200, 400, 2000]
