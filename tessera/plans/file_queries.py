@@ -379,7 +379,7 @@ def compatible_genes(s, d):
 select vec_id, k, class, round(w / sum(w) over (partition by vec_id, k), 5) score from v""")
 def knn_votes(s, d):
     """Class shares among the k nearest vectors of other folds, for a grid of k."""
-    v = table(s, d, "embeddings").select("vec_id", F.col("label").alias("class"), (F.col("vec_id") % 3).alias("fold"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    v = table(s, d, "embeddings").select("vec_id", F.col("label").alias("class"), (F.col("vec_id") % 3).alias("fold"), F.col("embedding").alias("v"))
     near = similarity.nearest_vectors(v, "vec_id", "v", "fold", 10).withColumn("distance", F.round("distance", 9))
     return similarity.vote_by_k(near, v, "vec_id", [1, 5, 10]).select("vec_id", "k", "class", F.round("score", 5).alias("score"))
 

@@ -117,7 +117,7 @@ def cdr2_lookup(s, d):
 select vec_id, rank, o as other, round(sqrt(q), 5) distance from r where rank <= 5""", plain=False)
 def knn_vectors(s, d):
     """Each vector against the other folds: distances in blocks."""
-    v = table(s, d, "embeddings").select("vec_id", (F.col("vec_id") % 3).alias("fold"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    v = table(s, d, "embeddings").select("vec_id", (F.col("vec_id") % 3).alias("fold"), F.col("embedding").alias("v"))
     return similarity.nearest_vectors(v, "vec_id", "v", "fold", 5).select("vec_id", *big("rank"), "other", F.round("distance", 5).alias("distance"))
 
 

@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from tessera.operators import learners, metrics, sampling
+from tessera.operators import learners, metrics, sampling, similarity
+from tessera.scratch import Scratch
 
 
 def labelled_vectors(spark, n=60):
@@ -31,3 +32,22 @@ def test_c_equals_one_fit_after_the_other(spark):
         parts = [learners.probability(learners.l1_logistic(tagged.where(F.col("cv_fold") != f), c, n - n // 5), tagged.where(F.col("cv_fold") == f)) for f in range(5)]
         means.append(np.mean([metrics.auroc(p, ["cv_fold"], "score", "label").first()["auroc"] for p in parts]))
     assert learners.choose_c(rows, grid) == grid[int(np.argmax(means))]
+
+
+def test_nearest_vectors_write_each_block_once_for_every_other(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (90, 3)).astype(float)  # ties
+    folds = [None if i % 4 == 3 else i % 3 for i in range(90)]
+    rows = spark.createDataFrame([(i, folds[i], x[i].tolist()) for i in range(90)], "id long, fold int, v array<float>")
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(similarity, "PART", 50)
+    written = []
+    monkeypatch.setattr(Scratch, "write", lambda self, df, write=Scratch.write: written.append(write(self, df)) or written[-1])
+    found = {(r["id"], r["rank"]): (r["other"], round(r["distance"], 9)) for r in similarity.nearest_vectors(rows.where("fold is not null"), "id", "v", "fold", 4).collect()}
+    want = {}
+    for i in range(90):
+        near = sorted((round(float(((x[i] - x[j]) ** 2).sum()) ** 0.5, 9), j) for j in range(90) if None not in (folds[i], folds[j]) and folds[i] != folds[j])
+        want |= {(i, r + 1): (j, d) for r, (d, j) in enumerate(near[:4]) if folds[i] is not None}
+    assert found == want
+    blocks = written[0].count()
+    assert written[-1].count() <= blocks * (blocks - 1) / 2  # a pair of blocks meets once
