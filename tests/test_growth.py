@@ -1,10 +1,16 @@
 """Steps whose cost must follow the input: partitions, blocks and what leaves them, against plain loops."""
 
+import re
+from collections import Counter
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.linalg import Vectors
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import learners, metrics, sampling, similarity
+from tessera.operators import features, learners, metrics, sampling, similarity
 from tessera.scratch import Scratch
 
 
@@ -51,3 +57,22 @@ def test_nearest_vectors_write_each_block_once_for_every_other(spark, monkeypatc
     assert found == want
     blocks = written[0].count()
     assert written[-1].count() <= blocks * (blocks - 1) / 2  # a pair of blocks meets once
+
+
+def test_kmers_are_counted_where_they_are_made(spark, monkeypatch):
+    texts = {"a": ["CASSL", "CASSLG", "CAS", "CASSL"], "b": ["CASSLCASSL"] * 3 + ["", None], "c": ["CASSQ"] * 9}
+    rows = spark.createDataFrame([(r, t) for r, own in texts.items() for t in own], "repertoire_id string, cdr3_aa string")
+    want = Counter()
+    for r, own in texts.items():
+        for t in own:
+            for i in range(len(t or "") - 3):
+                want.update((r, f) for f in [t[i : i + 4], *(t[i : i + j] + "_" + t[i + j + 1 : i + 4] for j in range(4))])
+    total = Counter()
+    for (r, _), n in want.items():
+        total[r] += n
+    for most in (100_000, 6):  # repertoire c is large in the second
+        monkeypatch.setattr(features, "KMER_ROWS", most)
+        out = features.kmer_frequencies(rows)
+        assert {(r["repertoire_id"], r["feature"]): (r["n"], round(r["value"], 9)) for r in out.collect()} == {k: (n, round(n / total[k[0]], 9)) for k, n in want.items()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert bool(re.search(r"hashpartitioning\(repertoire_id#\d+, feature#\d+", plan)) == (most == 6)
