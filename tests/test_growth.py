@@ -76,3 +76,25 @@ def test_kmers_are_counted_where_they_are_made(spark, monkeypatch):
         assert {(r["repertoire_id"], r["feature"]): (r["n"], round(r["value"], 9)) for r in out.collect()} == {k: (n, round(n / total[k[0]], 9)) for k, n in want.items()}
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert bool(re.search(r"hashpartitioning\(repertoire_id#\d+, feature#\d+", plan)) == (most == 6)
+
+
+def test_bags_are_read_in_small_batches_and_not_held(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = [rng.normal(size=(n, 3)) for n in (1, 7, 12)]
+    points = rng.normal(size=(5, 4))
+    monkeypatch.setattr(learners, "INSTANCES", 4)
+    batch = pa.RecordBatch.from_arrays([pa.array([0.0, 1.0, 1.0]), pa.array([v.ravel().tolist() for v in x])], names=["y", "flat"])
+    (out,) = learners._bag_sums(SimpleNamespace(value=points), 3)([batch])
+    total = np.frombuffer(out.column(0)[0].as_py()).reshape(5, -1)
+    for k, w in enumerate(points):
+        want = np.zeros(5)
+        for y, v in zip((0, 1, 1), x, strict=True):
+            z = v @ w[:3] + w[3]
+            p = 1 / (1 + np.exp(-z.max()))
+            want += [-np.log(p if y else 1 - p), *((p - y) * v[z.argmax()]), p - y]
+        assert np.allclose(total[k], want)
+    bags = spark.createDataFrame([(f"S{i}", v.tolist()) for i, own in enumerate(x) for v in own], "repertoire_id string, x array<double>")
+    held = []
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *a: held.append(self) or self)
+    learners.mil_fit(bags, spark.createDataFrame([("S0", 0), ("S1", 1), ("S2", 1)], "repertoire_id string, label int"), restarts=2, steps=2)
+    assert not held and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
