@@ -14,9 +14,9 @@ p-value is the probability that *text* comes as close:
 
     p = (number of encodings) * P(a piece of text has this encoding and at most this distance)
 
-The probability is measured, not assumed: from all texts, without their candidates, pieces of letters, digits and marks (spaces
-and punctuation left out) are taken every STRIDE characters, of the least length of each length class, and go through the
-same battery.  Small p-values hence are as rare on text as they say, for every encoding; a corpus too small to measure a
+The probability is measured, not assumed: all texts, without their candidates, are cut for each length class into pieces of letters,
+digits and marks (spaces and punctuation left out) of the class's least length, side by side, so that every character is part of
+the measurement (what is left at an end is taken with what stands before it), and the pieces go through the same battery.  Small p-values hence are as rare on text as they say, for every encoding; a corpus too small to measure a
 probability gives no small p-values.
 
 Candidates of one length class (20-31, 32-63, 64 and more) form one family, and Benjamini-Hochberg control at ``fdr`` runs
@@ -56,8 +56,8 @@ ENCODINGS = {
     "upper36": _UPPER + _DIGITS, "letters": _UPPER + _LOWER, "base62": _UPPER + _LOWER + _DIGITS, "base64": _UPPER + _LOWER + _DIGITS + _MARKS,
 }
 SIZES = np.array([min(len(v), 64) for v in ENCODINGS.values()], float)
-#: Length classes' lower bounds, bins of a distance (half a unit each; the last one is open), characters between pieces.
-LENGTHS, BINS, STRIDE = (20, 32, 64), 400, 256
+#: Length classes' lower bounds, bins of a distance (half a unit each; the last one is open).
+LENGTHS, BINS = (20, 32, 64), 400
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,11 +139,13 @@ def candidates(texts: list[str]) -> tuple[list[tuple[int, int, int]], np.ndarray
 
 
 def pieces(texts: list[str]) -> np.ndarray:
-    """Keys of the pieces of text that small distances are measured on."""
+    """Keys of the pieces of text that small distances are measured on: all of it, cut anew for each length class."""
     out = [np.zeros(0, np.int64)]
     squeezed = np.frombuffer("".join(BLANK.sub("", CANDIDATE.sub(" ", t)) for t in texts).encode(), np.uint8)
     for k, n in enumerate(LENGTHS):
-        at = np.arange(0, len(squeezed) - n + 1, STRIDE)
+        at = np.arange(0, len(squeezed) - n + 1, n)
+        if len(at) and len(squeezed) % n:
+            at = np.append(at, len(squeezed) - n)
         for low in range(0, len(at), 4096):
             some = at[low : low + 4096]
             code, distance = battery(squeezed[(some[:, None] + np.arange(n)).ravel()], n * np.arange(1, len(some) + 1))

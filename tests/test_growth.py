@@ -10,6 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import secret_scan
 from tessera.operators import features, learners, metrics, sampling, similarity
 from tessera.scratch import Scratch
 
@@ -98,3 +99,16 @@ def test_bags_are_read_in_small_batches_and_not_held(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "persist", lambda self, *a: held.append(self) or self)
     learners.mil_fit(bags, spark.createDataFrame([("S0", 0), ("S1", 1), ("S2", 1)], "repertoire_id string, label int"), restarts=2, steps=2)
     assert not held and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+def test_every_character_of_text_is_measured(monkeypatch):
+    seen = []
+    monkeypatch.setattr(secret_scan, "battery", lambda data, ends: seen.append((data.tobytes().decode(), ends)) or (np.zeros(len(ends), int), np.zeros(len(ends))))
+    texts = ["".join(chr(97 + (i * i + k) % 26) + " " * (i % 3 == 0) for i in range(17)) for k in range(11)]
+    whole = "".join(texts).replace(" ", "")
+    secret_scan.pieces(texts)
+    assert len(seen) == 3
+    for (data, ends), n in zip(seen, secret_scan.LENGTHS, strict=True):
+        parts = [data[e - n : e] for e in ends]
+        rest = len(whole) % n
+        assert "".join(parts[: len(whole) // n]) == whole[: len(whole) - rest] and parts[-1] == whole[-n:] and len(parts) == -(-len(whole) // n)
