@@ -112,3 +112,17 @@ def test_every_character_of_text_is_measured(monkeypatch):
         parts = [data[e - n : e] for e in ends]
         rest = len(whole) % n
         assert "".join(parts[: len(whole) // n]) == whole[: len(whole) - rest] and parts[-1] == whole[-n:] and len(parts) == -(-len(whole) // n)
+
+
+def test_only_the_nearest_of_a_block_leave_it(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(f"t{i:03}", 15, [float(v) for v in rng.integers(0, 2, 3)]) for i in range(120)], "cdr3_aa string, len int, code array<double>")
+    left = []
+    monkeypatch.setattr(similarity, "nearest", lambda pairs, own=similarity.nearest: left.append(pairs.count()) or own(pairs))
+    queries, reference = rows.where("cdr3_aa < 't030'"), rows.where("cdr3_aa >= 't030'")
+    got = {r["a"]: (r["b"], r["side"], r["distance"]) for r in similarity.query_nearest(queries, reference, 3, 7.0).collect()}
+    code = {r["cdr3_aa"]: np.array(r["code"]) for r in rows.collect()}
+    for a in sorted(code)[:30]:
+        d, b = min((float(((code[a] - code[o]) ** 2).sum()), o) for o in code if o != a)
+        assert got[a] == (b, "query" if b < "t030" else "reference", d)
+    assert len(got) == 30 and left[0] < 30 * 119 / 4
