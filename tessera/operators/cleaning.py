@@ -30,10 +30,12 @@ def first_failed(steps: dict[str, Column]) -> Column:
 def adaptive_steps(raw: DataFrame) -> DataFrame:
     """``raw`` with harmonized v_call, j_call and cdr3_aa, and ``removed_by``, the first step that drops the row.
 
-    Steps: productive, resolved, present, standard (residues), gene_level.
+    Steps: productive, resolved, present, standard (residues), gene_level.  The chains of gene names and ``removed_by`` are
+    generated, so they run once a row: plain columns are spelled out again in every step, filter and output that mentions them.
     """
-    cdr3 = sequences.trim_cdr3(F.col("amino_acid"))
-    df = raw.withColumns({"v_call": genes.v_gene(F.col("v_gene")), "j_call": genes.j_gene(F.col("j_gene")), "cdr3_aa": cdr3})
+    names = F.struct(genes.v_gene(F.col("v_gene")).alias("v_call"), genes.j_gene(F.col("j_gene")).alias("j_call"), sequences.trim_cdr3(F.col("amino_acid")).alias("cdr3_aa"))
+    df = raw.withColumn("__names", F.explode(F.array(names)))
+    df = df.withColumns({c: F.col(f"__names.{c}") for c in ("v_call", "j_call", "cdr3_aa")}).drop("__names")
     present = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
     steps = {
         "productive": F.col("frame_type") == "In" if "frame_type" in raw.columns else F.lit(True),  # older exports lack it
@@ -42,7 +44,7 @@ def adaptive_steps(raw: DataFrame) -> DataFrame:
         "standard": sequences.is_standard(F.upper("cdr3_aa")),
         "gene_level": genes.is_gene_level_v(F.col("v_call")) & genes.is_gene_level_j(F.col("j_call")),
     }
-    return df.withColumn("removed_by", first_failed(steps))
+    return df.withColumn("removed_by", F.explode(F.array(first_failed(steps))))
 
 
 def clean_adaptive(raw: DataFrame, count: str = "templates") -> DataFrame:
