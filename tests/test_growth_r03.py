@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from tessera.operators import cleaning, similarity
 
 
@@ -41,3 +43,23 @@ def test_pairs_of_a_group_are_not_shuffled(spark, monkeypatch):
         assert len(got) == len(want) and {(a, b): v for a, b, v in got} == want
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert bool(re.search(r"hashpartitioning\(a#\d+, b#\d+", plan)) == (listed < 200)
+
+
+def test_only_the_nearest_repertoires_of_a_block_leave_it(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, (41, 9)) * (rng.random((41, 9)) < np.linspace(1, 0.05, 9))  # full and sparse columns, ties
+    x[x.sum(axis=1) == 0, 0] = 1
+    x[7] = x[30]
+    share = x / x.sum(axis=1, keepdims=True)
+    rows = [(f"S{i}", f"c{c}", float(share[i, c])) for i in range(41) for c in range(9) if x[i, c]]
+    name = lambda i: f"S{i}".encode()
+    for most, part in ((8192, 4_000_000), (5, 3)):
+        monkeypatch.setattr(similarity, "NEAREST", most)
+        monkeypatch.setattr(similarity, "PART", part)
+        found = similarity.nearest_repertoires(spark.createDataFrame(rows, "repertoire_id string, cluster string, share double"), 3).collect()
+        blocks = max(4, -(-41 // most))
+        assert len(found) <= 41 * 3 * blocks
+        for i in range(41):
+            want = sorted((round(float(((share[i] - share[j]) ** 2).sum()) ** 0.5, 9), name(j)) for j in range(41) if j != i)[:3]
+            got = sorted({(r["euclidean"], r["b"].encode()) for r in found if r["a"] == f"S{i}"})[:3]
+            assert got == want
