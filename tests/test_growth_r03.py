@@ -63,3 +63,23 @@ def test_only_the_nearest_repertoires_of_a_block_leave_it(spark, monkeypatch):
             want = sorted((round(float(((share[i] - share[j]) ** 2).sum()) ** 0.5, 9), name(j)) for j in range(41) if j != i)[:3]
             got = sorted({(r["euclidean"], r["b"].encode()) for r in found if r["a"] == f"S{i}"})[:3]
             assert got == want
+
+
+def test_all_pairs_of_repertoires_leave_small_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(1, 5, (33, 8)) * (rng.random((33, 8)) < np.linspace(1, 0.06, 8))  # full and sparse columns
+    x[x.sum(axis=1) == 0, 0] = 1
+    share, e = x / x.sum(axis=1, keepdims=True), 1e-9
+    rows = [(f"S{i:02}", f"c{c}", float(share[i, c])) for i in range(33) for c in range(8) if x[i, c]]
+    monkeypatch.setattr(similarity, "ALL_PAIRS", 6, raising=False)
+    met, own = [], similarity._distances
+    monkeypatch.setattr(similarity, "_distances", lambda k, epsilon: met.append(k) or own(k, epsilon))
+    found = similarity.repertoire_distances(spark.createDataFrame(rows, "repertoire_id string, cluster string, share double"))
+    got = {(int(r["a"][1:]), int(r["b"][1:])): r for r in found.collect()}
+    assert len(got) == 33 * 32 // 2 and met == [8] and found.rdd.getNumPartitions() >= 6 * 7 // 2  # six blocks
+    for (i, j), r in got.items():
+        p, q = share[i] + e, share[j] + e
+        want = [((p - q) ** 2).sum() ** 0.5, ((p - q) * np.log(p / q)).sum(), max(0, (p * np.log(2 * p / (p + q)) + q * np.log(2 * q / (p + q))).sum() / 2) ** 0.5, np.abs(np.sort(share[i]) - np.sort(share[j])).mean()]
+        assert np.allclose([r[c] for c in ("euclidean", "symmetric_kl", "jensen_shannon", "wasserstein")], want, atol=1e-7)
+        if r["correlation"] is not None:
+            assert abs(r["correlation"] - (1 - np.corrcoef(p, q)[0, 1])) < 1e-7
