@@ -5,7 +5,10 @@ import re
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tessera.operators import cleaning, similarity
+from tessera.sources import tables
 
 
 def raw_rows(spark):
@@ -83,3 +86,16 @@ def test_all_pairs_of_repertoires_leave_small_blocks(spark, monkeypatch):
         assert np.allclose([r[c] for c in ("euclidean", "symmetric_kl", "jensen_shannon", "wasserstein")], want, atol=1e-7)
         if r["correlation"] is not None:
             assert abs(r["correlation"] - (1 - np.corrcoef(p, q)[0, 1])) < 1e-7
+
+
+def test_a_key_of_many_rows_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(0, 60_000, 1, 6).selectExpr("cast(id % 2 as int) label", "md5(cast(id as string)) cdr3_aa", "'v' v_call", "'j' j_call", "id duplicate_count", "cast(null as string) cdr3")
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "200k")
+    try:
+        tables.write_by(rows, str(tmp_path / "out"), ["label"], "csv")
+    finally:
+        spark.conf.unset(size)
+    assert all(len(list((tmp_path / "out" / f"label={k}").glob("*.gz"))) > 1 for k in (0, 1))
+    read = tables.read_labelled(spark, str(tmp_path / "out"))
+    assert {r["label"]: (r["n"], r["s"]) for r in read.groupBy("label").agg(F.count("*").alias("n"), F.sum("duplicate_count").alias("s")).collect()} == {f"label={k}": (30_000, sum(range(k, 60_000, 2))) for k in (0, 1)}
