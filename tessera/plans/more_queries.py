@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genes, sequences
 from ..operators import association, cleaning, cohorts, features, learners, metrics, sampling, similarity
+from ..scratch import Scratch
 from .fixtures import metadata, raw, repertoire, table
 from .queries import LABELS, PRED, TASK, TRUTH, big, clones, labels, predictions, query, r6, truth
 
@@ -209,6 +210,7 @@ def _attributed(s, d):
     rep = repertoire(s, d).join(labels(s, d), "repertoire_id")
     first = F.expr("instr('ACDEFGHIKLMNPQRS', substring(cdr3_aa, 1, 1))")
     rows = rep.select(F.col("label").alias("class"), "cdr3_aa", (F.length("cdr3_aa") * 10 + first).alias("score")).distinct()
+    rows = Scratch(s).write(rows)  # read for the features and for their windows
     mers = rows.select("class", "cdr3_aa", "score", F.explode(F.array_distinct(sequences.windows(F.col("cdr3_aa"), 4))).alias("feature"))
     order = Window.partitionBy("class").orderBy(F.desc("m"), "feature")
     by = mers.groupBy("class", "feature").agg(F.avg("score").alias("m"), F.count("*").alias("n")).where("n >= 3")
@@ -235,9 +237,11 @@ def score_attribution(s, d):
     """Linear weights of the Fisher evidence on V/J usage."""
     from ..operators.learners import feature_index, scales, vectors
 
-    rows = association.driver_p_scores(repertoire(s, d), clones(s, d)).groupBy("repertoire_id").agg(F.avg(-F.log10("p_value")).alias("evidence"))
-    long = features.gene_usage(repertoire(s, d)).where("feature like 'J:%'")
-    scaled = scales(long, feature_index(long, rows), rows).persist()
+    # Each is read several times by the fit.
+    scratch = Scratch(s)
+    rows = scratch.write(association.driver_p_scores(repertoire(s, d), clones(s, d)).groupBy("repertoire_id").agg(F.avg(-F.log10("p_value")).alias("evidence")))
+    long = scratch.write(features.gene_usage(repertoire(s, d)).where("feature like 'J:%'"))
+    scaled = scratch.write(scales(long, feature_index(long, rows), rows))
     weights = learners.attribution(vectors(long, scaled, rows), "evidence")
     w = s.createDataFrame(list(enumerate(map(float, weights))), "id int, weight double")
     return scaled.join(w, "id").select("feature", "weight")
