@@ -9,7 +9,8 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from tessera.operators import cleaning, features, similarity
+from tessera.functions import sequences
+from tessera.operators import cleaning, contraction, features, similarity
 from tessera.plans import file_queries
 from tessera.sources import tables
 
@@ -135,3 +136,13 @@ def test_ordered_files_are_several_tasks_work(spark, tmp_path):
     assert len(list((tmp_path / "ref").glob("part-*"))) > 1
     want = {r["v_call"]: r["s"] for r in rows.groupBy("v_call").agg(F.min("seq").alias("s")).collect()}
     assert {r["v_call"]: r["seq"] for r in tables.read_v_reference(spark, place).collect()} == want
+
+
+def test_candidates_are_verified_before_they_are_shuffled(spark):
+    rng = random.Random(1)
+    rows = spark.createDataFrame([("".join(rng.choice("ILVM") for _ in range(12)),) for _ in range(80)], "cdr3_aa string")
+    found = contraction.indexed_pairs(rows, rows, sequences.isometric_codes())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("hashpartitioning(a#") < plan.index("MapInArrow") < plan.index("Join")  # from the result down
+    pairs = [(r["a"], r["b"]) for r in found.collect()]
+    assert pairs and len(pairs) == len(set(pairs)) and set(pairs) == {(b, a) for a, b in pairs}
