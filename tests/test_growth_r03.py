@@ -146,3 +146,27 @@ def test_candidates_are_verified_before_they_are_shuffled(spark):
     assert plan.index("hashpartitioning(a#") < plan.index("MapInArrow") < plan.index("Join")  # from the result down
     pairs = [(r["a"], r["b"]) for r in found.collect()]
     assert pairs and len(pairs) == len(set(pairs)) and set(pairs) == {(b, a) for a, b in pairs}
+
+
+def test_blocks_of_codes_meet_once_for_both_sides(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    for spread in (1.5, 9.0):  # one cell and many
+        x = rng.normal(size=(90, 4)) * spread
+        x[17] = x[60]
+        rows = [(f"s{i:02}", 14 + i % 2, [float(v) for v in x[i]]) for i in range(90)]
+        want = {}
+        for i, j in ((i, j) for i in range(90) for j in range(90) if i != j and i % 2 == j % 2):
+            d = float(((x[i] - x[j]) ** 2).sum())
+            if d <= 7 - 0.5 * (15 - rows[i][1]):
+                want[rows[i][0], rows[j][0]] = d
+        monkeypatch.setattr(similarity, "NEAR", 50, raising=False)
+        own = spark.createDataFrame(rows, "cdr3_aa string, len int, code array<double>")
+        other = own.select("*")
+        for left, right in ((own, own), (own, other)):
+            got = [(r["a"], r["b"], r["distance"]) for r in similarity.isometric_pairs(left, right, 4, block=9).collect()]
+            assert len(got) == len(want) and {(a, b): d for a, b, d in got} == want
+            near = {(r["a"], r["b"]) for r in similarity.nearest(similarity.isometric_pairs(left, right, 4, block=9, nearest_only=True)).collect()}
+            assert near == {min((round(d, 9), b, a) for (a, b), d in want.items() if a == s)[:0:-1] for s in {a for a, _ in want}}
+        once = similarity.isometric_pairs(own, own, 4, block=9)._jdf.queryExecution().executedPlan().toString()
+        twice = similarity.isometric_pairs(own, other, 4, block=9)._jdf.queryExecution().executedPlan().toString()
+        assert "a#" in once and once.count("<=") > twice.count("<=")  # of two blocks of a cell one order is left
