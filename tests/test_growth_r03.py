@@ -170,3 +170,28 @@ def test_blocks_of_codes_meet_once_for_both_sides(spark, monkeypatch):
         once = similarity.isometric_pairs(own, own, 4, block=9)._jdf.queryExecution().executedPlan().toString()
         twice = similarity.isometric_pairs(own, other, 4, block=9)._jdf.queryExecution().executedPlan().toString()
         assert "a#" in once and once.count("<=") > twice.count("<=")  # of two blocks of a cell one order is left
+
+
+def test_pairs_that_share_kmers_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = sorted({"".join(rng.choice("AC?é") for _ in range(rng.choice([9, 10, 12, 13]))) for _ in range(150)})
+    own = [(f"g{rng.randrange(2)}", rng.choice(texts)) for _ in range(260)] + [(None, texts[0]), ("g0", None), ("g0", ""), ("g1", "AC?AC")]
+
+    def keys(s):
+        mers = [s[3:-2][i : i + 5] for i in range(len(s) - 9)]
+        return [{m[:j] + "?" + m[j + 1 :] for j in range(5)} for m in mers]
+
+    want = {}
+    for g, a, b in {(g, a, b) for g, a in own for h, b in own if g and g == h and a and b and len(a) == len(b) and a.encode() < b.encode()}:
+        every = set().union(*keys(b))
+        if n := sum(bool(k & every) for k in keys(a)):
+            want[g, a, b] = n
+    rows = spark.createDataFrame(own, "cluster string, cdr3_aa string")
+    for met, compared in ((500, 100_000), (4, 7)):  # in the second k-mers are cut into blocks
+        monkeypatch.setattr(similarity, "MET", met, raising=False)
+        monkeypatch.setattr(similarity, "COMPARED", compared, raising=False)
+        for least in (1, 2):
+            found = similarity.kmer_share_edges(rows, least, within=["cluster"])
+            got = [tuple(r) for r in found.select("cluster", "a", "b", "shared").collect()]
+            assert len(got) == len(set(got)) and {r[:3]: r[3] for r in got} == {k: n for k, n in want.items() if n >= least}
+        assert not re.search(r"hashpartitioning\([^)]*\ba#\d+, b#\d+", found._jdf.queryExecution().executedPlan().toString())
