@@ -195,3 +195,28 @@ def test_pairs_that_share_kmers_are_not_shuffled(spark, monkeypatch):
             got = [tuple(r) for r in found.select("cluster", "a", "b", "shared").collect()]
             assert len(got) == len(set(got)) and {r[:3]: r[3] for r in got} == {k: n for k, n in want.items() if n >= least}
         assert not re.search(r"hashpartitioning\([^)]*\ba#\d+, b#\d+", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_first_rows_of_a_cdr3_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "MATCH_ROWS", 10, raising=False)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ACDE") for _ in range(12)) for _ in range(30)]
+    own = [(f"S{i % 4}", i, rng.choice(texts), f"V{i % 7}", f"J{i % 3}") for i in range(200)] + [("S0", 900, None, "V", "J")]
+    known = [(0, texts[0], "V1", "J1", 3), (1, texts[1][:5] + "W" + texts[1][6:], "V2", "J2", 4), (2, "W" * 12, "V3", "J3", 5)]
+    rep = spark.createDataFrame(own, "repertoire_id string, row_idx int, cdr3_aa string, v_call string, j_call string")
+    truth = spark.createDataFrame(known, "gt_idx int, cdr3_aa string, v_call string, j_call string, score int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = similarity.driver_matches(rep, truth)
+        assert found.rdd.getNumPartitions() == 21  # 201 rows
+        got = sorted(tuple(r)[:7] + (r["score"],) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    first = {}
+    for r, _, s, v, j in own:
+        first.setdefault((r, s), (v, j))
+    want = []
+    for (r, s), (v, j) in first.items():
+        hits = [k for k in known if s and sum(x != y for x, y in zip(s, k[1], strict=True)) <= 1]
+        want += [(r, s, v, j, hits[0][1], hits[0][2], hits[0][3], hits[0][4])] if hits else []
+    assert got == sorted(want) and want
