@@ -39,7 +39,7 @@ def repertoire_files(s, d):
     own = repertoire(s, d).select("repertoire_id", "row_idx", "cdr3_aa", "v_call", "j_call", "duplicate_count", F.lit(None).cast("string").alias("cdr3"))
     files = own.repartition("repertoire_id").sortWithinPartitions("repertoire_id", "row_idx").drop("row_idx")
     files.write.partitionBy("repertoire_id").option("sep", "\t").option("header", True).option("compression", "gzip").csv(base)
-    return tables.read_repertoires(s, f"{base}/*/*.csv.gz", pattern=r"repertoire_id=([^/]+)/", columns=["cdr3_aa", "v_call", "duplicate_count"])
+    return tables.read_repertoires(s, base, pattern=r"repertoire_id=([^/]+)/", columns=["cdr3_aa", "v_call", "duplicate_count"], below=True)
 
 
 @query("select 'one' cohort, specimen_label, case when disease = 'Healthy/Background' then 'Healthy/Background' else disease end disease, cast(fold_id as varchar) fold_id, 'data/one/' || specimen_label || '.tsv.gz' path from metadata union all select 'two', specimen_label, disease, cast(fold_id as varchar), 'data/two/' || specimen_label || '.tsv' from metadata")

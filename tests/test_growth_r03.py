@@ -220,3 +220,19 @@ def test_first_rows_of_a_cdr3_are_dealt_by_rows(spark, monkeypatch):
         hits = [k for k in known if s and sum(x != y for x, y in zip(s, k[1], strict=True)) <= 1]
         want += [(r, s, v, j, hits[0][1], hits[0][2], hits[0][3], hits[0][4])] if hits else []
     assert got == sorted(want) and want
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(f"S{i:02}", n, f"C{i}", f"V{n}", "J", i + n) for i in range(40) for n in range(3)], "repertoire_id string, row_idx int, cdr3_aa string, v_call string, j_call string, duplicate_count int")
+    files = rows.withColumn("cdr3", F.lit(None).cast("string")).repartition(4, "repertoire_id").sortWithinPartitions("repertoire_id", "row_idx").drop("row_idx")
+    files.write.partitionBy("repertoire_id").option("sep", "\t").option("header", True).option("compression", "gzip").csv(str(tmp_path / "files"))
+    tracker, group = spark.sparkContext.statusTracker(), "listing"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        read = tables.read_repertoires(spark, str(tmp_path / "files"), pattern=r"repertoire_id=([^/]+)/", below=True)
+        stages = [tracker.getStageInfo(i) for j in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert max((x.numTasks for x in stages if x), default=0) <= 16  # forty folders
+    want = sorted(tuple(r) for r in rows.select("repertoire_id", "row_idx", "cdr3_aa", "v_call", "duplicate_count").collect())
+    assert sorted(tuple(r) for r in read.select("repertoire_id", "row_idx", "cdr3_aa", "v_call", "duplicate_count").collect()) == want
