@@ -23,12 +23,18 @@ def log_beta(a: Column, b: Column) -> Column:
     return log_gamma(a) + log_gamma(b) - log_gamma(a + b)
 
 
-def incidence(rep: DataFrame, labels: DataFrame, least: int = 2) -> DataFrame:
+def clones_held(rep: DataFrame) -> DataFrame:
+    """Each subject's distinct clones, written once: for several of the functions below, which take them with ``distinct``."""
+    return Scratch(rep.sparkSession).write(rep.select("repertoire_id", *CLONE).distinct())
+
+
+def incidence(rep: DataFrame, labels: DataFrame, least: int = 2, distinct: bool = False) -> DataFrame:
     """Per clone the positive and negative subjects that hold it; ``labels``: (repertoire_id, label 0/1).
 
-    Rows are made distinct by subject first, so a clone's row count is bounded by the subjects.
+    Rows are made distinct by subject first, so a clone's row count is bounded by the subjects; with ``distinct`` they are.
     """
-    held = rep.select("repertoire_id", *CLONE).distinct().join(labels, "repertoire_id")
+    held = rep.select("repertoire_id", *CLONE)
+    held = (held if distinct else held.distinct()).join(labels, "repertoire_id")
     return held.groupBy(*CLONE).agg(F.sum("label").alias("n_pos"), F.sum(1 - F.col("label")).alias("n_neg")).where(F.col("n_pos") + F.col("n_neg") >= least)
 
 
@@ -63,9 +69,10 @@ def diagnostic_sets(clones: DataFrame, thresholds: list[float] = THRESHOLDS) ->
     return clones.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).where("p_value < threshold")
 
 
-def subject_counts(rep: DataFrame, diagnostic: DataFrame, subjects: DataFrame) -> DataFrame:
+def subject_counts(rep: DataFrame, diagnostic: DataFrame, subjects: DataFrame, distinct: bool = False) -> DataFrame:
     """n (distinct clones) and k (those in the diagnostic set) of every subject and threshold."""
-    held = rep.select("repertoire_id", *CLONE).distinct()
+    held = rep.select("repertoire_id", *CLONE)
+    held = held if distinct else held.distinct()
     n = held.groupBy("repertoire_id").agg(F.count("*").alias("n"))
     k = held.join(diagnostic.select(*CLONE, "threshold"), CLONE).groupBy("repertoire_id", "threshold").agg(F.count("*").alias("k"))
     grid = subjects.select("repertoire_id").join(F.broadcast(diagnostic.select("threshold").distinct()))

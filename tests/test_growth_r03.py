@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import sequences
-from tessera.operators import cleaning, contraction, features, similarity
+from tessera.operators import association, cleaning, contraction, features, similarity
 from tessera.plans import file_queries
 from tessera.sources import tables
 
@@ -236,3 +236,18 @@ def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
     assert max((x.numTasks for x in stages if x), default=0) <= 16  # forty folders
     want = sorted(tuple(r) for r in rows.select("repertoire_id", "row_idx", "cdr3_aa", "v_call", "duplicate_count").collect())
     assert sorted(tuple(r) for r in read.select("repertoire_id", "row_idx", "cdr3_aa", "v_call", "duplicate_count").collect()) == want
+
+
+def test_clones_are_made_distinct_once_for_all_steps(spark):
+    rng = random.Random(9)
+    rep = spark.createDataFrame([(f"S{rng.randrange(8)}", f"C{rng.randrange(12)}", "V", "J") for _ in range(150)] * 2, "repertoire_id string, cdr3_aa string, v_call string, j_call string")
+    y = spark.createDataFrame([(f"S{i}", i % 2) for i in range(8)], "repertoire_id string, label int")
+    held = association.clones_held(rep)
+    dia = rep.select(*association.CLONE).where("cdr3_aa < 'C3'").distinct().withColumn("threshold", F.lit(0.01))
+    for own, plain in (
+        (association.incidence(held, y, distinct=True), association.incidence(rep, y)),
+        (association.subject_counts(held, dia, y, distinct=True), association.subject_counts(rep, dia, y)),
+    ):
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, plain.collect())) and own.count()
+        wide = r"hashpartitioning\(repertoire_id#\d+L?, cdr3_aa#\d+, v_call"
+        assert re.search(wide, plain._jdf.queryExecution().executedPlan().toString()) and not re.search(wide, own._jdf.queryExecution().executedPlan().toString())
