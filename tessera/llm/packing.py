@@ -34,11 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import CodePoints, raw, row_groups, small_batches
+from .texts import CodePoints, give_back, raw, row_groups, small_batches
 from .token_counts import compiled, segments, some_at_a_time
 
 #: Ids of a block that is solved at once.
 BLOCK = 1 << 18
+#: Bytes of text that are turned into ids at a time: the arrays for them are some hundred times as large.
+PIECE = 1 << 17
 #: First characters of the pre-tokens that end a sentence.
 STOPS = [ord(c) for c in "!.?\u2026\u3002"]
 
@@ -235,7 +237,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             data, offsets = raw(batch.column(1))
             names = batch.column(0).to_pylist()
-            for a, b in row_groups(offsets):
+            for a, b in row_groups(offsets, PIECE):
                 ids, n, cut = word_ids(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], path, close)
                 keys |= dict(zip(range(rows, rows + b - a), names[a:b], strict=True))
                 sizes |= dict(zip(range(rows, rows + b - a), n.tolist(), strict=True))
@@ -243,6 +245,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
                 packer.add(ids, cut, np.repeat(np.arange(rows, rows + b - a), n), np.arange(len(ids)) - np.repeat(begin, n))
                 rows += b - a
                 yield from ready()
+            give_back()
         packer.finish()
         yield from ready()
 

@@ -25,6 +25,7 @@ The composed result is exact whatever the guesses were.
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 
@@ -32,6 +33,8 @@ import numpy as np
 CHUNK, WARM = 256, 64
 #: A prefix of more tokens than this keeps the token before it in the state, not the list of tokens that may complete it.
 LISTED = 24
+#: Answers about pairs of tokens that are kept (a power of two); a new one takes the place of another.
+ASKED = 1 << 18
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -70,16 +73,14 @@ class Transducer:
         self.length = np.ones(max(names.values()) + 1, np.int32)
         for t, i in names.items():
             self.length[i] = len(t)
-        self.longer: dict[str, list[int] | None] = {}  # proper prefix -> its tokens, None for more than LISTED
+        self.longer: dict[str, tuple[int, ...] | None] = {}  # proper prefix -> its tokens, None for more than LISTED
         for t, i in names.items():
             for k in range(1, len(t)):
-                if (found := self.longer.setdefault(t[:k], [])) is not None:
-                    found.append(i)
-                    if len(found) > LISTED:
-                        self.longer[t[:k]] = None
+                if (found := self.longer.get(t[:k], ())) is not None:
+                    self.longer[t[:k]] = (*found, i) if len(found) < LISTED else None
         self.spelled = {i: t for t, i in names.items()}
         self.open: dict[tuple[str, int], tuple] = {}
-        self.pairs: dict[int, bool] = {}
+        self.asked = array("q", [-1]) * ASKED
         self.max_states = max_states
         self._clear()
 
@@ -89,20 +90,29 @@ class Transducer:
         self.symbol_of: list[int] = []
         self.states: list[tuple] = [(("", -1, 0),)]
         self.number = {self.states[0]: 0}
-        self.next = np.full((1024, self.width), -1, np.int32)
-        self.delta = np.zeros((1024, self.width), np.int16)
-        self.last = np.full(1024, -1, np.int32)
+        self.entries: dict[tuple, tuple] = {}  # what several states hold is held once
+        self._rows(self.max_states + self.max_states // 4, self.width)
+
+    def _rows(self, n: int, width: int) -> None:
+        """Tables for n states; memory is touched only where a transition is made.  ``next`` holds states plus 1, 0 is none."""
+        old = (self.next, self.delta, self.last) if len(self.states) > 1 else ()
+        self.next, self.delta, self.last = np.zeros((n, width), np.int32), np.zeros((n, width), np.int16), np.full(n, -1, np.int32)
+        self.width = width
+        if old:
+            made = min(len(self.states), len(old[0]))
+            for new, was in zip((self.next, self.delta), old, strict=False):
+                new[:made, : was.shape[1]] = was[:made]
+            self.last[:made] = old[2][:made]
 
     def _adjacent(self, left: int, right: int) -> bool:
         """Whether the two tokens, side by side, are what their joint text encodes to (left -1: the word's start)."""
         key = (left + 1) << 20 | right
-        if (ok := self.pairs.get(key)) is None:
+        slot = (key * 0x9E3779B97F4A7C15 >> 40) % ASKED
+        if (known := self.asked[slot]) >> 1 != key:
             text = self.spelled[right] if left < 0 else self.spelled[left] + self.spelled[right]
             ok = [t.id for t in self.bpe.tokenize(text)] == ([right] if left < 0 else [left, right])
-            if len(self.pairs) > 400_000:
-                self.pairs.clear()
-            self.pairs[key] = ok
-        return ok
+            self.asked[slot] = known = key << 1 | ok
+        return bool(known & 1)
 
     def _left(self, prefix: str, before) -> int | tuple:
         """The tokens that may complete ``prefix``: listed, or as the token that they have to stand next to."""
@@ -127,17 +137,14 @@ class Transducer:
                 grown.append((longer, left, rel))
         if token < 0:
             raise ValueError("a symbol without a token")
-        key = (*((s, b, r - step) for s, b, r in grown), ("", token, 0))
+        key = tuple(self.entries.setdefault(e, e) for e in (*((s, b, r - step) for s, b, r in grown), ("", token, 0)))
         if (to := self.number.get(key)) is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
             if to >= len(self.next):
-                more = max(1024, len(self.next) // 4)
-                self.next = np.pad(self.next, ((0, more), (0, 0)), constant_values=-1)
-                self.delta = np.pad(self.delta, ((0, more), (0, 0)))
-                self.last = np.pad(self.last, (0, more), constant_values=-1)
+                self._rows(to + to // 4, self.width)
             self.last[to] = token
-        self.next[state, column], self.delta[state, column] = to, step
+        self.next[state, column], self.delta[state, column] = to + 1, step
 
     def _columns(self, symbols: np.ndarray) -> np.ndarray:
         seen = np.flatnonzero(np.bincount(symbols, minlength=512))
@@ -145,10 +152,7 @@ class Transducer:
             self.column[s] = len(self.symbol_of)
             self.symbol_of.append(int(s))
         if (more := len(self.symbol_of) - self.width) > 0:
-            more = -(-more // 32) * 32
-            self.next = np.pad(self.next, ((0, 0), (0, more)), constant_values=-1)
-            self.delta = np.pad(self.delta, ((0, 0), (0, more)))
-            self.width += more
+            self._rows(len(self.next), self.width + -(-more // 32) * 32)
         return self.column[symbols]
 
     def _read(self, columns, starts, lengths, entry, last):
@@ -159,11 +163,11 @@ class Transducer:
         for k, m in enumerate(active):
             where = at[:m] + k
             key = state[:m] * self.width + columns[where]
-            to = self.next.ravel()[key]
+            to = self.next.ravel()[key] - 1
             if (to < 0).any():
                 for missing in np.unique(key[to < 0]):
                     self._make(*divmod(int(missing), self.width))
-                to = self.next.ravel()[key]
+                to = self.next.ravel()[key] - 1
             count[:m] += self.delta.ravel()[key]
             state[:m] = to
             if last is not None:
