@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import sequences
-from tessera.operators import association, cleaning, contraction, features, similarity
+from tessera.operators import association, cleaning, contraction, features, learners, similarity
 from tessera.plans import file_queries
 from tessera.sources import tables
 
@@ -251,3 +251,40 @@ def test_clones_are_made_distinct_once_for_all_steps(spark):
         assert sorted(map(tuple, own.collect())) == sorted(map(tuple, plain.collect())) and own.count()
         wide = r"hashpartitioning\(repertoire_id#\d+L?, cdr3_aa#\d+, v_call"
         assert re.search(wide, plain._jdf.queryExecution().executedPlan().toString()) and not re.search(wide, own._jdf.queryExecution().executedPlan().toString())
+
+
+def test_narrow_l1_fit_takes_few_steps(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(28)
+    share = rng.dirichlet(np.full(6, 400.0), 900)  # shares add up to 1: collinear, far from centred
+    x = np.hstack([share, np.zeros((900, 1))]) / np.append(share.std(axis=0), 1.0)
+    z = x - x.mean(axis=0)
+    y = (rng.random(900) < 1 / (1 + np.exp(-(z[:, 0] - 0.5 * z[:, 1])))).astype(int)
+    df = spark.createDataFrame([(str(i), int(y[i]), Vectors.dense(x[i])) for i in range(900)], ["repertoire_id", "label", "features"]).repartition(3)
+    model = learners.l1_logistic(df, 1.0, 900, tol=1e-10, steps=25)
+    w, b = model.coefficients.toArray(), model.intercept
+    slope = x.T @ (1 / (1 + np.exp(-(x @ w + b))) - y) / 900
+    assert np.all(np.abs(np.where(w == 0, 0, slope + np.sign(w) / 900)) < 1e-7) and np.all(np.abs(slope) < 1 / 900 + 1e-7) and w[6] == 0
+    direct = {r["repertoire_id"]: r["score"] for r in learners.probability(model, df).collect()}
+    assert np.allclose([direct[str(i)] for i in range(900)], 1 / (1 + np.exp(-(x @ w + b))))
+    monkeypatch.setattr(learners, "NARROW", 0)  # Spark's steps, many
+    other = learners.l1_logistic(df, 1.0, 900, tol=1e-12, steps=2000)
+    u, a = other.coefficients.toArray(), other.intercept
+    loss = lambda w, b: np.mean(np.logaddexp(0, x @ w + b) - y * (x @ w + b)) + np.abs(w).sum() / 900
+    assert loss(w, b) < loss(u, a) + 1e-9
+    assert np.allclose(1 / (1 + np.exp(-(x @ w + b))), 1 / (1 + np.exp(-(x @ u + a))), atol=2e-3)
+
+
+def test_narrow_l1_fit_of_one_class_and_of_separable_rows(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(str(i), int(i > 4), Vectors.sparse(2, [(0, float(i))])) for i in range(10)]
+    df = spark.createDataFrame(rows, ["repertoire_id", "label", "features"])
+    for part in (df, df.where("label = 1"), df.where("label = 0")):
+        scores = []
+        for narrow in (128, 0):
+            monkeypatch.setattr(learners, "NARROW", narrow)
+            model = learners.l1_logistic(part, 100.0, 10, tol=1e-12, steps=2000)
+            scores.append([r["score"] for r in learners.probability(model, part).orderBy("repertoire_id").collect()])
+        assert np.allclose(*scores, atol=1e-3)
