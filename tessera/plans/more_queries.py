@@ -240,7 +240,7 @@ def score_attribution(s, d):
     # Each is read several times by the fit.
     scratch = Scratch(s)
     rows = scratch.write(association.driver_p_scores(repertoire(s, d), clones(s, d)).groupBy("repertoire_id").agg(F.avg(-F.log10("p_value")).alias("evidence")))
-    long = scratch.write(features.gene_usage(repertoire(s, d)).where("feature like 'J:%'"))
+    long = scratch.write(features.gene_usage(repertoire(s, d)))
     scaled = scratch.write(scales(long, feature_index(long, rows), rows))
     weights = learners.attribution(vectors(long, scaled, rows), "evidence")
     w = s.createDataFrame(list(enumerate(map(float, weights))), "id int, weight double")
