@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.functions import sequences
-from tessera.operators import contraction, features, similarity
+from tessera.operators import boosting, contraction, features, similarity
 from tessera.plans import more_queries
 from tessera.plans.fixtures import repertoire
 
@@ -55,3 +55,33 @@ def test_only_what_may_be_nearest_is_told_by_differences(monkeypatch):
     monkeypatch.setattr(similarity, "ACROSS", 60, raising=False)
     told = sum(len(i) for i, _, _ in similarity._within(x, x, 1e3, np.arange(300), True))
     assert 600 <= told < 300 * 40  # of 90,000 pairs, all within the limit
+
+
+def test_fits_of_narrow_features_are_grown_in_one_job(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random((120, 7)) * (rng.random((120, 7)) < 0.8), 1)  # ties, and missing values
+    x[:, 5] = x[:, 2]
+    y = (x[:, 0] + x[:, 2] + rng.random(120) > 1.2).astype(float)
+    keys = [f"r{i:03}" for i in range(120)]
+    cells = [(k, f"f{j}", float(v)) for k, row in zip(keys, x, strict=True) for j, v in enumerate(row)]
+    long = spark.createDataFrame(cells, "repertoire_id string, feature string, value double")
+    params = [{"depth": d, "step": 0.2, "rows": r, "columns": c, "leaf": leaf} for d, r, c, leaf in ((1, 1.0, 1.0, 1), (4, 0.7, 0.6, 1), (3, 0.8, 1.0, 3))]
+    fold = np.arange(120) % 3
+
+    def fitted():
+        return boosting.boost(long, [boosting.Fit(p, fold != f, fold == f) for f, p in enumerate(params)], keys, y, rounds=6, patience=3)
+
+    monkeypatch.setattr(boosting, "PART", 50, raising=False)
+
+    def jobs():
+        spark.sparkContext.setJobGroup(name := f"boosting-{getattr(boosting, 'WHOLE', 1)}", "")
+        try:
+            return fitted(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    (whole, few), _ = jobs(), monkeypatch.setattr(boosting, "WHOLE", 0, raising=False)
+    blocks, many = jobs()
+    assert few < many / 2  # not one for each level of a tree
+    for a, b in zip(whole, blocks, strict=True):
+        assert a.trees and a.trees == b.trees and (a.auroc, a.best, a.base) == (b.auroc, b.best, b.base)
