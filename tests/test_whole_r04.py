@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.functions import sequences
-from tessera.operators import boosting, contraction, features, similarity
+from tessera.operators import boosting, contraction, features, learners, similarity
 from tessera.plans import more_queries
 from tessera.plans.fixtures import repertoire
 
@@ -85,3 +85,31 @@ def test_fits_of_narrow_features_are_grown_in_one_job(spark, monkeypatch):
     assert few < many / 2  # not one for each level of a tree
     for a, b in zip(whole, blocks, strict=True):
         assert a.trees and a.trees == b.trees and (a.auroc, a.best, a.base) == (b.auroc, b.best, b.base)
+
+
+def test_wide_l1_fits_go_in_step_and_are_not_held(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+    from pyspark.sql import DataFrame
+
+    rng = np.random.default_rng(6)
+    x = (5 + rng.normal(size=(150, 9))) * (rng.random((150, 9)) < np.append(np.ones(5), np.full(4, 0.3)))
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=150) > 0).astype(int)
+    sparse = [Vectors.sparse(9, np.flatnonzero(v).tolist(), v[v != 0].tolist()) if i % 3 else Vectors.dense(v) for i, v in enumerate(x)]
+    rows = spark.createDataFrame([(f"r{i:03}", int(y[i]), v) for i, v in enumerate(sparse)], ["repertoire_id", "label", "features"]).repartition(3)
+    chosen = learners.choose_c(rows, [0.001, 0.05, 1.0])  # narrow: Newton steps
+    monkeypatch.setattr(learners, "NARROW", 4)
+    monkeypatch.setattr(learners, "DENSE", 40, raising=False)
+    held = []
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *a: held.append(self) or self)
+    for points in (1_000_000, 20):  # in the second two fits a group
+        monkeypatch.setattr(learners, "POINTS", points, raising=False)
+        assert learners.choose_c(rows, [0.001, 0.05, 1.0]) == chosen
+    for c in (0.05, 1.0):
+        model = learners.l1_logistic(rows, c, 150, tol=1e-10, steps=300)
+        w, b = model.coefficients.toArray(), model.intercept
+        slope = x.T @ (1 / (1 + np.exp(-(x @ w + b))) - y) / 150
+        bound = 1 / (c * 150)
+        assert np.all(np.abs(slope + np.sign(w) * bound)[w != 0] < 1e-5) and np.all(np.abs(slope)[w == 0] < bound + 1e-5)
+        got = {r["repertoire_id"]: r["score"] for r in learners.probability(model, rows).collect()}
+        assert np.allclose([got[f"r{i:03}"] for i in range(150)], 1 / (1 + np.exp(-(x @ w + b))))
+    assert not held
