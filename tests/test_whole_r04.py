@@ -113,3 +113,19 @@ def test_wide_l1_fits_go_in_step_and_are_not_held(spark, monkeypatch):
         got = {r["repertoire_id"]: r["score"] for r in learners.probability(model, rows).collect()}
         assert np.allclose([got[f"r{i:03}"] for i in range(150)], 1 / (1 + np.exp(-(x @ w + b))))
     assert not held
+
+
+def test_large_blocks_of_repertoires_are_compared_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    x = rng.integers(0, 4, (40, 6)) + (np.arange(6) == 0)
+    share = x / x.sum(axis=1, keepdims=True)
+    rows = spark.createDataFrame([(f"S{i:02}", f"c{c}", float(share[i, c])) for i in range(40) for c in range(6) if x[i, c]], "repertoire_id string, cluster string, share double")
+    blocks = similarity.ALL_PAIRS
+    monkeypatch.setattr(similarity, "TILE", 4, raising=False)
+    found = similarity.repertoire_distances(rows).collect()
+    got = {(r["a"], r["b"]): (r["euclidean"], r["wasserstein"]) for r in found}
+    assert len(found) == len(got) == 40 * 39 // 2 and all(a < b for a, b in got)
+    for (a, b), (e, w) in got.items():
+        p, q = share[int(a[1:])], share[int(b[1:])]
+        assert abs(e - ((p - q) ** 2).sum() ** 0.5) < 1e-7 and abs(w - np.abs(np.sort(p) - np.sort(q)).mean()) < 1e-7
+    assert 60_000 / blocks < 10  # 60,000 repertoires are shuffled less than ten times
